@@ -23,7 +23,7 @@ from .common import SPACES, words
 
 SYMBOLS = "#*$%&|<>"  # fixed value: the characters that count as symbols
 BUCKETS = 1 << 14
-THRESHOLD = -0.35
+THRESHOLD = -0.12
 MAX_TRUSTED = 20_000
 WINDOW = 5
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, quality_rules, secret_scan
+from . import chat_format, packing, quality_rules, secret_scan, simhash_dedup, source_mix, toxicity
 from .common import table
 
 
@@ -12,6 +12,18 @@ def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.components(table(spark, sf_dir, "documents"))
+
+
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix_report(table(spark, sf_dir, "documents"))
+
+
+def op5_pack_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.sql("SELECT -1L AS conv_id, t AS turn, r AS role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)")
@@ -22,10 +34,18 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op2_secret_ownership": op2_secret_ownership,
+    "op3_simhash_components": op3_simhash_components,
+    "op4_source_mix": op4_source_mix,
+    "op5_pack_histogram": op5_pack_histogram,
     "op7_chat_format": op7_chat_format,
     "op8_quality_rules": op8_quality_rules,
+    "op9_toxicity_fm": op9_toxicity_fm,
 }
 
 ORACLE: dict[str, str] = {}
