@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, packing, quality_rules, secret_scan, simhash_dedup, source_mix, toxicity
+from . import chat_format, line_dedup, packing, quality_rules, secret_scan, simhash_dedup, source_mix, toxicity
 from .common import table
 
 
@@ -38,6 +38,11 @@ def op9_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.delete_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.withColumnsRenamed({"_n_lines": "n_lines", "_n_deleted": "n_deleted"})
+
+
 QUERIES = {
     "op2_secret_ownership": op2_secret_ownership,
     "op3_simhash_components": op3_simhash_components,
@@ -46,6 +51,7 @@ QUERIES = {
     "op7_chat_format": op7_chat_format,
     "op8_quality_rules": op8_quality_rules,
     "op9_toxicity_fm": op9_toxicity_fm,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE: dict[str, str] = {}
