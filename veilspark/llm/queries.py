@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat_format, line_dedup, packing, quality_rules, secret_scan, simhash_dedup, source_mix, toxicity
+from . import chat_format, cotraining, hamming_search, line_dedup, packing, quality_rules, secret_scan, simhash_dedup, source_mix, toxicity
 from .common import table
 
 
+def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -24,6 +29,11 @@ def op5_pack_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hamming_search.sign_code(F.col("embedding")).alias("code"))
+    return hamming_search.search(rows.where("id % 20 = 0"), rows)
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.sql("SELECT -1L AS conv_id, t AS turn, r AS role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)")
@@ -44,10 +54,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_cotraining": op1_cotraining,
     "op2_secret_ownership": op2_secret_ownership,
     "op3_simhash_components": op3_simhash_components,
     "op4_source_mix": op4_source_mix,
     "op5_pack_histogram": op5_pack_histogram,
+    "op6_hamming_topk": op6_hamming_topk,
     "op7_chat_format": op7_chat_format,
     "op8_quality_rules": op8_quality_rules,
     "op9_toxicity_fm": op9_toxicity_fm,
