@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import detections
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES: list = []
+_MODULES: list = [detections]
 
 
 def queries() -> dict[str, Query]:
