@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import detections
+from . import detections, media, timelines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES: list = [detections]
+_MODULES: list = [detections, timelines, media]
 
 
 def queries() -> dict[str, Query]:
