@@ -21,13 +21,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
 DIMENSIONS = ("source", "lang", "topic")
 ROUNDS, TOLERANCE, FRACTION, SEED = 25, 1e-6, 0.6, 11
+ROUNDS_PER_CUT = 4
 BROADCAST_CELLS = 20_000
 #: By default small sources and languages are lifted, and so are rare topics.
 TARGETS: dict[str, float | Mapping[str, float]] = {"source": 0.5, "lang": 0.7, "topic": 0.8}
@@ -54,36 +55,41 @@ def with_cells(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_source": F.coalesce(F.col("source"), F.lit("")), "_lang": F.coalesce(F.col("lang"), F.lit("")), "_topic": topic(F.col("text")), "_tokens": n_tokens(F.col("text"))})
 
 
-def _marginal(cells: DataFrame, dim: str, target: float | Mapping[str, float]) -> DataFrame:
+def _wanted(cells: DataFrame, dim: str, target: float | Mapping[str, float]) -> DataFrame:
     """By value of one dimension the share of tokens it should have; shares of values with tokens add up to 1."""
-    by = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("t")).where("t > 0")
+    by = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("t"))
     if isinstance(target, Mapping):
-        given = cells.sparkSession.createDataFrame([(str(k), float(v)) for k, v in target.items()], "v string, want double")
-        raw = by.join(given, by[dim] == given["v"], "left").select(dim, F.coalesce("want", F.lit(0.0)).alias("want"))
+        given = cells.sparkSession.createDataFrame([(str(k), float(v)) for k, v in target.items()], f"{dim} string, want double")
+        raw = by.join(given, dim, "left").select(dim, F.coalesce("want", F.lit(0.0)).alias("want"))
     else:
         raw = by.select(dim, F.pow("t", F.lit(float(target))).alias("want"))
-    return raw.join(raw.agg(F.sum("want").alias("all")), F.lit(True)).select(dim, (F.col("want") / F.col("all")).alias("want"))
+    return raw.join(raw.agg(F.sum("want").alias("all")), F.lit(True)).select(dim, (F.col("want") / F.col("all")).alias(f"want_{dim}"))
 
 
 def rake(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]] = TARGETS, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """cells (the dimensions, tokens) with ``weight``: shares that have the target marginals."""
+    """cells (the dimensions, tokens) with ``weight``: shares that have the target marginals.
+
+    A step scales every cell by wanted over present weight of its value, with the present weight
+    from a window over the cells of that value. Lineage is cut every few rounds.
+    """
     dims = list(targets)
-    wants = {d: cut(_marginal(cells, d, targets[d])) for d in dims}
-    now = cut(cells.where("tokens > 0").withColumn("weight", F.col("tokens").cast("double")))
-    for _ in range(rounds):
-        step = now
-        off = None
-        for d in dims:
-            have = step.groupBy(d).agg(F.sum("weight").alias("have")).join(wants[d], d).select(d, F.when(F.col("have") > 0, F.col("want") / F.col("have")).otherwise(0.0).alias("f"))
-            step = step.join(have, d).withColumn("weight", F.col("weight") * F.col("f"))
-            step = step.withColumnRenamed("f", f"f_{d}")
-        step = cut(step)
-        # what the first dimension's factors will be next is how far the last ones moved it
-        off = step.agg(*(F.max(F.abs(F.log(F.greatest(F.col(f"f_{d}"), F.lit(1e-300))))).alias(d) for d in dims[1:])).first() if len(dims) > 1 else [0.0]
-        now = step.select(*cells.columns, "weight")
-        if all(x is None or x < tolerance for x in off):
+    now = cells.where("tokens > 0")
+    for d in dims:
+        now = now.join(_wanted(now.select(d, "tokens"), d, targets[d]), d)
+    now = cut(now.withColumn("weight", F.col("tokens").cast("double")))
+    for _ in range(0, rounds, ROUNDS_PER_CUT):
+        for _ in range(ROUNDS_PER_CUT):
+            for k, d in enumerate(dims):
+                have = F.sum("weight").over(Window.partitionBy(d))
+                now = now.withColumn("_f", F.when(have > 0, F.col(f"want_{d}") / have).otherwise(0.0))
+                now = now.withColumn("weight", F.col("weight") * F.col("_f"))
+                now = now.withColumn("_off", F.abs(F.log(F.greatest("_f", F.lit(1e-300))))) if k == 0 else now
+        now = cut(now)
+        # how far the first marginal was off when the other ones had been fitted
+        off = now.where("weight > 0").agg(F.max("_off")).first()[0]
+        if off is None or off < tolerance:
             break
-    return now
+    return now.select(*cells.columns, "weight")
 
 
 def probabilities(docs: DataFrame, targets: Mapping[str, float | Mapping[str, float]] = TARGETS, fraction: float = FRACTION) -> DataFrame:
