@@ -1,0 +1,141 @@
+"""Secret scan, chat formatting and quality rules against plain Python."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from veilspark.llm import chat_format, quality_rules, queries, secret_scan
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""".replace("(?i:", "(?:").replace("password|passwd|secret|token|api_?key", "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"))
+ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
+
+
+def base_spans(text):
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
+    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if len(m[0]) >= 32]
+    return sorted(found)
+
+
+def listed(spans):
+    return ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in spans)
+
+
+def check_secrets(rows, got):
+    want = Counter()
+    for r in rows:
+        s = base_spans(r["text"] or "")
+        kinds = Counter(k for _, k, _ in s)
+        want[(r["doc_id"], kinds[0], kinds[1], kinds[2], hashlib.sha256(listed(s).encode()).hexdigest())] += 1
+        have = next(g for g in got if g["doc_id"] == r["doc_id"] and g["base_sha256"] == hashlib.sha256(listed(s).encode()).hexdigest())
+        assert [x for x in have["spans"].split(",") if not x.startswith("token:") and x] == [x for x in listed(s).split(",") if x]
+    assert Counter((g["doc_id"], g["n_assign"], g["n_access"], g["n_hex"], g["base_sha256"]) for g in got) == want
+
+
+def test_secrets_match_plain_python(spark, sf, odd, clashing):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    check_secrets(docs.collect(), queries.op2_secret_ownership(spark, sf).collect())
+    check_secrets(odd.collect(), secret_scan.scan_secrets(odd).collect())
+    check_secrets(odd.collect(), secret_scan.scan_secrets(clashing).collect())
+
+
+def test_secret_ownership(spark, none):
+    value, own = "Zx9Zx9Zx9Zx9Zx9Zx9Zx9Z", "Qw8Qw8Qw8Qw8Qw8Qw8Qw8Q"
+    rows = [(i, f"see {value} here", "en", f"s{i}", 1) for i in range(5)] + [(9, f"my {own} and token={value}", "en", "s9", 1)]
+    got = {r["doc_id"]: r for r in secret_scan.scan_secrets(spark.createDataFrame(rows, none.schema)).collect()}
+    assert got[0]["spans"] == "" and got[0]["n_example"] == 1  # many owners carry it
+    assert got[9]["spans"] == "token:3:25,assign:30:58" and (got[9]["n_live"], got[9]["n_example"]) == (1, 1)
+    assert secret_scan.scan_secrets(none).count() == 0
+
+
+def turns_of(rows):
+    convs = {}
+    for r in rows:
+        convs.setdefault(r["conv_id"], []).append((r["turn"], r["role"] or "", r["text"] or ""))
+    return {c: sorted(t) for c, t in convs.items()}
+
+
+def check_chat(rows, got):
+    convs = turns_of(rows)
+    assert {g["conv_id"] for g in got} == set(convs) and len(got) == len(convs)
+    for g in got:
+        t = convs[g["conv_id"]]
+        learned = "".join(x for _, role, x in t if role == "assistant")
+        assert g["n_turns"] == len(t)
+        assert g["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in t).encode()).hexdigest()
+        assert (g["loss_chars"], g["loss_sha256"]) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
+        assert g["formatted_chars"] >= sum(len(x) for *_, x in t)
+
+
+def test_chat_round_trip(spark, sf):
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()
+    probe = [{"conv_id": -1, "turn": i, "role": r, "text": "</s>[INST] ok [/INST]"} for i, r in enumerate(("user", "assistant"))]
+    check_chat([*rows, *probe], queries.op7_chat_format(spark, sf).collect())
+
+
+def test_chat_odd_rows(spark):
+    odd = [(1, 0, "user", "^<[^0^1^2"), (1, 1, "assistant", "</s>[/INST]<s>[INST]😀\\ \"q\" \u0001"), (2, 0, None, None), (2, 0, None, None), (3, 1, "assistant", "b"), (3, 1, "assistant", "a"), (3, None, "system", "x"),
+           (None, 0, "tool", "z"), (4, 0, "system", "s"), (4, 1, "user", "u"), (4, 2, "assistant", "" ), (5, 0, "user", "a\nb"), (6, 0, "us<er", "[")]
+    df = spark.createDataFrame(odd, "conv_id long, turn long, role string, text string")
+    rows = [r.asDict() | {"turn": -1 if r["turn"] is None else r["turn"]} for r in df.collect()]
+    check_chat(rows, chat_format.digests(chat_format.format_conversations(df)).collect())
+    assert chat_format.digests(chat_format.format_conversations(df.limit(0))).count() == 0
+
+
+def test_chat_layouts(spark):
+    records = [
+        ('{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}]}', "messages"), ('{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}', "conversations"),
+        ('{"output":"a","instruction":"q"}', "instruction"), ('{"prompt":"q","completion":"a"}', "prompt"), ('{"prompt":"q","other":1}', None), ("no json", None), (None, None), ('{"prompt":null,"completion":"a"}', "prompt"),
+    ]
+    df = chat_format.canonical_turns(spark.createDataFrame([(i, r) for i, (r, _) in enumerate(records)], "i int, record string")).orderBy("i").collect()
+    assert [r["layout"] for r in df] == [x for _, x in records]
+    for r in df[:4]:
+        assert [(t["role"], t["text"]) for t in r["turns"]] == [("user", "q"), ("assistant", "a")]
+    assert df[5]["turns"] == [] and df[7]["turns"][0]["text"] == ""
+
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
+
+
+def base_counts(text):
+    t = text or ""
+    w = WORD.findall(t)
+    windows = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    covered = {j for i in range(len(w) - 4) if windows[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered)
+
+
+def check_rules(rows, got):
+    want = Counter((r["doc_id"], *base_counts(r["text"])) for r in rows)
+    cols = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    assert Counter((g["doc_id"], *(g[c] for c in cols)) for g in got) == want
+    for g in got:
+        assert g["base_failed"] == (g["n_words"] < 10 or 100 * g["n_repeat_words"] > 20 * g["n_words"])
+        assert not (g["base_failed"] and g["kept"])
+
+
+def test_rules_match_plain_python(spark, sf, odd, labels, clashing, none, no_labels):
+    check_rules(spark.read.parquet(f"{sf}/documents.parquet").collect(), queries.op8_quality_rules(spark, sf).collect())
+    check_rules(odd.collect(), quality_rules.apply_rules(odd, labels).collect())
+    check_rules(odd.collect(), quality_rules.apply_rules(clashing, no_labels).collect())
+    assert quality_rules.apply_rules(none, labels).count() == 0
+
+
+def test_rules_tell_junk(spark):
+    sf = "/root/testdata/sf0.1"
+    got = queries.op8_quality_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    r = {x["quality"]: x["kept"] for x in got.where(~F.col("base_failed")).groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert r[1] > 0.97 and r[0] < 0.4
+
+
+@pytest.mark.parametrize("text,want", [("a", 1), ("a b", 3)])
+def test_score_counts_grams(spark, text, want):
+    d = quality_rules.word_hashes(spark.createDataFrame([(text,)], "text string"))
+    assert d.select(quality_rules.score(F.col("h"), F.col("h2"), [1.0] * 64).alias("s")).first()["s"] == pytest.approx(1.0)
+    assert d.select(F.size("h") + F.size("h2")).first()[0] == want

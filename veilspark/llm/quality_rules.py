@@ -28,64 +28,53 @@ MAX_TRUSTED = 20_000
 WINDOW = 5
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+def _paired(a: Column, b: Column, shift: int) -> Column:
+    """Hashes of a's items with b's items ``shift`` places on, as many as there are."""
+    n = F.greatest(F.size(b) - shift, F.lit(0))
+    return F.zip_with(F.slice(a, 1, n), F.slice(b, shift + 1, n), lambda x, y: F.xxhash64(x, y))
 
 
-def _n_repeat_words(n: Column, hashes: Column) -> Column:
-    """Words that lie in a window of WINDOW words found twice or more.
-
-    Windows are compared by a hash of their word hashes. Only texts that repeat a window sort them:
-    equal hashes become neighbours, and each repeated start covers the words up to the next one.
-    """
-    windows = F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(hashes, i, WINDOW)))
-    return F.when(n >= WINDOW, windows)
-
-
-def _covered(windows: Column) -> Column:
-    ordered = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    size = F.size(windows)
-
-    def repeated(x: Column, j: Column) -> Column:
-        before = F.when(j > 0, F.get("ordered", j - 1)["h"] == x["h"])
-        after = F.when(j < size - 1, F.get("ordered", j + 1)["h"] == x["h"])
-        return F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))
+def word_hashes(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``w`` (words), ``h`` (their hashes) and ``h2`` (hashes of neighbours)."""
+    out = docs.withColumn("w", words(F.col(text)))
+    out = out.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
+    return out.withColumn("h2", _paired(F.col("h"), F.col("h"), 1))
 
-    return ordered, repeated
 
+def base_rules(hashed: DataFrame, text: str = "text") -> DataFrame:
+    """Adds the base counts and ``base_failed`` to rows with word hashes.
 
-def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``w`` (words), ``h`` (their hashes), the base counts and ``base_failed``."""
+    Windows of five words are compared by a hash made up of neighbours' hashes. Only texts that
+    repeat a window sort theirs: equal hashes become neighbours, and each repeated start covers
+    the words up to the next one.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("w", words(F.col(text)))
-    out = out.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
-    out = out.withColumn("n_words", F.size("h").cast("long"))
-    n = F.size("h")
-    out = out.withColumn("windows", _n_repeat_words(n, F.col("h")))
-    twice = F.coalesce(F.size(F.array_distinct("windows")) < F.size("windows"), F.lit(False))
-    ordered, repeated = _covered(F.col("windows"))
-    out = out.withColumn("ordered", F.when(twice, ordered))
-    out = out.withColumn("starts", F.when(twice, F.array_sort(F.transform(F.filter("ordered", repeated), lambda x: x["i"]))))
+    out = hashed.withColumn("h4", _paired(F.col("h2"), F.col("h2"), 2))
+    out = out.withColumn("windows", _paired(F.col("h4"), F.col("h"), 4)).drop("h4")
+    out = out.withColumn("twice", F.size(F.array_distinct("windows")) < F.size("windows"))
+    out = out.withColumn("ordered", F.when(F.col("twice"), F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    n = F.size("ordered")
+    after = F.concat(F.slice("ordered", 2, n), F.array(F.lit(None)))
+    before = F.concat(F.array(F.lit(None)), F.slice("ordered", 1, n - 1))
+    same = F.zip_with("ordered", after, lambda x, y: F.struct(x.alias("x"), F.coalesce(x["h"] == y["h"], F.lit(False)).alias("again")))
+    same = F.zip_with(same, before, lambda s, y: F.struct(s["x"]["i"].alias("i"), (s["again"] | F.coalesce(s["x"]["h"] == y["h"], F.lit(False))).alias("again")))
+    out = out.withColumn("starts", F.when(F.col("twice"), F.sort_array(F.transform(F.filter(same, lambda s: s["again"]), lambda s: s["i"]))))
     nexts = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.lit(2**31 - 1)))
     covered = F.aggregate(F.zip_with("starts", nexts, lambda a, b: F.least(b - a, F.lit(WINDOW))), F.lit(0), lambda acc, x: acc + x)
-    lines = F.filter(F.split(t, "\n", -1), lambda x: F.length(_without(x, SPACES)) > 0)
-    out = out.withColumn("lines", lines)
+    out = out.withColumn("lines", F.filter(F.split(t, "\n", -1), lambda x: F.rtrim(x, F.lit(SPACES)) != ""))
     out = out.select(
         "*",
-        F.length(_without(t, SPACES)).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(_without(t, SYMBOLS))).cast("long").alias("n_symbols"),
+        F.size("h").cast("long").alias("n_words"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(twice, covered).otherwise(0).cast("long").alias("n_repeat_words"),
-    ).drop("windows", "ordered", "starts", "lines")
+        F.when(F.col("twice"), covered).otherwise(0).cast("long").alias("n_repeat_words"),
+    ).drop("windows", "twice", "ordered", "starts", "lines")
     return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def hashed_grams(h: Column, buckets: int) -> Column:
-    """Bucket numbers of the unigrams and bigrams, from word hashes."""
-    n = F.lit(buckets).cast("long")
-    one = F.transform(h, lambda x: F.pmod(x, n).cast("int"))
-    two = F.transform(F.slice(F.zip_with(h, F.slice(h, 2, F.greatest(F.size(h), F.lit(1))), lambda a, b: F.xxhash64(a, b)), 1, F.greatest(F.size(h) - 1, F.lit(0))), lambda x: F.pmod(x, n).cast("int"))
-    return F.concat(one, two)
+def _bucket(h: Column, buckets: int) -> Column:
+    return F.pmod(h, F.lit(buckets).cast("long")).cast("int")
 
 
 def trusted_ids(labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> DataFrame:
@@ -97,8 +86,8 @@ def trusted_ids(labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> DataFrame:
 def fit_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[float]:
     """Log of trusted over raw probability by bucket. ``trusted`` is bounded (see trusted_ids), so it is broadcast."""
     marked = docs.select("doc_id", "text").join(F.broadcast(trusted.select("doc_id", F.lit(1).alias("good"))), "doc_id", "left")
-    grams = marked.select(F.coalesce("good", F.lit(0)).alias("good"), F.explode(hashed_grams(F.transform(words(F.col("text")), lambda x: F.xxhash64(x)), buckets)).alias("b"))
-    counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum("good").alias("good")).collect()  # one row per bucket at most
+    grams = word_hashes(marked.select(F.coalesce("good", F.lit(0)).alias("good"), "text")).select("good", F.explode(F.concat("h", "h2")).alias("gram"))
+    counts = grams.select("good", _bucket(F.col("gram"), buckets).alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.sum("good").alias("good")).collect()  # one row per bucket at most
     raw, good = [1.0] * buckets, [1.0] * buckets
     for r in counts:
         raw[r["b"]] += r["raw"]
@@ -111,19 +100,18 @@ def fit_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> l
     return [math.log(g / n_good) - math.log(r / n_raw) for g, r in zip(good, raw, strict=True)]
 
 
-def score(h: Column, ratios: list[float]) -> Column:
+def score(h: Column, h2: Column, ratios: list[float]) -> Column:
     """Mean log ratio of the n-grams; 0 without words."""
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")  # folded to one literal
-    grams = hashed_grams(h, len(ratios))
-    total = F.aggregate(grams, F.lit(0.0), lambda acc, b: acc + F.get(table, b))
-    n = 2 * F.size(h) - 1
-    return F.when(F.size(h) > 0, total / n).otherwise(0.0)
+    total = lambda grams: F.aggregate(grams, F.lit(0.0), lambda acc, g: acc + F.get(table, _bucket(g, len(ratios))))
+    return F.when(F.size(h) > 0, (total(h) + total(h2)) / (F.size(h) + F.size(h2))).otherwise(0.0)
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD, max_trusted: int = MAX_TRUSTED) -> DataFrame:
     """One row per document: counts, ``base_failed``, the likelihood-ratio ``score`` and ``kept``."""
     ratios = fit_ratios(docs, trusted_ids(labels, max_trusted), buckets)
-    ruled = base_rules(docs.select("doc_id", "text"))
-    out = ruled.withColumn("score", F.round(score(F.col("h"), ratios), 6))
+    ruled = base_rules(word_hashes(docs.select("doc_id", "text")))
+    out = ruled.withColumn("score", F.round(score(F.col("h"), F.col("h2"), ratios), 6))
     kept = ~F.col("base_failed") & (F.col("score") >= threshold)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "score")
+    told = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "score")
+    return out.select("doc_id", F.inline(F.array(told)))  # a later filter on these columns stays above, so nothing is computed twice
