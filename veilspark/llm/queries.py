@@ -66,4 +66,26 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+
+_KEYWORD = "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
+_ASSIGN = f"""(?:{_KEYWORD})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"""
+_KINDS = ((_ASSIGN, "assign"), ("AKIA[A-Z0-9]{12,}", "access"), ("[0-9a-f]{32,}", "hex"), ("[A-Za-z0-9+/_=-]{20,}", "token"))
+_FOUND = " UNION ALL ".join(f"SELECT doc_id, source, lang, {k} AS kind, '{name}' AS name, regexp_extract_all(t, '{p}', 0) AS m, string_split_regex(t, '{p}') AS g FROM d WHERE regexp_matches(t, '{p}')" for k, (p, name) in enumerate(_KINDS))
+
+ORACLE: dict[str, str] = {
+    "op2_secret_ownership": f"""WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents), raw AS ({_FOUND}),
+ sp AS (SELECT *, unnest(generate_series(1, len(m))) AS i FROM raw),
+ pos AS (SELECT doc_id, source, lang, kind, name, m[i] AS v, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))::BIGINT AS s FROM sp),
+ c AS (SELECT *, s + length(v) AS e, CASE WHEN kind = 0 THEN regexp_extract(v, '{_ASSIGN}', 1) ELSE v END AS val FROM pos),
+ b AS (SELECT * FROM c WHERE kind < 3 AND (kind <> 0 OR length(val) >= 8)),
+ l AS (SELECT * FROM c WHERE kind = 3 AND regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]') AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = c.doc_id AND b.s < c.e AND c.s < b.e)),
+ a AS (SELECT * FROM b UNION ALL SELECT * FROM l),
+ st AS (SELECT val, count(DISTINCT source) AS n_owners, count(DISTINCT source || '/' || lang) AS n_repos FROM a GROUP BY val),
+ j AS (SELECT a.*, n_owners, n_repos, name || ':' || s || ':' || e AS txt FROM a JOIN st USING (val))
+ SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  sha256(coalesce(string_agg(txt, ',' ORDER BY s, kind) FILTER (kind < 3), '')) AS base_sha256, coalesce(string_agg(txt, ',' ORDER BY s, kind) FILTER (kind < 3 OR n_owners <= 1), '') AS spans,
+  count(*) FILTER (n_owners < 3) AS n_live, count(*) FILTER (n_owners >= 3) AS n_example, coalesce(max(n_repos), 0) AS most_repos FROM d LEFT JOIN j USING (doc_id) GROUP BY d.doc_id""",
+    "op7_chat_format": r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')))
+ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn, r, x)) AS turns_sha256, coalesce(sum(length(x)) FILTER (r = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(x, '' ORDER BY turn, r, x) FILTER (r = 'assistant'), '')) AS loss_sha256, sum(20 + 2 * length(r || x) - length(translate(r || x, '^<[', '')))::BIGINT AS formatted_chars FROM c GROUP BY conv_id""",
+}

@@ -27,7 +27,7 @@ HEX = r"[0-9a-f]{32,}"
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 
 KINDS = ("assign", "access", "hex", "token")
-SPAN = "struct<start:int,stop:int,kind:int,value:string>"
+SPAN = "struct<start:int,kind:int,stop:int,value:string>"
 
 
 def _spans(text: Column, pattern: str, kind: int, value=None) -> Column:
@@ -44,7 +44,7 @@ def _spans(text: Column, pattern: str, kind: int, value=None) -> Column:
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         stop = start + F.length(x["m"])
-        one = F.struct(start.alias("start"), stop.alias("stop"), F.lit(kind).alias("kind"), value(x["m"]).alias("value"))
+        one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), value(x["m"]).alias("value"))
         return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     empty = F.from_json(F.lit("[]"), f"array<{SPAN}>")
