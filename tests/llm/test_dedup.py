@@ -155,7 +155,7 @@ def test_search_is_exact(spark, lookup):
     df = spark.createDataFrame(rows, "id long, code long")
     got = defaultdict(list)
     radius_bound = df if lookup else df.where("code % 4 = 0 or id % 20 = 0")  # few rows for the full radius
-    for r in hamming_search.search(radius_bound.where("id % 20 = 0"), radius_bound, k=7 if lookup else 1, lookup=max(lookup, 1), block=64).collect():
+    for r in hamming_search.search(radius_bound.where("id % 20 = 0"), radius_bound, k=7 if lookup else 1, lookup=lookup, block=64).collect():
         got[r["query_id"]].append((r["rank"], r["neighbour_id"], r["distance"]))
     want = brute_search([tuple(r) for r in radius_bound.collect()], 7 if lookup else 1)
     assert {q: [x[1:] for x in sorted(v)] for q, v in got.items()} == {q: v for q, v in want.items() if v}

@@ -1,16 +1,18 @@
 """Exact top-k search in binary codes by incremental multi-index hashing (operator 6).
 
-A code has 64 bits, cut into ``SEGMENTS`` segments. Two codes at distance at most
-``SEGMENTS * (r + 1) - 1`` agree in some segment up to r bits. So segments are looked up with
-radius 0, 1, 2 ..; every code found is verified by its whole distance; and a query is done as soon
-as its k-th best distance is within what the radius covers. No query stops before that, so the
-result is exact. A look-up costs about as much as comparing ``LOOKUP`` codes: where the look-ups of
-the next radius would cost more than all codes together, the queries that are left are compared
-with all codes, block by block. The more codes there are, the nearer the k-th is and the larger the
-radius may grow, so large tables are searched by look-ups.
+A 64-bit code is cut into m segments of about log2(n) bits for n codes, so that a segment's value
+leads to about one code at any size. Two codes at distance at most m * (r + 1) - 1 agree in some
+segment up to r bits. So segments are looked up with radius 0, 1, 2 ..; every code found is
+verified by its whole distance; and a query is done as soon as its k-th best distance is within
+what the radius covers. No query stops before that, so the result is exact.
+
+A look-up is a row of a join and costs about as much as comparing ``LOOKUP`` codes in memory. Where
+the next radius would cost more than all codes together (the k-th is far, as among random codes),
+the queries that are left are compared with all codes, block by block, each block giving only what
+can be among the best.
 
 Both sides are distinct codes: a code that many rows share is looked up once and found once, with
-its ``k`` smallest ids (no result can hold more of one code).
+its ``k + 1`` smallest ids (no result can hold more of one code).
 
 Defined results: order is by distance, then id, so ties are settled; a query row is not its own
 neighbour, but its copies are; a null or empty vector has no code: such a row is neither found nor
@@ -20,7 +22,7 @@ answered; fewer than k rows give all of them; no rows give no rows.
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
+from math import comb, log2
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -28,10 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-BITS, SEGMENTS = 64, 4
-WIDTH = BITS // SEGMENTS
+BITS = 64
 K = 10
-LOOKUP = 16
+LOOKUP = 300
 BLOCK = 4096
 
 
@@ -46,8 +47,15 @@ def _distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def _segment(code: Column, s: int) -> Column:
-    return F.shiftrightunsigned(code, s * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1))
+def segments(n: int) -> list[tuple[int, int]]:
+    """(shift, width) of the segments for n codes: 2 to 8 of them, as even as can be."""
+    m = min(8, max(2, round(BITS / log2(max(4, n)))))
+    ends = [BITS * i // m for i in range(m + 1)]
+    return [(a, b - a) for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _segment(code: Column, shift: int, width: int) -> Column:
+    return F.shiftrightunsigned(code, shift).bitwiseAND(F.lit((1 << width) - 1))
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -69,20 +77,22 @@ def search(queries: DataFrame, rows: DataFrame, k: int = K, lookup: int = LOOKUP
     n_codes = codes.count()
     asked = queries.where("code is not null and id is not null").select("id", "code").distinct()
     left = cut(asked.select(F.col("code").alias("q")).distinct())
-    index = cut(codes.select("code", "n", F.explode(F.array(*(F.struct(F.lit(s).alias("s"), _segment(F.col("code"), s).alias("v")) for s in range(SEGMENTS)))).alias("e")).select("e.s", "e.v", "code", "n"))
+    parts = segments(n_codes)
+    by_segment = lambda code: F.array(*(F.struct(F.lit(i).alias("s"), _segment(F.col(code), *p).alias("v")) for i, p in enumerate(parts)))
+    index = cut(codes.select("code", "n", F.explode(by_segment("code")).alias("e")).select("e.s", "e.v", "code", "n"))
     seen = None  # candidates of the queries that are left: q, code, n, dist
     done = []
-    for radius in range(WIDTH + 1):
-        if lookup * SEGMENTS * comb(WIDTH, radius) > n_codes or not left.limit(1).count():
+    for radius in range(max(w for _, w in parts) + 1):
+        if lookup * sum(comb(w, radius) * (1 + n_codes / 2**w) for _, w in parts) > n_codes or not left.limit(1).count():
             break
-        masks = [sum(1 << b for b in c) for c in combinations(range(WIDTH), radius)]
-        flips = F.split(F.lit(",".join(map(str, masks))), ",").cast("array<bigint>")
-        probes = left.select("q", F.explode(F.array(*(F.struct(F.lit(s).alias("s"), _segment(F.col("q"), s).alias("v")) for s in range(SEGMENTS)))).alias("e")).select("q", "e.s", "e.v")
-        probes = probes.select("q", "s", F.explode(F.transform(flips, lambda m: F.col("v").bitwiseXOR(m))).alias("v"))
+        flips = [",".join(str(sum(1 << b for b in c)) for c in combinations(range(w), radius)) for _, w in parts]
+        tables = F.array(*((F.split(F.lit(x), ",") if x else F.array()).cast("array<bigint>") for x in flips))
+        probes = left.select("q", F.explode(by_segment("q")).alias("e")).select("q", "e.s", "e.v", F.get(tables, F.col("e.s")).alias("f"))
+        probes = probes.select("q", "s", F.explode(F.transform("f", lambda m: F.col("v").bitwiseXOR(m))).alias("v"))
         found = probes.join(index, ["s", "v"]).select("q", "code", "n", _distance(F.col("q"), F.col("code")).alias("dist"))
         found = (found if seen is None else found.unionByName(seen)).distinct()
         seen = cut(_best(found, need).select("q", "code", "n", "dist"))
-        covered = SEGMENTS * (radius + 1) - 1
+        covered = len(parts) * (radius + 1) - 1
         state = seen.groupBy("q").agg(F.max("dist").alias("kth"), F.sum("n").alias("rows"))
         ready = cut(state.where((F.col("rows") >= need) & (F.col("kth") <= covered)).select("q"))
         done.append(seen.join(ready, "q", "left_semi"))
@@ -112,13 +122,10 @@ def _scan(left: DataFrame, codes: DataFrame, need: int, block: int) -> DataFrame
 
         q, c, n = x.column("q").to_numpy(), y.column("code").to_numpy(), y.column("n").to_numpy()
         out: list[list] = [[], [], [], []]
-        order = np.argsort(c, kind="stable")
-        c, n = c[order], n[order]
         for one in q:
-            dist = np.bitwise_count((c ^ one).view(np.uint64)).astype(np.int64)
-            by = np.argsort(dist, kind="stable")
-            last = int(np.searchsorted(np.cumsum(n[by]), need))
-            at = np.flatnonzero(dist <= dist[by[min(last, len(by) - 1)]]) if len(by) else by
+            dist = np.bitwise_count((c ^ one).view(np.uint64)).astype(np.int32)
+            upto = np.cumsum(np.bincount(dist, weights=n, minlength=BITS + 1))
+            at = np.flatnonzero(dist <= np.searchsorted(upto, need))  # all that can be among the nearest
             for into, v in zip(out, (np.full(len(at), one), c[at], n[at], dist[at]), strict=True):
                 into.append(v)
         cat = lambda v, t: pa.array(np.concatenate(v) if v else [], t)
