@@ -190,3 +190,22 @@ def view_to_video(r: Column, box: Column, w: Num, h: Num) -> Column:
 def video_to_view(r: Column, box: Column, w: Num, h: Num) -> Column:
     sx, sy = box["dw"] / w, box["dh"] / h
     return rect(box["dx"] + r["x"] * sx, box["dy"] + r["y"] * sy, F.greatest(F.lit(2.0), r["w"] * sx), F.greatest(F.lit(2.0), r["h"] * sy))
+
+
+# Where both eyes and the nose belong in an aligned face of 128 x 128.
+ALIGNED = ((34.6224, 59.0815), (74.8935, 58.8587), (54.8860, 81.9847))
+
+
+def alignment(points: Column, width: int = 128, height: int = 128) -> Column:
+    """The affine map (a, b, c, d, e, f: x' = a x + b y + c, y' = d x + e y + f) of the first three points onto their places; null if they are on a line."""
+    p = [F.get(points, F.lit(i)) for i in range(3)]
+    x, y = [q["x"].cast("double") for q in p], [q["y"].cast("double") for q in p]
+    det = (x[1] - x[0]) * (y[2] - y[0]) - (x[2] - x[0]) * (y[1] - y[0])
+
+    def row(t: list[float]) -> tuple[Column, Column, Column]:
+        a = ((t[1] - t[0]) * (y[2] - y[0]) - (t[2] - t[0]) * (y[1] - y[0])) / det
+        b = ((t[2] - t[0]) * (x[1] - x[0]) - (t[1] - t[0]) * (x[2] - x[0])) / det
+        return a, b, t[0] - a * x[0] - b * y[0]
+
+    across, down = row([q[0] * width / 128 for q in ALIGNED]), row([q[1] * height / 128 for q in ALIGNED])
+    return F.when(F.abs(det) > 1e-9, F.struct(*(c.alias(n) for n, c in zip("abcdef", (*across, *down), strict=True))))

@@ -135,3 +135,9 @@ def controller(samples: DataFrame, gears: int = 7, caps: int = 5) -> DataFrame:
 
     end = F.aggregate("s", zero, step)
     return entries.select("run", F.size("s").alias("n"), end.alias("e")).select("run", "n", "e.gear", "e.cap")
+
+
+def first_existing(candidates: DataFrame, existing: DataFrame) -> DataFrame:
+    """Of each name's candidate paths (name, ord, path) the first that exists; null if none does."""
+    there = candidates.join(existing.select("path").distinct(), "path", "left_semi").groupBy("name").agg(F.min_by("path", "ord").alias("found"))
+    return candidates.select("name").distinct().join(there, "name", "left")

@@ -19,6 +19,11 @@ def visible(kind: Column, lost: Column, miss: Column) -> Column:
     return ~lost & ((kind != 0) | (miss <= MASKED_MISSES))
 
 
+def shown_on_repaint(lost: Column, start: Column, end: Column, frame: Column) -> Column:
+    """What a repaint of a paused frame shows: tracks that are not lost, however many frames they have missed."""
+    return ~lost & active_at(start, end, frame)
+
+
 def newly_visible(seen: DataFrame) -> DataFrame:
     """Rows (track_id, frame_index) that were not visible one frame before."""
     w = Window.partitionBy("track_id").orderBy("frame_index")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geometry as g
+from ..operators import library as lib
 from ..operators import pixels
 from ..operators import timeline as tl
 from ..sources import media_files as mf
@@ -63,7 +65,29 @@ def pixel_masks(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (redact_union, follow_boxes, audio_edit_plans, first_audio_ranges, deleted_tracks, encoder_candidates, pixel_masks)}
+def repaint_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    """A paused repaint against what is masked while playing: how many tracks only the repaint shows."""
+    o = v.table(spark, sf, "orders").selectExpr("o_orderkey AS id", "o_custkey % 100 AS s", "-1L AS e", "o_orderkey % 7 = 0 AS lost", "o_orderkey % 5 AS miss", "o_orderkey % 2 AS kind")
+    at = F.lit(50)
+    paused = tl.shown_on_repaint(F.col("lost"), F.col("s"), F.col("e"), at)
+    playing = tl.visible(F.col("kind"), F.col("lost"), F.col("miss")) & tl.active_at(F.col("s"), F.col("e"), at)
+    return o.agg(F.count_if(paused).alias("paused"), F.count_if(playing).alias("playing"), F.count_if(paused & ~playing).alias("only_paused"))
+
+
+def model_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """The first existing of each supplier's candidate files."""
+    s = v.table(spark, sf, "supplier").selectExpr("concat('m', s_suppkey % 20) AS name", "s_suppkey AS ord", "concat('/models/', s_suppkey) AS path")
+    return lib.first_existing(s, s.where("ord % 3 = 0")).select("name", F.coalesce("found", F.lit("none")).alias("found"))
+
+
+def align_transform(spark: SparkSession, sf: str) -> DataFrame:
+    """The affine map of made-up landmarks of each person, and where it puts the first one."""
+    d = v.detections(spark, sf).where("class_id = 0").selectExpr("frame_index", "x", "y", "w", "h", "array(named_struct('x', x + w*0.3D, 'y', y + h*0.4D), named_struct('x', x + w*0.7D, 'y', y + h*0.38D), named_struct('x', x + w*0.5D, 'y', y + h*0.6D)) AS p")
+    d = d.withColumn("m", g.alignment(F.col("p")))
+    return d.select("frame_index", "x", "y", "w", "h", *(F.round(f"m.{c}", 5).alias(f"m{c}") for c in "abde"), F.round(F.expr("m.a*p[0].x + m.b*p[0].y + m.c"), 2).alias("px"), F.round(F.expr("m.d*p[0].x + m.e*p[0].y + m.f"), 2).alias("py"))
+
+
+QUERIES = {f.__name__: f for f in (redact_union, follow_boxes, audio_edit_plans, first_audio_ranges, deleted_tracks, encoder_candidates, pixel_masks, repaint_tracks, model_paths, align_transform)}
 ORACLE = {
     "redact_union": f"""WITH {SETS}, o AS (SELECT o_orderkey%3 AS k, o_custkey%300 AS s, (o_custkey%500)::INT AS x, (o_orderkey%400)::INT AS y FROM orders WHERE o_orderkey%50=0), f AS (SELECT DISTINCT frame_index FROM det)
  SELECT frame_index, x, y, w, h, 'auto' AS kind FROM det WHERE class_id=16 AND score>=0.5 UNION ALL SELECT frame_index, x, y, CASE WHEN k=0 THEN 40 ELSE 60 END, CASE WHEN k=0 THEN 40 ELSE 30 END, CASE WHEN k=0 THEN 'manual' ELSE 'static' END FROM o JOIN f ON frame_index BETWEEN s AND s+20 WHERE k IN (0,1)""",
@@ -72,4 +96,9 @@ ORACLE = {
     "first_audio_ranges": f"WITH {v.AUDIO_SQL} SELECT video_id, range_id, start_sec, end_sec, effect FROM ranges ORDER BY range_id LIMIT 20",
     "deleted_tracks": "SELECT o_orderkey AS id, o_custkey%100 AS miss FROM orders WHERE o_custkey%100<=90 AND o_custkey%7<>0",
     "encoder_candidates": "SELECT s_suppkey, CASE s_suppkey%3 WHEN 0 THEN 'nvenc,qsv,x264' WHEN 1 THEN 'amf,nvenc,qsv,x264' ELSE 'qsv,nvenc,x264' END AS codecs FROM supplier",
+    "repaint_tracks": "WITH o AS (SELECT NOT o_orderkey%7=0 AND 50>=o_custkey%100 AS a, NOT o_orderkey%7=0 AND (o_orderkey%2<>0 OR o_orderkey%5<=2) AND 50>=o_custkey%100 AS b FROM orders) SELECT count(*) FILTER (a) AS paused, count(*) FILTER (b) AS playing, count(*) FILTER (a AND NOT b) AS only_paused FROM o",
+    "model_paths": "SELECT 'm' || (s_suppkey%20) AS name, coalesce(arg_min('/models/' || s_suppkey, s_suppkey) FILTER (s_suppkey%3=0), 'none') AS found FROM supplier GROUP BY 1",
+    "align_transform": f"""WITH {SETS}, p AS (SELECT *, x+w*0.3::DOUBLE AS x0, y+h*0.4::DOUBLE AS y0, x+w*0.7::DOUBLE AS x1, y+h*0.38::DOUBLE AS y1, x+w*0.5::DOUBLE AS x2, y+h*0.6::DOUBLE AS y2 FROM det WHERE class_id=0),
+ q AS (SELECT *, (x1-x0)*(y2-y0)-(x2-x0)*(y1-y0) AS det FROM p), r AS (SELECT *, (40.2711::DOUBLE*(y2-y0)-20.2636::DOUBLE*(y1-y0))/det AS a, (20.2636::DOUBLE*(x1-x0)-40.2711::DOUBLE*(x2-x0))/det AS b, (-0.2228::DOUBLE*(y2-y0)-22.9032::DOUBLE*(y1-y0))/det AS d, (22.9032::DOUBLE*(x1-x0)+0.2228::DOUBLE*(x2-x0))/det AS e FROM q)
+ SELECT frame_index, x, y, w, h, round(a,5) AS ma, round(b,5) AS mb, round(d,5) AS md, round(e,5) AS me, 34.62::DOUBLE AS px, 59.08::DOUBLE AS py FROM r""",
 }
