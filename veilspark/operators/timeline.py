@@ -100,10 +100,18 @@ def clean_range(start: Column, end: Column) -> Column:
     return F.struct(lo.alias("start_sec"), F.greatest(F.greatest(start, end), lo + 0.05).alias("end_sec"))
 
 
-def peaks(samples: DataFrame, per_bucket: int, buckets: int) -> DataFrame:
-    """Per video and bucket the largest share of full scale; a last, short bucket without sound and all after it hold 0.15 of the last peak."""
-    b = samples.groupBy("video_id", F.expr(f"cast(sample_ix div {per_bucket} AS int)").alias("bucket")).agg(F.max(F.abs(F.col("value") / 32768.0)).alias("peak"), F.count("*").alias("n")).where(F.col("bucket") < buckets)
-    real = b.where(f"n = {per_bucket} OR peak > 0").select("video_id", "bucket", "peak")
+def peaks(samples: DataFrame, per_bucket: int | None, buckets: int) -> DataFrame:
+    """Per video and bucket the largest share of full scale; a last, short bucket without sound and all after it hold 0.15 of the last peak.
+
+    Without ``per_bucket`` each video's length sets it, so that the buckets cover the whole audio; a given one leaves out what lies behind the last bucket.
+    """
+    if per_bucket is None:
+        length = samples.groupBy("video_id").agg(F.expr(f"(max(sample_ix) + {buckets}) div {buckets}").alias("per"))
+        s = samples.join(length, "video_id")
+    else:
+        s = samples.withColumn("per", F.lit(per_bucket))
+    b = s.groupBy("video_id", "per", F.expr("cast(sample_ix div per AS int)").alias("bucket")).agg(F.max(F.abs(F.col("value") / 32768.0)).alias("peak"), F.count("*").alias("n")).where(F.col("bucket") < buckets)
+    real = b.where("n = per OR peak > 0").select("video_id", "bucket", "peak")
     last = real.groupBy("video_id").agg(F.max("bucket").alias("last"), F.max_by("peak", "bucket").alias("tail"))
     every = last.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
     return every.join(real, ["video_id", "bucket"], "left").select("video_id", "bucket", F.when(F.col("bucket") > F.col("last"), F.col("tail") * 0.15).otherwise(F.coalesce("peak", F.lit(0.0))).alias("peak"))
