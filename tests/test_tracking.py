@@ -124,3 +124,36 @@ def test_batch_equals_streaming(spark, tmp_path):
     q = tracks.track_stream(stream).writeStream.format("memory").queryName("tracked").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(120)
     assert {tuple(r) for r in spark.table("tracked").collect()} == batch and batch
+
+
+def test_keep_policy_meets_all_faces_and_identities(spark, sf):
+    from pyspark.sql import functions as F
+
+    from veilspark.plans import tracks
+    from veilspark.sources import views as v
+
+    got = tracks.keep_policy(spark, sf).cache()
+    faces = v.detections(spark, sf).where("class_id = 16 AND score >= 0.6").selectExpr("cast(video_id AS string) AS video_id", "frame_index div 4 AS frame_index").distinct()
+    assert faces.count() > 0 and faces.join(got, ["video_id", "frame_index"], "left_anti").count() == 0
+    n = v.gallery(spark, sf).count()
+    first = got.groupBy("video_id").agg(F.min("frame_index").alias("f"))
+    assert first.count() == v.detections(spark, sf).where("class_id = 16").select("video_id").distinct().count()
+    enrolled = got.join(first, "video_id").where(F.col("frame_index") == F.col("f") + 1).where(F.col("tier") == tr.ENROLLED)
+    assert [r.n for r in enrolled.groupBy("video_id").agg(F.count_distinct("identity_id").alias("n")).collect()] == [n] * first.count()
+    assert got.where(F.col("tier") == tr.LINKED).count() > 0
+
+
+def test_keep_policy_scenario(spark):
+    """Five moving objects with vectors: enrolled, rejected and switched off by command, then the gallery is cleared."""
+    from pyspark.sql import functions as F
+
+    from veilspark.sources import views as v
+
+    axis = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.when(i == F.col("obj"), 1.0).otherwise(0.0))
+    faces = v.motion(spark).selectExpr("'keep' AS video_id", "*").withColumn("e", axis)
+    commands = spark.createDataFrame(
+        [("keep", 0, 1, "policy", '{"policy":"keep"}'), ("keep", 3, 2, "enrol", '{"id":1}'), ("keep", 20, 3, "reject", '{"id":2}'), ("keep", 150, 4, "enable", '{"id":3,"enabled":false,"forced":true}'), ("keep", 200, 5, "clear_gallery", "{}")],
+        "video_id string, frame_index long, seq long, op string, args string",
+    )
+    got = tr.track(tr.frames(faces, commands=commands))
+    assert got.where("NOT enabled").count() > 0 and got.where(f"tier = {tr.ENROLLED}").count() > 0 and got.where("track_id = 2 AND NOT enabled").count() == 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import tracking
@@ -20,19 +20,24 @@ def track_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _faces_with_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """The moving objects, each with the vector of one label, now and then of another."""
-    e = v.gallery(spark, sf).where("identity_id < 5").selectExpr("identity_id AS k", "embedding AS e")
-    m = v.motion(spark).withColumn("k", F.when(F.col("frame_index") % 48 == 40, (F.col("obj") + 1) % 5).otherwise(F.col("obj")))
-    return m.join(F.broadcast(e), "k").selectExpr("'keep' AS video_id", "frame_index", "x", "y", "w", "h", "score", "e")
+    """The faces of every video, each with the vector of one identity of the whole gallery. One frame before its first, every identity shows its face once in each video."""
+    e = v.gallery(spark, sf).select((F.row_number().over(Window.orderBy("identity_id")) - 1).alias("k"), F.col("embedding").alias("e"))
+    faces = v.detections(spark, sf).where("class_id = 16 AND score >= 0.35").selectExpr("cast(video_id AS string) AS video_id", "frame_index div 4 AS frame_index", "x", "y", "w", "h", "score")
+    size = e.agg(F.count("*").alias("size"))
+    shown = faces.join(F.broadcast(size)).withColumn("k", F.pmod(F.xxhash64("video_id", "frame_index", "x", "y"), "size")).join(F.broadcast(e), "k")
+    first = faces.groupBy("video_id").agg((F.min("frame_index") - 1).alias("frame_index"))
+    introduced = first.join(F.broadcast(e)).selectExpr("video_id", "frame_index", "cast(k * 80 AS int) AS x", "0 AS y", "60 AS w", "60 AS h", "0.9D AS score", "e")
+    return shown.select("video_id", "frame_index", "x", "y", "w", "h", "score", "e").unionByName(introduced)
 
 
 def keep_policy(spark: SparkSession, sf: str) -> DataFrame:
-    """Keep mode from frame 0; the first track is enrolled in frame 3, the second rejected in frame 20, the gallery cleared in frame 200."""
-    commands = spark.createDataFrame(
-        [("keep", 0, 1, "policy", '{"policy":"keep"}'), ("keep", 3, 2, "enrol", '{"id":1}'), ("keep", 20, 3, "reject", '{"id":2}'), ("keep", 150, 4, "enable", '{"id":3,"enabled":false,"forced":true}'), ("keep", 200, 5, "clear_gallery", "{}")],
-        "video_id string, frame_index long, seq long, op string, args string",
-    )
-    return tracking.track(tracking.frames(_faces_with_vectors(spark, sf), commands=commands))
+    """Keep mode over all faces: every identity of the gallery is enrolled in each video as it is introduced."""
+    faces = _faces_with_vectors(spark, sf)
+    start = faces.groupBy("video_id").agg(F.min("frame_index").alias("frame_index"))
+    n = v.gallery(spark, sf).agg(F.count("*").alias("size"))
+    policy = start.selectExpr("video_id", "frame_index", "0L AS seq", "'policy' AS op", """'{"policy":"keep"}' AS args""")
+    enrol = start.join(F.broadcast(n)).withColumn("seq", F.explode(F.sequence(F.lit(1).cast("long"), F.col("size")))).selectExpr("video_id", "frame_index + 1 AS frame_index", "seq", "'enrol' AS op", """concat('{"id":', seq, '}') AS args""")
+    return tracking.track(tracking.frames(faces, commands=policy.unionByName(enrol)))
 
 
 def track_summary(spark: SparkSession, sf: str) -> DataFrame:
