@@ -130,3 +130,17 @@ def test_pipeline(spark, sf):
     got = corpus_pipeline.run(spark, sf).collect()
     assert check_packed(kept, got) > 0.9
     assert docs.select(F.count_distinct("doc_id")).first()[0] == len(kept)
+
+
+def test_cotraining_labels_the_whole_pool(spark, monkeypatch):
+    """Every unlabelled row is scored and the quota follows the pool, whatever its size."""
+    n = 9000
+    docs = spark.range(n).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN concat('calm plain words about rivers and towns number ', id) ELSE '### $$$ !!! WIN WIN WIN ||| %%%' END AS text", "'en' AS lang", "CASE WHEN id % 2 = 0 THEN 'book' ELSE 'spam' END AS source", "60L AS n_chars")
+    labels = spark.range(200).selectExpr("id AS doc_id", "cast((id + 1) % 2 AS int) AS quality")
+    seen = []
+    real = cotraining.confident_cut
+    monkeypatch.setattr(cotraining, "confident_cut", lambda c, bad, good: seen.append((c.sum(), bad + good)) or real(c, bad, good))
+    model = cotraining.fit(docs, labels)
+    assert seen[:2] == [(n - 200, int(cotraining.GROW * (n - 200) / 2))] * 2 and len(seen) == 2 * cotraining.ROUNDS
+    assert seen[-1][0] <= n - 200 - 3 * 0.9 * seen[-1][1]  # rows that have a label leave the pool
+    assert model.text.bias != 0

@@ -4,11 +4,14 @@ Two logistic classifiers see a document from different sides: one its text conte
 and character classes), the other its page metadata (source, language, length). Both start from
 the labelled rows. In each round each classifier labels the unlabelled pool, and the rows that it
 is most sure of, in the labelled rows' proportion of good and bad, join what the *other* one
-learns from. At the end both are calibrated on labelled rows set aside, and all documents are
+learns from: a round's quota is a share of the whole pool, its cut comes from a histogram of all
+scores. At the end both are calibrated on labelled rows set aside, and all documents are
 scored with the sum of the two calibrated log odds, less the prior that both hold.
 
-The classifiers are fitted on bounded samples by hash: ``max_labelled`` rows with a label and
-``max_pool`` rows without. Scoring covers every row and the whole text.
+Labelled rows are a bounded sample by hash (``max_labelled``). The pool is every row without a
+label: its features are written once, each round reads all of them for the histogram, writes out
+the rows that have got a label so far, and moves both classifiers by gradients summed over all of
+those. Together these weigh at most as much as the labelled rows, so that sizes do not tell.
 
 Defined results: a null or empty text has no words, only the metadata speak besides the text's
 bias; null source or language is a value of its own; a missing length is taken from the text;
@@ -18,6 +21,7 @@ label); no rows give no rows. Further columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, shared_dir
 
 TEXT_BUCKETS, META_BUCKETS = 1 << 12, 1 << 9
-MAX_LABELLED, MAX_POOL, ROUNDS, GROW = 4000, 4000, 4, 0.1
+MAX_LABELLED, ROUNDS, GROW = 4000, 4, 0.1
+STEPS, SHRINK = 4, 1e-5  # of the summed gradients, in a round
+BINS, REACH, SURE = 8192, 32, 1  # of the histogram, and where it begins to count
 THRESHOLD = 0.5
 DENSE = 8  # numbers by character class that stand before the hashed words
 
@@ -128,28 +134,174 @@ class CoTrained:
         return odds(a), odds(b), odds(a + b - self.prior)
 
 
-def co_train(texts: list, metas: list, y: np.ndarray, pool_texts: list, pool_metas: list, rounds: int = ROUNDS, grow: float = GROW) -> CoTrained:
-    """Rounds of exchange between the views. y: 1 good, 0 bad; every fifth labelled row is kept for calibration."""
+def _flat(arr: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Of a binary column of packed numbers: all of them, and how many each row has."""
+    parts = [x or b"" for x in arr.to_pylist()]
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(b"".join(parts), dtype=kind), np.fromiter((len(x) // width for x in parts), dtype=np.int64, count=len(parts))
+
+
+Side = tuple[np.ndarray, np.ndarray, np.ndarray, int]  # row, column, value of each entry; rows
+
+
+def _sides(b: pa.RecordBatch) -> tuple[Side, Side]:
+    tc, n = _flat(b.column("tc"), "<i2")
+    tv, _ = _flat(b.column("tv"), "<f4")
+    mc, m = _flat(b.column("mc"), "<i2")
+    at = np.arange(b.num_rows)
+    return (np.repeat(at, n), tc, tv, b.num_rows), (np.repeat(at, m), mc, np.ones(len(mc), dtype=np.float32), b.num_rows)
+
+
+def _raw(side: Side, bias: float, weight: np.ndarray) -> np.ndarray:
+    row, col, val, n = side
+    return bias + np.bincount(row, weights=weight[col] * val, minlength=n)
+
+
+def _loss(side: Side, y: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """Summed logistic loss, then its gradient by bias and weights; rows with y < 0 do not count."""
+    row, col, val, _ = side
+    z = _raw(side, theta[0], theta[1:])
+    used = y >= 0
+    g = np.where(used, 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y, 0.0)
+    return np.r_[np.where(used, np.logaddexp(0, z) - y * z, 0.0).sum(), g.sum(), np.bincount(col, weights=g[row] * val, minlength=len(theta) - 1)]
+
+
+def _bin(z: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor((z + REACH) * (BINS / (2 * REACH))), 0, BINS - 1).astype(np.int64)
+
+
+def _quota(counts: np.ndarray, want: int) -> tuple[int, float]:
+    """The bin at which so many rows, counted from the first bin, are reached, and the share of it that still belongs to them."""
+    sums = np.cumsum(counts)
+    k = int(np.searchsorted(sums, want))
+    return (len(counts), 0.0) if k == len(counts) else (k, float((want - (sums[k] - counts[k])) / max(counts[k], 1)))
+
+
+Cut = tuple[int, float, int, float]
+
+
+def confident_cut(counts: np.ndarray, bad: int, good: int) -> Cut:
+    """Last bin of the bad rows and its share, first bin of the good ones and its share; rows nearer to 0 than SURE stay out."""
+    edge = BINS * SURE // (2 * REACH)
+    lo, lo_share = _quota(counts[: BINS // 2 - edge], bad)
+    hi, hi_share = _quota(counts[: BINS // 2 + edge - 1 : -1], good)
+    return lo, lo_share, BINS - 1 - hi, hi_share
+
+
+def _share_of(ids: np.ndarray, turn: int) -> np.ndarray:
+    """A number from 0 to 1 by a row's id, another one each turn: which rows of a cut bin are taken."""
+    x = (ids.astype(np.int64).view(np.uint64) + np.uint64(turn)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(32))).astype(np.float64) / 2.0**64
+
+
+def _given(sides: tuple[Side, Side], ids: np.ndarray, past: list[tuple[list[np.ndarray], list[Cut]]]) -> list[np.ndarray]:
+    """By side, the labels that the other side has given the rows in past rounds; -1 without."""
+    out = [np.full(len(ids), -1, dtype=np.int8) for _ in sides]
+    for turn, (thetas, cuts) in enumerate(past):
+        u = _share_of(ids, turn << 48)
+        for k, (lo, lo_share, hi, hi_share) in enumerate(cuts):
+            at, free = _bin(_raw(sides[k], thetas[k][0], thetas[k][1:])), out[1 - k] < 0
+            out[1 - k][free & ((at < lo) | ((at == lo) & (u < lo_share)))] = 0
+            out[1 - k][free & ((at > hi) | ((at == hi) & (u < hi_share)))] = 1
+    return out
+
+
+def _summed(df: DataFrame, of, size: int) -> np.ndarray:
+    """The sum of of(batch) over all rows of df; each partition sends one vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for b in batches:
+            total += of(b)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+
+    return np.sum([np.zeros(size), *(np.frombuffer(bytes(r.v)) for r in df.mapInArrow(run, "v binary").collect())], axis=0)
+
+
+def _descend(at: np.ndarray, objective, scale: np.ndarray, steps: int) -> np.ndarray:
+    """L-BFGS in scaled coordinates; a step that does not lower the objective is shortened."""
+    x, pairs = at / scale, []
+    f, g = objective(x * scale)
+    g = g * scale
+    for _ in range(steps):
+        d, alphas = -g, []
+        for s, y in reversed(pairs):
+            alphas.append(s @ d / (s @ y))
+            d = d - alphas[-1] * y
+        if pairs:
+            d = d * (pairs[-1][0] @ pairs[-1][1] / (pairs[-1][1] @ pairs[-1][1]))
+        for (s, y), a in zip(pairs, reversed(alphas), strict=True):
+            d = d + s * (a - y @ d / (s @ y))
+        for size in (1.0, 0.25, 0.0625):
+            fn, gn = objective((x + size * d) * scale)
+            if fn <= f + 1e-4 * size * (g @ d):
+                break
+        else:
+            break
+        gn = gn * scale
+        if size * d @ (gn - g) > 1e-12:
+            pairs.append((size * d, gn - g))
+        x, f, g = x + size * d, fn, gn
+    return x * scale
+
+
+def co_train(texts: list, metas: list, y: np.ndarray, pool: DataFrame, rounds: int = ROUNDS, grow: float = GROW) -> CoTrained:
+    """Rounds of exchange between the views. y: 1 good, 0 bad; every fifth labelled row is kept for calibration. pool: rows of FEATURES."""
     held = np.arange(len(y)) % 5 == 4
     if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
         held = np.zeros(len(y), dtype=bool)
     base = np.flatnonzero(~held)
-    sides = ((texts, pool_texts, DENSE + TEXT_BUCKETS), (metas, pool_metas, META_BUCKETS))
-    extra: list[dict[int, int]] = [{}, {}]  # by side: pool rows with the other side's label
-    share = float(y.mean())
-    models: list[Logistic] = []
-    for r in range(rounds + 1):
-        models = [fit_logistic([x[i] for i in base] + [pool[j] for j in extra[k]], np.array([*y[base], *extra[k].values()], dtype=np.float64), n) for k, (x, pool, n) in enumerate(sides)]
-        if r == rounds or not pool_texts:
-            break
-        for k, (_, pool, _) in enumerate(sides):
-            z, other = models[k].raw(pool), extra[1 - k]
-            order = [j for j in np.argsort(z, kind="stable") if j not in other]
-            n = int(grow * len(pool) / 2)
-            bad, good = round(n * (1 - share)), round(n * share)
-            other.update({int(j): 0 for j in order[:bad] if z[j] < -1} | {int(j): 1 for j in order[::-1][:good] if z[j] > 1})
+    share, n_pool = float(y.mean()), pool.count()
+    known, thetas, scale, widths = [], [], [], (1 + DENSE + TEXT_BUCKETS, 1 + META_BUCKETS)
+    for x, n in ((texts, widths[0]), (metas, widths[1])):
+        rows = [x[i] for i in base]
+        m = fit_logistic(rows, y[base].astype(np.float64), n - 1)
+        thetas.append(np.r_[m.bias, m.weight])
+        known.append((np.repeat(np.arange(len(rows)), [len(c) for c, _ in rows]), np.concatenate([c for c, _ in rows]), np.concatenate([v for _, v in rows]), len(rows)))
+        scale.append(1 / np.sqrt(0.25 * np.r_[1.0, np.bincount(known[-1][1], weights=known[-1][2].astype(np.float64) ** 2, minlength=n - 1) / len(rows)] + 1e-3))
+    split, past = widths[0], []
+    quota = int(grow * n_pool / 2)
+    bad, good = round(quota * (1 - share)), round(quota * share)
+    for _ in range(rounds if n_pool else 0):
+
+        def spread(b: pa.RecordBatch, past=past, now=thetas) -> np.ndarray:
+            sides = _sides(b)
+            got = _given(sides, b.column("doc_id").to_numpy(), past)
+            return np.concatenate([np.bincount(_bin(_raw(sides[k], now[k][0], now[k][1:]))[got[1 - k] < 0], minlength=BINS) for k in (0, 1)]).astype(np.float64)
+
+        counts = _summed(pool, spread, 2 * BINS)
+        past = [*past, (thetas, [confident_cut(c, bad, good) for c in (counts[:BINS], counts[BINS:])])]
+
+        def labelled(batches: Iterator[pa.RecordBatch], past=past) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                got = _given(_sides(b), b.column("doc_id").to_numpy(), past)
+                names = ["tc", "tv", "mc"]
+                out = pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(got[0].astype(np.int32)), pa.array(got[1].astype(np.int32))], names=[*names, "y0", "y1"])
+                yield out.filter(pa.array((got[0] >= 0) | (got[1] >= 0)))
+
+        chosen = _stored(pool.mapInArrow(labelled, "tc binary, tv binary, mc binary, y0 int, y1 int"))
+        n_extra = chosen.selectExpr("count_if(y0 >= 0)", "count_if(y1 >= 0)").first()
+        weigh = [min(1.0, len(base) / n) if n else 0.0 for n in n_extra]
+
+        def objective(theta: np.ndarray, chosen=chosen, n_extra=n_extra, weigh=weigh) -> tuple[float, np.ndarray]:
+            both = (theta[:split], theta[split:])
+            of = lambda b: np.concatenate([_loss(s, b.column(f"y{k}").to_numpy(), both[k]) for k, s in enumerate(_sides(b))])
+            far = _summed(chosen, of, len(theta) + 2)
+            total, grads = 0.0, []
+            for k, part in enumerate((far[: split + 1], far[split + 1 :])):
+                got = (_loss(known[k], y[base], both[k]) + weigh[k] * part) / (len(base) + weigh[k] * n_extra[k])
+                w = np.r_[0.0, both[k][1:]]
+                total += got[0] + SHRINK / 2 * (w @ w)
+                grads.append(got[1:] + SHRINK * w)
+            return total, np.concatenate(grads)
+
+        moved = _descend(np.concatenate(thetas), objective, np.concatenate(scale), STEPS)
+        thetas = [moved[:split], moved[split:]]
+    models = [Logistic(float(t[0]), t[1:]) for t in thetas]
     at = np.flatnonzero(held) if held.any() else base
-    for m, (x, _, _) in zip(models, sides, strict=True):
+    for m, x in zip(models, (texts, metas), strict=True):
         _calibrate(m, [x[i] for i in at], y[at])
     return CoTrained(models[0], models[1], float(np.log(share / (1 - share))))
 
@@ -159,30 +311,36 @@ def _views(batch: pa.RecordBatch, seen: dict[str, int]) -> tuple[list, list]:
     return [text_features(x, seen) for x in t], [meta_features(a, b, c, x) for a, b, c, x in zip(s, g, n, t, strict=True)]
 
 
+FEATURES = "doc_id long, tc binary, tv binary, mc binary"
+
+
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: dict[str, int] = {}
     for b in batches:
         texts, metas = _views(b, seen)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array([c for c, _ in texts]), pa.array([v for _, v in texts]), pa.array([c for c, _ in metas])], names=["doc_id", "quality", "tc", "tv", "mc"])
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> CoTrained | None:
-    """The co-trained pair of classifiers, from bounded samples; None without labels of both kinds."""
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    picked = known.orderBy(*order).limit(max_labelled)
-    free = docs.where("doc_id is not null").select("doc_id").distinct().join(known, "doc_id", "left_anti").orderBy(*order).limit(max_pool)
-    wanted = cut(picked.select("doc_id", "quality").union(free.select("doc_id", F.lit(-1))))  # max_labelled + max_pool rows at most
-    sample = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long")).join(F.broadcast(wanted), "doc_id")
-    rows = sample.mapInArrow(_featured, "doc_id long, quality int, tc array<int>, tv array<float>, mc array<int>").toArrow().sort_by("doc_id").to_pylist()
-    texts = [(np.array(r["tc"], dtype=np.int32), np.array(r["tv"], dtype=np.float32)) for r in rows]
-    metas = [(np.array(r["mc"], dtype=np.int32), np.ones(len(r["mc"]), dtype=np.float32)) for r in rows]
+        packed = [pa.array([x.astype(kind).tobytes() for x in col], pa.binary()) for col, kind in (([c for c, _ in texts], "<i2"), ([v for _, v in texts], "<f4"), ([c for c, _ in metas], "<i2"))]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *packed], names=["doc_id", "tc", "tv", "mc"])
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """The same rows, written tightly in the shared folder and read again."""
+    path = f"{shared_dir(df.sparkSession)}/cotraining-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> CoTrained | None:
+    """The co-trained pair of classifiers, from a sample of labelled rows and all others; None without labels of both kinds."""
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
+    picked = cut(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))  # max_labelled rows at most
+    asked = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long"))
+    rows = asked.join(F.broadcast(picked), "doc_id", "left_semi").mapInArrow(_featured, FEATURES).join(F.broadcast(picked), "doc_id").toArrow().sort_by("doc_id").to_pylist()
     y = np.array([r["quality"] for r in rows])
-    lab, pool = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
-    if len(set(y[lab])) < 2:
+    if len(set(y)) < 2:
         return None
-    pick = lambda x, at: [x[i] for i in at]
-    return co_train(pick(texts, lab), pick(metas, lab), y[lab], pick(texts, pool), pick(metas, pool))
+    texts = [(np.frombuffer(r["tc"], dtype="<i2").astype(np.int32), np.frombuffer(r["tv"], dtype="<f4")) for r in rows]
+    metas = [(m := np.frombuffer(r["mc"], dtype="<i2").astype(np.int32), np.ones(len(m), dtype=np.float32)) for r in rows]
+    return co_train(texts, metas, y, _stored(asked.mapInArrow(_featured, FEATURES).join(known, "doc_id", "left_anti")))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
