@@ -8,9 +8,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from veilspark.llm import hamming_search, line_dedup, queries, simhash_dedup
+from veilspark.llm import common, hamming_search, line_dedup, queries, simhash_dedup
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -110,24 +111,55 @@ def brute_lines(rows, m=2, w=8):
         symbols = [j for j, x in enumerate(lines) if WORD.search(x)]
         cut = {symbols[i2] for i2 in gone[(d, i)]}
         text = t if not cut else "" if len(cut) == len(symbols) else "\n".join(x for j, x in enumerate(lines) if j not in cut)
-        out[(d, text, len(symbols), len(cut))] += 1
+        out[(d, text, len(symbols), len(cut), sum(x - 1 not in gone[(d, i)] for x in gone[(d, i)]))] += 1
     return out
 
 
-@pytest.mark.parametrize("m", [1, 2, 4])
+@pytest.mark.parametrize("m", [1, 2, 3, 7])
 def test_lines_match_brute_force(spark, sf, odd, clashing, m):
     for df in (spark.read.parquet(f"{sf}/documents.parquet"), clashing):
-        got = Counter((r["doc_id"], r["text"], r["_n_lines"], r["_n_deleted"]) for r in line_dedup.delete_lines(df, m, 8).where("doc_id is not null").collect())
+        got = Counter((r["doc_id"], r["text"], *(r[c] for c in line_dedup.RESULTS)) for r in line_dedup.delete_lines(df, m, 8).where("doc_id is not null").collect())
         assert got == brute_lines(df.collect(), m)
 
 
+def test_suffix_array_against_sorted_suffixes(spark, monkeypatch):
+    """Few kinds of lines, so that runs are long; every key counts as hot. Order, ties and common prefixes against plain Python."""
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    rng = np.random.default_rng(11)
+    base = [f"line {x}" for x in rng.integers(0, 3, 40)]
+    docs = [(k, "\n".join([*base[s : s + n], *(f"line {x}" for x in rng.integers(0, 4, 3))])) for k, (s, n) in enumerate(zip(rng.integers(0, 30, 12), rng.integers(0, 30, 12), strict=True))]
+    docs += [(90, docs[0][1]), (91, docs[3][1]), (92, "line 1\nonly here\nline 1"), (93, "line 1")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    levels = line_dedup.suffix_levels(line_dedup.line_table(line_dedup.numbered(df), 8))
+    entries = line_dedup.suffix_array(levels).orderBy("rank").collect()
+    seq = {k: t.split("\n") for k, t in docs}
+    common_lines = Counter(x for s in seq.values() for x in s)
+    suffix = {(d, i): tuple(s[i:]) for d, s in seq.items() for i in range(len(s)) if common_lines[s[i]] > 1}
+    equal = defaultdict(list)
+    for at, s in suffix.items():
+        equal[s].append(at)
+    got = [(suffix[tuple(e["first"])], e["n"], tuple(e["first"])) for e in entries]
+    assert sorted(got) == sorted((s, len(a), min(a)) for s, a in equal.items()) and len(levels) > 4
+    ranks = [e["rank"] for e in entries]
+    assert ranks == [1 + sum(e["n"] for e in entries[:k]) for k in range(len(entries))]
+    shared = lambda x, y: next((k for k, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+    lcp = [e["lcp"] for e in entries]
+    assert lcp == [0, *(shared(a, b) for (a, *_), (b, *_) in zip(got, got[1:], strict=False))]
+    for a in range(0, len(got), 7):  # in a sorted list what two entries share is the least that neighbours share between them
+        for b in range(a + 1, len(got), 5):
+            assert shared(got[a][0], got[b][0]) == min(lcp[a + 1 : b + 1])
+
+
 def test_lines_of_odd_tables(spark, odd, none):
     assert line_dedup.delete_lines(none).count() == 0 and line_dedup.clean_documents(none).columns == none.columns
     out = line_dedup.clean_documents(odd).collect()
     assert sum(r["doc_id"] is None for r in out) == 2
     assert all(r["text"] is None or r["n_chars"] is None or r["doc_id"] not in (9, 11) or r["n_chars"] == len(r["text"]) for r in out)
+    taken = odd.withColumns({c: F.lit(c) for c in (*line_dedup.RESULTS, "row", "d", "i", "gone", "a.b")})
+    kept = line_dedup.clean_documents(taken)
+    assert kept.columns == taken.columns and sorted(map(str, kept.select("doc_id", "text", "n_lines", "row").collect())) == sorted(str(Row(doc_id=r["doc_id"], text=r["text"], n_lines="n_lines", row="row")) for r in out)
     with pytest.raises(ValueError):
-        line_dedup.repeated_lines(line_dedup.numbered(odd), 3)
+        line_dedup.repeated_lines(line_dedup.numbered(odd), 0)
 
 
 def test_maximal_runs(spark):
@@ -145,28 +177,36 @@ def brute_search(rows, k):
     return out
 
 
-@pytest.mark.parametrize("lookup", [0, 1, 10**9])
-def test_search_is_exact(spark, lookup):
-    """By look-ups alone, by both, and by comparison alone."""
+@pytest.mark.parametrize("block", [8, 64, 2048])
+def test_search_is_exact(spark, monkeypatch, block):
+    """Buckets far smaller than what shares a segment's value; every key counts as hot."""
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
     rng = np.random.default_rng(5)
     codes = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, size=60)]
     near = [codes[i % 20] ^ (1 << int(rng.integers(60))) ^ (1 << int(rng.integers(60))) for i in range(300)]
-    rows = [*enumerate(codes + near + [codes[0]] * 90), (None, 5), (1000, None), (1020, codes[0])]
+    same = [(int(x) << 20) + 77 for x in rng.integers(0, 1 << 43, size=150)]  # these share their low segments
+    rows = [*enumerate(codes + near + [codes[0]] * 90 + same), (None, 5), (1000, None), (1020, codes[0])]
     df = spark.createDataFrame(rows, "id long, code long")
+    found = hamming_search.search(df.where("id % 20 = 0"), df, k=7, block=block).collect()
     got = defaultdict(list)
-    radius_bound = df if lookup else df.where("code % 4 = 0 or id % 20 = 0")  # few rows for the full radius
-    for r in hamming_search.search(radius_bound.where("id % 20 = 0"), radius_bound, k=7 if lookup else 1, lookup=lookup, block=64).collect():
+    for r in found:
         got[r["query_id"]].append((r["rank"], r["neighbour_id"], r["distance"]))
-    want = brute_search([tuple(r) for r in radius_bound.collect()], 7 if lookup else 1)
+    want = brute_search([tuple(r) for r in df.collect()], 7)
     assert {q: [x[1:] for x in sorted(v)] for q, v in got.items()} == {q: v for q, v in want.items() if v}
+    m = len(hamming_search.segments(len({c for _, c in rows if c is not None})))
+    for r in found:  # covered, and not by one radius less than needed
+        assert r["distance"] <= m * (r["radius"] + 1) - 1
+    assert len({r["radius"] for r in found}) > 1
 
 
 def test_search_of_few_rows(spark):
     df = spark.createDataFrame([(0, 5), (20, 5), (7, None)], "id long, code long")
-    assert {tuple(r) for r in hamming_search.search(df.where("id % 20 = 0"), df).collect()} == {(0, 1, 20, 0), (20, 1, 0, 0)}
+    assert {tuple(r)[:4] for r in hamming_search.search(df.where("id % 20 = 0"), df).collect()} == {(0, 1, 20, 0), (20, 1, 0, 0)}
     assert hamming_search.search(df.limit(0), df.limit(0)).count() == 0
 
 
 def test_sign_code(spark):
     df = spark.createDataFrame([([1.0] + [-1.0] * 62 + [2.0],), ([],), (None,)], "v array<float>")
+    with pytest.raises(Exception, match="64 bits"):
+        df.select(hamming_search.sign_code(F.array_repeat(F.lit(1.0), 65))).collect()
     assert [r[0] for r in df.select(hamming_search.sign_code(F.col("v"))).collect()] == [1 - 2**63, None, None]

@@ -46,3 +46,28 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+HOT_KEYS, HOT_ROWS = 1000, 10_000
+
+
+def spread_join(many: DataFrame, one: DataFrame, on: list[str], how: str = "inner", counts: DataFrame | None = None, salts: int = 64) -> DataFrame:
+    """many joined with one, which has one row per key, so that no key's rows of many meet in one task.
+
+    A key is hot if it has HOT_ROWS rows and more than 1/HOT_KEYS of all: there are fewer hot keys
+    than HOT_KEYS, so they are broadcast. Rows of hot keys are dealt over ``salts`` tasks, and one's
+    rows of these keys are there in each of them. Keys are compared by ``=``: null matches nothing.
+    counts: on and n, how many rows of many each key has, where that is known already.
+    """
+    if counts is None:
+        counts = many.groupBy(*on).agg(F.count("*").alias("n"))
+    large = cut(counts.select(*on, "n").where(f"n >= {HOT_ROWS}").orderBy(F.desc("n"), *on).limit(HOT_KEYS - 1))
+    if not (most := large.count()):
+        return many.join(one, on, how)
+    total = many.count() if most == HOT_KEYS - 1 else 0  # with fewer of them, all may be dealt out
+    hot = F.broadcast(large.where(F.col("n") > total / HOT_KEYS).select(*on, F.lit(1).alias("__hot")))
+    deal = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in many.columns)), F.lit(salts))
+    left = many.join(hot, on, "left").withColumn("__salt", F.when(F.col("__hot") == 1, deal).otherwise(0).cast("int")).drop("__hot")
+    copies = F.when(F.col("__hot") == 1, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = one.join(hot, on, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
+    return left.join(right, [*on, "__salt"], how).drop("__salt")

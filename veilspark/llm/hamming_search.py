@@ -2,49 +2,53 @@
 
 A 64-bit code is cut into m segments of about log2(n) bits for n codes, so that a segment's value
 leads to about one code at any size. Two codes at distance at most m * (r + 1) - 1 agree in some
-segment up to r bits. So segments are looked up with radius 0, 1, 2 ..; every code found is
+segment up to r bits. So every segment is looked up with radius 0, 1, 2 ..; every code found is
 verified by its whole distance; and a query is done as soon as its k-th best distance is within
-what the radius covers. No query stops before that, so the result is exact.
+what the radius covers. No query stops before that and none is answered another way, so the result
+is exact. The radius ends at the width of a segment, where everything is covered.
 
-A look-up is a row of a join and costs about as much as comparing ``LOOKUP`` codes in memory. Where
-the next radius would cost more than all codes together (the k-th is far, as among random codes),
-the queries that are left are compared with all codes, block by block, each block giving only what
-can be among the best.
+The index of a segment is dealt out by the high bits of its values, ``block`` codes to a bucket.
+A query goes to the buckets whose high bits differ in up to r bits, and the flips that are left are
+looked up there in a table over the low bits. A bucket gives a query at most its k + 1 nearest new
+codes, none farther than the k-th known so far. Buckets (or sides of queries) that hold more than a
+block, as where many codes share a segment's value, are cut into blocks that meet two at a time in
+tasks of their own.
 
 Both sides are distinct codes: a code that many rows share is looked up once and found once, with
-its ``k + 1`` smallest ids (no result can hold more of one code).
+its ``k + 1`` smallest ids (no result can hold more of one code; they are limited inside each task
+before rows are shuffled).
 
 Defined results: order is by distance, then id, so ties are settled; a query row is not its own
 neighbour, but its copies are; a null or empty vector has no code: such a row is neither found nor
-answered; fewer than k rows give all of them; no rows give no rows.
+answered; a vector of more than 64 components is an error; rows repeated with their id count once;
+fewer than k rows give all of them; no rows give no rows. Texts play no part, and further columns
+are ignored.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb, log2
+from math import ceil, log2
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spread_join
 
 BITS = 64
 K = 10
-LOOKUP = 300
-BLOCK = 4096
+BLOCK = 2048
+PAIRS = 1 << 20  # verified at a time in a task
+FOUND = "q long, code long, least long, n int, dist int"
 
 
 def sign_code(vector: Column) -> Column:
-    """64 bits: bit i is set if the i-th component is positive; null without components."""
-    bits = F.transform(F.slice(vector, 1, BITS), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    """64 bits: bit i is set if the i-th component is positive; null without components, an error beyond 64."""
+    bits = F.transform(vector, lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
     code = F.aggregate(bits, F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(b))
-    return F.when(F.size(vector) > 0, code)
-
-
-def _distance(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
+    return F.when(F.size(vector) > BITS, F.raise_error(F.lit(f"a code has {BITS} bits: longer vectors must be projected first")).cast("long")).when(F.size(vector) > 0, code)
 
 
 def segments(n: int) -> list[tuple[int, int]]:
@@ -54,82 +58,125 @@ def segments(n: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(ends, ends[1:], strict=False)]
 
 
-def _segment(code: Column, shift: int, width: int) -> Column:
-    return F.shiftrightunsigned(code, shift).bitwiseAND(F.lit((1 << width) - 1))
+def _flips(width: int, bits: int) -> list[int]:
+    """All masks of so many bits."""
+    return [sum(1 << b for b in c) for c in combinations(range(width), bits)]
 
 
-def _best(found: DataFrame, k: int) -> DataFrame:
-    """Of each query code the nearest codes that hold k rows between them, and their distance so far."""
-    w = Window.partitionBy("q").orderBy("dist", "code")
-    ahead = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    first = found.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k)
-    # all codes at the distance at which k is reached stay, as the smallest ids decide among them
-    reach = first.withColumn("ahead", ahead).where(F.col("ahead") < k).groupBy("q").agg(F.max("dist").alias("kth"), F.sum("n").alias("rows"))
-    return found.join(reach, "q").where(F.col("dist") <= F.col("kth"))
+def _segment(code: Column, shift: int, width: int) -> Column:
+    return F.shiftrightunsigned(code, shift).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def search(queries: DataFrame, rows: DataFrame, k: int = K, lookup: int = LOOKUP, block: int = BLOCK) -> DataFrame:
-    """query_id, rank (from 1), neighbour_id, distance. queries and rows have ``id`` and ``code``; queries are rows too."""
+def _look_up(q: np.ndarray, limit: np.ndarray, turns: np.ndarray, code: np.ndarray, least: np.ndarray, n: np.ndarray, shift: int, low: int, need: int) -> list[np.ndarray]:
+    """What one bucket gives its queries: turns says how many low bits each query still flips."""
+    mask = np.uint64((1 << low) - 1)
+    value = ((code.view(np.uint64) >> np.uint64(shift)) & mask).astype(np.int64)
+    order = np.argsort(value, kind="stable")
+    code, least, n = code[order], least[order], n[order]
+    starts = np.searchsorted(value[order], np.arange((1 << low) + 1))
+    at = ((q.view(np.uint64) >> np.uint64(shift)) & mask).astype(np.int64)
+    found: list[list[np.ndarray]] = [[], [], [], [], []]
+    for turn in np.unique(turns):
+        flips = np.array(_flips(low, int(turn)), dtype=np.int64)
+        mine = np.flatnonzero(turns == turn)
+        if not len(flips):
+            continue
+        step = max(1, PAIRS // max(len(flips), len(code)))
+        for part in (mine[i : i + step] for i in range(0, len(mine), step)):
+            v = at[part][:, None] ^ flips[None, :]
+            per = (starts[v + 1] - starts[v]).ravel()
+            row = np.repeat(np.repeat(part, len(flips)), per)
+            c = np.repeat(starts[v].ravel() - (np.cumsum(per) - per), per) + np.arange(per.sum())
+            dist = np.bitwise_count(code[c].view(np.uint64) ^ q[row].view(np.uint64)).astype(np.int32)
+            near = np.flatnonzero(dist <= limit[row])
+            row, c, dist = row[near], c[near], dist[near]
+            best = np.lexsort((least[c], dist, row))
+            row, c, dist = row[best], c[best], dist[best]
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, int)
+            nth = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
+            top = nth < need
+            for into, x in zip(found, (q[row[top]], code[c[top]], least[c[top]], n[c[top]], dist[top]), strict=True):
+                into.append(x)
+    return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in found]
+
+
+def _searcher(parts: list[tuple[int, int]], high: list[int], need: int):
+    def run(key: tuple, asked: pa.Table, kept: pa.Table) -> pa.Table:
+        s = int(key[0].as_py())
+        shift, width = parts[s]
+        col = lambda t, c: t.column(c).to_numpy()
+        got = _look_up(col(asked, "q"), col(asked, "upto"), col(asked, "turns"), col(kept, "code"), col(kept, "least"), col(kept, "n"), shift, width - high[s], need) if asked.num_rows and kept.num_rows else [np.zeros(0, np.int64)] * 5
+        return pa.table({c: pa.array(x, t) for c, x, t in zip(("q", "code", "least", "n", "dist"), got, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)})
+
+    return run
+
+
+def _in_buckets(code: str, parts: list[tuple[int, int]], high: list[int]) -> Column:
+    """By segment: s and b, the high bits of its value."""
+    return F.array(*(F.struct(F.lit(s).alias("s"), _segment(F.col(code), shift + width - high[s], high[s]).alias("b")) for s, (shift, width) in enumerate(parts)))
+
+
+def _probes(left: DataFrame, radius: int, parts: list[tuple[int, int]], high: list[int]) -> DataFrame:
+    """q, upto, s, b, turns: the buckets that a query looks into at this radius, and the flips left for their low bits."""
+    tables = []
+    for s, (_, width) in enumerate(parts):
+        low = width - high[s]
+        flips = [(m, radius - j) for j in range(min(radius, high[s]) + 1) if radius - j <= low for m in _flips(high[s], j)]
+        tables.append(",".join(f"{m}:{t}" for m, t in flips))
+    listed = F.array(*(F.filter(F.split(F.lit(x), ","), lambda e: e != "") for x in tables))
+    out = left.select("q", "upto", F.explode(_in_buckets("q", parts, high)).alias("e")).select("q", "upto", "e.s", "e.b", F.explode(F.get(listed, F.col("e.s"))).alias("f"))
+    f = F.split("f", ":")
+    return out.select("q", "upto", "s", F.col("b").bitwiseXOR(F.get(f, F.lit(0)).cast("long")).alias("b"), F.get(f, F.lit(1)).cast("int").alias("turns"))
+
+
+def _blocks(df: DataFrame, sizes: DataFrame, mine: str, other: str, by: str) -> DataFrame:
+    """df's rows with i and j: their own block by hash, and each block of the other side."""
+    of = df.join(sizes, ["s", "b"])
+    of = of.withColumn("own", F.pmod(F.xxhash64(by), F.col(mine)).cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+    i, j = ("own", "met") if mine == "nq" else ("met", "own")
+    return of.withColumns({"i": F.col(i), "j": F.col(j)}).drop("own", "met", "nq", "nc")
+
+
+def search(queries: DataFrame, rows: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
+    """query_id, rank (from 1), neighbour_id, distance, radius (at which the query was covered). queries and rows have ``id`` and ``code``; queries are rows too."""
     need = k + 1  # a query finds itself
     rows = rows.where("code is not null and id is not null").select("id", "code").distinct()
     nth = F.row_number().over(Window.partitionBy("code").orderBy("id"))
-    codes = cut(rows.withColumn("nth", nth).where(F.col("nth") <= need).groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("n", F.size("ids")))
-    n_codes = codes.count()
+    ids = rows.withColumn("nth", nth).where(F.col("nth") <= need).groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    codes = cut(ids.select("code", "ids", F.col("ids")[0].alias("least"), F.size("ids").alias("n")))
+    n_codes, n_rows = codes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     asked = queries.where("code is not null and id is not null").select("id", "code").distinct()
-    left = cut(asked.select(F.col("code").alias("q")).distinct())
     parts = segments(n_codes)
-    by_segment = lambda code: F.array(*(F.struct(F.lit(i).alias("s"), _segment(F.col(code), *p).alias("v")) for i, p in enumerate(parts)))
-    index = cut(codes.select("code", "n", F.explode(by_segment("code")).alias("e")).select("e.s", "e.v", "code", "n"))
-    seen = None  # candidates of the queries that are left: q, code, n, dist
-    done = []
+    high = [min(width - 1, max(0, ceil(log2(max(1, n_codes) / block)))) for _, width in parts]
+    index = cut(codes.select("code", "least", "n", F.explode(_in_buckets("code", parts, high)).alias("e")).select("e.s", "e.b", "code", "least", "n"))
+    held = index.groupBy("s", "b").agg(F.ceil(F.count("*") / block).cast("int").alias("nc"))
+    entry = F.struct("dist", "least", "code", "n")
+    nothing = F.from_json(F.lit("[]"), "array<struct<dist:int,least:bigint,code:bigint,n:int>>")
+    state = cut(asked.select(F.col("code").alias("q")).distinct().select("q", nothing.alias("best"), F.lit(BITS).alias("kth"), F.lit(-1).alias("radius")))
+    covered, done = -1, []
+    enough = min(need, n_rows)
     for radius in range(max(w for _, w in parts) + 1):
-        if lookup * sum(comb(w, radius) * (1 + n_codes / 2**w) for _, w in parts) > n_codes or not left.limit(1).count():
+        left = state.where(F.col("kth") > covered)
+        if radius and not left.limit(1).count():
             break
-        flips = [",".join(str(sum(1 << b for b in c)) for c in combinations(range(w), radius)) for _, w in parts]
-        tables = F.array(*((F.split(F.lit(x), ",") if x else F.array()).cast("array<bigint>") for x in flips))
-        probes = left.select("q", F.explode(by_segment("q")).alias("e")).select("q", "e.s", "e.v", F.get(tables, F.col("e.s")).alias("f"))
-        probes = probes.select("q", "s", F.explode(F.transform("f", lambda m: F.col("v").bitwiseXOR(m))).alias("v"))
-        found = probes.join(index, ["s", "v"]).select("q", "code", "n", _distance(F.col("q"), F.col("code")).alias("dist"))
-        found = (found if seen is None else found.unionByName(seen)).distinct()
-        seen = cut(_best(found, need).select("q", "code", "n", "dist"))
+        probes = _probes(left.select("q", F.col("kth").alias("upto")), radius, parts, high)
+        sizes = probes.groupBy("s", "b").agg(F.ceil(F.count("*") / block).cast("int").alias("nq")).join(held, ["s", "b"])
+        met = _blocks(probes, sizes, "nq", "nc", "q").groupBy("s", "b", "i", "j").cogroup(_blocks(index, sizes, "nc", "nq", "code").groupBy("s", "b", "i", "j"))
+        found = met.applyInArrow(_searcher(parts, high, need), FOUND)
+        known = left.select("q", F.explode_outer("best").alias("e")).select("q", "e.code", "e.least", "e.n", "e.dist")
+        each = found.unionByName(known).distinct()
+        best = each.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy(F.col("dist").asc_nulls_last(), "least"))).where(F.col("nth") <= need)
+        listed = best.groupBy("q").agg(F.array_sort(F.collect_list(F.when(F.col("code").isNotNull(), entry))).alias("best"))
+        reach = F.aggregate("best", F.struct(F.lit(0).alias("rows"), F.lit(BITS).alias("kth")), lambda acc, e: F.struct((acc["rows"] + e["n"]).alias("rows"), F.when((acc["rows"] < enough) & (acc["rows"] + e["n"] >= enough), e["dist"]).otherwise(acc["kth"]).alias("kth")), lambda acc: acc["kth"])
         covered = len(parts) * (radius + 1) - 1
-        state = seen.groupBy("q").agg(F.max("dist").alias("kth"), F.sum("n").alias("rows"))
-        ready = cut(state.where((F.col("rows") >= need) & (F.col("kth") <= covered)).select("q"))
-        done.append(seen.join(ready, "q", "left_semi"))
-        left, seen = cut(left.join(ready, "q", "left_anti")), seen.join(ready, "q", "left_anti")
-    if left.limit(1).count():
-        done.append(_scan(left, codes, need, block))
-    if not done:
-        done.append(_scan(left, codes, need, block))
-    best = done[0]
-    for d in done[1:]:
-        best = best.unionByName(d)
-    best = best.select("q", F.col("code").alias("found"), "dist")
-    out = asked.select(F.col("id").alias("query_id"), F.col("code").alias("q")).join(best, "q").select("query_id", "found", "dist")
-    out = out.join(codes.select(F.col("code").alias("found"), "ids"), "found").select("query_id", "dist", F.explode("ids").alias("neighbour_id")).where("neighbour_id != query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "neighbour_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "neighbour_id", F.col("dist").cast("int").alias("distance"))
-
-
-def _scan(left: DataFrame, codes: DataFrame, need: int, block: int) -> DataFrame:
-    """Queries against all codes: blocks of queries meet blocks of codes, each gives its best."""
-    nq, nc = max(1, left.count() // block), max(1, codes.count() // block)
-    a = left.select("q", F.pmod(F.xxhash64("q"), F.lit(nq)).alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
-    b = codes.select("code", "n", F.pmod(F.xxhash64("code"), F.lit(nc)).alias("j")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-
-    def near(key: tuple, x: pa.Table, y: pa.Table) -> pa.Table:
-        import numpy as np
-
-        q, c, n = x.column("q").to_numpy(), y.column("code").to_numpy(), y.column("n").to_numpy()
-        out: list[list] = [[], [], [], []]
-        for one in q:
-            dist = np.bitwise_count((c ^ one).view(np.uint64)).astype(np.int32)
-            upto = np.cumsum(np.bincount(dist, weights=n, minlength=BITS + 1))
-            at = np.flatnonzero(dist <= np.searchsorted(upto, need))  # all that can be among the nearest
-            for into, v in zip(out, (np.full(len(at), one), c[at], n[at], dist[at]), strict=True):
-                into.append(v)
-        cat = lambda v, t: pa.array(np.concatenate(v) if v else [], t)
-        return pa.table({"q": cat(out[0], pa.int64()), "code": cat(out[1], pa.int64()), "n": cat(out[2], pa.int32()), "dist": cat(out[3], pa.int32())})
-
-    found = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInArrow(near, "q long, code long, n int, dist int")
-    return _best(found, need).select("q", "code", "n", "dist")
+        done.append(state.where(F.col("kth") <= covered - len(parts)))
+        state = cut(listed.select("q", "best", reach.alias("kth"), F.lit(radius).alias("radius")))
+    answered = state
+    for d in done:
+        answered = answered.unionByName(d)
+    per_code = answered.select("q", "radius", F.explode("best").alias("e")).select("q", "radius", "e.dist", F.col("e.code").alias("code"))
+    named = spread_join(per_code, codes.select("code", "ids"), ["code"]).select("q", "radius", F.explode(F.transform("ids", lambda i: F.struct(F.col("dist").alias("dist"), i.alias("id")))).alias("e"))
+    lists = cut(named.groupBy("q", "radius").agg(F.slice(F.array_sort(F.collect_list("e")), 1, need).alias("nearest")))
+    out = spread_join(asked.select(F.col("id").alias("query_id"), F.col("code").alias("q")), lists, ["q"])
+    others = F.slice(F.filter("nearest", lambda e: e["id"] != F.col("query_id")), 1, k)
+    return out.select("query_id", "radius", F.posexplode(others).alias("at", "e")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("e.id").alias("neighbour_id"), F.col("e.dist").alias("distance"), "radius")

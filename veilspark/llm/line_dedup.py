@@ -1,22 +1,27 @@
 """Line dedup by a suffix array over line-ID sequences (operator 10).
 
 Every line that has a word is a symbol; a document is a sequence of them. Suffixes are ranked by
-distributed prefix doubling: at depth 1 a suffix has the rank of its line in the order of line
-hashes, and at depth 2h the rank of its pair (rank at i, rank at i + h) in the order of such pairs.
-Ranks are given to distinct pairs, so a very common line costs one row, and a sort by ranges with
-the partitions' row counts makes them global. A suffix whose rank is unique is settled and leaves
-the doubling, which ends at the depth asked for or when every suffix is settled.
-
-The suffixes of one rank at depth d are an interval of the suffix array whose longest common
-prefix is at least d. In each interval at depth ``min_lines``, and in each at depth 1 whose line
-has at least ``min_words`` words, the earliest suffix (by document, then position) is the original
-and each other one starts a later copy of these d lines. Deeper intervals lie inside, so what the
-copies cover together are the maximal repeated runs; their lines are deleted, the originals stay.
+distributed prefix doubling: at depth 1 a suffix stands at the place of its line in the order of
+line hashes, and at depth 2h at the place of its pair (rank at i, rank at i + h). A rank is the
+place of the first suffix of its class, so ranks of all depths compare. Places are given to distinct
+pairs and their counts, so a very common line costs one row, and a sort by ranges with the
+partitions' counts makes them global. A suffix whose class is itself alone, or whose class has come
+to the ends of its documents, is settled; the doubling ends when all suffixes are.
+
+Settled classes are the entries of the suffix array. The longest common prefix of neighbouring
+entries is found from the ranks of every depth, greatest depth first: where both have one rank at
+depth h, they share h lines and are compared h lines on. Longest stretches of neighbours whose
+common prefixes have ``min_lines`` lines are the intervals: the earliest suffix of an interval (by
+document, then position) is the original, and at each other one a later copy stands. A line of at
+least ``min_words`` words is deleted by itself, too: there the interval is the class at depth 1.
+Copies that overlap or touch make a maximal run; the lines of runs go, the originals stay.
 
 Defined results: a null or empty text has no lines and stays as it is; a line without a word is
-no symbol and stays, but a text that loses all its other lines becomes empty; rows that share a
-``doc_id`` are documents of their own, ordered by text; a row without ``doc_id`` stays as it is
-and is no original; no rows give no rows. Further columns pass through.
+no symbol and stays, but a text that loses all its other lines becomes empty; a text of any length
+is handled whole, its lines one row each; rows that share a ``doc_id`` are documents of their own,
+ordered by text; a row without ``doc_id`` stays as it is and is no original; no rows give no rows.
+Further columns pass through, whatever their names; one that is named like a result column gives
+way to it.
 """
 
 from __future__ import annotations
@@ -25,67 +30,154 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, cut, words
+from .common import SPACES, cut, spread_join, words
 
 MIN_LINES, MIN_WORDS = 2, 8
+RESULTS = ("n_lines", "n_deleted", "n_runs")
+LAST = 2**63 - 1  # stands behind every rank
+BEFORE = (Window.unboundedPreceding, -1)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs with ``_d``: a key of its own for each row that has a doc_id, null for the others."""
+    """row (the whole row) and d: a key of its own for each row that has a doc_id, null for the others."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) if twice else F.lit(1)
-    return docs.withColumn("_nth", nth).withColumn("_d", F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").cast("long").alias("doc"), F.col("_nth").cast("int").alias("nth")))).drop("_nth")
+    doc = F.col("row.doc_id").cast("long")
+    if not twice:
+        return rows.withColumn("d", doc)
+    nth = F.row_number().over(Window.partitionBy("row.doc_id").orderBy("row.text"))
+    return rows.withColumn("nth", nth).select("row", F.when(F.col("row.doc_id").isNotNull(), F.struct(doc.alias("doc"), F.col("nth"))).alias("d"))
 
 
-def line_table(docs: DataFrame, min_words: int) -> DataFrame:
-    """d, i (position among the lines with a word), a, b (128 bits of line hash), heavy (whether it has min_words words)."""
-    lines = F.filter(F.split("text", "\n", -1), lambda x: F.rtrim(x, F.lit(SPACES)) != "")
-    rows = docs.where("_d is not null and text is not null").select(F.col("_d").alias("d"), F.posexplode(lines).alias("i", "t"))
-    return rows.select("d", "i", F.xxhash64("t").alias("a"), F.xxhash64(F.lit(1), "t").alias("b"), (F.size(words(F.col("t"))) >= min_words).alias("heavy"))
+def line_table(keyed: DataFrame, min_words: int) -> DataFrame:
+    """d, i (position among the lines with a word), left (lines from there to the end), a, b (128 bits of line hash), heavy (whether it has min_words words)."""
+    lines = F.filter(F.split("row.text", "\n", -1), lambda x: F.rtrim(x, F.lit(SPACES)) != "")
+    rows = keyed.where("d is not null and row.text is not null").select("d", lines.alias("lines"))
+    rows = rows.select("d", F.size("lines").alias("all"), F.posexplode("lines").alias("i", "t"))
+    return rows.select("d", "i", (F.col("all") - F.col("i")).alias("left"), F.xxhash64("t").alias("a"), F.xxhash64(F.lit(1), "t").alias("b"), (F.size(words(F.col("t"))) >= min_words).alias("heavy"))
 
 
-def with_ranks(kinds: DataFrame, cols: list[str]) -> DataFrame:
-    """Distinct rows with ``new``, their place in the order of cols.
+def _in_order(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The rows with ``part``: range partitions of the order, kept so that they can be read again."""
+    return cut(rows.repartitionByRange(*by).withColumn("part", F.spark_partition_id()))
 
-    Places are counted inside range partitions; how many stand before a partition comes from the
-    partitions' row counts, one row each.
-    """
-    parts = cut(kinds.repartitionByRange(*cols).withColumn("part", F.spark_partition_id()))
-    ahead = parts.groupBy("part").agg(F.count("*").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    place = F.row_number().over(Window.partitionBy("part").orderBy(*cols))
-    return parts.withColumn("place", place).join(F.broadcast(ahead), "part").withColumn("new", F.col("ahead") + F.col("place")).drop("part", "place", "ahead")
+
+def _ahead(parts: DataFrame, of: Column, name: str) -> DataFrame:
+    """By part, what ``of`` comes to over all parts before it; one row per partition, so it is broadcast."""
+    per = parts.groupBy("part").agg(of.alias("told"))
+    fold = F.sum("told") if name == "ahead" else F.last("told", ignorenulls=True)
+    return F.broadcast(per.select("part", fold.over(Window.orderBy("part").rowsBetween(*BEFORE)).alias(name)))
 
 
-def suffixes(lines: DataFrame, depth: int) -> dict[int, DataFrame]:
-    """By depth 1, 2, 4 .. depth: d, i, rank, heavy, later of each suffix whose first lines, so many, occur again.
+def _placed(kinds: DataFrame, by: list[str]) -> DataFrame:
+    """kinds (with their count n) with ``new``: the place of the first suffix of each.
 
-    later: the interval of the suffix array has an earlier suffix. Each depth joins every suffix
-    with the one that starts h lines on, and only the distinct pairs are counted and sorted.
+    With ``rank`` among the columns, places are counted from the class's own. A class may go over
+    several partitions: where it starts is known from the first and last class of every partition.
+    """
+    parts = _in_order(kinds, by)
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy(*by).rowsBetween(*BEFORE)), F.lit(0))
+    placed = parts.withColumn("inside", inside).join(_ahead(parts, F.sum("n"), "ahead"), "part").withColumn("at", F.col("inside") + F.coalesce("ahead", F.lit(0)))
+    if "rank" not in kinds.columns:
+        return placed.withColumn("new", F.col("at") + 1).drop("part", "inside", "ahead", "at")
+    placed = placed.drop("inside", "ahead")
+    ends = placed.groupBy("part").agg(F.min(F.struct("rank", "at")).alias("lo"), F.max(F.struct("rank", (-F.col("at")).alias("at"))).alias("hi"))
+    starts = ends.select("lo.rank", "lo.at").union(ends.select("hi.rank", -F.col("hi.at"))).groupBy("rank").agg(F.min("at").alias("begun"))
+    border = F.broadcast(ends.select("part", F.col("lo.rank").alias("rank")).join(F.broadcast(starts), "rank").select("part", F.col("rank").alias("over"), "begun"))
+    start = F.when(F.col("rank") == F.col("over"), F.col("begun")).otherwise(F.min("at").over(Window.partitionBy("part", "rank")))
+    return placed.join(border, "part").withColumn("new", F.col("rank") + F.col("at") - start).drop("part", "at", "over", "begun")
+
+
+def suffix_levels(lines: DataFrame) -> list[DataFrame]:
+    """At depth 1, 2, 4 ..: d, i, left, top (rank at depth 1), rank, heavy, later (of depth 1), open; until no suffix is open.
+
+    A level has the suffixes that share their first lines with others at the depth before; open are
+    those whose class has to be told apart further.
     """
-    found: dict[int, DataFrame] = {}
-    now, key, h = lines, ["a", "b"], 1
-    while True:
-        kinds = now.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("d", "i")).alias("first")).where("n > 1").drop("n")
-        known = with_ranks(kinds, key)
-        now = cut(now.join(known, key).select("d", "i", F.col("new").alias("rank"), "heavy", ((F.col("first.d") != F.col("d")) | (F.col("first.i") != F.col("i"))).alias("later")))
-        found[h] = now
-        if h >= depth:
-            return found
-        on = now.select("d", (F.col("i") - h).alias("i"), F.col("rank").alias("then"))
-        now, key, h = now.join(on, ["d", "i"]), ["rank", "then"], 2 * h
-
-
-def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """d, i of each line that lies in a later copy. min_lines must be a power of two."""
-    if min_lines < 1 or min_lines & (min_lines - 1):
-        raise ValueError("min_lines must be a power of two")
-    by_depth = suffixes(cut(line_table(docs, min_words)), min_lines)
-    single = by_depth[1].where("later and heavy").select("d", "i")
-    runs = by_depth[min_lines].where("later").select("d", F.explode(F.sequence(F.col("i"), F.col("i") + (min_lines - 1))).alias("i"))
+    kinds = lines.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("left").alias("longest"), F.min(F.struct("d", "i")).alias("first")).where("n > 1")
+    kinds = _placed(kinds, ["a", "b"]).withColumn("open", F.col("longest") > 1)
+    now = spread_join(lines, kinds, ["a", "b"], counts=kinds)
+    later = (F.col("first.d") != F.col("d")) | (F.col("first.i") != F.col("i"))
+    levels = [cut(now.select("d", "i", "left", F.col("new").alias("top"), F.col("new").alias("rank"), "heavy", later.alias("later"), "open"))]
+    h = 1
+    while levels[-1].where("open").limit(1).count():
+        known = levels[-1].select("d", "i", "rank")
+        for x in levels[:-1]:
+            known = known.union(x.where("not open").select("d", "i", "rank"))
+        keep = ["d", "i", "left", "top", "rank", "heavy", "later"]
+        active = levels[-1].where("open").select(*keep)
+        on = known.select("d", (F.col("i") - h).alias("i"), F.col("rank").alias("next"))
+        # at a document's end nothing follows (0 stands before every rank); a line that occurs once makes the suffix one of its own
+        then = F.when(F.col("left") <= h, F.lit(0)).otherwise(F.coalesce("next", F.lit(LAST)))
+        active = cut(active.join(on, ["d", "i"], "left").select(*keep, then.alias("then")))
+        shared, alone = active.where(F.col("then") < LAST), active.where(F.col("then") == LAST)
+        kinds = shared.groupBy("rank", "then").agg(F.count("*").alias("n"), F.max("left").alias("longest"))
+        none = F.lit(None)
+        kinds = kinds.select("rank", "then", "n", "longest", none.cast(lines.schema["d"].dataType).alias("d"), none.cast("int").alias("i"), none.cast("int").alias("left"), none.cast("long").alias("top"), none.cast("boolean").alias("heavy"), none.cast("boolean").alias("later"))
+        kinds = kinds.union(alone.select("rank", "then", F.lit(1).cast("long"), F.lit(0), "d", "i", "left", "top", "heavy", "later"))
+        kinds = _placed(kinds, ["rank", "then", "d", "i"])
+        h *= 2
+        told = kinds.where("d is null").select("rank", "then", "n", "new", ((F.col("n") > 1) & (F.col("longest") > h)).alias("open"))
+        cols = ["d", "i", "left", "top", F.col("new").alias("rank"), "heavy", "later"]
+        joined = spread_join(shared, told, ["rank", "then"], counts=told).select(*cols, "open")
+        levels.append(cut(joined.union(kinds.where("d is not null").select(*cols, F.lit(False)))))
+    return levels
+
+
+def suffix_array(levels: list[DataFrame]) -> DataFrame:
+    """Entries in the order of rank: rank, n (equal suffixes), first (the earliest, by d and i), top, lcp (lines shared with the entry before)."""
+    settled = None
+    for k, x in enumerate(levels):
+        part = x.where("not open").select("rank", "top", "d", "i", F.lit(k).alias("level"))
+        settled = part if settled is None else settled.union(part)
+    entries = cut(settled.groupBy("rank", "top").agg(F.count("*").alias("n"), F.min(F.struct("d", "i")).alias("first"), F.max("level").alias("level")))
+    before = entries.select((F.col("rank") + F.col("n")).alias("rank"), "top", F.col("first").alias("p"), F.col("level").alias("p_level"))
+    # what settles at a level has not so many lines in common with anything else
+    depth = F.least("level", "p_level") - 1
+    pairs = cut(entries.join(before, ["rank", "top"]).select("rank", "p", F.col("first").alias("q"), depth.alias("depth"), F.lit(0).alias("lcp")))
+    going = None
+    for k in range(len(levels) - 1, -1, -1):
+        fresh = pairs.where(F.col("depth") == k)
+        going = fresh if going is None else going.union(fresh)
+        at = levels[k].select("d", "i", F.col("rank").alias("r"))
+        for side, name in (("p", "x"), ("q", "y")):
+            there = at.select(F.struct("d", "i").alias(f"{name}_at"), F.col("r").alias(name))
+            going = going.withColumn(f"{name}_at", F.struct(F.col(f"{side}.d").alias("d"), (F.col(f"{side}.i") + F.col("lcp")).cast("int").alias("i"))).join(there, f"{name}_at", "left").drop(f"{name}_at")
+        going = going.withColumn("lcp", F.col("lcp") + F.when(F.col("x") == F.col("y"), 1 << k).otherwise(0)).drop("x", "y")
+        going = cut(going) if k % 3 == 0 else going
+    return entries.drop("level").join(going.select("rank", "lcp"), "rank", "left").withColumn("lcp", F.when(F.col("lcp").isNotNull(), F.col("lcp")).otherwise(0))
+
+
+def intervals(array: DataFrame, min_lines: int) -> DataFrame:
+    """rank, n, first (of the whole interval) of every entry that lies in an interval: neighbours that share min_lines lines."""
+    parts = _in_order(array.withColumn("begins", F.when(F.col("lcp") < min_lines, F.col("rank"))), ["rank"])
+    so_far = F.last("begins", ignorenulls=True).over(Window.partitionBy("part").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    named = cut(parts.withColumn("inside", so_far).join(_ahead(parts, F.max("begins"), "over"), "part").select("rank", "n", "first", F.coalesce("inside", "over").alias("interval")))
+    # an entry whose own suffixes are shorter shares with nothing, but equal ones may be copies of each other
+    whole = cut(named.groupBy("interval").agg(F.min("first").alias("whole"), F.count("*").alias("n")))
+    return spread_join(named, whole.select("interval", "whole"), ["interval"], counts=whole).select("rank", "n", F.col("whole").alias("first"))
+
+
+def repeated_lines(keyed: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """d, i of each line that lies in a later copy."""
+    if min_lines < 1:
+        raise ValueError("min_lines must be at least 1")
+    levels = suffix_levels(cut(line_table(keyed, min_words)))
+    single = levels[0].where("later" if min_lines == 1 else "later and heavy").select("d", "i")
+    if min_lines == 1:
+        return single
+    found = cut(intervals(suffix_array(levels), min_lines))
+    suffixes = None
+    for x in levels:
+        part = x.where(f"not open and left >= {min_lines}").select("rank", "d", "i")
+        suffixes = part if suffixes is None else suffixes.union(part)
+    suffixes = spread_join(suffixes, found, ["rank"], counts=found)
+    copies = suffixes.where((F.col("first.d") != F.col("d")) | (F.col("first.i") != F.col("i")))
+    runs = copies.select("d", F.explode(F.sequence(F.col("i"), F.col("i") + (min_lines - 1))).alias("i"))
     return single.union(runs).distinct()
 
 
@@ -95,38 +187,44 @@ def maximal_runs(lines: DataFrame) -> DataFrame:
     return lines.withColumn("island", island).groupBy("d", "island").agg(F.min("i").alias("start"), F.count("*").alias("n_lines")).drop("island")
 
 
-def _without(text: str, gone: np.ndarray) -> tuple[str, int, int]:
+def _without(text: str, gone: np.ndarray) -> tuple[str, int, int, int]:
+    """The text that is left; lines with a word; deleted ones; runs of these."""
     lines = text.split("\n")
     symbols = [j for j, x in enumerate(lines) if x.rstrip(SPACES)]
-    out = {symbols[i] for i in gone}
+    at = set(gone)
+    out = {symbols[i] for i in at}
     left = "\n".join(x for j, x in enumerate(lines) if j not in out) if len(out) < len(symbols) else ""
-    return left, len(symbols), len(out)
+    return left, len(symbols), len(out), sum(i - 1 not in at for i in at)
 
 
 def delete_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows of docs with their text less the later copies, and ``_n_lines`` and ``_n_deleted``."""
+    """The rows of docs with their text less the later copies, and ``n_lines``, ``n_deleted`` and ``n_runs``."""
+    docs = docs.drop(*RESULTS)
     keyed = numbered(docs)
-    gone = repeated_lines(keyed, min_lines, min_words).groupBy(F.col("d").alias("_d")).agg(F.collect_list("i").alias("_gone"))
-    joined = keyed.join(gone, "_d", "left").drop("_d")
-    names = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("_n_lines", T.IntegerType()), T.StructField("_n_deleted", T.IntegerType())])
+    gone = repeated_lines(keyed, min_lines, min_words).groupBy("d").agg(F.collect_list("i").alias("gone"))
+    joined = keyed.join(gone, "d", "left").select("row", "gone")
+    names = [*docs.columns, *RESULTS]
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.IntegerType()) for c in RESULTS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = dict(zip(b.schema.names, b.columns, strict=True))
-            texts, n, m = [], [], []
-            for text, gone in zip(cols["text"].to_pylist(), cols["_gone"].to_pylist(), strict=True):
+            row = b.column("row")
+            cols = dict(zip((f.name for f in row.type), row.flatten(), strict=True))
+            texts, told = [], []
+            for text, gone in zip(cols["text"].to_pylist(), b.column("gone").to_pylist(), strict=True):
                 got = _without(text or "", gone or [])
-                texts.append(text if not gone else got[0])
-                n.append(got[1])
-                m.append(got[2])
+                texts.append(got[0] if gone else text)
+                told.append(got[1:])
             cols["text"] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*(cols[c] for c in names), pa.array(n, pa.int32()), pa.array(m, pa.int32())], names=[*names, "_n_lines", "_n_deleted"])
+            yield pa.RecordBatch.from_arrays([*cols.values(), *(pa.array([t[k] for t in told], pa.int32()) for k in range(len(RESULTS)))], names=names)
 
     return joined.mapInArrow(run, schema)
 
 
 def clean_documents(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of docs without later copies of lines; n_chars follows the text; what has lost every line goes."""
-    out = delete_lines(docs, min_lines, min_words).where((F.col("_n_deleted") == 0) | (F.col("text") != ""))
-    return (out.withColumn("n_chars", F.when(F.col("_n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out).select(*docs.columns)
+    asked = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in RESULTS), F.struct(*(F.col(f"`{c}`") for c in RESULTS if c in docs.columns), F.lit(0).alias("_")).alias("n_lines_kept_aside")) if set(RESULTS) & set(docs.columns) else docs
+    out = delete_lines(asked, min_lines, min_words).where("n_deleted = 0 or text != ''")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*(F.col(f"n_lines_kept_aside.{c}").alias(c) if c in RESULTS else F.col(f"`{c}`") for c in docs.columns))

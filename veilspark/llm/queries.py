@@ -31,7 +31,7 @@ def op5_pack_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hamming_search.sign_code(F.col("embedding")).alias("code"))
-    return hamming_search.search(rows.where("id % 20 = 0"), rows)
+    return hamming_search.search(rows.where("id % 20 = 0"), rows).drop("radius")
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,8 +49,7 @@ def op9_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.delete_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.withColumnsRenamed({"_n_lines": "n_lines", "_n_deleted": "n_deleted"})
+    return line_dedup.delete_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES = {
@@ -72,7 +71,12 @@ _ASSIGN = f"""(?:{_KEYWORD})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)""
 _KINDS = ((_ASSIGN, "assign"), ("AKIA[A-Z0-9]{12,}", "access"), ("[0-9a-f]{32,}", "hex"), ("[A-Za-z0-9+/_=-]{20,}", "token"))
 _FOUND = " UNION ALL ".join(f"SELECT doc_id, source, lang, {k} AS kind, '{name}' AS name, regexp_extract_all(t, '{p}', 0) AS m, string_split_regex(t, '{p}') AS g FROM d WHERE regexp_matches(t, '{p}')" for k, (p, name) in enumerate(_KINDS))
 
+_SIGNS = "list_transform(embedding, lambda x: x > 0)"
+
 ORACLE: dict[str, str] = {
+    "op6_hamming_topk": f"""WITH c AS (SELECT vec_id AS id, {_SIGNS} AS s FROM embeddings WHERE len(embedding) > 0),
+ d AS (SELECT q.id AS query_id, r.id AS neighbour_id, len(list_filter(list_transform(generate_series(1, len(q.s)), lambda i: q.s[i] IS DISTINCT FROM r.s[i]), lambda x: x)) AS distance FROM c q, c r WHERE q.id % 20 = 0 AND q.id <> r.id),
+ n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS rank FROM d) SELECT query_id, rank, neighbour_id, distance FROM n WHERE rank <= 10""",
     "op2_secret_ownership": f"""WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents), raw AS ({_FOUND}),
  sp AS (SELECT *, unnest(generate_series(1, len(m))) AS i FROM raw),
  pos AS (SELECT doc_id, source, lang, kind, name, m[i] AS v, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))::BIGINT AS s FROM sp),
