@@ -124,7 +124,7 @@ def test_lines_match_brute_force(spark, sf, odd, clashing, m):
 
 def test_suffix_array_against_sorted_suffixes(spark, monkeypatch):
     """Few kinds of lines, so that runs are long; every key counts as hot. Order, ties and common prefixes against plain Python."""
-    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
     rng = np.random.default_rng(11)
     base = [f"line {x}" for x in rng.integers(0, 3, 40)]
     docs = [(k, "\n".join([*base[s : s + n], *(f"line {x}" for x in rng.integers(0, 4, 3))])) for k, (s, n) in enumerate(zip(rng.integers(0, 30, 12), rng.integers(0, 30, 12), strict=True))]
@@ -180,7 +180,7 @@ def brute_search(rows, k):
 @pytest.mark.parametrize("block", [8, 64, 2048])
 def test_search_is_exact(spark, monkeypatch, block):
     """Buckets far smaller than what shares a segment's value; every key counts as hot."""
-    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
     rng = np.random.default_rng(5)
     codes = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, size=60)]
     near = [codes[i % 20] ^ (1 << int(rng.integers(60))) ^ (1 << int(rng.integers(60))) for i in range(300)]

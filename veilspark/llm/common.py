@@ -61,11 +61,13 @@ def spread_join(many: DataFrame, one: DataFrame, on: list[str], how: str = "inne
     """
     if counts is None:
         counts = many.groupBy(*on).agg(F.count("*").alias("n"))
-    large = cut(counts.select(*on, "n").where(f"n >= {HOT_ROWS}").orderBy(F.desc("n"), *on).limit(HOT_KEYS - 1))
-    if not (most := large.count()):
+    wanted = [*on, "n"]
+    large = counts.select(*wanted).where(f"n >= {HOT_ROWS}").orderBy(F.desc("n"), *on).limit(HOT_KEYS - 1).collect()
+    total = many.count() if len(large) == HOT_KEYS - 1 else 0  # with fewer of them, all may be dealt out
+    if not (large := [r for r in large if r["n"] > total / HOT_KEYS]):
         return many.join(one, on, how)
-    total = many.count() if most == HOT_KEYS - 1 else 0  # with fewer of them, all may be dealt out
-    hot = F.broadcast(large.where(F.col("n") > total / HOT_KEYS).select(*on, F.lit(1).alias("__hot")))
+    found = many.sparkSession.createDataFrame(large, counts.select(*wanted).schema)
+    hot = F.broadcast(found.select(*on, F.lit(1).alias("__hot")))
     deal = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in many.columns)), F.lit(salts))
     left = many.join(hot, on, "left").withColumn("__salt", F.when(F.col("__hot") == 1, deal).otherwise(0).cast("int")).drop("__hot")
     copies = F.when(F.col("__hot") == 1, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))

@@ -4,8 +4,8 @@ Every line that has a word is a symbol; a document is a sequence of them. Suffix
 distributed prefix doubling: at depth 1 a suffix stands at the place of its line in the order of
 line hashes, and at depth 2h at the place of its pair (rank at i, rank at i + h). A rank is the
 place of the first suffix of its class, so ranks of all depths compare. Places are given to distinct
-pairs and their counts, so a very common line costs one row, and a sort by ranges with the
-partitions' counts makes them global. A suffix whose class is itself alone, or whose class has come
+pairs and their counts, so a very common line costs one row, and counts by stretches of the order
+make them global. A suffix whose class is itself alone, or whose class has come
 to the ends of its documents, is settled; the doubling ends when all suffixes are.
 
 Settled classes are the entries of the suffix array. The longest common prefix of neighbouring
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, cut, spread_join, words
+from .common import HOT_ROWS, SPACES, cut, spread_join, words, write_table
 
 MIN_LINES, MIN_WORDS = 2, 8
 RESULTS = ("n_lines", "n_deleted", "n_runs")
@@ -61,70 +61,63 @@ def line_table(keyed: DataFrame, min_words: int) -> DataFrame:
     return rows.select("d", "i", (F.col("all") - F.col("i")).alias("left"), F.xxhash64("t").alias("a"), F.xxhash64(F.lit(1), "t").alias("b"), (F.size(words(F.col("t"))) >= min_words).alias("heavy"))
 
 
-def _in_order(rows: DataFrame, by: list[str]) -> DataFrame:
-    """The rows with ``part``: range partitions of the order, kept so that they can be read again."""
-    return cut(rows.repartitionByRange(*by).withColumn("part", F.spark_partition_id()))
+def _buckets(total: int) -> int:
+    """How many stretches the places of so many suffixes are cut into."""
+    return max(64, total // 200_000)
 
 
-def _ahead(parts: DataFrame, of: Column, name: str) -> DataFrame:
-    """By part, what ``of`` comes to over all parts before it; one row per partition, so it is broadcast."""
-    per = parts.groupBy("part").agg(of.alias("told"))
-    fold = F.sum("told") if name == "ahead" else F.last("told", ignorenulls=True)
-    return F.broadcast(per.select("part", fold.over(Window.orderBy("part").rowsBetween(*BEFORE)).alias(name)))
+def _before(kinds: DataFrame, within: list[str], by: list[str]) -> DataFrame:
+    """kinds with ``before``: how many suffixes (n) come before each kind, of its class (within) or of all.
 
-
-def _placed(kinds: DataFrame, by: list[str]) -> DataFrame:
-    """kinds (with their count n) with ``new``: the place of the first suffix of each.
-
-    With ``rank`` among the columns, places are counted from the class's own. A class may go over
-    several partitions: where it starts is known from the first and last class of every partition.
+    They are counted inside the kind's ``bucket``, a stretch of the order, and over the buckets before
+    it; so a class of any size is counted in many tasks, and what is ordered at once is a bucket or a
+    row per bucket.
     """
-    parts = _in_order(kinds, by)
-    inside = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy(*by).rowsBetween(*BEFORE)), F.lit(0))
-    placed = parts.withColumn("inside", inside).join(_ahead(parts, F.sum("n"), "ahead"), "part").withColumn("at", F.col("inside") + F.coalesce("ahead", F.lit(0)))
-    if "rank" not in kinds.columns:
-        return placed.withColumn("new", F.col("at") + 1).drop("part", "inside", "ahead", "at")
-    placed = placed.drop("inside", "ahead")
-    ends = placed.groupBy("part").agg(F.min(F.struct("rank", "at")).alias("lo"), F.max(F.struct("rank", (-F.col("at")).alias("at"))).alias("hi"))
-    starts = ends.select("lo.rank", "lo.at").union(ends.select("hi.rank", -F.col("hi.at"))).groupBy("rank").agg(F.min("at").alias("begun"))
-    border = F.broadcast(ends.select("part", F.col("lo.rank").alias("rank")).join(F.broadcast(starts), "rank").select("part", F.col("rank").alias("over"), "begun"))
-    start = F.when(F.col("rank") == F.col("over"), F.col("begun")).otherwise(F.min("at").over(Window.partitionBy("part", "rank")))
-    return placed.join(border, "part").withColumn("new", F.col("rank") + F.col("at") - start).drop("part", "at", "over", "begun")
+    inside = F.sum("n").over(Window.partitionBy(*within, "bucket").orderBy(*by).rowsBetween(*BEFORE))
+    dealt = kinds.withColumn("inside", F.coalesce(inside, F.lit(0)))
+    ahead = F.sum("held").over(Window.partitionBy(*within).orderBy("bucket").rowsBetween(*BEFORE))
+    per = dealt.groupBy(*within, "bucket").agg(F.sum("n").alias("held")).select(*within, "bucket", F.coalesce(ahead, F.lit(0)).alias("ahead"))
+    return dealt.join(per, [*within, "bucket"]).withColumn("before", F.col("inside") + F.col("ahead")).drop("bucket", "inside", "ahead")
 
 
 def suffix_levels(lines: DataFrame) -> list[DataFrame]:
-    """At depth 1, 2, 4 ..: d, i, left, top (rank at depth 1), rank, heavy, later (of depth 1), open; until no suffix is open.
+    """At depth 1, 2, 4 ..: d, i, left, top (rank at depth 1), rank, n (of the class), heavy, later (of depth 1), open; until no suffix is open.
 
     A level has the suffixes that share their first lines with others at the depth before; open are
     those whose class has to be told apart further.
     """
+    total = lines.count()
+    buckets = _buckets(total)
+    stretch = lambda place: F.floor(place.cast("double") * buckets / (total + 1)).cast("int")
     kinds = lines.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("left").alias("longest"), F.min(F.struct("d", "i")).alias("first")).where("n > 1")
-    kinds = _placed(kinds, ["a", "b"]).withColumn("open", F.col("longest") > 1)
+    high = F.floor((F.col("a").cast("double") + 2.0**63) * (buckets / 2.0**64)).cast("int")
+    kinds = cut(_before(kinds.withColumn("bucket", high), [], ["a", "b"]).select("a", "b", "n", "first", (F.col("before") + 1).alias("rank"), (F.col("longest") > 1).alias("open")))
     now = spread_join(lines, kinds, ["a", "b"], counts=kinds)
     later = (F.col("first.d") != F.col("d")) | (F.col("first.i") != F.col("i"))
-    levels = [cut(now.select("d", "i", "left", F.col("new").alias("top"), F.col("new").alias("rank"), "heavy", later.alias("later"), "open"))]
+    keep = ["d", "i", "left", "top", "heavy", "later"]
+    levels = [cut(now.select("d", "i", "left", F.col("rank").alias("top"), "heavy", later.alias("later"), "rank", "n", "open"))]
     h = 1
-    while levels[-1].where("open").limit(1).count():
+    while (most := levels[-1].where("open").agg(F.max("n")).first()[0]) is not None:
         known = levels[-1].select("d", "i", "rank")
         for x in levels[:-1]:
             known = known.union(x.where("not open").select("d", "i", "rank"))
-        keep = ["d", "i", "left", "top", "rank", "heavy", "later"]
-        active = levels[-1].where("open").select(*keep)
         on = known.select("d", (F.col("i") - h).alias("i"), F.col("rank").alias("next"))
         # at a document's end nothing follows (0 stands before every rank); a line that occurs once makes the suffix one of its own
         then = F.when(F.col("left") <= h, F.lit(0)).otherwise(F.coalesce("next", F.lit(LAST)))
-        active = cut(active.join(on, ["d", "i"], "left").select(*keep, then.alias("then")))
+        active = cut(levels[-1].where("open").select(*keep, "rank").join(on, ["d", "i"], "left").select(*keep, "rank", then.alias("then")))
         shared, alone = active.where(F.col("then") < LAST), active.where(F.col("then") == LAST)
-        kinds = shared.groupBy("rank", "then").agg(F.count("*").alias("n"), F.max("left").alias("longest"))
-        none = F.lit(None)
-        kinds = kinds.select("rank", "then", "n", "longest", none.cast(lines.schema["d"].dataType).alias("d"), none.cast("int").alias("i"), none.cast("int").alias("left"), none.cast("long").alias("top"), none.cast("boolean").alias("heavy"), none.cast("boolean").alias("later"))
-        kinds = kinds.union(alone.select("rank", "then", F.lit(1).cast("long"), F.lit(0), "d", "i", "left", "top", "heavy", "later"))
-        kinds = _placed(kinds, ["rank", "then", "d", "i"])
+        none = [F.lit(None).cast(lines.schema[c].dataType).alias(c) for c in ("d", "i")]
+        kinds = shared.groupBy("rank", "then").agg(F.count("*").alias("n"), F.max("left").alias("longest")).select("rank", "then", "n", "longest", stretch(F.col("then")).alias("bucket"), *none)
+        single = alone.select("rank", "then", F.lit(1).cast("long"), F.lit(0), (F.pmod(F.xxhash64("d", "i"), F.lit(buckets)) + buckets).cast("int"), "d", "i")
         h *= 2
-        told = kinds.where("d is null").select("rank", "then", "n", "new", ((F.col("n") > 1) & (F.col("longest") > h)).alias("open"))
-        cols = ["d", "i", "left", "top", F.col("new").alias("rank"), "heavy", "later"]
-        joined = spread_join(shared, told, ["rank", "then"], counts=told).select(*cols, "open")
-        levels.append(cut(joined.union(kinds.where("d is not null").select(*cols, F.lit(False)))))
+        placed = _before(kinds.union(single), ["rank"], ["then", "d", "i"])
+        told = cut(placed.select("rank", "then", "n", "d", "i", (F.col("rank") + F.col("before")).alias("new"), ((F.col("n") > 1) & (F.col("longest") > h)).alias("open")))
+        of_pairs = told.where("d is null").drop("d", "i")
+        # a class is no larger than the one that it was part of
+        joined = spread_join(shared, of_pairs, ["rank", "then"], counts=of_pairs) if most >= HOT_ROWS else shared.join(of_pairs, ["rank", "then"])
+        lone = alone.join(told.where("d is not null").select("d", "i", "new"), ["d", "i"])
+        cols = [*keep, F.col("new").alias("rank")]
+        levels.append(cut(joined.select(*cols, "n", "open").union(lone.select(*cols, F.lit(1).cast("long"), F.lit(False)))))
     return levels
 
 
@@ -138,27 +131,33 @@ def suffix_array(levels: list[DataFrame]) -> DataFrame:
     before = entries.select((F.col("rank") + F.col("n")).alias("rank"), "top", F.col("first").alias("p"), F.col("level").alias("p_level"))
     # what settles at a level has not so many lines in common with anything else
     depth = F.least("level", "p_level") - 1
-    pairs = cut(entries.join(before, ["rank", "top"]).select("rank", "p", F.col("first").alias("q"), depth.alias("depth"), F.lit(0).alias("lcp")))
-    going = None
+    ends = [F.col(f"{x}.{c}").alias(f"{y}{c}") for x, y in (("p", "p"), ("first", "q")) for c in ("d", "i")]
+    pairs = write_table(entries.join(before, ["rank", "top"]).select("rank", *ends, depth.alias("depth"), F.lit(0).alias("lcp")), "pairs")
+    going = pairs.where("false").drop("depth")
     for k in range(len(levels) - 1, -1, -1):
-        fresh = pairs.where(F.col("depth") == k)
-        going = fresh if going is None else going.union(fresh)
-        at = levels[k].select("d", "i", F.col("rank").alias("r"))
-        for side, name in (("p", "x"), ("q", "y")):
-            there = at.select(F.struct("d", "i").alias(f"{name}_at"), F.col("r").alias(name))
-            going = going.withColumn(f"{name}_at", F.struct(F.col(f"{side}.d").alias("d"), (F.col(f"{side}.i") + F.col("lcp")).cast("int").alias("i"))).join(there, f"{name}_at", "left").drop(f"{name}_at")
-        going = going.withColumn("lcp", F.col("lcp") + F.when(F.col("x") == F.col("y"), 1 << k).otherwise(0)).drop("x", "y")
-        going = cut(going) if k % 3 == 0 else going
-    return entries.drop("level").join(going.select("rank", "lcp"), "rank", "left").withColumn("lcp", F.when(F.col("lcp").isNotNull(), F.col("lcp")).otherwise(0))
-
-
-def intervals(array: DataFrame, min_lines: int) -> DataFrame:
-    """rank, n, first (of the whole interval) of every entry that lies in an interval: neighbours that share min_lines lines."""
-    parts = _in_order(array.withColumn("begins", F.when(F.col("lcp") < min_lines, F.col("rank"))), ["rank"])
-    so_far = F.last("begins", ignorenulls=True).over(Window.partitionBy("part").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    named = cut(parts.withColumn("inside", so_far).join(_ahead(parts, F.max("begins"), "over"), "part").select("rank", "n", "first", F.coalesce("inside", "over").alias("interval")))
-    # an entry whose own suffixes are shorter shares with nothing, but equal ones may be copies of each other
-    whole = cut(named.groupBy("interval").agg(F.min("first").alias("whole"), F.count("*").alias("n")))
+        asked = pairs.where(F.col("depth") == k).drop("depth").union(going)
+        for side in ("p", "q"):
+            there = levels[k].select(F.col("d").alias(f"{side}d"), F.col("i").alias("at"), F.col("rank").alias(f"{side}r"))
+            asked = asked.withColumn("at", F.col(f"{side}i") + F.col("lcp")).join(there, [f"{side}d", "at"], "left").drop("at")
+        more = F.when(F.col("pr") == F.col("qr"), 1 << k).otherwise(0)
+        # a file at each depth: a checkpoint would carry the constraints of all joins into the next plan
+        going = write_table(asked.select("rank", "pd", "pi", "qd", "qi", (F.col("lcp") + more).alias("lcp")), f"shared-{1 << k}")
+    return entries.drop("level").join(going.select("rank", "lcp"), "rank", "left").withColumn("lcp", F.coalesce("lcp", F.lit(0)))
+
+
+def intervals(array: DataFrame, min_lines: int, total: int) -> DataFrame:
+    """rank, n, first (of the whole interval) of every entry, with the interval it lies in: neighbours that share min_lines lines.
+
+    An interval goes on from where it last began, in the entry's own stretch of places or, where none
+    began there, in the stretches before.
+    """
+    buckets = _buckets(total)
+    dealt = array.withColumn("bucket", F.floor(F.col("rank").cast("double") * buckets / (total + 1)).cast("int")).withColumn("begins", F.when(F.col("lcp") < min_lines, F.col("rank")))
+    inside = F.last("begins", ignorenulls=True).over(Window.partitionBy("bucket").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    over = F.last("begun", ignorenulls=True).over(Window.orderBy("bucket").rowsBetween(*BEFORE))
+    per = dealt.groupBy("bucket").agg(F.max("begins").alias("begun")).select("bucket", over.alias("over"))
+    named = cut(dealt.withColumn("inside", inside).join(per, "bucket").select("rank", "n", "first", F.coalesce("inside", "over").alias("interval")))
+    whole = named.groupBy("interval").agg(F.min("first").alias("whole"), F.count("*").alias("n"))
     return spread_join(named, whole.select("interval", "whole"), ["interval"], counts=whole).select("rank", "n", F.col("whole").alias("first"))
 
 
@@ -170,7 +169,7 @@ def repeated_lines(keyed: DataFrame, min_lines: int = MIN_LINES, min_words: int
     single = levels[0].where("later" if min_lines == 1 else "later and heavy").select("d", "i")
     if min_lines == 1:
         return single
-    found = cut(intervals(suffix_array(levels), min_lines))
+    found = cut(intervals(suffix_array(levels), min_lines, levels[0].count()))
     suffixes = None
     for x in levels:
         part = x.where(f"not open and left >= {min_lines}").select("rank", "d", "i")
