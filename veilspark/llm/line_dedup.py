@@ -105,19 +105,19 @@ def suffix_levels(lines: DataFrame) -> list[DataFrame]:
         # at a document's end nothing follows (0 stands before every rank); a line that occurs once makes the suffix one of its own
         then = F.when(F.col("left") <= h, F.lit(0)).otherwise(F.coalesce("next", F.lit(LAST)))
         active = cut(levels[-1].where("open").select(*keep, "rank").join(on, ["d", "i"], "left").select(*keep, "rank", then.alias("then")))
-        shared, alone = active.where(F.col("then") < LAST), active.where(F.col("then") == LAST)
-        none = [F.lit(None).cast(lines.schema[c].dataType).alias(c) for c in ("d", "i")]
-        kinds = shared.groupBy("rank", "then").agg(F.count("*").alias("n"), F.max("left").alias("longest")).select("rank", "then", "n", "longest", stretch(F.col("then")).alias("bucket"), *none)
-        single = alone.select("rank", "then", F.lit(1).cast("long"), F.lit(0), (F.pmod(F.xxhash64("d", "i"), F.lit(buckets)) + buckets).cast("int"), "d", "i")
+        alone = F.col("then") == LAST
+        pair = ["rank", "then", F.when(alone, F.col("d")).alias("own_d"), F.when(alone, F.col("i")).alias("own_i")]
+        bucket = F.when(F.col("own_i").isNull(), stretch(F.col("then"))).otherwise(F.pmod(F.xxhash64("own_d", "own_i"), F.lit(buckets)) + buckets).cast("int")
+        kinds = active.groupBy(*pair).agg(F.count("*").alias("n"), F.max("left").alias("longest")).withColumn("bucket", bucket)
         h *= 2
-        placed = _before(kinds.union(single), ["rank"], ["then", "d", "i"])
-        told = cut(placed.select("rank", "then", "n", "d", "i", (F.col("rank") + F.col("before")).alias("new"), ((F.col("n") > 1) & (F.col("longest") > h)).alias("open")))
-        of_pairs = told.where("d is null").drop("d", "i")
+        placed = _before(kinds, ["rank"], ["then", "own_d", "own_i"])
+        told = placed.select("rank", "then", "own_d", "own_i", "n", (F.col("rank") + F.col("before")).alias("new"), ((F.col("n") > 1) & (F.col("longest") > h)).alias("open"))
+        told = told.withColumns({"own_d": F.coalesce(F.col("own_d").cast("string"), F.lit("")), "own_i": F.coalesce("own_i", F.lit(-1))})
+        asked = active.withColumns({"own_d": F.when(alone, F.col("d").cast("string")).otherwise(""), "own_i": F.when(alone, F.col("i")).otherwise(-1)})
         # a class is no larger than the one that it was part of
-        joined = spread_join(shared, of_pairs, ["rank", "then"], counts=of_pairs) if most >= HOT_ROWS else shared.join(of_pairs, ["rank", "then"])
-        lone = alone.join(told.where("d is not null").select("d", "i", "new"), ["d", "i"])
-        cols = [*keep, F.col("new").alias("rank")]
-        levels.append(cut(joined.select(*cols, "n", "open").union(lone.select(*cols, F.lit(1).cast("long"), F.lit(False)))))
+        on = ["rank", "then", "own_d", "own_i"]
+        joined = spread_join(asked, told, on, counts=told) if most >= HOT_ROWS else asked.join(told, on)
+        levels.append(cut(joined.select(*keep, F.col("new").alias("rank"), "n", "open")))
     return levels
 
 
@@ -140,8 +140,9 @@ def suffix_array(levels: list[DataFrame]) -> DataFrame:
             there = levels[k].select(F.col("d").alias(f"{side}d"), F.col("i").alias("at"), F.col("rank").alias(f"{side}r"))
             asked = asked.withColumn("at", F.col(f"{side}i") + F.col("lcp")).join(there, [f"{side}d", "at"], "left").drop("at")
         more = F.when(F.col("pr") == F.col("qr"), 1 << k).otherwise(0)
-        # a file at each depth: a checkpoint would carry the constraints of all joins into the next plan
-        going = write_table(asked.select("rank", "pd", "pi", "qd", "qi", (F.col("lcp") + more).alias("lcp")), f"shared-{1 << k}")
+        going = asked.select("rank", "pd", "pi", "qd", "qi", (F.col("lcp") + more).alias("lcp"))
+        # files, since a checkpoint would carry the constraints of all joins into the next plan
+        going = write_table(going, f"shared-{1 << k}") if k % 3 == 0 else going
     return entries.drop("level").join(going.select("rank", "lcp"), "rank", "left").withColumn("lcp", F.coalesce("lcp", F.lit(0)))
 
 
