@@ -122,9 +122,11 @@ def test_lines_match_brute_force(spark, sf, odd, clashing, m):
         assert got == brute_lines(df.collect(), m)
 
 
-def test_suffix_array_against_sorted_suffixes(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [2, 10_000])
+def test_suffix_array_against_sorted_suffixes(spark, monkeypatch, hot):
     """Few kinds of lines, so that runs are long; every key counts as hot. Order, ties and common prefixes against plain Python."""
     monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(line_dedup, "HOT_ROWS", hot)
     rng = np.random.default_rng(11)
     base = [f"line {x}" for x in rng.integers(0, 3, 40)]
     docs = [(k, "\n".join([*base[s : s + n], *(f"line {x}" for x in rng.integers(0, 4, 3))])) for k, (s, n) in enumerate(zip(rng.integers(0, 30, 12), rng.integers(0, 30, 12), strict=True))]
@@ -145,6 +147,9 @@ def test_suffix_array_against_sorted_suffixes(spark, monkeypatch):
     shared = lambda x, y: next((k for k, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
     lcp = [e["lcp"] for e in entries]
     assert lcp == [0, *(shared(a, b) for (a, *_), (b, *_) in zip(got, got[1:], strict=False))]
+    for most in (1, 2, 3, 5):
+        upto = [min(e["lcp"], most) for e in line_dedup.suffix_array(levels, most).orderBy("rank").collect()]
+        assert upto == [min(x, most) for x in lcp]
     for a in range(0, len(got), 7):  # in a sorted list what two entries share is the least that neighbours share between them
         for b in range(a + 1, len(got), 5):
             assert shared(got[a][0], got[b][0]) == min(lcp[a + 1 : b + 1])

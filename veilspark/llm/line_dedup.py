@@ -66,6 +66,10 @@ def _buckets(total: int) -> int:
     return max(64, total // 200_000)
 
 
+def _stretch(place: Column, buckets: int, total: int) -> Column:
+    return F.floor(place.cast("double") * buckets / (total + 1)).cast("int")
+
+
 def _before(kinds: DataFrame, within: list[str], by: list[str]) -> DataFrame:
     """kinds with ``before``: how many suffixes (n) come before each kind, of its class (within) or of all.
 
@@ -80,6 +84,25 @@ def _before(kinds: DataFrame, within: list[str], by: list[str]) -> DataFrame:
     return dealt.join(per, [*within, "bucket"]).withColumn("before", F.col("inside") + F.col("ahead")).drop("bucket", "inside", "ahead")
 
 
+PAIR = ["rank", "then", "own_d", "own_i"]
+
+
+def _told_apart(active: DataFrame, buckets: int, total: int) -> DataFrame:
+    """Suffixes with the rank and n of their pair, where each class has fewer rows than HOT_ROWS: a class is ordered at once."""
+    place = F.rank().over(Window.partitionBy("rank").orderBy("then", "own_d", "own_i"))
+    pair = Window.partitionBy(*PAIR)
+    return active.select("*", place.alias("place"), F.count("*").over(pair).alias("n"), F.max("left").over(pair).alias("longest")).withColumn("rank", F.col("rank") + F.col("place") - 1)
+
+
+def _told_apart_by_stretches(active: DataFrame, buckets: int, total: int) -> DataFrame:
+    """The same where there are classes of any size: distinct pairs are counted and placed, then joined back."""
+    alone = F.pmod(F.xxhash64("own_d", "own_i"), F.lit(buckets)) + buckets
+    bucket = F.when(F.col("own_i") < 0, _stretch(F.col("then"), buckets, total)).otherwise(alone).cast("int")
+    kinds = active.groupBy(*PAIR).agg(F.count("*").alias("n"), F.max("left").alias("longest")).withColumn("bucket", bucket)
+    told = _before(kinds, ["rank"], ["then", "own_d", "own_i"])
+    return spread_join(active, told, PAIR, counts=told).withColumn("rank", F.col("rank") + F.col("before"))
+
+
 def suffix_levels(lines: DataFrame) -> list[DataFrame]:
     """At depth 1, 2, 4 ..: d, i, left, top (rank at depth 1), rank, n (of the class), heavy, later (of depth 1), open; until no suffix is open.
 
@@ -88,7 +111,6 @@ def suffix_levels(lines: DataFrame) -> list[DataFrame]:
     """
     total = lines.count()
     buckets = _buckets(total)
-    stretch = lambda place: F.floor(place.cast("double") * buckets / (total + 1)).cast("int")
     kinds = lines.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("left").alias("longest"), F.min(F.struct("d", "i")).alias("first")).where("n > 1")
     high = F.floor((F.col("a").cast("double") + 2.0**63) * (buckets / 2.0**64)).cast("int")
     kinds = cut(_before(kinds.withColumn("bucket", high), [], ["a", "b"]).select("a", "b", "n", "first", (F.col("before") + 1).alias("rank"), (F.col("longest") > 1).alias("open")))
@@ -106,35 +128,32 @@ def suffix_levels(lines: DataFrame) -> list[DataFrame]:
         then = F.when(F.col("left") <= h, F.lit(0)).otherwise(F.coalesce("next", F.lit(LAST)))
         active = cut(levels[-1].where("open").select(*keep, "rank").join(on, ["d", "i"], "left").select(*keep, "rank", then.alias("then")))
         alone = F.col("then") == LAST
-        pair = ["rank", "then", F.when(alone, F.col("d")).alias("own_d"), F.when(alone, F.col("i")).alias("own_i")]
-        bucket = F.when(F.col("own_i").isNull(), stretch(F.col("then"))).otherwise(F.pmod(F.xxhash64("own_d", "own_i"), F.lit(buckets)) + buckets).cast("int")
-        kinds = active.groupBy(*pair).agg(F.count("*").alias("n"), F.max("left").alias("longest")).withColumn("bucket", bucket)
+        active = active.withColumns({"own_d": F.when(alone, F.col("d").cast("string")).otherwise(""), "own_i": F.when(alone, F.col("i")).otherwise(-1)})
         h *= 2
-        placed = _before(kinds, ["rank"], ["then", "own_d", "own_i"])
-        told = placed.select("rank", "then", "own_d", "own_i", "n", (F.col("rank") + F.col("before")).alias("new"), ((F.col("n") > 1) & (F.col("longest") > h)).alias("open"))
-        told = told.withColumns({"own_d": F.coalesce(F.col("own_d").cast("string"), F.lit("")), "own_i": F.coalesce("own_i", F.lit(-1))})
-        asked = active.withColumns({"own_d": F.when(alone, F.col("d").cast("string")).otherwise(""), "own_i": F.when(alone, F.col("i")).otherwise(-1)})
-        # a class is no larger than the one that it was part of
-        on = ["rank", "then", "own_d", "own_i"]
-        joined = spread_join(asked, told, on, counts=told) if most >= HOT_ROWS else asked.join(told, on)
-        levels.append(cut(joined.select(*keep, F.col("new").alias("rank"), "n", "open")))
+        levels.append(cut((_told_apart if most < HOT_ROWS else _told_apart_by_stretches)(active, buckets, total).select(*keep, "rank", "n", ((F.col("n") > 1) & (F.col("longest") > h)).alias("open"))))
     return levels
 
 
-def suffix_array(levels: list[DataFrame]) -> DataFrame:
-    """Entries in the order of rank: rank, n (equal suffixes), first (the earliest, by d and i), top, lcp (lines shared with the entry before)."""
+def suffix_array(levels: list[DataFrame], most: int | None = None) -> DataFrame:
+    """Entries in the order of rank: rank, n (equal suffixes), first (the earliest, by d and i), lcp (lines shared with the entry before).
+
+    most: up to how many lines common prefixes are told; what is longer counts as so long. A prefix of
+    so many lines asks for the greatest depth within it only, so few ranks are looked up.
+    """
     settled = None
     for k, x in enumerate(levels):
         part = x.where("not open").select("rank", "top", "d", "i", F.lit(k).alias("level"))
         settled = part if settled is None else settled.union(part)
     entries = cut(settled.groupBy("rank", "top").agg(F.count("*").alias("n"), F.min(F.struct("d", "i")).alias("first"), F.max("level").alias("level")))
     before = entries.select((F.col("rank") + F.col("n")).alias("rank"), "top", F.col("first").alias("p"), F.col("level").alias("p_level"))
-    # what settles at a level has not so many lines in common with anything else
-    depth = F.least("level", "p_level") - 1
     ends = [F.col(f"{x}.{c}").alias(f"{y}{c}") for x, y in (("p", "p"), ("first", "q")) for c in ("d", "i")]
-    pairs = write_table(entries.join(before, ["rank", "top"]).select("rank", *ends, depth.alias("depth"), F.lit(0).alias("lcp")), "pairs")
+    # what settles at a level has not so many lines in common with anything else; with one rank at depth 1, one line is shared
+    depth = F.least("level", "p_level") - 1
+    pairs = entries.join(before, ["rank", "top"]).select("rank", *ends, depth.alias("depth"))
+    upto = len(levels) - 1 if most is None else min(len(levels) - 1, most.bit_length() - 1)
+    pairs = write_table(pairs.select("rank", "pd", "pi", "qd", "qi", F.least("depth", F.lit(upto)).alias("depth"), F.when(F.least("depth", F.lit(upto)) == 0, 1).otherwise(0).alias("lcp")), "pairs")
     going = pairs.where("false").drop("depth")
-    for k in range(len(levels) - 1, -1, -1):
+    for k in range(upto, 0, -1):
         asked = pairs.where(F.col("depth") == k).drop("depth").union(going)
         for side in ("p", "q"):
             there = levels[k].select(F.col("d").alias(f"{side}d"), F.col("i").alias("at"), F.col("rank").alias(f"{side}r"))
@@ -143,7 +162,16 @@ def suffix_array(levels: list[DataFrame]) -> DataFrame:
         going = asked.select("rank", "pd", "pi", "qd", "qi", (F.col("lcp") + more).alias("lcp"))
         # files, since a checkpoint would carry the constraints of all joins into the next plan
         going = write_table(going, f"shared-{1 << k}") if k % 3 == 0 else going
-    return entries.drop("level").join(going.select("rank", "lcp"), "rank", "left").withColumn("lcp", F.coalesce("lcp", F.lit(0)))
+    told = pairs.where("depth = 0").drop("depth").union(_last_line(going, levels[0])) if upto else pairs.drop("depth")
+    return entries.drop("level", "top").join(told.select("rank", "lcp"), "rank", "left").withColumn("lcp", F.coalesce("lcp", F.lit(0)))
+
+
+def _last_line(going: DataFrame, lines: DataFrame) -> DataFrame:
+    """Pairs that share lcp lines and not two more: whether they share one more."""
+    for side in ("p", "q"):
+        there = lines.select(F.col("d").alias(f"{side}d"), F.col("i").alias("at"), F.col("top").alias(f"{side}r"))
+        going = going.withColumn("at", F.col(f"{side}i") + F.col("lcp")).join(there, [f"{side}d", "at"], "left").drop("at")
+    return going.select("rank", "pd", "pi", "qd", "qi", (F.col("lcp") + F.when(F.col("pr") == F.col("qr"), 1).otherwise(0)).alias("lcp"))
 
 
 def intervals(array: DataFrame, min_lines: int, total: int) -> DataFrame:
@@ -153,7 +181,7 @@ def intervals(array: DataFrame, min_lines: int, total: int) -> DataFrame:
     began there, in the stretches before.
     """
     buckets = _buckets(total)
-    dealt = array.withColumn("bucket", F.floor(F.col("rank").cast("double") * buckets / (total + 1)).cast("int")).withColumn("begins", F.when(F.col("lcp") < min_lines, F.col("rank")))
+    dealt = array.withColumn("bucket", _stretch(F.col("rank"), buckets, total)).withColumn("begins", F.when(F.col("lcp") < min_lines, F.col("rank")))
     inside = F.last("begins", ignorenulls=True).over(Window.partitionBy("bucket").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     over = F.last("begun", ignorenulls=True).over(Window.orderBy("bucket").rowsBetween(*BEFORE))
     per = dealt.groupBy("bucket").agg(F.max("begins").alias("begun")).select("bucket", over.alias("over"))
@@ -170,7 +198,7 @@ def repeated_lines(keyed: DataFrame, min_lines: int = MIN_LINES, min_words: int
     single = levels[0].where("later" if min_lines == 1 else "later and heavy").select("d", "i")
     if min_lines == 1:
         return single
-    found = cut(intervals(suffix_array(levels), min_lines, levels[0].count()))
+    found = cut(intervals(suffix_array(levels, min_lines), min_lines, levels[0].count()))
     suffixes = None
     for x in levels:
         part = x.where(f"not open and left >= {min_lines}").select("rank", "d", "i")
