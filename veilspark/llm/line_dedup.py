@@ -119,18 +119,18 @@ def suffix_levels(lines: DataFrame) -> list[DataFrame]:
     keep = ["d", "i", "left", "top", "heavy", "later"]
     levels = [cut(now.select("d", "i", "left", F.col("rank").alias("top"), "heavy", later.alias("later"), "rank", "n", "open"))]
     h = 1
-    while (most := levels[-1].where("open").agg(F.max("n")).first()[0]) is not None:
-        known = levels[-1].select("d", "i", "rank")
+    while most := [r["n"] for r in levels[-1].where("open").select("n").orderBy(F.desc("n")).limit(1).collect()]:
+        ranks = levels[-1].select(*keep, "rank", "open")
         for x in levels[:-1]:
-            known = known.union(x.where("not open").select("d", "i", "rank"))
-        on = known.select("d", (F.col("i") - h).alias("i"), F.col("rank").alias("next"))
+            ranks = ranks.union(x.where("not open").select(*keep, "rank", "open"))
+        following = F.max("rank").over(Window.partitionBy("d").orderBy("i").rangeBetween(h, h))
         # at a document's end nothing follows (0 stands before every rank); a line that occurs once makes the suffix one of its own
         then = F.when(F.col("left") <= h, F.lit(0)).otherwise(F.coalesce("next", F.lit(LAST)))
-        active = cut(levels[-1].where("open").select(*keep, "rank").join(on, ["d", "i"], "left").select(*keep, "rank", then.alias("then")))
+        active = cut(ranks.withColumn("next", following).where("open").select(*keep, "rank", then.alias("then")))
         alone = F.col("then") == LAST
         active = active.withColumns({"own_d": F.when(alone, F.col("d").cast("string")).otherwise(""), "own_i": F.when(alone, F.col("i")).otherwise(-1)})
         h *= 2
-        levels.append(cut((_told_apart if most < HOT_ROWS else _told_apart_by_stretches)(active, buckets, total).select(*keep, "rank", "n", ((F.col("n") > 1) & (F.col("longest") > h)).alias("open"))))
+        levels.append(cut((_told_apart if most[0] < HOT_ROWS else _told_apart_by_stretches)(active, buckets, total).select(*keep, "rank", "n", ((F.col("n") > 1) & (F.col("longest") > h)).alias("open"))))
     return levels
 
 
