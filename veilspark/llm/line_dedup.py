@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HOT_ROWS, SPACES, cut, spread_join, words, write_table
+from .common import SPACES, cut, spread_join, words, write_table
 
 MIN_LINES, MIN_WORDS = 2, 8
 RESULTS = ("n_lines", "n_deleted", "n_runs")
@@ -84,30 +84,33 @@ def _before(kinds: DataFrame, within: list[str], by: list[str]) -> DataFrame:
     return dealt.join(per, [*within, "bucket"]).withColumn("before", F.col("inside") + F.col("ahead")).drop("bucket", "inside", "ahead")
 
 
-PAIR = ["rank", "then", "own_d", "own_i"]
+ORDERED = 100_000  # rows of a class that one task sorts
+AT_ONCE = 8  # how many times as deep a pass goes where all classes are that small
 
 
-def _told_apart(active: DataFrame, buckets: int, total: int) -> DataFrame:
-    """Suffixes with the rank and n of their pair, where each class has fewer rows than HOT_ROWS: a class is ordered at once."""
-    place = F.rank().over(Window.partitionBy("rank").orderBy("then", "own_d", "own_i"))
-    pair = Window.partitionBy(*PAIR)
-    return active.select("*", place.alias("place"), F.count("*").over(pair).alias("n"), F.max("left").over(pair).alias("longest")).withColumn("rank", F.col("rank") + F.col("place") - 1)
+def _told_apart(active: DataFrame, then: list[str]) -> DataFrame:
+    """Suffixes with the rank and n of their tuple, where each class has at most ORDERED rows: a class is sorted at once."""
+    place = F.rank().over(Window.partitionBy("rank").orderBy(*then))
+    same = Window.partitionBy("rank", *then)
+    return active.select("*", place.alias("place"), F.count("*").over(same).alias("n"), F.max("left").over(same).alias("longest")).withColumn("rank", F.col("rank") + F.col("place") - 1)
 
 
-def _told_apart_by_stretches(active: DataFrame, buckets: int, total: int) -> DataFrame:
-    """The same where there are classes of any size: distinct pairs are counted and placed, then joined back."""
+def _told_apart_by_stretches(active: DataFrame, then: list[str], buckets: int, total: int) -> DataFrame:
+    """The same for pairs in classes of any size: distinct pairs are counted and placed, then joined back."""
     alone = F.pmod(F.xxhash64("own_d", "own_i"), F.lit(buckets)) + buckets
-    bucket = F.when(F.col("own_i") < 0, _stretch(F.col("then"), buckets, total)).otherwise(alone).cast("int")
-    kinds = active.groupBy(*PAIR).agg(F.count("*").alias("n"), F.max("left").alias("longest")).withColumn("bucket", bucket)
-    told = _before(kinds, ["rank"], ["then", "own_d", "own_i"])
-    return spread_join(active, told, PAIR, counts=told).withColumn("rank", F.col("rank") + F.col("before"))
+    bucket = F.when(F.col("own_i") < 0, _stretch(F.col("t1"), buckets, total)).otherwise(alone).cast("int")
+    kinds = active.groupBy("rank", *then).agg(F.count("*").alias("n"), F.max("left").alias("longest")).withColumn("bucket", bucket)
+    told = _before(kinds, ["rank"], then)
+    return spread_join(active, told, ["rank", *then], counts=told).withColumn("rank", F.col("rank") + F.col("before"))
 
 
-def suffix_levels(lines: DataFrame) -> list[DataFrame]:
-    """At depth 1, 2, 4 ..: d, i, left, top (rank at depth 1), rank, n (of the class), heavy, later (of depth 1), open; until no suffix is open.
+def suffix_levels(lines: DataFrame) -> list[tuple[int, DataFrame]]:
+    """Depth 1, 2 and on, each with d, i, left, top (rank at depth 1), rank, n (of the class), heavy, later (of depth 1), open; until no suffix is open.
 
     A level has the suffixes that share their first lines with others at the depth before; open are
-    those whose class has to be told apart further.
+    those whose class has to be told apart further. A window over each document gives the rank so
+    many lines on; where all classes are small, one pass takes three doublings: it goes by the ranks
+    1, 2 .. 7 depths on.
     """
     total = lines.count()
     buckets = _buckets(total)
@@ -117,61 +120,67 @@ def suffix_levels(lines: DataFrame) -> list[DataFrame]:
     now = spread_join(lines, kinds, ["a", "b"], counts=kinds)
     later = (F.col("first.d") != F.col("d")) | (F.col("first.i") != F.col("i"))
     keep = ["d", "i", "left", "top", "heavy", "later"]
-    levels = [cut(now.select("d", "i", "left", F.col("rank").alias("top"), "heavy", later.alias("later"), "rank", "n", "open"))]
-    h = 1
-    while most := [r["n"] for r in levels[-1].where("open").select("n").orderBy(F.desc("n")).limit(1).collect()]:
-        ranks = levels[-1].select(*keep, "rank", "open")
-        for x in levels[:-1]:
+    levels = [(1, cut(now.select("d", "i", "left", F.col("rank").alias("top"), "heavy", later.alias("later"), "rank", "n", "open")))]
+    while most := [r["n"] for r in levels[-1][1].where("open").select("n").orderBy(F.desc("n")).limit(1).collect()]:
+        h, now = levels[-1]
+        ranks = now.select(*keep, "rank", "open")
+        for _, x in levels[:-1]:
             ranks = ranks.union(x.where("not open").select(*keep, "rank", "open"))
-        following = F.max("rank").over(Window.partitionBy("d").orderBy("i").rangeBetween(h, h))
+        small = most[0] <= ORDERED
+        steps = AT_ONCE if small and h > 1 else 2
+        names = [f"t{k}" for k in range(1, steps)]
         # at a document's end nothing follows (0 stands before every rank); a line that occurs once makes the suffix one of its own
-        then = F.when(F.col("left") <= h, F.lit(0)).otherwise(F.coalesce("next", F.lit(LAST)))
-        active = cut(ranks.withColumn("next", following).where("open").select(*keep, "rank", then.alias("then")))
-        alone = F.col("then") == LAST
-        active = active.withColumns({"own_d": F.when(alone, F.col("d").cast("string")).otherwise(""), "own_i": F.when(alone, F.col("i")).otherwise(-1)})
-        h *= 2
-        levels.append(cut((_told_apart if most[0] < HOT_ROWS else _told_apart_by_stretches)(active, buckets, total).select(*keep, "rank", "n", ((F.col("n") > 1) & (F.col("longest") > h)).alias("open"))))
+        there = {n: F.max("rank").over(Window.partitionBy("d").orderBy("i").rangeBetween(k * h, k * h)) for k, n in enumerate(names, 1)}
+        asked = ranks.withColumns(there).where("open")
+        asked = asked.withColumns({n: F.when(F.col("left") <= k * h, F.lit(0)).otherwise(F.coalesce(n, F.lit(LAST))) for k, n in enumerate(names, 1)})
+        alone = F.greatest(*names, F.lit(0)) == LAST
+        asked = asked.withColumns({"own_d": F.when(alone, F.col("d").cast("string")).otherwise(""), "own_i": F.when(alone, F.col("i")).otherwise(-1)})
+        then = [*names, "own_d", "own_i"]
+        told = _told_apart(asked, then) if small else _told_apart_by_stretches(cut(asked.select(*keep, "rank", *then)), then, buckets, total)
+        levels.append((steps * h, cut(told.select(*keep, "rank", "n", ((F.col("n") > 1) & (F.col("longest") > steps * h)).alias("open")))))
     return levels
 
 
-def suffix_array(levels: list[DataFrame], most: int | None = None) -> DataFrame:
+def suffix_array(levels: list[tuple[int, DataFrame]], most: int | None = None) -> DataFrame:
     """Entries in the order of rank: rank, n (equal suffixes), first (the earliest, by d and i), lcp (lines shared with the entry before).
 
     most: up to how many lines common prefixes are told; what is longer counts as so long. A prefix of
     so many lines asks for the greatest depth within it only, so few ranks are looked up.
     """
     settled = None
-    for k, x in enumerate(levels):
+    for k, (_, x) in enumerate(levels):
         part = x.where("not open").select("rank", "top", "d", "i", F.lit(k).alias("level"))
         settled = part if settled is None else settled.union(part)
     entries = cut(settled.groupBy("rank", "top").agg(F.count("*").alias("n"), F.min(F.struct("d", "i")).alias("first"), F.max("level").alias("level")))
     before = entries.select((F.col("rank") + F.col("n")).alias("rank"), "top", F.col("first").alias("p"), F.col("level").alias("p_level"))
     ends = [F.col(f"{x}.{c}").alias(f"{y}{c}") for x, y in (("p", "p"), ("first", "q")) for c in ("d", "i")]
+    depths = [h for h, _ in levels]
+    upto = max(0, len(depths) - 2 if most is None else min(len(depths) - 2, max(k for k, h in enumerate(depths) if h <= most)))
     # what settles at a level has not so many lines in common with anything else; with one rank at depth 1, one line is shared
-    depth = F.least("level", "p_level") - 1
-    pairs = entries.join(before, ["rank", "top"]).select("rank", *ends, depth.alias("depth"))
-    upto = len(levels) - 1 if most is None else min(len(levels) - 1, most.bit_length() - 1)
-    pairs = write_table(pairs.select("rank", "pd", "pi", "qd", "qi", F.least("depth", F.lit(upto)).alias("depth"), F.when(F.least("depth", F.lit(upto)) == 0, 1).otherwise(0).alias("lcp")), "pairs")
+    depth = F.least("level", "p_level", F.lit(upto + 1)) - 1
+    pairs = write_table(entries.join(before, ["rank", "top"]).select("rank", *ends, depth.alias("depth"), F.when(depth == 0, 1).otherwise(0).alias("lcp")), "pairs")
     going = pairs.where("false").drop("depth")
     for k in range(upto, 0, -1):
-        asked = pairs.where(F.col("depth") == k).drop("depth").union(going)
-        for side in ("p", "q"):
-            there = levels[k].select(F.col("d").alias(f"{side}d"), F.col("i").alias("at"), F.col("rank").alias(f"{side}r"))
-            asked = asked.withColumn("at", F.col(f"{side}i") + F.col("lcp")).join(there, [f"{side}d", "at"], "left").drop("at")
-        more = F.when(F.col("pr") == F.col("qr"), 1 << k).otherwise(0)
-        going = asked.select("rank", "pd", "pi", "qd", "qi", (F.col("lcp") + more).alias("lcp"))
+        times = depths[k + 1] // depths[k] - 1
+        times = times if most is None or k < upto else min(times, most // depths[k])
+        going = pairs.where(F.col("depth") == k).drop("depth").union(going)
+        for _ in range(times):
+            going = _compared(going, levels[k][1], "rank", depths[k])
         # files, since a checkpoint would carry the constraints of all joins into the next plan
-        going = write_table(going, f"shared-{1 << k}") if k % 3 == 0 else going
-    told = pairs.where("depth = 0").drop("depth").union(_last_line(going, levels[0])) if upto else pairs.drop("depth")
+        going = write_table(going, f"shared-{depths[k]}") if k > 1 else going
+    told = pairs.where("depth = 0").drop("depth")
+    told = told.union(_compared(going, levels[0][1], "top", 1)) if upto else told
     return entries.drop("level", "top").join(told.select("rank", "lcp"), "rank", "left").withColumn("lcp", F.coalesce("lcp", F.lit(0)))
 
 
-def _last_line(going: DataFrame, lines: DataFrame) -> DataFrame:
-    """Pairs that share lcp lines and not two more: whether they share one more."""
+def _compared(going: DataFrame, level: DataFrame, rank: str, depth: int) -> DataFrame:
+    """Pairs that share lcp lines: whether they share so many more."""
+    cols = going.columns
     for side in ("p", "q"):
-        there = lines.select(F.col("d").alias(f"{side}d"), F.col("i").alias("at"), F.col("top").alias(f"{side}r"))
+        there = level.select(F.col("d").alias(f"{side}d"), F.col("i").alias("at"), F.col(rank).alias(f"{side}r"))
         going = going.withColumn("at", F.col(f"{side}i") + F.col("lcp")).join(there, [f"{side}d", "at"], "left").drop("at")
-    return going.select("rank", "pd", "pi", "qd", "qi", (F.col("lcp") + F.when(F.col("pr") == F.col("qr"), 1).otherwise(0)).alias("lcp"))
+    more = F.when(F.col("pr") == F.col("qr"), depth).otherwise(0)
+    return going.withColumn("lcp", F.col("lcp") + more).select(*cols)
 
 
 def intervals(array: DataFrame, min_lines: int, total: int) -> DataFrame:
@@ -195,12 +204,12 @@ def repeated_lines(keyed: DataFrame, min_lines: int = MIN_LINES, min_words: int
     if min_lines < 1:
         raise ValueError("min_lines must be at least 1")
     levels = suffix_levels(cut(line_table(keyed, min_words)))
-    single = levels[0].where("later" if min_lines == 1 else "later and heavy").select("d", "i")
+    single = levels[0][1].where("later" if min_lines == 1 else "later and heavy").select("d", "i")
     if min_lines == 1:
         return single
-    found = cut(intervals(suffix_array(levels, min_lines), min_lines, levels[0].count()))
+    found = cut(intervals(suffix_array(levels, min_lines), min_lines, levels[0][1].count()))
     suffixes = None
-    for x in levels:
+    for _, x in levels:
         part = x.where(f"not open and left >= {min_lines}").select("rank", "d", "i")
         suffixes = part if suffixes is None else suffixes.union(part)
     suffixes = spread_join(suffixes, found, ["rank"], counts=found)
