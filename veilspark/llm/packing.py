@@ -5,13 +5,14 @@ ids and one rest. The histogram of piece lengths, at most ``max_len`` numbers, i
 length first: all pieces of a length go onto the open packing pattern that is shortest so far and
 still has room, and the counts of patterns are updated, whole counts at a time. Patterns name
 lengths only; pieces join them by their rank among the pieces of their length. Ranks come from
-counts by (length, salt), so no length, however common, is numbered in one task.
+counts by (length, salt): a length has a salt for every ``salt_rows`` pieces, so no length, however
+common, is numbered in one task, and how many stand before a salt is joined to its pieces.
 
-What the driver holds is the histogram by length and salt and the slots of the patterns; both
-are bounded by ``max_len`` and the number of salts, not by the number of documents.
+What the driver holds is the histogram, ``max_len`` numbers, and the slots of the patterns; neither
+grows with the number of documents.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed each for
-itself; a null ``doc_id`` is kept; no rows give no rows. Further columns are ignored.
+itself; a text of any length is encoded whole; a null ``doc_id`` is kept; no rows give no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -171,34 +172,30 @@ def slots(patterns: list[tuple[int, list[int]]]) -> dict[int, np.ndarray]:
     return {k: np.array(v, dtype=np.int64) for k, v in found.items()}
 
 
-def _place(batches: Iterator[pa.RecordBatch], table, base) -> Iterator[pa.RecordBatch]:
-    by_length, first = table.value, base.value
+def _place(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]:
+    by_length = table.value
+    keep = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     for b in batches:
-        length, salt, nth = (b.column(c).to_numpy() for c in ("length", "salt", "nth"))
+        length, rank = (b.column(c).to_numpy() for c in ("length", "rank"))
         sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
         for x in np.unique(length):
             at = np.flatnonzero(length == x)
-            rank = nth[at] - 1 + np.array([first[(int(x), int(s))] for s in salt[at]], dtype=np.int64)
             s = by_length[int(x)]
-            k = np.searchsorted(s[:, 0], rank, side="right") - 1
-            sequence[at], offset[at] = s[k, 1] + rank - s[k, 0], s[k, 2]
-        keep = [b.column(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
-        yield pa.RecordBatch.from_arrays([*keep, pa.array(sequence), pa.array(offset)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            k = np.searchsorted(s[:, 0], rank[at], side="right") - 1
+            sequence[at], offset[at] = s[k, 1] + rank[at] - s[k, 0], s[k, 2]
+        yield pa.RecordBatch.from_arrays([*map(b.column, keep), pa.array(sequence), pa.array(offset)], names=[*keep, "sequence_id", "offset"])
 
 
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, max_len: int = MAX_LEN, end_id: int = END_ID, salt_rows: int = SALT_ROWS) -> DataFrame:
     """One row per piece with its sequence and its offset there."""
-    spark = docs.sparkSession
     cut_up = cut(pieces(docs, vocabulary, max_len, end_id))
-    salts = 8 + cut_up.count() // salt_rows  # so that a length that has all pieces is still numbered in many tasks
-    salted = cut_up.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int"))
-    histogram = sorted((r["length"], r["salt"], r["n"]) for r in salted.groupBy("length", "salt").agg(F.count("*").alias("n")).collect())
-    counts: dict[int, int] = {}
-    first: dict[tuple[int, int], int] = {}
-    for length, salt, n in histogram:
-        first[(length, salt)] = counts.get(length, 0)
-        counts[length] = first[(length, salt)] + n
-    table = spark.sparkContext.broadcast(slots(pack_histogram(counts, max_len)))
-    base = spark.sparkContext.broadcast(first)
+    counts = {r["length"]: r["n"] for r in cut_up.groupBy("length").agg(F.count("*").alias("n")).collect()}  # max_len rows at most
+    table = docs.sparkSession.sparkContext.broadcast(slots(pack_histogram(counts, max_len)))
+    salts = F.split(F.lit(",".join(str(1 + counts.get(x, 0) // salt_rows) for x in range(max_len + 1))), ",").cast("array<int>")
+    salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.get(salts, F.col("length").cast("int"))).cast("int")
+    salted = cut_up.withColumn("salt", salt)
+    ahead = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
+    first = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(ahead, F.lit(0)).alias("first"))
     nth = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32"))
-    return salted.withColumn("nth", nth).mapInArrow(partial(_place, table=table, base=base), f"{PIECES}, sequence_id long, offset long")
+    ranked = salted.withColumn("nth", nth).join(first, ["length", "salt"]).withColumn("rank", F.col("first") + F.col("nth") - 1)
+    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(partial(_place, table=table), f"{PIECES}, sequence_id long, offset long")

@@ -15,7 +15,7 @@ that are compared two at a time in separate tasks. Edges are joined up by altern
 and small-star steps.
 
 Defined results: a null, empty or blank text has fingerprint zero, linked like any other; a text
-with one or two words has one shingle, all its words; repeated rows keep their rows and share a
+with one or two words has one shingle, all its words; a text of any length is read whole; repeated rows keep their rows and share a
 component; rows whose ``doc_id`` is null get a fingerprint and the component of the others
 linked to them (null if there is none); no rows give no rows. Further columns are ignored.
 """
@@ -152,10 +152,10 @@ def star_edges(entries: DataFrame, block: int = BLOCK) -> DataFrame:
     return blocks.repartition("k", "v", "i", "j").sortWithinPartitions("k", "v", "i", "j", "fp").mapInArrow(_edges, "a long, b long").distinct()
 
 
-def connect(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node, root (the smallest node it is connected with) for every node of the edges, by large-star and small-star steps."""
+def connect(edges: DataFrame) -> DataFrame:
+    """node, root (the smallest node it is connected with) for every node of the edges, by large-star and small-star steps until nothing changes."""
     now, before = cut(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi != lo").distinct()), None
-    for _ in range(max_rounds):
+    while True:
         told = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if told == before or told[0] == 0:
             break
@@ -183,7 +183,8 @@ def components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of docs of which each component keeps one: the row of its smallest doc_id, once. Rows without a doc_id stay."""
     kept = components(docs.select("doc_id", "text"), block).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    named = named.withColumn("_nth", F.row_number().over(one)).where("_nth = 1")
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    rows = docs.select("doc_id", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    named = rows.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("row.text"), "row.text")
+    named = named.withColumn("nth", F.row_number().over(one)).where("nth = 1")
+    return named.select("row.*").unionByName(docs.where("doc_id is null"))
