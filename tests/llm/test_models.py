@@ -146,10 +146,35 @@ def test_cotraining_labels_the_whole_pool(spark, monkeypatch):
     n = 9000
     docs = spark.range(n).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN concat('calm plain words about rivers and towns number ', id) ELSE '### $$$ !!! WIN WIN WIN ||| %%%' END AS text", "'en' AS lang", "CASE WHEN id % 2 = 0 THEN 'book' ELSE 'spam' END AS source", "60L AS n_chars")
     labels = spark.range(200).selectExpr("id AS doc_id", "cast((id + 1) % 2 AS int) AS quality")
-    seen = []
+    seen, BINS = [], cotraining.BINS
     real = cotraining.confident_cut
-    monkeypatch.setattr(cotraining, "confident_cut", lambda c, bad, good: seen.append((c.sum(), bad + good)) or real(c, bad, good))
+    monkeypatch.setattr(cotraining.CoTrained, "loss", lambda self, *_: -len(seen))  # no round is the last
+    monkeypatch.setattr(cotraining, "confident_cut", lambda c, bad, good, edges: seen.append((c.sum(), bad + good)) or real(c, bad, good, (BINS // 2, BINS // 2)))
     model = cotraining.fit(docs, labels)
     assert seen[:2] == [(n - 200, int(cotraining.GROW * (n - 200) / 2))] * 2 and len(seen) == 2 * cotraining.ROUNDS
     assert seen[-1][0] <= n - 200 - 3 * 0.9 * seen[-1][1]  # rows that have a label leave the pool
     assert model.text.bias != 0
+
+
+@pytest.mark.parametrize("half", [0, 1])
+def test_exchange_is_no_worse_than_none(spark, half):
+    """Fitted on one half of the labels, judged on the other: with the rounds and without them."""
+    docs, known = spark.read.parquet(f"{BIG}/documents.parquet"), spark.read.parquet(f"{BIG}/labels.parquet")
+    mine, other = (known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == k) for k in (half, 1 - half))
+    judged = docs.join(other.select("doc_id", "quality"), "doc_id").limit(100_000).select("text", "source", "lang", "n_chars", "quality").collect()
+    texts, metas = [cotraining.text_features(r["text"], {}) for r in judged], [cotraining.meta_features(r["source"], r["lang"], r["n_chars"], r["text"]) for r in judged]
+    y = np.array([r["quality"] for r in judged])
+    right = {}
+    for rounds in (0, cotraining.ROUNDS):
+        score = cotraining.fit(docs, mine, rounds=rounds).score(texts, metas)[2] >= cotraining.THRESHOLD
+        right[rounds] = (score == y).mean()
+        assert score[y == 1].mean() > 0.97 and score[y == 0].mean() < 0.1
+    assert right[cotraining.ROUNDS] >= right[0] - 0.001
+
+
+def test_a_view_without_skill_gives_no_labels():
+    rng = np.random.default_rng(2)
+    y = (rng.random(800) < 0.9).astype(int)
+    assert cotraining.trusted_edges(rng.normal(size=800), y)[0] == 0  # bad rows are nowhere told from good ones
+    lo, hi = cotraining.trusted_edges(np.where(y == 1, 2.0, -2.0) + rng.normal(size=800) / 9, y)
+    assert 0 < lo <= cotraining.BINS // 2 <= hi < cotraining.BINS

@@ -91,11 +91,13 @@ def test_chat_layouts(spark):
     records = [
         ('{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}]}', "messages"), ('{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}', "conversations"),
         ('{"output":"a","instruction":"q"}', "instruction"), ('{"prompt":"q","completion":"a"}', "prompt"), ('{"prompt":"q","other":1}', None), ("no json", None), (None, None), ('{"prompt":null,"completion":"a"}', "prompt"),
+        ('{"id":7,"messages":[{"role":"user","content":7,"name":"x"},{"role":"assistant","content":[{"type":"text","text":"a"},{"text":"b"}]}]}', "messages"), ('{"instruction":"q","input":"r","output":"a","id":1}', "instruction_input"), ('{"messages":[]}', None),
     ]
     df = chat_format.canonical_turns(spark.createDataFrame([(i, r) for i, (r, _) in enumerate(records)], "i int, record string")).orderBy("i").collect()
     assert [r["layout"] for r in df] == [x for _, x in records]
     for r in df[:4]:
         assert [(t["role"], t["text"]) for t in r["turns"]] == [("user", "q"), ("assistant", "a")]
+    assert [(t["role"], t["text"]) for t in df[8]["turns"]] == [("user", "7"), ("assistant", "ab")] and [t["text"] for t in df[9]["turns"]] == ["q", "r", "a"]
     assert df[5]["turns"] == [] and df[7]["turns"][0]["text"] == ""
 
 

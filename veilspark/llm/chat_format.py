@@ -1,8 +1,9 @@
 """Chat formatting by schema fingerprint (operator 7). DataFrame functions only.
 
-A record is a JSON text of any layout. Its nested field paths, without value types, are hashed;
-the hash selects a declarative mapping that names where the turns stand, and the mapping turns
-the record into canonical turns (role, text). Turns are then rendered with a template:
+A record is a JSON text of any layout. Its nested field paths are hashed, each for itself; the set of
+hashes selects a declarative mapping, the one with most required paths of those whose paths are all
+there, and further fields change nothing. The mapping names where the turns stand and turns the
+record into canonical turns (role, text). Turns are then rendered with a template:
 
     <s>[INST]role[/INST]text</s>
 
@@ -10,8 +11,10 @@ Every control string starts with ``<`` or ``[``. Inside roles and texts ``^`` be
 ``<`` becomes ``^1`` and ``[`` becomes ``^2``, so no control string can occur there, and the
 steps taken backwards give the text again.
 
-Defined results: a null text or role is empty; a record that is no JSON, or whose fingerprint no
-mapping has, keeps its row with a null layout and no turns; turns with the same number are
+Defined results: a null text or role is empty; a number is written out, and a text in parts is put
+together; a record that is no JSON, or whose paths no mapping asks for, keeps its row with a null
+layout and no turns; a conversation is handled whole up to the size that Spark's JSON values have,
+and beyond it is an error; turns with the same number are
 ordered by role, then text; repeated rows stay turns of their own; no rows give no rows.
 """
 
@@ -27,10 +30,10 @@ TURNS = "array<struct<role:string,text:string>>"
 
 @dataclass(frozen=True)
 class Layout:
-    """A mapping: ``example`` shows the field paths; turns are a list at ``path`` or fixed fields."""
+    """A mapping: ``paths`` must all be there; turns are a list at ``path`` or fixed fields."""
 
     name: str
-    example: str
+    paths: tuple[str, ...]
     path: str | None = None
     role: str = "role"
     text: str = "content"
@@ -39,40 +42,50 @@ class Layout:
 
 # The layouts known by default, and the role names that mean the same.
 LAYOUTS = (
-    Layout("messages", '{"messages":[{"role":"","content":""}]}', "$.messages"),
-    Layout("conversations", '{"conversations":[{"from":"","value":""}]}', "$.conversations", "from", "value"),
-    Layout("instruction", '{"instruction":"","output":""}', fixed=(("user", "$.instruction"), ("assistant", "$.output"))),
-    Layout("instruction_input", '{"instruction":"","input":"","output":""}', fixed=(("user", "$.instruction"), ("user", "$.input"), ("assistant", "$.output"))),
-    Layout("prompt", '{"prompt":"","completion":""}', fixed=(("user", "$.prompt"), ("assistant", "$.completion"))),
-    Layout("system_prompt", '{"system":"","prompt":"","response":""}', fixed=(("system", "$.system"), ("user", "$.prompt"), ("assistant", "$.response"))),
+    Layout("messages", ("$.messages[0].role", "$.messages[0].content"), "$.messages"),
+    Layout("conversations", ("$.conversations[0].from", "$.conversations[0].value"), "$.conversations", "from", "value"),
+    Layout("instruction", ("$.instruction", "$.output"), fixed=(("user", "$.instruction"), ("assistant", "$.output"))),
+    Layout("instruction_input", ("$.instruction", "$.input", "$.output"), fixed=(("user", "$.instruction"), ("user", "$.input"), ("assistant", "$.output"))),
+    Layout("prompt", ("$.prompt", "$.completion"), fixed=(("user", "$.prompt"), ("assistant", "$.completion"))),
+    Layout("system_prompt", ("$.system", "$.prompt", "$.response"), fixed=(("system", "$.system"), ("user", "$.prompt"), ("assistant", "$.response"))),
 )
 ROLE_NAMES = {"human": "user", "gpt": "assistant"}
 
 
-def fingerprint(record: Column) -> Column:
-    """A hash of the record's nested field paths (names sorted, value types left out); null if it is no JSON."""
-    shape = F.schema_of_variant(F.try_parse_json(record))
-    paths = F.regexp_replace(shape, r"(?<=[:<] ?)(VOID|STRING|BOOLEAN|BIGINT|DOUBLE|FLOAT|DATE|TIMESTAMP|TIMESTAMP_NTZ|BINARY|DECIMAL\(\d+,\d+\))(?=[,>])", "*")
-    return F.sha2(paths, 256)
+def fingerprint(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+    """The sorted hashes of those nested paths, of all that some layout asks for, that the record has; null if it is no JSON.
+
+    Lists are known by their first element; value types and further fields do not count.
+    """
+    paths = sorted({p for x in layouts for p in x.paths})
+    there = F.filter(F.array(*(F.when(F.try_variant_get(record, p, "variant").isNotNull(), F.xxhash64(F.lit(p))) for p in paths)), lambda h: h.isNotNull())
+    return F.when(record.isNotNull(), F.sort_array(there))
+
+
+def _text(value: Column) -> Column:
+    """A value as a text: parts with texts are put together, others are written out."""
+    parts = F.transform(F.try_variant_get(value, "$", "array<struct<text:string>>"), lambda p: F.coalesce(p["text"], F.lit("")))
+    return F.coalesce(F.array_join(parts, ""), F.try_variant_get(value, "$", "string"), F.lit(""))
 
 
-def _mapped(record: Column, layout: Layout) -> Column:
-    v = F.try_parse_json(record)
+def _mapped(v: Column, layout: Layout) -> Column:
     if layout.path:
-        rows = F.try_variant_get(v, layout.path, f"array<struct<`{layout.role}`:string,`{layout.text}`:string>>")
-        role = lambda r: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in ROLE_NAMES.items() for x in kv)), r[layout.role]), r[layout.role])
-        plain = lambda r: F.struct(F.coalesce(role(r) if layout.role != "role" else r["role"], F.lit("")).alias("role"), F.coalesce(r[layout.text], F.lit("")).alias("text"))
-        return F.transform(rows, plain)
-    return F.array(*(F.struct(F.lit(r).alias("role"), F.coalesce(F.try_variant_get(v, p, "string"), F.lit("")).alias("text")) for r, p in layout.fixed))
+        rows = F.try_variant_get(v, layout.path, f"array<struct<`{layout.role}`:string,`{layout.text}`:variant>>")
+        same = F.create_map(*(F.lit(x) for kv in ROLE_NAMES.items() for x in kv))
+        role = lambda r: r["role"] if layout.role == "role" else F.coalesce(F.element_at(same, r[layout.role]), r[layout.role])
+        return F.transform(rows, lambda r: F.struct(F.coalesce(role(r), F.lit("")).alias("role"), _text(r[layout.text]).alias("text")))
+    return F.array(*(F.struct(F.lit(r).alias("role"), _text(F.try_variant_get(v, p, "variant")).alias("text")) for r, p in layout.fixed))
 
 
-def canonical_turns(records: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """Adds ``fingerprint``, ``layout`` and ``turns``."""
-    out = records.withColumn("fingerprint", fingerprint(F.col(record)))
+def canonical_turns(records: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS, strict: bool = False) -> DataFrame:
+    """Adds ``fingerprint``, ``layout`` and ``turns``. The layout that asks for most paths goes first. strict: what is no JSON, or too large for it, is an error."""
+    v = (F.parse_json if strict else F.try_parse_json)(F.col(record))
+    out = records.withColumn("fingerprint", fingerprint(v, layouts))
     name, turns = F.lit(None).cast("string"), F.from_json(F.lit("[]"), TURNS)
-    for x in reversed(layouts):
-        hit = F.col("fingerprint") == fingerprint(F.lit(x.example))
-        name, turns = F.when(hit, x.name).otherwise(name), F.when(hit, _mapped(F.col(record), x)).otherwise(turns)
+    for x in sorted(layouts, key=lambda x: len(x.paths)):
+        asked = F.array(*(F.xxhash64(F.lit(p)) for p in x.paths))
+        hit = F.size(F.array_except(asked, F.col("fingerprint"))) == 0
+        name, turns = F.when(hit, x.name).otherwise(name), F.when(hit, F.coalesce(_mapped(v, x), F.from_json(F.lit("[]"), TURNS))).otherwise(turns)
     return out.withColumn("layout", name).withColumn("turns", turns)
 
 
@@ -136,7 +149,7 @@ def conversation_records(rows: DataFrame) -> DataFrame:
 
 def format_conversations(rows: DataFrame) -> DataFrame:
     """conv_id, layout, formatted, loss_mask for every conversation of a table with rows by turn."""
-    return format_chat(canonical_turns(conversation_records(rows))).select("conv_id", "layout", "formatted", "loss_mask")
+    return format_chat(canonical_turns(conversation_records(rows), strict=True)).select("conv_id", "layout", "formatted", "loss_mask")
 
 
 def digests(formatted: DataFrame) -> DataFrame:

@@ -5,8 +5,11 @@ and character classes), the other its page metadata (source, language, length).
 the labelled rows. In each round each classifier labels the unlabelled pool, and the rows that it
 is most sure of, in the labelled rows' proportion of good and bad, join what the *other* one
 learns from: a round's quota is a share of the whole pool, its cut comes from a histogram of all
-scores. At the end both are calibrated on labelled rows set aside, and all documents are
-scored with the sum of the two calibrated log odds, less the prior that both hold.
+scores. Every fifth labelled row is set aside. A view labels only where its labels have at least
+``PRECISION`` on these rows and a quarter of the errors that one label for all rows would have, so one without skill for a class gives no label of it; and the rounds
+end when the joint loss on them no longer falls, with the classifiers from before. Both are
+calibrated on these rows, and all documents are scored with the sum of the two calibrated log odds,
+less the prior that both hold.
 
 Labelled rows are a bounded sample by hash (``max_labelled``). The pool is every row without a
 label: its features are written once, each round reads all of them for the histogram, writes out
@@ -15,7 +18,7 @@ those. Together these weigh at most as much as the labelled rows, so that sizes
 
 Defined results: a null or empty text has no words, only the metadata speak besides the text's
 bias; null source or language is a value of its own; a missing length is taken from the text;
-repeated rows score alike; without labels of both kinds every score is the prior (0.5 without any
+a text of any length is read whole; repeated rows score alike; without labels of both kinds every score is the prior (0.5 without any
 label); no rows give no rows. Further columns are ignored.
 """
 
@@ -36,9 +39,10 @@ from .common import cut, shared_dir
 TEXT_BUCKETS, META_BUCKETS = 1 << 12, 1 << 9
 MAX_LABELLED, ROUNDS, GROW = 4000, 4, 0.1
 STEPS, SHRINK = 4, 1e-5  # of the summed gradients, in a round
-BINS, REACH, SURE = 8192, 32, 1  # of the histogram, and where it begins to count
+BINS, REACH = 8192, 32  # of the histogram
+PRECISION = 0.95  # at least, on rows set aside, of the labels that a view gives
 THRESHOLD = 0.5
-DENSE = 8  # numbers by character class that stand before the hashed words
+DENSE = 6  # numbers by character class that stand before the hashed words
 
 
 def text_features(text: str | None, seen: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,7 +62,7 @@ def text_features(text: str | None, seen: dict[str, int]) -> tuple[np.ndarray, n
     lines = [x for x in t.split("\n") if x.strip()]
     dense = [
         symbols / chars, sum(map(str.isupper, t)) / chars if t else 0.0, sum(map(str.isdigit, t)) / chars if t else 0.0, t.count("!") / chars,
-        1 - len(set(lines)) / len(lines) if lines else 0.0, 1 - len(set(words)) / n if n else 0.0, min(1.0, np.log1p(n) / 10), float(n < 10),
+        1 - len(set(lines)) / len(lines) if lines else 0.0, 1 - len(set(words)) / n if n else 0.0,
     ]
     cols = np.array([*range(DENSE), *counts], dtype=np.int32)
     vals = np.array([*(4 * x for x in dense), *(np.sqrt(c / n) for c in counts.values())], dtype=np.float32)
@@ -73,6 +77,9 @@ def meta_features(source: str | None, lang: str | None, n_chars: int | None, tex
     return np.array(cols, dtype=np.int32), np.ones(len(cols), dtype=np.float32)
 
 
+Side = tuple[np.ndarray, np.ndarray, np.ndarray, int]  # row, column, value of each entry; rows
+
+
 @dataclass
 class Logistic:
     """bias and weights of one view; slope and shift of its calibration."""
@@ -133,6 +140,15 @@ class CoTrained:
         odds = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         return odds(a), odds(b), odds(a + b - self.prior)
 
+    def loss(self, texts: list, metas: list, y: np.ndarray, at: np.ndarray) -> float:
+        """Mean logistic loss of the joint score on these rows."""
+        z = self.text.log_odds([texts[i] for i in at]) + self.meta.log_odds([metas[i] for i in at]) - self.prior
+        return float(np.mean(np.logaddexp(0, z) - y[at] * z))
+
+
+def _side(rows: list[tuple[np.ndarray, np.ndarray]]) -> Side:
+    return np.repeat(np.arange(len(rows)), [len(c) for c, _ in rows]), np.concatenate([c for c, _ in rows]), np.concatenate([v for _, v in rows]), len(rows)
+
 
 def _flat(arr: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """Of a binary column of packed numbers: all of them, and how many each row has."""
@@ -141,9 +157,6 @@ def _flat(arr: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), dtype=kind), np.fromiter((len(x) // width for x in parts), dtype=np.int64, count=len(parts))
 
 
-Side = tuple[np.ndarray, np.ndarray, np.ndarray, int]  # row, column, value of each entry; rows
-
-
 def _sides(b: pa.RecordBatch) -> tuple[Side, Side]:
     tc, n = _flat(b.column("tc"), "<i2")
     tv, _ = _flat(b.column("tv"), "<f4")
@@ -180,11 +193,26 @@ def _quota(counts: np.ndarray, want: int) -> tuple[int, float]:
 Cut = tuple[int, float, int, float]
 
 
-def confident_cut(counts: np.ndarray, bad: int, good: int) -> Cut:
-    """Last bin of the bad rows and its share, first bin of the good ones and its share; rows nearer to 0 than SURE stay out."""
-    edge = BINS * SURE // (2 * REACH)
-    lo, lo_share = _quota(counts[: BINS // 2 - edge], bad)
-    hi, hi_share = _quota(counts[: BINS // 2 + edge - 1 : -1], good)
+def trusted_edges(z: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> tuple[int, int]:
+    """Bins up to which a view's labels bad, and from which its labels good, are right often enough on rows set aside (by the rule of succession); 0 and BINS where they are nowhere."""
+
+    def reach(order: np.ndarray, label: int) -> int:
+        # to say the commoner label of every row is no skill: a quarter of the errors of that is asked for
+        precision_of = max(precision, 1 - (1 - float(np.mean(y == label))) / 4)
+        right = np.cumsum(y[order] == label)
+        good = np.flatnonzero((right + 1) / (np.arange(1, len(order) + 1) + 2) >= precision_of)
+        return int(good[-1]) if len(good) else -1
+
+    up, down = np.argsort(z, kind="stable"), np.argsort(-z, kind="stable")
+    lo, hi = reach(up, 0), reach(down, 1)
+    low, high = (int(_bin(z[up[lo : lo + 1]])[0]) if lo >= 0 else 0), (int(_bin(z[down[hi : hi + 1]])[0]) + 1 if hi >= 0 else BINS)
+    return min(low, BINS // 2), max(high, BINS // 2)  # and each on its own side of the boundary
+
+
+def confident_cut(counts: np.ndarray, bad: int, good: int, edges: tuple[int, int] = (BINS // 2, BINS // 2)) -> Cut:
+    """Last bin of the bad rows and its share, first bin of the good ones and its share; rows between the edges stay out."""
+    lo, lo_share = _quota(counts[: edges[0]], bad)
+    hi, hi_share = _quota(counts[: edges[1] - 1 if edges[1] else None : -1], good)
     return lo, lo_share, BINS - 1 - hi, hi_share
 
 
@@ -259,9 +287,13 @@ def co_train(texts: list, metas: list, y: np.ndarray, pool: DataFrame, rounds: i
         rows = [x[i] for i in base]
         m = fit_logistic(rows, y[base].astype(np.float64), n - 1)
         thetas.append(np.r_[m.bias, m.weight])
-        known.append((np.repeat(np.arange(len(rows)), [len(c) for c, _ in rows]), np.concatenate([c for c, _ in rows]), np.concatenate([v for _, v in rows]), len(rows)))
+        known.append(_side(rows))
         scale.append(1 / np.sqrt(0.25 * np.r_[1.0, np.bincount(known[-1][1], weights=known[-1][2].astype(np.float64) ** 2, minlength=n - 1) / len(rows)] + 1e-3))
     split, past = widths[0], []
+    aside = np.flatnonzero(held) if held.any() else base
+    checked = [_side([x[i] for i in aside]) for x in (texts, metas)]
+    best = _calibrated(thetas, texts, metas, y, aside, share)
+    least = best.loss(texts, metas, y, aside)
     quota = int(grow * n_pool / 2)
     bad, good = round(quota * (1 - share)), round(quota * share)
     for _ in range(rounds if n_pool else 0):
@@ -272,7 +304,8 @@ def co_train(texts: list, metas: list, y: np.ndarray, pool: DataFrame, rounds: i
             return np.concatenate([np.bincount(_bin(_raw(sides[k], now[k][0], now[k][1:]))[got[1 - k] < 0], minlength=BINS) for k in (0, 1)]).astype(np.float64)
 
         counts = _summed(pool, spread, 2 * BINS)
-        past = [*past, (thetas, [confident_cut(c, bad, good) for c in (counts[:BINS], counts[BINS:])])]
+        edges = [trusted_edges(_raw(side, theta[0], theta[1:]), y[aside]) for side, theta in zip(checked, thetas, strict=True)]
+        past = [*past, (thetas, [confident_cut(c, bad, good, e) for c, e in zip((counts[:BINS], counts[BINS:]), edges, strict=True)])]
 
         def labelled(batches: Iterator[pa.RecordBatch], past=past) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -299,10 +332,17 @@ def co_train(texts: list, metas: list, y: np.ndarray, pool: DataFrame, rounds: i
 
         moved = _descend(np.concatenate(thetas), objective, np.concatenate(scale), STEPS)
         thetas = [moved[:split], moved[split:]]
+        after = _calibrated(thetas, texts, metas, y, aside, share)
+        if (told := after.loss(texts, metas, y, aside)) > least:
+            break  # on rows set aside, what the views have learnt from each other does not help any more
+        best, least = after, told
+    return best
+
+
+def _calibrated(thetas: list[np.ndarray], texts: list, metas: list, y: np.ndarray, aside: np.ndarray, share: float) -> CoTrained:
     models = [Logistic(float(t[0]), t[1:]) for t in thetas]
-    at = np.flatnonzero(held) if held.any() else base
     for m, x in zip(models, (texts, metas), strict=True):
-        _calibrate(m, [x[i] for i in at], y[at])
+        _calibrate(m, [x[i] for i in aside], y[aside])
     return CoTrained(models[0], models[1], float(np.log(share / (1 - share))))
 
 
@@ -329,10 +369,11 @@ def _stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> CoTrained | None:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS) -> CoTrained | None:
     """The co-trained pair of classifiers, from a sample of labelled rows and all others; None without labels of both kinds."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
-    picked = cut(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))  # max_labelled rows at most
+    there = known.join(docs.select(F.col("doc_id").cast("long")), "doc_id", "left_semi")  # labels without a document take no place
+    picked = cut(there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))  # max_labelled rows at most
     asked = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long"))
     rows = asked.join(F.broadcast(picked), "doc_id", "left_semi").mapInArrow(_featured, FEATURES).join(F.broadcast(picked), "doc_id").toArrow().sort_by("doc_id").to_pylist()
     y = np.array([r["quality"] for r in rows])
@@ -340,7 +381,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
         return None
     texts = [(np.frombuffer(r["tc"], dtype="<i2").astype(np.int32), np.frombuffer(r["tv"], dtype="<f4")) for r in rows]
     metas = [(m := np.frombuffer(r["mc"], dtype="<i2").astype(np.int32), np.ones(len(m), dtype=np.float32)) for r in rows]
-    return co_train(texts, metas, y, _stored(asked.mapInArrow(_featured, FEATURES).join(known, "doc_id", "left_anti")))
+    return co_train(texts, metas, y, _stored(asked.mapInArrow(_featured, FEATURES).join(known, "doc_id", "left_anti")), rounds)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -10,8 +10,8 @@ weights that restore the share of toxic rows. Of the hashed terms the ``max_term
 labels apart most (by likelihood ratio, counted in Spark) get weights; the other weights are zero.
 Scoring covers every row and the whole text.
 
-Defined results: a null or empty text has no terms and scores the machine's bias; repeated rows
-score alike; without labelled rows of both kinds every score is 0; a null ``doc_id`` is never held
+Defined results: a null or empty text has no terms and scores the machine's bias; a text of any
+length is read whole; repeated rows score alike; without labelled rows of both kinds every score is 0; a null ``doc_id`` is never held
 out; no rows give no rows. Further columns pass through.
 """
 
@@ -123,6 +123,7 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_terms: int = MAX_TERMS) -> Machine:
     """The machine, from a bounded sample of the labelled rows that are not held out."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")  # labels without a document take no place
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.where("toxic = 1").orderBy(*order).limit(max_toxic).union(known.where("toxic = 0").orderBy(*order).limit(max_clean))
     sample = cut(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(F.col("doc_id").cast("long").alias("key"), "text", F.col("toxic").cast("int")))
@@ -170,4 +171,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are not predicted toxic."""
-    return with_score(docs, fit(docs, labels), "_toxicity").where(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
+    name = "toxicity"
+    while name in docs.columns:
+        name += "_"
+    return with_score(docs, fit(docs, labels), name).where(F.col(name) < THRESHOLD).drop(name)
