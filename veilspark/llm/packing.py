@@ -5,7 +5,7 @@ ids and one rest. The histogram of piece lengths, at most ``max_len`` numbers, i
 length first: all pieces of a length go onto the open packing pattern that is shortest so far and
 still has room, and the counts of patterns are updated, whole counts at a time. Patterns name
 lengths only; pieces join them by their rank among the pieces of their length. Ranks come from
-counts by (length, salt): a length has a salt for every ``salt_rows`` pieces, so no length, however
+counts by (length, salt): a length has 8 salts and one more for every ``salt_rows`` pieces, so no length, however
 common, is numbered in one task, and how many stand before a salt is joined to its pieces.
 
 What the driver holds is the histogram, ``max_len`` numbers, and the slots of the patterns; neither
@@ -191,7 +191,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, max_len: int = MAX_LEN,
     cut_up = cut(pieces(docs, vocabulary, max_len, end_id))
     counts = {r["length"]: r["n"] for r in cut_up.groupBy("length").agg(F.count("*").alias("n")).collect()}  # max_len rows at most
     table = docs.sparkSession.sparkContext.broadcast(slots(pack_histogram(counts, max_len)))
-    salts = F.split(F.lit(",".join(str(1 + counts.get(x, 0) // salt_rows) for x in range(max_len + 1))), ",").cast("array<int>")
+    salts = F.split(F.lit(",".join(str(8 + counts.get(x, 0) // salt_rows) for x in range(max_len + 1))), ",").cast("array<int>")
     salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.get(salts, F.col("length").cast("int"))).cast("int")
     salted = cut_up.withColumn("salt", salt)
     ahead = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
