@@ -215,3 +215,69 @@ def test_sign_code(spark):
     with pytest.raises(Exception, match="64 bits"):
         df.select(hamming_search.sign_code(F.array_repeat(F.lit(1.0), 65))).collect()
     assert [r[0] for r in df.select(hamming_search.sign_code(F.col("v"))).collect()] == [1 - 2**63, None, None]
+
+
+def shingles(text):
+    w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def brute_similar(rows):
+    """The smallest doc_id of each group of texts with a similarity of 0.8, linked directly or through others."""
+    rows = sorted(rows)
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    having = defaultdict(list)
+    for i, s in enumerate(sets):
+        for g in s or {None}:
+            having[g].append(i)
+    for i, s in enumerate(sets):
+        shared = Counter(j for g in s or {None} for j in having[g] if j < i)
+        for j, n in shared.items():
+            if 100 * n >= 80 * (len(s | sets[j]) if s else 1):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {rows[i][0] for i in range(len(rows)) if find(i) == i}
+
+
+def test_keep_one_similar(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    rng, planted = np.random.default_rng(5), []
+    for k, (_, t) in enumerate(r for r in rows[:400] if r[1] and len(r[1].split()) > 80):
+        w = t.split()
+        for at in rng.choice(len(w), len(w) // 60, replace=False):
+            w[at] = f"swap{k}"
+        planted.append((1_000_000 + k, " ".join(w)))
+    kept = {r["doc_id"] for r in simhash_dedup.keep_one_similar(spark.createDataFrame(rows + planted, "doc_id long, text string"), block=16).collect()}
+    want = brute_similar(rows + planted)
+    everything = {d for d, _ in rows + planted}
+    assert want <= kept  # no text goes that is not similar to one that stays in its group
+    assert len(everything - kept) >= 0.95 * len(everything - want)
+
+
+def test_keep_one_similar_odd(spark, odd, clashing, none):
+    kept = simhash_dedup.keep_one_similar(odd).collect()
+    rows = {r["doc_id"]: r["text"] for r in odd.collect() if r["doc_id"] is not None}
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted(brute_similar(rows.items()))
+    assert sum(r["doc_id"] is None for r in kept) == 2
+    more = clashing.withColumns({c: F.lit(1) for c in ("row", "node", "gone", "nth", "a", "b", "f0", "s0")})
+    got = simhash_dedup.keep_one_similar(more)
+    assert got.columns == more.columns and got.count() == len(kept)
+    assert simhash_dedup.keep_one_similar(none).count() == 0
+
+
+@pytest.mark.parametrize("n", range(9))
+def test_shingle_sets(n):
+    """Equal sets of 5-word shingles have equal hashes, others have not."""
+    some = [" ".join(f"w{(i * step) % 4}" for i in range(n)) for step in (1, 2, 3, 5)]
+    got = [tuple(simhash_dedup._shingle_set(simhash_dedup._grams(t))) for t in some]
+    assert [[a == b for b in got] for a in got] == [[shingles(a) == shingles(b) for b in some] for a in some]
+    assert [len(g) for g in got] == [len(shingles(t)) for t in some]
+    assert all(int(simhash_dedup._wide_print(simhash_dedup._grams(t))[0]) == simhash_dedup.simhash(t) for t in some)

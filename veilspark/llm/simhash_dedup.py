@@ -18,6 +18,13 @@ Defined results: a null, empty or blank text has fingerprint zero, linked like a
 with one or two words has one shingle, all its words; a text of any length is read whole; repeated rows keep their rows and share a
 component; rows whose ``doc_id`` is null get a fingerprint and the component of the others
 linked to them (null if there is none); no rows give no rows. Further columns are ignored.
+
+``keep_one_similar`` links by similarity instead: texts whose sets of 5-word shingles have a Jaccard
+similarity of at least 0.8. Such texts differ in too many of 64 bits for the guarantee above, so the
+fingerprint has 256 bits (32 positional bytes; the first 8 are those above), postings are keyed by 3
+positions out of a fixed family, the shared bytes of a pair are tallied inside a posting, and what
+reaches the least number and is near enough in bits is verified on the whole shingle sets. The links
+are exact, so no text goes that is not that similar; the index finds most links, not all (README).
 """
 
 from __future__ import annotations
@@ -30,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spread_join, write_table
 
 BITS, MAX_BITS, SEED = 64, 3, 42
 BYTES, LEAST_SHARED = 8, 5
@@ -53,11 +60,15 @@ _WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
 _TO_SPACE = {ord(c): " " for c in _WHITE} | _LOWER
 
 
+def _words(text: str | None) -> list[str]:
+    return [x for x in (text or "").translate(_TO_SPACE).split(" ") if x]
+
+
 def simhash(text: str | None) -> int:
     """The unsigned fingerprint of one text."""
     from xxhash import xxh64_intdigest
 
-    w = [x for x in (text or "").translate(_TO_SPACE).split(" ") if x]
+    w = _words(text)
     if not w:
         return 0
     grams = [" ".join(w)] if len(w) < 3 else list(map(" ".join, zip(w, w[1:], w[2:], strict=False)))
@@ -188,3 +199,151 @@ def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     one = Window.partitionBy("doc_id").orderBy(F.xxhash64("row.text"), "row.text")
     named = named.withColumn("nth", F.row_number().over(one)).where("nth = 1")
     return named.select("row.*").unionByName(docs.where("doc_id is null"))
+
+
+SIMILAR, WORDS, WIDE = 80, 5, 256  # per cent of shingles shared; words of a shingle; bits of the wide fingerprint
+WIDE_BYTES, WIDE_SHARED, WIDE_BITS = WIDE // 8, 4, 48  # candidates share so many positional bytes and differ in at most so many bits
+STEPS = ((1, 3), (5, 14))
+#: 3-position sets of the 32 bytes; all distances are different, so two sets have at most one position in common.
+WIDE_SETS = tuple((i, (i + a) % WIDE_BYTES, (i + b) % WIDE_BYTES) for a, b in STEPS for i in range(WIDE_BYTES))
+_PRINT = ("f0", "f1", "f2", "f3")
+
+
+def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
+    """A further hash of each hash."""
+    x = (h + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def _grams(text: str | None) -> np.ndarray:
+    """Hashes of the 3-word shingles, or of the whole sequence if it is shorter."""
+    from xxhash import xxh64_intdigest
+
+    w = _words(text)
+    if len(w) < 3:
+        return np.array([xxh64_intdigest(" ".join(w), SEED)] if w else [], dtype=np.uint64)
+    return np.fromiter((xxh64_intdigest(" ".join(g), SEED) for g in zip(w, w[1:], w[2:], strict=False)), dtype=np.uint64, count=len(w) - 2)
+
+
+def _shingle_set(h: np.ndarray) -> np.ndarray:
+    """Hashes of the distinct 5-word shingles (of the whole sequence if it is shorter): words i to i+4 are the 3-word shingles at i and i+2."""
+    if len(h) < WORDS - 2:  # the whole sequence, if there is one
+        return (_mixed(h, len(h)) * np.array([1, 3], dtype=np.uint64)[: len(h)]).sum(keepdims=True, dtype=np.uint64)[: len(h)]
+    return np.unique(_mixed(h[:-2] ^ _mixed(h[2:], 3), 4))
+
+
+def _wide_print(h: np.ndarray) -> np.ndarray:
+    """The 256 bits as four words; the first one is the fingerprint of the operator."""
+    ones = np.zeros((len(_PRINT), BITS), dtype=np.int64)
+    for at in range(0, len(h), 1 << 15):
+        part = h[at : at + (1 << 15)]
+        for k in range(len(_PRINT)):
+            bits = _mixed(part, 10 + k) if k else part
+            ones[k] += np.unpackbits(np.ascontiguousarray(bits).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(h), axis=1, bitorder="little").reshape(-1).view(np.uint64)
+
+
+def _wide_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from xxhash import xxh3_128_digest
+
+    names = ["doc_id", "s0", "s1", *_PRINT]
+    for b in batches:
+        out = np.zeros((b.num_rows, 2 + len(_PRINT)), dtype=np.int64)
+        for i, t in enumerate(b.column("text")):
+            h = _grams(t.as_py())
+            out[i, :2] = np.frombuffer(xxh3_128_digest(_shingle_set(h).tobytes()), dtype=np.int64)
+            out[i, 2:] = _wide_print(h).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(out[:, k]) for k in range(out.shape[1]))], names=names)
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [_shingle_set(_grams(t.as_py())).view(np.int64) for t in b.column("text")]
+        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+
+def _wide_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of rows that come ordered by key, i, j. A group that is not over at the end of a batch waits for the next one."""
+
+    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        cols = [t.column(c).to_numpy() for c in ("key", "i", "j")]
+        new = np.ones(t.num_rows, dtype=bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.r_[starts, t.num_rows])
+        rest = np.repeat(starts + sizes, sizes) - np.arange(t.num_rows) - 1  # rows that follow in the group
+        fp, side, both = np.stack([t.column(c).to_numpy() for c in _PRINT], axis=1).view(np.uint64), t.column("chunk").to_numpy(), cols[1] != cols[2]
+        node, rows = t.column("node").to_numpy(), np.flatnonzero(rest > 0)
+        for shift in range(1, int(sizes.max(initial=1))):
+            rows = rows[rest[rows] >= shift]
+            if not len(rows):
+                return
+            at = rows[~both[rows] | (side[rows] != side[rows + shift])]
+            x = fp[at] ^ fp[at + shift]
+            near = (x.view(np.uint8).reshape(-1, WIDE_BYTES) == 0).sum(axis=1) >= WIDE_SHARED  # the tally of positional bytes
+            at = at[near][np.bitwise_count(x[near]).sum(axis=1) <= WIDE_BITS]
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[at], node[at + shift])), pa.array(np.maximum(node[at], node[at + shift]))], names=["a", "b"])
+
+    held: pa.Table | None = None
+    for b in batches:
+        t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])]).combine_chunks()
+        same = np.all([(c := t.column(n).to_numpy()) == c[-1] for n in ("key", "i", "j")], axis=0)
+        first = int(np.argmax(same))  # rows of the last group are at the end
+        if first:
+            yield from compare(t.slice(0, first).combine_chunks())
+        held = t.slice(first).combine_chunks()
+    if held is not None and held.num_rows:
+        yield from compare(held)
+
+
+def similar_candidates(entries: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Distinct pairs a < b of entries (node, f0 to f3) that meet in a posting, share enough positional bytes and are near in bits."""
+    byte = lambda p: F.shiftrightunsigned(_PRINT[p // 8], 8 * (p % 8)).bitwiseAND(F.lit(255))
+    key = lambda k, s: sum((F.shiftleft(byte(p), 8 * i) for i, p in enumerate(s)), F.lit(k << 24).cast("long"))
+    postings = entries.select("node", *_PRINT, F.explode(F.array(*(key(k, s) for k, s in enumerate(WIDE_SETS)))).alias("key"))
+    # only postings above a block are cut; the table of these is read from files, so its size is known and decides how it is joined
+    large = write_table(postings.groupBy("key").agg(F.count("*").alias("n")).where(f"n > {block}").select("key", F.ceil(F.col("n") / block).cast("int").alias("chunks")), "large-postings")
+    parted = postings.join(large, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+    partners = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least("chunk", o).alias("i"), F.greatest("chunk", o).alias("j")))
+    blocks = parted.select("key", F.explode(partners).alias("p"), "chunk", "node", *_PRINT).select("key", "p.i", "p.j", "chunk", "node", *_PRINT)
+    return blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_wide_pairs, "a long, b long").distinct()
+
+
+def similar_links(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(members, links): node of every row's text (doc_id, node), and the verified links a-b between nodes.
+
+    A node is the smallest doc_id of the rows with one shingle set; doc_id must be unique and not null.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    prints = cut(docs.mapInArrow(_wide_prints, "doc_id long, s0 long, s1 long, f0 long, f1 long, f2 long, f3 long"))
+    entries = cut(prints.groupBy("s0", "s1").agg(F.min("doc_id").alias("node"), *(F.min(c).alias(c) for c in _PRINT)))
+    pairs = cut(similar_candidates(entries.select("node", *_PRINT), block))
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = cut(docs.withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi").select("node", "text").mapInArrow(_shingles, "node long, shingles array<long>"))
+    left = spread_join(pairs, sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), ["a"])
+    both = spread_join(left, sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), ["b"], counts=pairs.groupBy("b").agg(F.count("*").alias("n")))
+    shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("all"))
+    links = shared.where(f"100 * n >= {SIMILAR} * (all - n)").select("a", "b")
+    return prints.join(entries.select("s0", "s1", "node"), ["s0", "s1"]).select("doc_id", "node"), links
+
+
+def keep_one_similar(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The rows of docs of which each group of similar texts, linked directly or through others, keeps one: that of its smallest doc_id.
+
+    Null, empty and blank texts have no shingles and are one group; a text with fewer than five words
+    has one shingle, all its words; a text of any length is compared whole; rows without a doc_id
+    stay. Rows that share a doc_id are one document: one of them stands for it, by the hash of its
+    text, and equal rows stay once. No rows give no rows; further columns pass through, whatever
+    their names.
+    """
+    rows = docs.where("doc_id is not null").select("doc_id", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    if rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        one = Window.partitionBy("doc_id").orderBy(F.xxhash64("row.text"), "row.text")
+        rows = cut(rows.withColumn("nth", F.row_number().over(one)).where("nth = 1").drop("nth"))
+    members, links = similar_links(rows.select("doc_id", "row.text"), block)
+    copies = members.where("doc_id != node").select("doc_id")
+    joined = connect(links).select(F.col("node").alias("doc_id"))  # every node but the smallest of its component
+    kept = rows.join(copies.union(joined).withColumnRenamed("doc_id", "gone"), F.col("doc_id") == F.col("gone"), "left_anti")
+    return kept.select("row.*").unionByName(docs.where("doc_id is null"))
