@@ -22,6 +22,9 @@ is handled whole, its lines one row each; rows that share a ``doc_id`` are docum
 ordered by text; a row without ``doc_id`` stays as it is and is no original; no rows give no rows.
 Further columns pass through, whatever their names; one that is named like a result column gives
 way to it.
+
+Intermediate tables are written as files in the shared folder: a checkpoint would compute its last
+stage twice and carry the constraints of all joins before it into every later plan.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, cut, spread_join, words, write_table
+from .common import SPACES, spread_join, words, write_table
 
 MIN_LINES, MIN_WORDS = 2, 8
 RESULTS = ("n_lines", "n_deleted", "n_runs")
@@ -116,11 +119,11 @@ def suffix_levels(lines: DataFrame) -> list[tuple[int, DataFrame]]:
     buckets = _buckets(total)
     kinds = lines.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("left").alias("longest"), F.min(F.struct("d", "i")).alias("first")).where("n > 1")
     high = F.floor((F.col("a").cast("double") + 2.0**63) * (buckets / 2.0**64)).cast("int")
-    kinds = cut(_before(kinds.withColumn("bucket", high), [], ["a", "b"]).select("a", "b", "n", "first", (F.col("before") + 1).alias("rank"), (F.col("longest") > 1).alias("open")))
+    kinds = write_table(_before(kinds.withColumn("bucket", high), [], ["a", "b"]).select("a", "b", "n", "first", (F.col("before") + 1).alias("rank"), (F.col("longest") > 1).alias("open")), "kinds")
     now = spread_join(lines, kinds, ["a", "b"], counts=kinds)
     later = (F.col("first.d") != F.col("d")) | (F.col("first.i") != F.col("i"))
     keep = ["d", "i", "left", "top", "heavy", "later"]
-    levels = [(1, cut(now.select("d", "i", "left", F.col("rank").alias("top"), "heavy", later.alias("later"), "rank", "n", "open")))]
+    levels = [(1, write_table(now.select("d", "i", "left", F.col("rank").alias("top"), "heavy", later.alias("later"), "rank", "n", "open"), "depth-1"))]
     while most := [r["n"] for r in levels[-1][1].where("open").select("n").orderBy(F.desc("n")).limit(1).collect()]:
         h, now = levels[-1]
         ranks = now.select(*keep, "rank", "open")
@@ -136,8 +139,9 @@ def suffix_levels(lines: DataFrame) -> list[tuple[int, DataFrame]]:
         alone = F.greatest(*names, F.lit(0)) == LAST
         asked = asked.withColumns({"own_d": F.when(alone, F.col("d").cast("string")).otherwise(""), "own_i": F.when(alone, F.col("i")).otherwise(-1)})
         then = [*names, "own_d", "own_i"]
-        told = _told_apart(asked, then) if small else _told_apart_by_stretches(cut(asked.select(*keep, "rank", *then)), then, buckets, total)
-        levels.append((steps * h, cut(told.select(*keep, "rank", "n", ((F.col("n") > 1) & (F.col("longest") > steps * h)).alias("open")))))
+        told = _told_apart(asked, then) if small else _told_apart_by_stretches(write_table(asked.select(*keep, "rank", *then), "asked"), then, buckets, total)
+        told = told.select(*keep, "rank", "n", ((F.col("n") > 1) & (F.col("longest") > steps * h)).alias("open"))
+        levels.append((steps * h, write_table(told, f"depth-{steps * h}")))
     return levels
 
 
@@ -151,7 +155,7 @@ def suffix_array(levels: list[tuple[int, DataFrame]], most: int | None = None) -
     for k, (_, x) in enumerate(levels):
         part = x.where("not open").select("rank", "top", "d", "i", F.lit(k).alias("level"))
         settled = part if settled is None else settled.union(part)
-    entries = cut(settled.groupBy("rank", "top").agg(F.count("*").alias("n"), F.min(F.struct("d", "i")).alias("first"), F.max("level").alias("level")))
+    entries = write_table(settled.groupBy("rank", "top").agg(F.count("*").alias("n"), F.min(F.struct("d", "i")).alias("first"), F.max("level").alias("level")), "entries")
     before = entries.select((F.col("rank") + F.col("n")).alias("rank"), "top", F.col("first").alias("p"), F.col("level").alias("p_level"))
     ends = [F.col(f"{x}.{c}").alias(f"{y}{c}") for x, y in (("p", "p"), ("first", "q")) for c in ("d", "i")]
     depths = [h for h, _ in levels]
@@ -166,7 +170,6 @@ def suffix_array(levels: list[tuple[int, DataFrame]], most: int | None = None) -
         going = pairs.where(F.col("depth") == k).drop("depth").union(going)
         for _ in range(times):
             going = _compared(going, levels[k][1], "rank", depths[k])
-        # files, since a checkpoint would carry the constraints of all joins into the next plan
         going = write_table(going, f"shared-{depths[k]}") if k > 1 else going
     told = pairs.where("depth = 0").drop("depth")
     told = told.union(_compared(going, levels[0][1], "top", 1)) if upto else told
@@ -194,7 +197,7 @@ def intervals(array: DataFrame, min_lines: int, total: int) -> DataFrame:
     inside = F.last("begins", ignorenulls=True).over(Window.partitionBy("bucket").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     over = F.last("begun", ignorenulls=True).over(Window.orderBy("bucket").rowsBetween(*BEFORE))
     per = dealt.groupBy("bucket").agg(F.max("begins").alias("begun")).select("bucket", over.alias("over"))
-    named = cut(dealt.withColumn("inside", inside).join(per, "bucket").select("rank", "n", "first", F.coalesce("inside", "over").alias("interval")))
+    named = write_table(dealt.withColumn("inside", inside).join(per, "bucket").select("rank", "n", "first", F.coalesce("inside", "over").alias("interval")), "intervals")
     whole = named.groupBy("interval").agg(F.min("first").alias("whole"), F.count("*").alias("n"))
     return spread_join(named, whole.select("interval", "whole"), ["interval"], counts=whole).select("rank", "n", F.col("whole").alias("first"))
 
@@ -203,11 +206,11 @@ def repeated_lines(keyed: DataFrame, min_lines: int = MIN_LINES, min_words: int
     """d, i of each line that lies in a later copy."""
     if min_lines < 1:
         raise ValueError("min_lines must be at least 1")
-    levels = suffix_levels(cut(line_table(keyed, min_words)))
+    levels = suffix_levels(write_table(line_table(keyed, min_words), "lines"))
     single = levels[0][1].where("later" if min_lines == 1 else "later and heavy").select("d", "i")
     if min_lines == 1:
         return single
-    found = cut(intervals(suffix_array(levels, min_lines), min_lines, levels[0][1].count()))
+    found = write_table(intervals(suffix_array(levels, min_lines), min_lines, levels[0][1].count()), "found")
     suffixes = None
     for _, x in levels:
         part = x.where(f"not open and left >= {min_lines}").select("rank", "d", "i")
