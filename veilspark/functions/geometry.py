@@ -209,3 +209,13 @@ def alignment(points: Column, width: int = 128, height: int = 128) -> Column:
 
     across, down = row([q[0] * width / 128 for q in ALIGNED]), row([q[1] * height / 128 for q in ALIGNED])
     return F.when(F.abs(det) > 1e-9, F.struct(*(c.alias(n) for n, c in zip("abcdef", (*across, *down), strict=True))))
+
+
+def drawn(w: Column, h: Column) -> Column:
+    """Whether a drawn rectangle, or one to be masked, is large enough."""
+    return (w >= 2) & (h >= 2)
+
+
+def dragged(w: Column, h: Column) -> Column:
+    """Whether a rubber band on screen is a drawn rectangle; a smaller one is a click."""
+    return (w > 4) & (h > 4)

@@ -254,3 +254,31 @@ def adapter_score(vendor: Column, memory: Column, name: Column) -> Column:
     discrete = (vendor == "nvidia") | (memory >= 512 * 1024 * 1024)
     mb = F.least(F.floor(memory / (1024 * 1024)).cast("long"), F.lit(8000))
     return F.when(virtual, -1).otherwise(weight + F.when(discrete, 500).otherwise(0) + mb).cast("long")
+
+
+# The statuses that have a text.
+STATUSES = ("Waiting", "Done", "Failed", "Cancelled", "Too long", "Processing")
+
+
+def in_keep_list(tier: Column, reverse: Column) -> Column:
+    """Whether the list of kept faces shows a track: all of them, or those of a tier in the reverse mode."""
+    return ~reverse | tier.between(1, 3)
+
+
+def in_mask_list(kind: Column) -> Column:
+    """Whether the list of masks shows a track: manual and pinned ones."""
+    return kind.isin(2, 3)
+
+
+def status_key(status: Column) -> Column:
+    """The key of a status's text; null for an unknown status."""
+    return F.when(status.isin(*STATUSES), F.concat(F.lit("status"), F.replace(F.initcap(status), F.lit(" "), F.lit(""))))
+
+
+def formatted(template: Column, args: Column) -> Column:
+    """The template with ``{0}``, ``{1}`` and so on filled in and doubled braces halved; a bad template, or one that asks for more, stays as it is."""
+    parts = F.regexp_extract_all(template, F.lit(r"(\{\{|\}\}|\{\d+\}|[^{}]+|[{}])"), F.lit(1))
+    number = lambda p: F.regexp_extract(p, r"^\{(\d+)\}$", 1)
+    fill = lambda p: F.when(p.isin("{{", "}}"), F.substring(p, 1, 1)).when(p.isin("{", "}"), F.lit(None)).when(number(p) != "", F.get(args, number(p).try_cast("int"))).otherwise(p)
+    filled = F.transform(parts, fill)
+    return F.when(F.exists(filled, lambda p: p.isNull()), template).otherwise(F.array_join(filled, ""))

@@ -18,7 +18,15 @@ BOX = ("x", "y", "w", "h")
 PERSON, VEHICLES, SCREENS = 0, (2, 3, 5, 7), (62, 63, 66, 67)
 PERSON_MIN, OBJECT_MIN, OBJECT_NMS_MIN, OBJECT_NMS_IOU = 0.15, 0.35, 0.18, 0.45
 FACE_NMS_MIN, FACE_NMS_IOU, FACE_TOP, FALLBACK_SCORE = 0.22, 0.42, 80, 0.18
-LABELS = {0: "person", 2: "car", 3: "motorcycle", 5: "bus", 7: "truck", 62: "tv", 63: "laptop", 66: "keyboard", 67: "cell phone"}
+# The 80 class names of the COCO data set, in the order of their numbers.
+CLASS_NAMES = (
+    "person, bicycle, car, motorcycle, airplane, bus, train, truck, boat, traffic light, fire hydrant, stop sign, parking meter, bench, bird, cat, dog, "
+    "horse, sheep, cow, elephant, bear, zebra, giraffe, backpack, umbrella, handbag, tie, suitcase, frisbee, skis, snowboard, sports ball, kite, "
+    "baseball bat, baseball glove, skateboard, surfboard, tennis racket, bottle, wine glass, cup, fork, knife, spoon, bowl, banana, apple, sandwich, "
+    "orange, broccoli, carrot, hot dog, pizza, donut, cake, chair, couch, potted plant, bed, dining table, toilet, tv, laptop, mouse, remote, keyboard, "
+    "cell phone, microwave, oven, toaster, sink, refrigerator, book, clock, vase, scissors, teddy bear, hair drier, toothbrush"
+).split(", ")
+LABELS = dict(enumerate(CLASS_NAMES))
 
 
 def box() -> Column:

@@ -17,13 +17,19 @@ def first_per_path(files: DataFrame) -> DataFrame:
     return files.withColumn("nth", nth).where("nth = 1").drop("nth")
 
 
-def free_names(sources: DataFrame, taken: DataFrame, tries: int = 50) -> DataFrame:
-    """For each source (path) the first free output name: plain, then _2, _3 and so on."""
-    stem = m.stem(F.col("path"))
-    tried = sources.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(tries))))
-    tried = tried.withColumn("name", F.concat(stem, F.lit("_redacted"), F.when(F.col("i") > 1, F.concat(F.lit("_"), F.col("i").cast("string"))).otherwise(""), F.lit(".mp4")))
-    free = tried.join(taken.select(F.lower("name").alias("low")).distinct(), F.lower(tried.name) == F.col("low"), "left_anti")
-    return free.groupBy("path").agg(F.min_by("name", "i").alias("name"))
+def free_names(sources: DataFrame, taken: DataFrame) -> DataFrame:
+    """For each source (path) the first free output name: plain, then _2, _3 and so on, without an end; taken holds the folder's names, whose case does not count.
+
+    The numbers taken of a stem are ranked; as long as they equal their ranks there is no gap.
+    """
+    stem = F.coalesce(F.nullif(m.stem(F.col("path")), F.lit("")), F.lit("redacted"))
+    named = sources.select("path", stem.alias("stem"), F.lower(stem).alias("low")).distinct()
+    part = lambda g: F.regexp_extract(F.lower("name"), r"(?s)^(.*)_redacted(?:_([1-9]\d*))?\.mp4$", g)
+    used = taken.where(F.lower("name").rlike(r"(?s)^.*_redacted(?:_[1-9]\d*)?\.mp4$")).select(part(1).alias("low"), F.when(part(2) == "", 1).otherwise(F.nullif(part(2).try_cast("long"), F.lit(1))).alias("i"))
+    ranked = used.where("i IS NOT NULL").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("low").orderBy("i")))
+    gaps = ranked.groupBy("low").agg((F.count_if(F.col("i") == F.col("nth")) + 1).alias("free"))
+    number = F.when(F.col("free") > 1, F.concat(F.lit("_"), F.col("free").cast("string"))).otherwise("")
+    return named.join(gaps, "low", "left").select("path", F.concat(F.col("stem"), F.lit("_redacted"), number, F.lit(".mp4")).alias("name"))
 
 
 def status_counts(files: DataFrame) -> DataFrame:
@@ -141,3 +147,35 @@ def first_existing(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     """Of each name's candidate paths (name, ord, path) the first that exists; null if none does."""
     there = candidates.join(existing.select("path").distinct(), "path", "left_semi").groupBy("name").agg(F.min_by("path", "ord").alias("found"))
     return candidates.select("name").distinct().join(there, "name", "left")
+
+
+def status_texts(files: DataFrame, texts: DataFrame) -> DataFrame:
+    """Files (status, code) with the locale's text for their status; an unknown status stays as it is."""
+    keyed = files.withColumn("key", m.status_key(F.col("status")))
+    found = localised(keyed.where("key IS NOT NULL").select("code", "key").distinct(), texts)
+    return keyed.join(found, ["code", "key"], "left").withColumn("text", F.coalesce("text", "status")).drop("key")
+
+
+def coarse_spans(videos: DataFrame, thumbs: DataFrame) -> DataFrame:
+    """Per video the least span of its coarse pictures (video_id, span); 0 without any."""
+    least = thumbs.groupBy("video_id").agg(F.min("span").alias("coarse_span"))
+    return videos.select("video_id").distinct().join(least, "video_id", "left").na.fill(0, ["coarse_span"])
+
+
+def peak_utilisation(counters: DataFrame) -> DataFrame:
+    """Per machine the largest of its counters (percent, known) within 0 to 100; unknown ones do not count."""
+    peak = F.coalesce(F.max(F.when(F.col("known"), F.col("percent"))), F.lit(0.0))
+    return counters.groupBy("machine").agg(F.greatest(F.lit(0.0), F.least(F.lit(100.0), peak)).alias("percent"))
+
+
+def written_frames(frames: DataFrame) -> DataFrame:
+    """Per run how many frames were written (run, written)."""
+    return frames.groupBy("run").agg(F.count_if("written").alias("frames"))
+
+
+def import_snapshot(tracks: DataFrame, next_ids: DataFrame, with_faces: bool) -> DataFrame:
+    """Tracks of a snapshot as a start: detected ones (kind 0 or 1), faces only if asked, all lost and without misses; next_id stands behind them and behind what was given (video_id, next_id)."""
+    taken = tracks.where(F.col("kind").isin(0, 1) if with_faces else F.col("kind") == 1).withColumns({"lost": F.lit(True), "miss": F.lit(0)})
+    ends = taken.groupBy("video_id").agg((F.max("id") + 1).alias("behind"))
+    known = ends.join(next_ids, "video_id", "left").select("video_id", F.greatest("behind", F.coalesce("next_id", F.lit(1))).alias("next_id"))
+    return taken.join(known, "video_id")

@@ -115,7 +115,9 @@ def class_route_union(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def class_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return d.with_label(v.detections(spark, sf)).groupBy("class_id", "label").agg(F.count("*").alias("n"))
+    """Names over all 80 classes and one number beyond them."""
+    rows = v.detections(spark, sf).withColumn("class_id", (F.col("x") % 81).cast("int"))
+    return d.with_label(rows).groupBy("class_id", "label").agg(F.count("*").alias("n"))
 
 
 def class_argmax(spark: SparkSession, sf: str) -> DataFrame:
@@ -326,7 +328,7 @@ ORACLE = {
  u AS (SELECT video_id, frame_index, rx, ry, rw, rh, 0 AS kind, ord FROM k WHERE ord <= 4 UNION ALL SELECT video_id, frame_index, rx, ry, rw, rh, 1, row_number() OVER (PARTITION BY video_id, frame_index ORDER BY x,y,w,h) FROM fz WHERE rw>=12 AND rh>=12),
  p AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame_index ORDER BY kind, ord)::INT AS place FROM u) SELECT video_id, frame_index, {_RECT}, kind, place FROM p WHERE place <= 6""",
     "class_route_union": f"WITH {DET}, k AS (SELECT * FROM det WHERE {_GATE}) SELECT video_id, frame_index, x, y, w, h, score, 'screen' AS target FROM k WHERE class_id IN (62,63,66,67) UNION ALL SELECT video_id, frame_index, x, y+h-greatest(4,trunc(h*0.35::DOUBLE)::INT), w, greatest(4,trunc(h*0.35::DOUBLE)::INT), score, 'plate-zone' FROM k WHERE class_id IN (2,3,5,7)",
-    "class_labels": f"WITH {DET} SELECT class_id, CASE class_id WHEN 0 THEN 'person' WHEN 2 THEN 'car' WHEN 3 THEN 'motorcycle' WHEN 5 THEN 'bus' WHEN 7 THEN 'truck' WHEN 62 THEN 'tv' WHEN 63 THEN 'laptop' WHEN 66 THEN 'keyboard' WHEN 67 THEN 'cell phone' ELSE 'object' END AS label, count(*) AS n FROM det GROUP BY ALL",
+    "class_labels": f"WITH {DET} SELECT (x % 81)::INT AS class_id, coalesce({d.CLASS_NAMES!r}[x % 81 + 1], 'object') AS label, count(*) AS n FROM det GROUP BY ALL",
     "class_argmax": f"WITH {DET}, s AS (SELECT *, list_transform(generate_series(0,79), lambda k: ((x*(k+3)+y*7+k*k)%97)/97.0::DOUBLE) AS sc FROM det) SELECT video_id, frame_index, x, y, w, h, score, (list_position(sc, list_max(sc))-1)::INT AS best_class, round(list_max(sc),6) AS best_score FROM s",
     "letterbox_roundtrip": "WITH p AS (SELECT p_partkey, (320+p_size*31)::INT AS w, (240+(p_partkey*17)%700)::INT AS h FROM part), b AS (SELECT *, least(640.0::DOUBLE/w, 640.0::DOUBLE/h) AS s FROM p) SELECT p_partkey, w, h, round(s,6) AS scale, (640-round(w*s)::INT)//2 AS pad_x, (640-round(h*s)::INT)//2 AS pad_y, true AS x_back, true AS w_back FROM b",
     "tile_grid": f"WITH {_TILES} SELECT * FROM grid",

@@ -164,13 +164,13 @@ def stored_plan(spark: SparkSession, sf: str) -> DataFrame:
 def text_helpers(spark: SparkSession, sf: str) -> DataFrame:
     d = v.table(spark, sf, "documents")
     note = F.concat(F.lit("top\n=== en ===\nenglish\n=== de ===\n"), F.col("lang"), F.lit("\n=== x ===\nrest"))
-    return d.select("doc_id", F.sha2(m.tail(F.col("text")), 256).alias("tail"), m.notice_section(note, F.col("lang")).alias("notice"), m.quoted(F.substring("text", 1, 12)).alias("arg"), m.uuid_text(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 32)).alias("uuid"))
+    return d.select("doc_id", F.sha2(m.tail(F.col("text")), 256).alias("tail"), m.notice_section(note, F.col("lang")).alias("notice"), F.sha2(m.quoted(F.col("text")), 256).alias("arg"), m.uuid_text(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 32)).alias("uuid"))
 
 
 def track_labels(spark: SparkSession, sf: str) -> DataFrame:
     o = _orders(spark, sf, "o_orderkey % 2 AS kind", "o_orderkey % 4 AS tier", "o_custkey % 5 - 1 AS ident", "o_orderkey % 3 = 0 AS reverse", "o_custkey % 3 AS choice")
     o = o.withColumn("f", m.detect_flags(F.col("reverse"), F.col("choice"), F.col("ident") > 1))
-    return o.select("o_orderkey", m.track_label(F.col("kind"), F.col("tier"), F.col("ident"), F.col("o_orderkey")).alias("label"), "f.faces", "f.objects", (~F.col("reverse") | F.col("tier").between(1, 3)).alias("in_keep_list"))
+    return o.select("o_orderkey", m.track_label(F.col("kind"), F.col("tier"), F.col("ident"), F.col("o_orderkey")).alias("label"), "f.faces", "f.objects", m.in_keep_list(F.col("tier"), F.col("reverse")).alias("in_keep_list"))
 
 
 def track_upsert_diff(spark: SparkSession, sf: str) -> DataFrame:
@@ -278,7 +278,7 @@ ORACLE = {
     "plan_resolve": """WITH c AS (SELECT c_custkey, CASE c_custkey%6 WHEN 0 THEN 'annual' WHEN 1 THEN 'pro_x' WHEN 2 THEN 'basic_month' ELSE '' END AS id, CASE c_custkey%5 WHEN 0 THEN 'pro' WHEN 1 THEN 'basic' ELSE '' END AS tier, (c_custkey%3)::INT AS given, c_custkey%7>2 AS known FROM customer), p AS (SELECT *, id='annual' OR id LIKE 'pro%' OR tier='pro' AS pro, id LIKE 'basic%' OR tier='basic' AS basic FROM c)
  SELECT c_custkey, CASE WHEN pro AND id='annual' THEN 'annual' WHEN pro THEN 'pro_month' WHEN basic THEN 'basic_month' WHEN known THEN 'free' ELSE 'none' END AS plan, pro AS batch, CASE WHEN pro THEN 0 ELSE 10 END AS minutes, NOT pro AND NOT basic AS watermark, CASE WHEN NOT pro AND NOT basic THEN 0 WHEN given>0 THEN given WHEN pro THEN 2 ELSE 1 END AS seats FROM p""",
     "stored_plan": "SELECT c_custkey, CASE WHEN c_custkey%4=0 OR c_custkey%3<>1 THEN 'none' WHEN timestamp '2024-03-01' + to_days((c_custkey%60)::INT) < timestamp '2024-04-01' - interval 2 minute THEN 'free' ELSE 'pro_month' END AS plan FROM customer",
-    "text_helpers": "SELECT doc_id, sha256(right(text,500)) AS tail, CASE WHEN lang='en' THEN 'english' WHEN lang='de' THEN 'de' ELSE 'english' END AS notice, CASE WHEN substr(text,1,12)='' OR regexp_matches(substr(text,1,12), '[\\s\"]') THEN '\"' || replace(substr(text,1,12), '\"', '\\\"') || '\"' ELSE substr(text,1,12) END AS arg, substr(h,7,2)||substr(h,5,2)||substr(h,3,2)||substr(h,1,2)||'-'||substr(h,11,2)||substr(h,9,2)||'-'||substr(h,15,2)||substr(h,13,2)||'-'||substr(h,17,4)||'-'||substr(h,21,12) AS uuid FROM (SELECT *, sha256(doc_id::VARCHAR) AS h FROM documents)",
+    "text_helpers": "SELECT doc_id, sha256(right(text,500)) AS tail, CASE WHEN lang='en' THEN 'english' WHEN lang='de' THEN 'de' ELSE 'english' END AS notice, sha256(CASE WHEN text='' OR regexp_matches(text, '[\\s\"]') THEN '\"' || replace(text, '\"', '\\\"') || '\"' ELSE text END) AS arg, substr(h,7,2)||substr(h,5,2)||substr(h,3,2)||substr(h,1,2)||'-'||substr(h,11,2)||substr(h,9,2)||'-'||substr(h,15,2)||substr(h,13,2)||'-'||substr(h,17,4)||'-'||substr(h,21,12) AS uuid FROM (SELECT *, sha256(doc_id::VARCHAR) AS h FROM documents)",
     "track_labels": "WITH o AS (SELECT o_orderkey, o_orderkey%2 AS kind, o_orderkey%4 AS tier, o_custkey%5-1 AS ident, o_orderkey%3=0 AS rev, o_custkey%3 AS choice FROM orders) SELECT o_orderkey, CASE tier WHEN 1 THEN 'Keep #' || CASE WHEN ident>0 THEN ident ELSE o_orderkey END WHEN 2 THEN 'Auto #' || CASE WHEN ident>0 THEN ident ELSE o_orderkey END WHEN 3 THEN 'Maybe keep #' || ident ELSE CASE WHEN kind=0 THEN 'Face #' ELSE 'Object #' END || o_orderkey END AS label, rev OR choice<>2 AS faces, CASE WHEN rev THEN ident>1 ELSE choice<>1 END AS objects, NOT rev OR tier BETWEEN 1 AND 3 AS in_keep_list FROM o",
     "track_upsert_diff": "WITH o AS (SELECT c_custkey AS key, c_custkey%3 AS val FROM customer), n AS (SELECT o_custkey AS key, max(o_orderkey)%3 AS val FROM orders WHERE o_custkey%5<>0 GROUP BY 1 UNION ALL SELECT unnest(range(-5,0)), 1) SELECT key, CASE WHEN o.val IS NULL THEN 'insert' WHEN n.val IS NULL THEN 'delete' WHEN o.val=n.val THEN 'keep' ELSE 'update' END AS action FROM o FULL JOIN n USING (key)",
     "stage_bottleneck": """WITH e AS (SELECT (event_id%3000)//5*5 AS start, user_id%5 AS s, round(value,2) AS ms FROM events), p AS (SELECT start, sum(CASE WHEN s=0 THEN ms ELSE 0 END) AS a, sum(CASE WHEN s=1 THEN ms ELSE 0 END) AS b, sum(CASE WHEN s=2 THEN ms ELSE 0 END) AS c, sum(CASE WHEN s=3 THEN ms ELSE 0 END) AS d, sum(CASE WHEN s=4 THEN ms ELSE 0 END) AS f FROM e GROUP BY start),

@@ -18,7 +18,7 @@ SETS = v.DETECTIONS_SQL
 def redact_union(spark: SparkSession, sf: str) -> DataFrame:
     """Boxes to mask: what was detected, manual boxes from their start on, static ones while they are active; duplicates stay."""
     det = v.detections(spark, sf).where("class_id = 16 AND score >= 0.5").selectExpr("frame_index", "x", "y", "w", "h", "'auto' AS kind")
-    o = v.table(spark, sf, "orders").where("o_orderkey % 50 = 0").selectExpr("o_orderkey % 3 AS kind", "o_custkey % 300 AS s", "o_custkey % 300 + 20 AS e", "cast(o_custkey % 500 AS int) AS x", "cast(o_orderkey % 400 AS int) AS y")
+    o = v.table(spark, sf, "orders").selectExpr("o_orderkey % 3 AS kind", "o_custkey % 300 AS s", "o_custkey % 300 + 20 AS e", "cast(o_custkey % 500 AS int) AS x", "cast(o_orderkey % 400 AS int) AS y")
     frames = v.detections(spark, sf).select("frame_index").distinct()
     manual = o.where("kind = 0").withColumn("frame_index", F.explode(F.sequence(F.col("s"), F.col("e")))).join(frames, "frame_index", "left_semi").selectExpr("frame_index", "x", "y", "40 AS w", "40 AS h", "'manual' AS kind")
     static = o.where("kind = 1").withColumn("frame_index", F.explode(F.sequence(F.col("s"), F.col("e")))).where(tl.active_at(F.col("s"), F.col("e"), F.col("frame_index"))).join(frames, "frame_index", "left_semi").selectExpr("frame_index", "x", "y", "60 AS w", "30 AS h", "'static' AS kind")
@@ -89,7 +89,7 @@ def align_transform(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (redact_union, follow_boxes, audio_edit_plans, first_audio_ranges, deleted_tracks, encoder_candidates, pixel_masks, repaint_tracks, model_paths, align_transform)}
 ORACLE = {
-    "redact_union": f"""WITH {SETS}, o AS (SELECT o_orderkey%3 AS k, o_custkey%300 AS s, (o_custkey%500)::INT AS x, (o_orderkey%400)::INT AS y FROM orders WHERE o_orderkey%50=0), f AS (SELECT DISTINCT frame_index FROM det)
+    "redact_union": f"""WITH {SETS}, o AS (SELECT o_orderkey%3 AS k, o_custkey%300 AS s, (o_custkey%500)::INT AS x, (o_orderkey%400)::INT AS y FROM orders), f AS (SELECT DISTINCT frame_index FROM det)
  SELECT frame_index, x, y, w, h, 'auto' AS kind FROM det WHERE class_id=16 AND score>=0.5 UNION ALL SELECT frame_index, x, y, CASE WHEN k=0 THEN 40 ELSE 60 END, CASE WHEN k=0 THEN 40 ELSE 30 END, CASE WHEN k=0 THEN 'manual' ELSE 'static' END FROM o JOIN f ON frame_index BETWEEN s AND s+20 WHERE k IN (0,1)""",
     "follow_boxes": f"WITH {SETS} SELECT frame_index, x, y, w, h, x%100 AS miss, x%5=0 AS lost FROM det WHERE class_id=0 AND NOT (x%5=0 AND x%100>45) AND (w<96 OR h<96 OR x%100>0) AND w>4 AND h>4",
     "audio_edit_plans": f"WITH {v.AUDIO_SQL}, x AS (SELECT *, 'between(t,' || printf('%.3f', start_sec) || ',' || printf('%.3f', end_sec) || ')' AS s, end_sec>start_sec AND start_sec>=0 AS ok FROM ranges) SELECT video_id, CASE WHEN count(*) FILTER (ok)=0 THEN 'copy' WHEN count(*) FILTER (ok AND effect=1)=0 THEN 'mute' ELSE 'mute+beep' END AS shape, coalesce(string_agg(s, '+' ORDER BY range_id) FILTER (ok AND effect=1), '') AS beep FROM x GROUP BY video_id",

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import detections, media, redaction, timelines, tracks
+from . import detections, faces, media, redaction, timelines, tracks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES: list = [detections, timelines, media, tracks, redaction]
+_MODULES: list = [detections, timelines, media, tracks, redaction, faces]
 
 
 def queries() -> dict[str, Query]:

@@ -98,15 +98,15 @@ def _pcm(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def peak_envelope(spark: SparkSession, sf: str) -> DataFrame:
-    return tl.peaks(_pcm(spark, sf), 40, 300).select("video_id", "bucket", F.round("peak", 6).alias("peak"))
+    return tl.peaks(_pcm(spark, sf), None, 300).select("video_id", "bucket", F.round("peak", 6).alias("peak"))
 
 
 def peak_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    return tl.soft_normalise(tl.peaks(_pcm(spark, sf), 40, 300)).select("video_id", "bucket", F.round("peak", 6).alias("peak"))
+    return tl.soft_normalise(tl.peaks(_pcm(spark, sf), None, 300)).select("video_id", "bucket", F.round("peak", 6).alias("peak"))
 
 
 def peak_sample(spark: SparkSession, sf: str) -> DataFrame:
-    p = tl.peaks(_pcm(spark, sf), 40, 240)
+    p = tl.peaks(_pcm(spark, sf), None, 240)
     arr = p.groupBy("video_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "peak"))), lambda x: x["peak"]).alias("p"))
     t = spark.range(0, 11)
     return arr.join(F.broadcast(t)).select("video_id", F.col("id").alias("tenth"), F.round(tl.peak_between(F.col("p"), F.col("id") / 10.0), 6).alias("peak"))
@@ -122,7 +122,8 @@ _LIFE = f"""{_FR}, m AS (SELECT *, coalesce(frame_index - lag(frame_index) OVER
  k AS (SELECT *, sum((miss > 90)::INT) OVER (PARTITION BY track_id ORDER BY frame_index)::BIGINT AS life FROM m),
  t AS (SELECT track_id, life, min(frame_index) AS first_frame, max(frame_index) AS last_frame, count(*) AS hits, max(CASE WHEN miss <= 90 THEN miss ELSE 0 END) AS longest_miss FROM k GROUP BY ALL)"""
 _PEAKS = lambda n: f"""s AS (SELECT event_id%2 AS video_id, event_id//2 AS ix, (trunc(value*97)::BIGINT % 30000 - 15000)::INT AS val FROM events),
- b AS (SELECT video_id, (ix//40)::INT AS bucket, max(abs(val/32768.0::DOUBLE)) AS peak, count(*) AS n FROM s WHERE ix//40 < {n} GROUP BY ALL), r AS (SELECT * FROM b WHERE n=40 OR peak>0),
+ z AS (SELECT video_id, (max(ix)+{n})//{n} AS per FROM s GROUP BY ALL),
+ b AS (SELECT video_id, per, (ix//per)::INT AS bucket, max(abs(val/32768.0::DOUBLE)) AS peak, count(*) AS n FROM s JOIN z USING (video_id) GROUP BY ALL), r AS (SELECT * FROM b WHERE n=per OR peak>0),
  l AS (SELECT video_id, max(bucket) AS last, arg_max(peak, bucket) AS tail FROM r GROUP BY ALL), e AS (SELECT video_id, last, tail, unnest(generate_series(0,{n - 1}))::INT AS bucket FROM l),
  p AS (SELECT e.video_id, e.bucket, CASE WHEN e.bucket > last THEN tail*0.15 ELSE coalesce(r.peak,0) END AS peak FROM e LEFT JOIN r ON e.video_id=r.video_id AND e.bucket=r.bucket)"""
 
