@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import media as m
+from .raw_media import FRAMES, read_pcm, read_video
 
-FRAMES = "video_id string, frame_index long, pts_sec double, width int, height int, pixels binary"
 
 
 def file_list(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,20 +18,7 @@ def file_list(spark: SparkSession, folder: str) -> DataFrame:
 
 def raw_frames(spark: SparkSession, path: str, width: int, height: int, fps: float, pattern: str = "*.rgb24") -> DataFrame:
     """Frames of raw video files (three bytes a pixel, frame after frame). A short last frame ends the stream. fps at or below 0.001 counts as 25."""
-    rate, size = (fps if fps > 0.001 else 25.0), width * height * 3
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for file, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                name = file.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-                for at in range(0, len(data) // size, 32):
-                    ix = list(range(at, min(at + 32, len(data) // size)))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(ix)), pa.array(ix, pa.int64()), pa.array([i / rate for i in ix]), pa.array([width] * len(ix), pa.int32()), pa.array([height] * len(ix), pa.int32()), pa.array([data[i * size : (i + 1) * size] for i in ix], pa.binary())],
-                        names=["video_id", "frame_index", "pts_sec", "width", "height", "pixels"],
-                    )
-
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content").mapInArrow(split, FRAMES)
+    return read_video(spark, path, width=width, height=height, fps=fps, pattern=pattern)
 
 
 def seek(frames: DataFrame, frame: int) -> DataFrame:
@@ -46,17 +29,7 @@ def seek(frames: DataFrame, frame: int) -> DataFrame:
 
 def pcm(spark: SparkSession, path: str, pattern: str = "*.s16") -> DataFrame:
     """video_id, sample_ix, value of mono little-endian 16-bit files; a half sample at the end is left out."""
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for file, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                name = file.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-                v = np.frombuffer(data[: len(data) // 2 * 2], "<i2")
-                for at in range(0, len(v), 1 << 16):
-                    part = v[at : at + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(at, at + len(part))), pa.array(part.astype(np.int32))], names=["video_id", "sample_ix", "value"])
-
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content").mapInArrow(split, "video_id string, sample_ix long, value int")
+    return read_pcm(spark, path, pattern=pattern)
 
 
 def settings(spark: SparkSession, path: str) -> DataFrame:
