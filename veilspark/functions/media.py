@@ -53,9 +53,12 @@ def even(v: Column) -> Column:
     return F.greatest(F.lit(2), v - v % 2)
 
 
+HOLD_LEAST, HOLD_MOST = 4, 12  # fixed values: how many frames wait before they are written
+
+
 def hold_frames(fps: Column) -> Column:
     rate = F.when(fps <= 1, 25.0).otherwise(fps)
-    return F.greatest(F.lit(4), F.least(F.lit(12), F.round(rate * 0.4).cast("int")))
+    return F.greatest(F.lit(HOLD_LEAST), F.least(F.lit(HOLD_MOST), F.round(rate * 0.4).cast("int")))
 
 
 def bitrate(w: Column, h: Column, fps: Column, source: Column) -> Column:
