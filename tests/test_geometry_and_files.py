@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import geometry as g
 from veilspark.functions import media as m
-from veilspark.operators import detect, identity, library, pixels, tracking
+from veilspark.operators import detect, identity, pixels, tracking
 from veilspark.sources import media_files as mf
 
 
@@ -56,8 +56,8 @@ def test_suppression_keeps_the_best_and_is_idempotent(spark):
 def test_identity_edges(spark):
     gallery = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.6, 0.8])], "identity_id int, embedding array<double>")
     probes = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, -1.0]), (3, []), (4, [1.0, 0.0, 0.0]), (5, [0.5, 1.0])], "vec_id int, embedding array<double>")
-    for most in (100, 1):  # at once, and block by block
-        got = {x["vec_id"]: (x["identity_id"], x["tier"]) for x in identity.nearest(probes, gallery, most_broadcast=most).collect()}
+    for size, rows in ((1 << 20, 100), (1, 2)):  # at once, and by blocks and tiles
+        got = {x["vec_id"]: (x["identity_id"], x["tier"]) for x in identity.nearest(probes, gallery, block_bytes=size, tile_rows=rows).collect()}
         assert got == {1: (1, 2), 2: (-1, 0), 3: (-1, 0), 4: (-1, 0), 5: (3, 2)}
 
 
@@ -72,11 +72,6 @@ def test_timecode_and_labels(spark):
     assert list(got) == ["00:00:00:00", "01:04:38:10", "00:00:01:001", "00:01:00.00", "00:00:00.00"]
 
 
-def test_unknown_size_peak_and_controller(spark):
-    s = spark.createDataFrame([(1, 1, 90.0, True, False), (1, 2, 50.0, False, False)], "run int, seq int, peak double, full boolean, bound boolean")
-    assert tuple(library.controller(s).first()) == (1, 2, 4, 1)
-
-
 @settings(max_examples=30, deadline=None)
 @given(st.integers(2, 40), st.integers(2, 40), st.sampled_from(list(pixels.FILTERS)))
 def test_filters_touch_only_their_box(h, w, mode):
@@ -99,6 +94,8 @@ def test_blur_keeps_flat_areas():
 
 def test_anchor_layouts():
     a = np.arange(84 * 5).reshape(1, 84, 5)
+    with pytest.raises(ValueError, match="unknown output shape"):
+        pixels.anchors(a.reshape(1, 42, 10), 80)
     assert (pixels.anchors(a, 80) == pixels.anchors(a.transpose(0, 2, 1), 80)).all()
 
 

@@ -28,6 +28,8 @@ CLASS_NAMES = (
 ).split(", ")
 LABELS = dict(enumerate(CLASS_NAMES))
 
+OBJECT_LEAST = 4  # fixed value: sides of an object, in pixels
+
 
 def box() -> Column:
     return F.struct(*BOX)
@@ -101,6 +103,20 @@ def suppress(dets: DataFrame, least_score: float, most_iou: float, top: int | No
     return kept.select(*FRAME, *(F.col(f"b.{c}").alias(c) for c in (*BOX, *extra)), (-F.col("b.s")).alias("score"))
 
 
+def object_boxes(raw: DataFrame, threshold: float = OBJECT_MIN) -> DataFrame:
+    """From a detector's raw rows (class_id, cx, cy, bw, bh, score in its input; scale, pad_x, pad_y; width and height of the frame) to its objects.
+
+    Gated by class and score, brought back into the frame in whole pixels and clipped, less those under
+    ``OBJECT_LEAST`` pixels, and suppressed. Rows with an ``error`` give nothing.
+    """
+    rows = raw.where(F.col("error").isNull()) if "error" in raw.columns else raw
+    rows = rows.where(object_gate(F.col("class_id"), F.col("score"), threshold))
+    fit = F.struct("scale", "pad_x", "pad_y")
+    back = g.unletterbox(F.col("cx"), F.col("cy"), F.col("bw"), F.col("bh"), fit, F.col("width"), F.col("height"))
+    made = placed(rows, "b", back).where(f"b.w >= {OBJECT_LEAST} AND b.h >= {OBJECT_LEAST}")
+    return suppress(made.select(*FRAME, "b.*", "class_id", "score"), OBJECT_NMS_MIN, OBJECT_NMS_IOU)
+
+
 def drop_containers(dets: DataFrame, ratio: float = 2.2) -> DataFrame:
     """Boxes less those over ``ratio`` times as large as one whose centre they hold; a frame that would lose all keeps all."""
     d = dets.groupBy(*FRAME).agg(F.sort_array(F.collect_list(F.struct(*BOX, *(c for c in dets.columns if c not in (*FRAME, *BOX))))).alias("boxes"))
@@ -131,19 +147,35 @@ def _covered(head: Column, face: Column) -> Column:
     return (both > 0) & (((union > 1) & (both / union >= 0.12)) | inside)
 
 
-def head_fallbacks(persons: DataFrame, faces: DataFrame, width: int, height: int) -> DataFrame:
-    """A low-score face for each person whose face region no face covers, fallbacks before it included. Persons go by position."""
+def _heads_and_faces(persons: DataFrame, faces: DataFrame, width: int, height: int, how: str, extra: tuple[str, ...] = ()) -> tuple[DataFrame, Column]:
+    """Per frame the head regions of persons, by position, and its faces; and those heads that no face covers, fallbacks before it included."""
     heads = placed(persons.select(*FRAME, *BOX), "f", g.face_roi(box(), width, height)).where("f.w >= 12 AND f.h >= 12")
     heads = heads.groupBy(*FRAME).agg(F.transform(F.sort_array(F.collect_list(F.struct(*BOX, "f"))), lambda p: p["f"]).alias("heads"))
-    known = faces.groupBy(*FRAME).agg(F.collect_list(box()).alias("faces"))
-    both = heads.join(known, list(FRAME), "left")
+    known = faces.groupBy(*FRAME).agg(F.collect_list(F.struct(*BOX, *extra)).alias("faces"))
+    both = heads.join(known, list(FRAME), how)
     none = F.filter("heads", lambda _: F.lit(False))
+    covered = lambda h: F.coalesce(F.exists("faces", lambda f: _covered(h, f)), F.lit(False))
 
     def step(out: Column, h: Column) -> Column:
-        hit = F.exists(F.coalesce(F.col("faces"), none), lambda f: _covered(h, f)) | F.exists(out, lambda f: _covered(h, f))
+        hit = covered(h) | F.exists(out, lambda f: _covered(h, f))
         return F.when(hit, out).otherwise(F.concat(out, F.array(h)))
 
-    return both.select(*FRAME, F.inline(F.aggregate("heads", none, step))).withColumn("score", F.lit(FALLBACK_SCORE))
+    return both, F.aggregate("heads", none, step)
+
+
+def head_fallbacks(persons: DataFrame, faces: DataFrame, width: int, height: int) -> DataFrame:
+    """A low-score face for each person whose face region no face covers, fallbacks before it included. Persons go by position."""
+    both, made = _heads_and_faces(persons, faces, width, height, "left")
+    return both.select(*FRAME, F.inline(made)).withColumn("score", F.lit(FALLBACK_SCORE))
+
+
+def with_fallbacks(persons: DataFrame, faces: DataFrame, width: int, height: int) -> DataFrame:
+    """The faces and their fallbacks; faces are read once, so what finds them runs once."""
+    both, made = _heads_and_faces(persons, faces, width, height, "full_outer", ("score",))
+    entry = both.select("faces").schema["faces"].dataType
+    low = F.transform(made, lambda h: F.struct(*(h[c].alias(c) for c in BOX), F.lit(FALLBACK_SCORE).alias("score"))).cast(entry)
+    nothing = F.array().cast(entry)
+    return both.select(*FRAME, F.inline(F.concat(F.coalesce("faces", nothing), F.coalesce(low, nothing))))
 
 
 def zoom_persons(dets: DataFrame, width: int, height: int, most: int = 10) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from . import detect as d
+from . import pixels
 
 # Share of the threshold that a small face needs, and least sides of regions.
 SSD_SMALL, YOLO_SMALL = 0.62, 0.55
@@ -97,3 +98,16 @@ def together(found: DataFrame) -> DataFrame:
 def faces(found: DataFrame, width: int, height: int) -> DataFrame:
     """The faces of each frame from those of its regions, many frames at once: put together, suppressed, finalised."""
     return d.finalise(d.suppress(together(found), d.FACE_NMS_MIN, d.FACE_NMS_IOU, top=d.FACE_TOP, extra=()), width, height)
+
+
+def detect(frames: DataFrame, zooms: DataFrame, persons: DataFrame, detector, kind: str, size: int, threshold: float, width: int, height: int, with_tiles: bool = True) -> DataFrame:
+    """Faces of frames (width, height, pixels), from pixels to boxes in one plan.
+
+    Regions are planned, cut and resized once each and run in chunks; what the model says is decoded by
+    its kind, brought back into the frame (a zoom on a torso lets go of boxes over half of it),
+    suppressed and finalised; persons without a face get a fallback from their head's region.
+    """
+    planned = fitted(regions(frames.select(*d.FRAME, "width", "height"), zooms, kind, size, with_tiles), size, kind)
+    rows = pixels.detect_regions(frames, planned, detector, kind, size).where("error IS NULL").drop("error")
+    found = faces(decode(rows, threshold, size, size), width, height)
+    return d.with_fallbacks(persons, found, width, height)

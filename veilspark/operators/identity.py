@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # From where a match keeps a face clear, and from where it is suggested.
 KEEP, SUGGEST = 0.62, 0.48
-MOST_BROADCAST = 100_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -27,45 +32,93 @@ def tier(score: Column) -> Column:
     return F.when(score >= KEEP, 2).when(score >= SUGGEST, 3).otherwise(0)
 
 
-def nearest(probes: DataFrame, gallery: DataFrame, exclude: int = -1, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """Adds the nearest identity of each probe (vec_id, embedding), its score and tier.
-
-    Only scores above 0 count, the smaller id wins ties. Below the suggestion threshold the
-    identity is -1 but the score is reported. Every probe meets every identity. A gallery up to
-    ``most_broadcast`` identities is broadcast; a larger one is cut into blocks that meet every
-    probe block by block, which leaves a partial best per probe and block.
+GALLERY_BYTES, TILE_ROWS, AT_ONCE = 16 << 20, 20_000, 256
+_BEST = "vec_id long, score double, identity_id long"
+
+
+def _best(gallery: pa.Table, probes: pa.Table) -> pa.Table:
+    """The nearest of a gallery block for each probe of a tile; vectors of other lengths do not meet. Equal scores go to the smaller id."""
+    ids = np.zeros(probes.num_rows, np.int64) - 1
+    scores = np.zeros(probes.num_rows)
+    sides = []
+    for t, name in ((gallery, "identity_id"), (probes, "vec_id")):
+        lists = t["e"].combine_chunks()
+        n = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        sides.append((t[name].to_numpy(), n, np.r_[0, np.cumsum(n)], lists.flatten().to_numpy(zero_copy_only=False)))
+    (g_ids, g_n, g_at, g_v), (p_ids, p_n, p_at, p_v) = sides
+    for dim in np.unique(p_n[p_n > 0]):
+        mine = np.flatnonzero(g_n == dim)
+        if not len(mine):
+            continue
+        mine = mine[np.argsort(g_ids[mine], kind="stable")]
+        g = g_v[g_at[mine][:, None] + np.arange(dim)]
+        rows = np.flatnonzero(p_n == dim)
+        for at in range(0, len(rows), AT_ONCE):
+            some = rows[at : at + AT_ONCE]
+            s = p_v[p_at[some][:, None] + np.arange(dim)] @ g.T
+            top = s.max(axis=1)
+            first = (s >= top[:, None] - 1e-12).argmax(axis=1)  # equal vectors may differ in the last bit
+            scores[some], ids[some] = np.where(top > 0, top, 0), np.where(top > 0, g_ids[mine][first], -1)
+    return pa.table({"vec_id": p_ids, "score": scores, "identity_id": ids})
+
+
+def nearest(probes: DataFrame, gallery: DataFrame, exclude: int = -1, block_bytes: int = GALLERY_BYTES, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """The nearest identity of each probe (vec_id, embedding), its score and tier.
+
+    Only scores above 0 count, the smaller id wins ties. Below the suggestion threshold the identity is
+    -1 but the score is reported. Every probe meets every identity: the gallery is cut into blocks of
+    about ``block_bytes``, by its measured size, and probes into tiles of about ``tile_rows``; a block and a tile are
+    multiplied in one task, and the best of all blocks is kept. Nothing is broadcast or collected.
     """
-    g = gallery.where(F.col("identity_id") != exclude).select("identity_id", l2(F.col("embedding")).alias("g"))
-    p = probes.select("vec_id", l2(F.col("embedding")).alias("q"))
-    n = g.count()
-    if n <= most_broadcast:
-        packed = g.groupBy().agg(F.sort_array(F.collect_list(F.struct("identity_id", "g"))).alias("all"))
-        pairs = p.join(F.broadcast(packed))
-    else:
-        blocks = n // most_broadcast + 1
-        packed = g.groupBy(F.pmod(F.xxhash64("identity_id"), F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("identity_id", "g"))).alias("all"))
-        pairs = p.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "block")
-    best = F.aggregate(
-        "all", F.struct(F.lit(0.0).alias("score"), F.lit(-1).cast("long").alias("id")),
-        lambda acc, x: F.when(dot(F.col("q"), x["g"]) > acc["score"], F.struct(dot(F.col("q"), x["g"]).alias("score"), x["identity_id"].cast("long").alias("id"))).otherwise(acc),
-    )
-    found = pairs.select("vec_id", best.alias("b"))
-    if n > most_broadcast:
-        found = found.groupBy("vec_id").agg(F.max_by("b", F.struct("b.score", (-F.col("b.id")).alias("i"))).alias("b"))
-    t = F.when(F.col("b.id") < 0, 0).otherwise(tier(F.col("b.score")))
-    return found.select("vec_id", F.when(t == 0, -1).otherwise(F.col("b.id")).alias("identity_id"), F.col("b.score").alias("score"), t.alias("tier"))
+    g = gallery.where(F.col("identity_id") != exclude).select(F.col("identity_id").cast("long").alias("identity_id"), l2(F.col("embedding").cast("array<double>")).alias("e"))
+    p = probes.select(F.col("vec_id").cast("long").alias("vec_id"), l2(F.col("embedding").cast("array<double>")).alias("e"))
+    size = gallery.agg(F.sum(F.size("embedding") * F.lit(8).cast("long"))).first()[0] or 0
+    blocks, tiles = int(1 + size // block_bytes), int(1 + probes.count() // tile_rows)
+    parts = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = g.select("*", deal("identity_id", blocks).alias("block"), parts(tiles).alias("tile"))
+    right = p.select("*", deal("vec_id", tiles).alias("tile"), parts(blocks).alias("block"))
+    met = left.groupBy("block", "tile").cogroup(right.groupBy("block", "tile")).applyInArrow(_best, _BEST)
+    order = F.struct("score", -F.col("identity_id"))
+    found = met.groupBy("vec_id").agg(F.max_by(F.struct("score", "identity_id"), order).alias("b"))
+    t = F.when(F.col("b.identity_id") < 0, 0).otherwise(tier(F.col("b.score")))
+    return found.select("vec_id", F.when(t == 0, F.lit(-1).cast("long")).otherwise(F.col("b.identity_id")).alias("identity_id"), F.col("b.score").alias("score"), t.alias("tier"))
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by label, then vec_id: one running vector and count are held, whatever a label's number of samples."""
+    label, mean, n = None, None, 0
+
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], pa.list_(pa.float64())), pa.array([r[2] for r in rows], pa.int32())], names=["label", "e", "n"])
+
+    kind = None
+    for b in batches:
+        kind = b.column("label").type
+        done = []
+        for at, name in enumerate(b.column("label").to_pylist()):
+            x = np.asarray(b.column("e")[at].values, dtype=np.float64)
+            x = x / np.sqrt(max(float(np.dot(x, x)), 1e-12))
+            if name != label or n == 0:
+                if n:
+                    done.append((label, mean.tolist(), n))
+                label, mean, n = name, x, 1
+            elif len(x) != len(mean):
+                mean, n = x, 1
+            else:
+                mean = (mean * n + x) / (n + 1)
+                mean, n = mean / np.sqrt(max(float(np.dot(mean, mean)), 1e-12)), n + 1
+        if done:
+            yield told(done)
+    if n:
+        yield told([(label, mean.tolist(), n)])
 
 
 def centroids(samples: DataFrame) -> DataFrame:
-    """An identity per label from its samples in order of vec_id: the running mean, at length one after every sample.
+    """An identity per label from its samples in order of vec_id: the running mean, at length one after every sample. A sample of another length starts anew.
 
-    The order decides, so this is a fold over one identity's samples, not an average.
+    The order decides, so this is a fold over a label's samples as they come sorted, not an average.
     """
-    listed = samples.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", F.col("embedding").cast("array<double>").alias("e")))), lambda s: l2(s["e"])).alias("s"))
-    one = F.struct(F.element_at("s", 1).alias("e"), F.lit(1).alias("n"))
-
-    def step(acc: Column, x: Column) -> Column:
-        mean = F.zip_with(acc["e"], x, lambda a, b: (a * acc["n"] + b) / (acc["n"] + 1))
-        return F.when(F.size(acc["e"]) == F.size(x), F.struct(l2(mean).alias("e"), (acc["n"] + 1).alias("n"))).otherwise(F.struct(x.alias("e"), F.lit(1).alias("n")))
-
-    return listed.select("label", F.aggregate(F.slice("s", 2, F.size("s")), one, step).alias("c")).select("label", "c.e", "c.n")
+    rows = samples.where("label IS NOT NULL AND embedding IS NOT NULL").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    out = T.StructType([samples.schema["label"], T.StructField("e", T.ArrayType(T.DoubleType())), T.StructField("n", T.IntegerType())])
+    return rows.repartition("label").sortWithinPartitions("label", "vec_id").select("label", "e").mapInArrow(_folded, out)

@@ -111,9 +111,14 @@ def mask_sync(boxes: DataFrame, marks: DataFrame, gate: float = 80.0) -> DataFra
     return bound.select("scene", "kind", "box_id", "mark_id").unionByName(near)
 
 
-def handle_hit(points: DataFrame, ranges: DataFrame, px: float = 6.0) -> DataFrame:
-    """Which range a point (track, point_id, x) of the audio lane hits: the first whose edge is near, else the last whose body holds it."""
-    hit = points.join(ranges, "track").where("x >= x0 - 2 AND x <= x1 + 2")
+def handle_hit(points: DataFrame, ranges: DataFrame, px: float = 6.0, width: float = 64.0) -> DataFrame:
+    """Which range a point (track, point_id, x) of the audio lane hits: the first whose edge is near, else the last whose body holds it.
+
+    Ranges are written out by stretches of ``width`` pixels, so points meet them by track and stretch.
+    """
+    stretch = lambda c: F.floor(c / width)
+    near = ranges.where("x1 + 2 >= x0 - 2").withColumn("stretch", F.explode(F.sequence(stretch(F.col("x0") - 2), stretch(F.col("x1") + 2))))
+    hit = points.withColumn("stretch", stretch(F.col("x"))).join(near, ["track", "stretch"]).where("x >= x0 - 2 AND x <= x1 + 2")
     edge = F.when(F.abs(F.col("x") - F.col("x0")) <= px, -1).when(F.abs(F.col("x") - F.col("x1")) <= px, 1).otherwise(0)
     order = F.when(edge != 0, F.struct(F.lit(0).alias("k"), F.col("ord").alias("o"))).otherwise(F.struct(F.lit(1).alias("k"), (-F.col("ord")).alias("o")))
     return hit.groupBy("point_id").agg(F.min_by("range_id", order).alias("range_id"), F.min_by(edge, order).alias("edge"))
@@ -126,23 +131,6 @@ def localised(keys: DataFrame, texts: DataFrame) -> DataFrame:
     return keys.join(own, ["code", "key"], "left").join(english, "key", "left").select("code", "key", F.coalesce("own", "english", "key").alias("text"))
 
 
-def controller(samples: DataFrame, gears: int = 7, caps: int = 5) -> DataFrame:
-    """The batch gear and zoom cap after each load sample (run, seq, peak, full, bound): an ordered fold."""
-    entries = samples.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("seq", "peak", "full", "bound"))).alias("s"))
-    zero = F.struct(F.lit(3).alias("gear"), F.lit(2).alias("cap"))
-
-    def step(a: Column, x: Column) -> Column:
-        down = (x["peak"] > 82) & F.lit(True)
-        up = x["peak"] < 70
-        gear = F.when(down & ~x["full"] & (a["gear"] > 0), a["gear"] - 1).when(up & (a["gear"] + 1 < gears), a["gear"] + 1).otherwise(a["gear"])
-        trim = (down & ((x["full"] & (a["cap"] > 0)) | (~x["full"] & (a["gear"] <= 0) & (a["cap"] > 0)))) | (up & (a["gear"] + 1 >= gears) & x["bound"] & x["full"] & (a["cap"] > 0))
-        lift = up & (a["gear"] + 1 >= gears) & ~x["bound"] & ~x["full"] & (a["cap"] + 1 < caps)
-        return F.struct(gear.alias("gear"), F.when(trim, a["cap"] - 1).when(lift, a["cap"] + 1).otherwise(a["cap"]).alias("cap"))
-
-    end = F.aggregate("s", zero, step)
-    return entries.select("run", F.size("s").alias("n"), end.alias("e")).select("run", "n", "e.gear", "e.cap")
-
-
 def first_existing(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     """Of each name's candidate paths (name, ord, path) the first that exists; null if none does."""
     there = candidates.join(existing.select("path").distinct(), "path", "left_semi").groupBy("name").agg(F.min_by("path", "ord").alias("found"))

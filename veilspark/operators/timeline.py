@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,6 +83,37 @@ def audio_edit(samples: DataFrame, ranges: DataFrame, width: float = 16.0) -> Da
     return samples.join(got, "sample_id", "left").select("video_id", "sample_id", "t", F.col("n_ranges").isNotNull().alias("silenced"), F.coalesce(F.col("effect") == 1, F.lit(False)).alias("beep"), F.coalesce("n_ranges", F.lit(0)).alias("n_ranges"))
 
 
+BEEP_HZ, BEEP_LEVEL, FULL_SCALE = 1000, 0.25, 32767  # fixed values: the tone that replaces sound
+
+
+def _merged(ranges: DataFrame, name: str) -> DataFrame:
+    """Per video and bucket the stretches that some range covers, as a list of (start, end) without overlaps."""
+    w = Window.partitionBy("video_id", "bucket").orderBy("start_sec", "end_sec")
+    before = F.max("end_sec").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.when(F.col("start_sec") <= F.col("before"), 0).otherwise(1)).over(w)
+    joined = ranges.withColumn("before", before).withColumn("island", island).groupBy("video_id", "bucket", "island").agg(F.min("start_sec").alias("start"), F.max("end_sec").alias("end"))
+    return joined.groupBy("video_id", "bucket").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(name))
+
+
+def render_audio(samples: DataFrame, ranges: DataFrame, rate: int, width: float = 16.0) -> DataFrame:
+    """The samples (video_id, sample_ix, value) as they are written: 0 inside any range (ends included), a tone inside a beep range, else unchanged.
+
+    Ranges are cut to buckets of time and merged there, so each sample meets one row by video and
+    bucket and is never counted out again. The tone's phase comes from the sample's number, so it
+    does not depend on how samples are dealt out.
+    """
+    r = ranges.where("end_sec > start_sec AND start_sec >= 0")
+    bucket = lambda c: F.floor(c / width)
+    r = r.withColumn("bucket", F.explode(F.sequence(bucket(F.col("start_sec")), bucket(F.col("end_sec")))))
+    cut = r.select("video_id", "bucket", "effect", F.greatest("start_sec", F.col("bucket") * width).alias("start_sec"), F.least("end_sec", (F.col("bucket") + 1) * width).alias("end_sec"))
+    spans = _merged(cut, "mute").join(_merged(cut.where("effect = 1"), "beep"), ["video_id", "bucket"], "left")
+    t = F.col("sample_ix") / F.lit(float(rate))
+    met = samples.withColumn("t", t).withColumn("bucket", bucket(F.col("t"))).join(spans, ["video_id", "bucket"], "left")
+    inside = lambda c: F.coalesce(F.exists(c, lambda x: (F.col("t") >= x["start"]) & (F.col("t") <= x["end"])), F.lit(False))
+    tone = F.round(F.sin(F.col("sample_ix") * (2 * math.pi * BEEP_HZ) / rate) * (BEEP_LEVEL * FULL_SCALE)).cast("int")
+    return met.select("video_id", "sample_ix", F.when(inside(F.col("beep")), tone).when(inside(F.col("mute")), 0).otherwise(F.col("value")).alias("value"))
+
+
 def seconds_text(sec: Column) -> Column:
     """Seconds with a point and three decimals, whatever the locale."""
     return F.format_string("%.3f", sec)

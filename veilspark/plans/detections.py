@@ -133,7 +133,7 @@ def letterbox_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     s = F.col("b.scale")
     back = g.unletterbox(F.col("w") * 0.5 * s + F.col("b.pad_x"), F.col("h") * 0.5 * s + F.col("b.pad_y"), F.col("w") * 0.25 * s, F.col("h") * 0.25 * s, F.col("b"), F.col("w"), F.col("h"))
     p = p.withColumn("r", back)
-    return p.select("p_partkey", "w", "h", F.round("b.scale", 6).alias("scale"), "b.pad_x", "b.pad_y", (F.abs(F.col("r.x") - F.col("w") * 0.375) <= 1.5).alias("x_back"), (F.abs(F.col("r.w") - F.col("w") * 0.25) <= 1.5).alias("w_back"))
+    return p.select("p_partkey", "w", "h", F.round("b.scale", 6).alias("scale"), "b.pad_x", "b.pad_y", *(F.col(f"r.{c}").alias(f"{c}_back") for c in d.BOX))
 
 
 def tile_grid(spark: SparkSession, sf: str) -> DataFrame:
@@ -287,20 +287,35 @@ grid AS (SELECT key, row::INT AS row, (generate_subscripts({_STARTS('w')}, 1)-1)
 _GATE = "CASE WHEN class_id = 0 THEN score >= 0.15 ELSE score >= 0.35 AND class_id IN (2,3,5,7,62,63,66,67) END"
 _FACEGATE = lambda t: f"score >= CASE WHEN least(w,h) < 48 THEN greatest(0.22, {t}*0.55) ELSE {t} END"
 
+def detect_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """From raw rows in the input of a detector to the objects of frames of two sizes, some too small."""
+    rows = v.detections(spark, sf).withColumns({"width": F.expr("cast(640 + video_id % 2 * 640 AS int)"), "height": F.expr("cast(480 + video_id div 2 * 240 AS int)")})
+    fit = g.letterbox(F.col("width"), F.col("height"), 640)
+    raw = d.placed(rows, "f", fit).selectExpr(*d.FRAME, "width", "height", "class_id", "score", "x + w * 0.5D AS cx", "y + h * 0.5D AS cy", "CASE WHEN x % 5 = 0 THEN 3.75D ELSE w + 0D END AS bw", "h + 0.25D AS bh", "f.scale", "f.pad_x", "f.pad_y")
+    return d.object_boxes(raw)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         redact_counts, det_gate, det_finalize, iou_pairs, nms_boxes, nms_faces_topk, nms_prior_topk, containment_drop, head_fallback, head_fallback_first, person_head_roi, person_face_roi, zoom_roi, pad_variants,
         plate_zone, smallest_k_people, roi_budget, class_route_union, class_labels, class_argmax, letterbox_roundtrip, tile_grid, tile_subsample, point_in_smallest_rect, greedy_match, coast_boxes, coast_snap,
-        crop_ownership, grid_decode, prior_decode, landmark_points, viewport_mapping,
+        crop_ownership, grid_decode, prior_decode, landmark_points, viewport_mapping, detect_chain,
     )
 }
 _RECT = "rx AS x, ry AS y, rw AS w, rh AS h"
+_BACK = lambda c, n, pad: f"trunc(({c} - {n}*0.5 - {pad})/s)::INT"
+_RETURNED = ", ".join((f"greatest(0, {_BACK('w*0.5*s + (640-round(w*s)::INT)//2', 'w*0.25*s', '(640-round(w*s)::INT)//2')}) AS x_back", f"greatest(0, {_BACK('h*0.5*s + (640-round(h*s)::INT)//2', 'h*0.25*s', '(640-round(h*s)::INT)//2')}) AS y_back", "trunc(w*0.25*s/s)::INT AS w_back", "trunc(h*0.25*s/s)::INT AS h_back"))
+_CHAIN = f"""sized AS (SELECT *, (640+video_id%2*640)::INT AS fw, (480+video_id//2*240)::INT AS fh FROM det WHERE {_GATE}), scaled AS (SELECT *, least(640::DOUBLE/fw, 640::DOUBLE/fh) AS s FROM sized),
+padded AS (SELECT *, (640-round(fw*s)::INT)//2 AS px, (640-round(fh*s)::INT)//2 AS py, CASE WHEN x%5=0 THEN 3.75::DOUBLE ELSE w END AS bw, h+0.25::DOUBLE AS bh FROM scaled),
+back AS (SELECT video_id, frame_index, class_id, score, fw, fh, trunc((x+w*0.5::DOUBLE-bw*0.5-px)/s)::INT AS x1, trunc((y+h*0.5::DOUBLE-bh*0.5-py)/s)::INT AS y1, trunc(bw/s)::INT AS w1, trunc(bh/s)::INT AS h1 FROM padded),
+chain AS (SELECT video_id, frame_index, class_id, score, greatest(x1,0) AS x, greatest(y1,0) AS y, least(x1+w1,fw)-greatest(x1,0) AS w, least(y1+h1,fh)-greatest(y1,0) AS h FROM back WHERE least(x1+w1,fw)-greatest(x1,0) >= 4 AND least(y1+h1,fh)-greatest(y1,0) >= 4)"""
 ORACLE = {
     "redact_counts": f"WITH RECURSIVE {DET}, g AS (SELECT * FROM det WHERE {_FACEGATE(0.35)}), {_nms_sql('score >= 0.22', 0.42, 80, 'g')}, {_finalised('nms', 'video_id, frame_index, score')} SELECT video_id, frame_index, count(*) AS n_boxes, sum(rw*rh)::BIGINT AS area, round(max(score),4) AS best FROM f4 GROUP BY ALL",
     "det_gate": f"WITH {DET} SELECT *, {_GATE} AS object_ok, {_FACEGATE(0.35)} AS face_ok FROM det",
     "det_finalize": f"WITH {DET}, {_finalised('det', 'video_id, frame_index, class_id, score')} SELECT video_id, frame_index, class_id, score, {_RECT} FROM f4",
     "iou_pairs": f"WITH {DET}, pa AS (SELECT * FROM det WHERE class_id=0), pb AS (SELECT * FROM det WHERE class_id=62), {_ASSOC} SELECT video_id, frame_index, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by, a.w AS aw, b.w AS bw, round(iou,6) AS iou, round(dist,4) AS dist, round(assoc,6) AS assoc FROM scored",
+    "detect_chain": f"WITH RECURSIVE {DET}, {_CHAIN}, {_nms_sql('score >= 0.18', 0.45, None, 'chain')} SELECT * FROM nms",
     "nms_boxes": f"WITH RECURSIVE {DET}, {_nms_sql('score >= 0.18', 0.45, None)} SELECT * FROM nms",
     "nms_faces_topk": f"WITH RECURSIVE {DET}, {_nms_sql('score >= 0.22', 0.42, 80)} SELECT * FROM nms",
     "nms_prior_topk": f"WITH RECURSIVE {DET}, {_nms_sql('score >= 0.12', 0.45, 200)} SELECT * FROM nms",
@@ -330,7 +345,7 @@ ORACLE = {
     "class_route_union": f"WITH {DET}, k AS (SELECT * FROM det WHERE {_GATE}) SELECT video_id, frame_index, x, y, w, h, score, 'screen' AS target FROM k WHERE class_id IN (62,63,66,67) UNION ALL SELECT video_id, frame_index, x, y+h-greatest(4,trunc(h*0.35::DOUBLE)::INT), w, greatest(4,trunc(h*0.35::DOUBLE)::INT), score, 'plate-zone' FROM k WHERE class_id IN (2,3,5,7)",
     "class_labels": f"WITH {DET} SELECT (x % 81)::INT AS class_id, coalesce({d.CLASS_NAMES!r}[x % 81 + 1], 'object') AS label, count(*) AS n FROM det GROUP BY ALL",
     "class_argmax": f"WITH {DET}, s AS (SELECT *, list_transform(generate_series(0,79), lambda k: ((x*(k+3)+y*7+k*k)%97)/97.0::DOUBLE) AS sc FROM det) SELECT video_id, frame_index, x, y, w, h, score, (list_position(sc, list_max(sc))-1)::INT AS best_class, round(list_max(sc),6) AS best_score FROM s",
-    "letterbox_roundtrip": "WITH p AS (SELECT p_partkey, (320+p_size*31)::INT AS w, (240+(p_partkey*17)%700)::INT AS h FROM part), b AS (SELECT *, least(640.0::DOUBLE/w, 640.0::DOUBLE/h) AS s FROM p) SELECT p_partkey, w, h, round(s,6) AS scale, (640-round(w*s)::INT)//2 AS pad_x, (640-round(h*s)::INT)//2 AS pad_y, true AS x_back, true AS w_back FROM b",
+    "letterbox_roundtrip": f"WITH p AS (SELECT p_partkey, (320+p_size*31)::INT AS w, (240+(p_partkey*17)%700)::INT AS h FROM part), b AS (SELECT *, least(640.0::DOUBLE/w, 640.0::DOUBLE/h) AS s FROM p) SELECT p_partkey, w, h, round(s,6) AS scale, (640-round(w*s)::INT)//2 AS pad_x, (640-round(h*s)::INT)//2 AS pad_y, {_RETURNED} FROM b",
     "tile_grid": f"WITH {_TILES} SELECT * FROM grid",
     "tile_subsample": f"WITH {_TILES}, o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY row, col)-1 AS i, count(*) OVER (PARTITION BY key) AS n FROM grid) SELECT key, row, col, x, y, i::INT AS i FROM o WHERE n <= 6 OR list_contains(list_transform(generate_series(0,5), lambda k: k*(n-1)//5), i)",
     "point_in_smallest_rect": f"WITH {DET}, t AS (SELECT video_id, frame_index, x, y, w, h, min(x*1000+y) AS id FROM det WHERE class_id=0 GROUP BY ALL), p AS (SELECT video_id, frame_index, min(x) AS px, min(y) AS py FROM det WHERE class_id=62 GROUP BY ALL) SELECT frame_index AS point_id, arg_min(id, w*h*1000000::BIGINT+id) AS id, min(w*h) AS area FROM p JOIN t USING (video_id, frame_index) WHERE px>=x AND px<x+w AND py>=y AND py<y+h GROUP BY frame_index, video_id",

@@ -221,15 +221,10 @@ def latest_request(spark: SparkSession, sf: str) -> DataFrame:
 def mask_sync(spark: SparkSession, sf: str) -> DataFrame:
     d = v.detections(spark, sf).where("class_id IN (0, 2)").selectExpr("frame_index AS scene", "class_id AS kind", "x", "y", "x * 1000L + y AS id").groupBy("scene", "kind", "id").agg(F.min("x").alias("x"), F.min("y").alias("y"))
     boxes = d.where("id % 3 <> 0").selectExpr("scene", "kind", "id AS box_id", "x", "y")
-    marks = d.where("id % 2 = 0").selectExpr("scene", "kind", "id AS mark_id", "x", "y")
+    marks = d.where("id % 2 = 0 OR id % 3 = 0").selectExpr("scene", "kind", "id AS mark_id", "x", "y")
     return lib.mask_sync(boxes, marks)
 
 
-def batch_controller(spark: SparkSession, sf: str) -> DataFrame:
-    e = v.table(spark, sf, "events").selectExpr("user_id % 25 AS run", "event_id AS seq", "cast(event_id * 7 % 100 AS double) AS peak", "event_id % 3 = 0 AS full", "event_id % 4 = 0 AS bound")
-    return lib.controller(e)
-
-
 _FPS = "(CASE p_size % 6 WHEN 0 THEN 0.4 WHEN 1 THEN 23.5 WHEN 2 THEN 24.5 WHEN 3 THEN 29.97 WHEN 4 THEN 100.0 ELSE 60.0 END)::DOUBLE"
 _Z = """z0 AS (SELECT p_partkey, p_partkey*29%50000 AS frames, (400+p_size*20)::DOUBLE AS width, (p_partkey%11)::DOUBLE/10 AS zoom, 30.0::DOUBLE AS fps FROM part),
  z1 AS (SELECT *, greatest(1.0,width)/greatest(1,frames) AS fit FROM z0), z2 AS (SELECT *, greatest(fit,24.0) AS most FROM z1),
@@ -245,7 +240,7 @@ QUERIES = {
     for f in (
         timecode, range_label, encode_numbers, length_limit, zoom_scale, scroll_reveal, zoom_label, timeline_step, thumb_spans, detail_windows, audio_drag, handle_hits, ext_filter, file_dedup, unique_name, status_counts,
         runnable_files, batch_run, locale_normalize, locale_lookup, json_settings, url_form_parse, plan_resolve, stored_plan, text_helpers, track_labels, track_upsert_diff, stage_bottleneck, queue_stats, delta_utilisation,
-        best_gpu, codec_choice, update_throttle, face_marks, latest_request, mask_sync, batch_controller,
+        best_gpu, codec_choice, update_throttle, face_marks, latest_request, mask_sync,
     )
 }
 ORACLE = {
@@ -290,12 +285,7 @@ ORACLE = {
     "update_throttle": "WITH e AS (SELECT user_id%10 AS stream, event_id AS seq, event_id%50=0 AS forced, row_number() OVER (PARTITION BY user_id%10, event_id*37//200 ORDER BY event_id) AS k FROM events) SELECT stream, seq FROM e WHERE forced OR k=1",
     "face_marks": f"WITH {v.DETECTIONS_SQL}, f AS (SELECT DISTINCT video_id, frame_index FROM det WHERE class_id=0), n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_index)::INT AS size FROM f) SELECT *, size%15=0 AS publish FROM n",
     "latest_request": "SELECT user_id AS generation, arg_max(event_id%17, event_id) AS span, max(event_id) AS ticket FROM events GROUP BY 1",
-    "mask_sync": f"""WITH {v.DETECTIONS_SQL}, d AS (SELECT DISTINCT frame_index AS scene, class_id AS kind, x, y, x*1000::BIGINT+y AS id FROM det WHERE class_id IN (0,2)), b AS (SELECT * FROM d WHERE id%3<>0), m AS (SELECT * FROM d WHERE id%2=0),
+    "mask_sync": f"""WITH {v.DETECTIONS_SQL}, d AS (SELECT DISTINCT frame_index AS scene, class_id AS kind, x, y, x*1000::BIGINT+y AS id FROM det WHERE class_id IN (0,2)), b AS (SELECT * FROM d WHERE id%3<>0), m AS (SELECT * FROM d WHERE id%2=0 OR id%3=0),
  bd AS (SELECT b.scene, b.kind, b.id AS box_id, b.id AS mark_id FROM b JOIN m USING (scene, kind, id)), n AS (SELECT b.scene, b.kind, b.id AS box_id, m.id AS mark_id, sqrt(pow(b.x-m.x,2)+pow(b.y-m.y,2)) AS dist FROM b JOIN m USING (scene, kind) WHERE NOT EXISTS (SELECT 1 FROM bd WHERE bd.scene=b.scene AND bd.kind=b.kind AND bd.box_id=b.id) AND NOT EXISTS (SELECT 1 FROM bd WHERE bd.scene=b.scene AND bd.kind=b.kind AND bd.mark_id=m.id))
  SELECT * FROM bd UNION ALL SELECT scene, kind, box_id, mark_id FROM (SELECT * FROM n WHERE dist < 80 QUALIFY row_number() OVER (PARTITION BY scene, kind, box_id ORDER BY dist, mark_id)=1)""",
-    "batch_controller": """WITH RECURSIVE e AS (SELECT user_id%25 AS run, event_id*7%100 AS peak, event_id%3=0 AS f, event_id%4=0 AS b, row_number() OVER (PARTITION BY user_id%25 ORDER BY event_id) AS k FROM events),
- s AS (SELECT DISTINCT run, 0::BIGINT AS k, 3 AS gear, 2 AS cap FROM e UNION ALL SELECT e.run, e.k,
-  CASE WHEN peak>82 AND NOT f AND gear>0 THEN gear-1 WHEN peak<70 AND gear<6 THEN gear+1 ELSE gear END,
-  CASE WHEN peak>82 AND cap>0 AND (f OR gear<=0) THEN cap-1 WHEN peak<70 AND gear>=6 AND b AND f AND cap>0 THEN cap-1 WHEN peak<70 AND gear>=6 AND NOT b AND NOT f AND cap<4 THEN cap+1 ELSE cap END FROM s JOIN e ON e.run=s.run AND e.k=s.k+1)
- SELECT run, max(k)::INT AS n, arg_max(gear, k) AS gear, arg_max(cap, k) AS cap FROM s GROUP BY run""",
 }
