@@ -177,3 +177,44 @@ def test_class_names_are_the_known_ones():
     """Some of the names, written out."""
     assert {i: detect.CLASS_NAMES[i] for i in (0, 2, 7, 16, 24, 39, 56, 62, 63, 67, 79)} == {0: "person", 2: "car", 7: "truck", 16: "dog", 24: "backpack", 39: "bottle", 56: "chair", 62: "tv", 63: "laptop", 67: "cell phone", 79: "toothbrush"}
     assert len(detect.CLASS_NAMES) == 80
+
+
+def test_masks_against_plain_loops():
+    """A second form of the filters: pixel by pixel."""
+    rng = np.random.default_rng(6)
+    for w, h in ((37, 31), (16, 45), (3, 2), (90, 17)):
+        p = rng.integers(0, 256, (h, w, 3), dtype=np.uint8)
+        sw, sh = max(1, w // 15), max(1, h // 15)
+        want = np.zeros_like(p)
+        for y in range(h):
+            for x in range(w):
+                at = [min(max((k + 0.5) * n / s - 0.5, 0), n - 1) for k, n, s in ((x * sw // w, w, sw), (y * sh // h, h, sh))]
+                (x0, y0), (fx, fy) = map(int, at), (at[0] % 1, at[1] % 1)
+                x1, y1 = min(x0 + 1, w - 1), min(y0 + 1, h - 1)
+                corner = lambda yy, xx: p[yy, xx].astype(float)  # noqa: B023, E731
+                want[y, x] = np.rint((corner(y0, x0) * (1 - fx) + corner(y0, x1) * fx) * (1 - fy) + (corner(y1, x0) * (1 - fx) + corner(y1, x1) * fx) * fy)
+        assert (pixels.mosaic(p) == want).all()
+        solid = pixels.mask(p, [{"x": 2, "y": -1, "w": w, "h": 5}], "solid")
+        assert all(tuple(solid[y, x]) == ((0, 0, 0) if 2 <= x < w and y < 4 and w >= 4 and h >= 2 else tuple(p[y, x])) for y in range(h) for x in range(w))
+
+
+def test_each_frame_has_its_mode(spark):
+    frames = spark.createDataFrame([(m, 40, 30, bytes(range(240)) * 15, [(4, 4, 20, 20)]) for m in ("mosaic", "blur", "solid", "other")], "mode string, width int, height int, pixels binary, rects array<struct<x:int,y:int,w:int,h:int>>")
+    got = {r["mode"]: bytes(r["pixels"]) for r in pixels.mask_frames(frames, None).collect()}
+    for mode in ("mosaic", "blur", "solid"):
+        assert {bytes(r["pixels"]) for r in pixels.mask_frames(frames, mode).collect()} == {got[mode]}
+    assert got["other"] == got["mosaic"] and len(set(got.values())) == 3
+
+
+def test_report_files(spark, tmp_path):
+    from veilspark.sources import media_files as mf
+
+    rows = spark.createDataFrame([(1, f, 10, 20, 60, 80, c, s) for f in range(3) for c, s in ((0, 0.9), (16, 0.2), (16, 0.5))], "video_id long, frame_index long, x int, y int, w int, h int, class_id int, score double")
+    tracks = rows.where("class_id = 0").selectExpr("video_id", "frame_index", "7 AS id", "x", "y", "w", "h")
+    report = mf.debug_report(rows, rows.where("class_id = 16"), tracks, 0.35, 640, 480)
+    names = {(r["frame_index"], r["name"]) for r in report.collect()}
+    assert names == {(f, n) for f in range(3) for n in ("persons", "zooms", "faces", "low faces", "tracks")}
+    mf.write_report(report, str(tmp_path / "r"))
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "r")).coalesce(1).collect()]
+    assert len(lines) == report.count() and "0\tpersons\t10,20,60,80" in lines and "2\ttracks\t7:10,20,60,80" in lines
+    assert mf.debug_report(rows.limit(0), rows.limit(0), tracks.limit(0), 0.35, 640, 480).count() == 0

@@ -59,15 +59,18 @@ def mask(picture: np.ndarray, rects: list[dict], mode: str) -> np.ndarray:
     return out
 
 
-def mask_frames(frames: DataFrame, mode: str = "mosaic") -> DataFrame:
-    """frames (width, height, pixels, rects and more) with their rectangles masked. An unknown mode is mosaic."""
-    mode = mode if mode in FILTERS else "mosaic"
+def mask_frames(frames: DataFrame, mode: str | None = "mosaic") -> DataFrame:
+    """frames (width, height, pixels, rects and more) with their rectangles masked. An unknown mode is mosaic; None takes each frame's ``mode``."""
     names = frames.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = dict(zip(names, b.columns, strict=True))
-            done = [mask(np.frombuffer(p, np.uint8).reshape(h, w, 3), r or [], mode).tobytes() for p, w, h, r in zip(*(cols[c].to_pylist() for c in ("pixels", "width", "height", "rects")), strict=True)]
+            modes = cols["mode"].to_pylist() if mode is None else [mode] * b.num_rows
+            done = [
+                mask(np.frombuffer(p, np.uint8).reshape(h, w, 3), r or [], m if m in FILTERS else "mosaic").tobytes()
+                for p, w, h, r, m in zip(*(cols[c].to_pylist() for c in ("pixels", "width", "height", "rects")), modes, strict=True)
+            ]
             cols["pixels"] = pa.array(done, pa.binary())
             yield pa.RecordBatch.from_arrays([cols[c] for c in names], names=names)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import detect as d
+from ..sources import media_files as mf
 from ..sources import views as v
 
 W, H = v.FRAME_W, v.FRAME_H
@@ -123,7 +124,7 @@ def class_labels(spark: SparkSession, sf: str) -> DataFrame:
 def class_argmax(spark: SparkSession, sf: str) -> DataFrame:
     rows = v.detections(spark, sf)
     scores = F.transform(F.sequence(F.lit(0), F.lit(79)), lambda k: ((F.col("x") * (k + 3) + F.col("y") * 7 + k * k) % 97) / 97.0)
-    return rows.select(*d.FRAME, *d.BOX, "score", d.class_argmax(scores).alias("c")).select(*d.FRAME, *d.BOX, "score", F.col("c.class_id").alias("best_class"), F.round("c.score", 6).alias("best_score"))
+    return d.placed(d.placed(rows, "scores", scores), "c", d.class_argmax(F.col("scores"))).select(*d.FRAME, *d.BOX, "score", F.col("c.class_id").alias("best_class"), F.round("c.score", 6).alias("best_score"))
 
 
 def letterbox_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
@@ -287,6 +288,13 @@ grid AS (SELECT key, row::INT AS row, (generate_subscripts({_STARTS('w')}, 1)-1)
 _GATE = "CASE WHEN class_id = 0 THEN score >= 0.15 ELSE score >= 0.35 AND class_id IN (2,3,5,7,62,63,66,67) END"
 _FACEGATE = lambda t: f"score >= CASE WHEN least(w,h) < 48 THEN greatest(0.22, {t}*0.55) ELSE {t} END"
 
+def debug_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Persons, zooms, faces, faces at a low threshold and tracks of every frame, as lines."""
+    rows = v.detections(spark, sf)
+    tracks = rows.where("class_id = 63").selectExpr(*d.FRAME, "x * 1000L + y AS id", *d.BOX).distinct()
+    return mf.debug_report(rows, rows, tracks, 0.35, W, H)
+
+
 def detect_chain(spark: SparkSession, sf: str) -> DataFrame:
     """From raw rows in the input of a detector to the objects of frames of two sizes, some too small."""
     rows = v.detections(spark, sf).withColumns({"width": F.expr("cast(640 + video_id % 2 * 640 AS int)"), "height": F.expr("cast(480 + video_id div 2 * 240 AS int)")})
@@ -300,7 +308,7 @@ QUERIES = {
     for f in (
         redact_counts, det_gate, det_finalize, iou_pairs, nms_boxes, nms_faces_topk, nms_prior_topk, containment_drop, head_fallback, head_fallback_first, person_head_roi, person_face_roi, zoom_roi, pad_variants,
         plate_zone, smallest_k_people, roi_budget, class_route_union, class_labels, class_argmax, letterbox_roundtrip, tile_grid, tile_subsample, point_in_smallest_rect, greedy_match, coast_boxes, coast_snap,
-        crop_ownership, grid_decode, prior_decode, landmark_points, viewport_mapping, detect_chain,
+        crop_ownership, grid_decode, prior_decode, landmark_points, viewport_mapping, detect_chain, debug_report,
     )
 }
 _RECT = "rx AS x, ry AS y, rw AS w, rh AS h"
@@ -310,12 +318,23 @@ _CHAIN = f"""sized AS (SELECT *, (640+video_id%2*640)::INT AS fw, (480+video_id/
 padded AS (SELECT *, (640-round(fw*s)::INT)//2 AS px, (640-round(fh*s)::INT)//2 AS py, CASE WHEN x%5=0 THEN 3.75::DOUBLE ELSE w END AS bw, h+0.25::DOUBLE AS bh FROM scaled),
 back AS (SELECT video_id, frame_index, class_id, score, fw, fh, trunc((x+w*0.5::DOUBLE-bw*0.5-px)/s)::INT AS x1, trunc((y+h*0.5::DOUBLE-bh*0.5-py)/s)::INT AS y1, trunc(bw/s)::INT AS w1, trunc(bh/s)::INT AS h1 FROM padded),
 chain AS (SELECT video_id, frame_index, class_id, score, greatest(x1,0) AS x, greatest(y1,0) AS y, least(x1+w1,fw)-greatest(x1,0) AS w, least(y1+h1,fh)-greatest(y1,0) AS h FROM back WHERE least(x1+w1,fw)-greatest(x1,0) >= 4 AND least(y1+h1,fh)-greatest(y1,0) >= 4)"""
+def _found_sql(low: float) -> str:
+    return f"(WITH RECURSIVE {DET}, g AS (SELECT * FROM det WHERE {_FACEGATE(low)}), {_nms_sql('score >= 0.22', 0.42, 80, 'g')}, {_finalised('nms', 'video_id, frame_index, score')} SELECT video_id, frame_index, rx AS x, ry AS y, rw AS w, rh AS h FROM f4)"
+
+
+_LINE = "x||','||y||','||w||','||h AS line"
+_DEBUG = f"""SELECT video_id, frame_index, 0 AS section, 'persons' AS name, {_LINE} FROM (WITH {DET} SELECT * FROM det WHERE class_id = 0)
+ UNION ALL SELECT video_id, frame_index, 1, 'zooms', rx||','||ry||','||rw||','||rh FROM (WITH {DET}, people AS (SELECT * FROM det WHERE class_id=0 AND NOT (h::DOUBLE/greatest(w,1) > 1.4 AND h >= {max(200, H * 50 // 100)})), {_HEAD}
+  SELECT * FROM heads WHERE rw>=12 AND rh>=12 QUALIFY row_number() OVER (PARTITION BY video_id, frame_index ORDER BY h, x, y, w, h, score) <= 8)
+ UNION ALL SELECT video_id, frame_index, 2, 'faces', {_LINE} FROM {_found_sql(0.35)} UNION ALL SELECT video_id, frame_index, 3, 'low faces', {_LINE} FROM {_found_sql(0.12)}
+ UNION ALL SELECT video_id, frame_index, 4, 'tracks', id||':'||{_LINE} FROM (WITH {DET} SELECT DISTINCT video_id, frame_index, x*1000::BIGINT+y AS id, x, y, w, h FROM det WHERE class_id=63)"""
 ORACLE = {
     "redact_counts": f"WITH RECURSIVE {DET}, g AS (SELECT * FROM det WHERE {_FACEGATE(0.35)}), {_nms_sql('score >= 0.22', 0.42, 80, 'g')}, {_finalised('nms', 'video_id, frame_index, score')} SELECT video_id, frame_index, count(*) AS n_boxes, sum(rw*rh)::BIGINT AS area, round(max(score),4) AS best FROM f4 GROUP BY ALL",
     "det_gate": f"WITH {DET} SELECT *, {_GATE} AS object_ok, {_FACEGATE(0.35)} AS face_ok FROM det",
     "det_finalize": f"WITH {DET}, {_finalised('det', 'video_id, frame_index, class_id, score')} SELECT video_id, frame_index, class_id, score, {_RECT} FROM f4",
     "iou_pairs": f"WITH {DET}, pa AS (SELECT * FROM det WHERE class_id=0), pb AS (SELECT * FROM det WHERE class_id=62), {_ASSOC} SELECT video_id, frame_index, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by, a.w AS aw, b.w AS bw, round(iou,6) AS iou, round(dist,4) AS dist, round(assoc,6) AS assoc FROM scored",
     "detect_chain": f"WITH RECURSIVE {DET}, {_CHAIN}, {_nms_sql('score >= 0.18', 0.45, None, 'chain')} SELECT * FROM nms",
+    "debug_report": _DEBUG,
     "nms_boxes": f"WITH RECURSIVE {DET}, {_nms_sql('score >= 0.18', 0.45, None)} SELECT * FROM nms",
     "nms_faces_topk": f"WITH RECURSIVE {DET}, {_nms_sql('score >= 0.22', 0.42, 80)} SELECT * FROM nms",
     "nms_prior_topk": f"WITH RECURSIVE {DET}, {_nms_sql('score >= 0.12', 0.45, 200)} SELECT * FROM nms",

@@ -55,14 +55,11 @@ def encoder_candidates(spark: SparkSession, sf: str) -> DataFrame:
 def pixel_masks(spark: SparkSession, sf: str) -> DataFrame:
     """Small made-up frames with two boxes each through the three filters, as digests."""
     parts = v.table(spark, sf, "part").selectExpr("p_partkey AS frame_index", "48 AS width", "36 AS height")
-    px = F.expr("unhex(concat_ws('', transform(sequence(0, 48*36*3-1), i -> lpad(hex((i * (frame_index % 50 + 3)) % 251), 2, '0'))))")
+    cycle = "concat_ws('', transform(sequence(0, 250), i -> lpad(hex((i * (frame_index % 50 + 3)) % 251), 2, '0')))"  # the bytes repeat after 251
+    px = F.expr(f"unhex(substring(repeat({cycle}, 21), 1, {48 * 36 * 3 * 2}))")
     box = lambda a, b: F.struct((F.col("frame_index") % a).cast("int").alias("x"), (F.col("frame_index") % b).cast("int").alias("y"), F.lit(17).alias("w"), F.lit(16).alias("h"))
-    frames = parts.select("frame_index", "width", "height", px.alias("pixels"), F.array(box(40, 30), box(7, 5)).alias("rects"))
-    out = None
-    for mode in pixels.FILTERS:
-        one = pixels.mask_frames(frames, mode).select("frame_index", F.lit(mode).alias("mode"), F.sha2("pixels", 256).alias("digest"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    frames = parts.select("frame_index", "width", "height", px.alias("pixels"), F.array(box(40, 30), box(7, 5)).alias("rects"), F.explode(F.array(*map(F.lit, pixels.FILTERS))).alias("mode"))
+    return pixels.mask_frames(frames, None).select("frame_index", "mode", F.sha2("pixels", 256).alias("digest"))
 
 
 def repaint_tracks(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import media as m
-from .raw_media import FRAMES, read_pcm, read_video
+from ..operators import detect as d
+from .raw_media import FRAMES as FRAMES
+from .raw_media import read_pcm, read_video
 
 
 
@@ -64,13 +68,31 @@ def first_ranges(ranges: DataFrame, n: int) -> DataFrame:
     return ranges.orderBy("range_id").limit(n)
 
 
-def debug_dump(sections: dict[str, DataFrame]) -> DataFrame:
-    """Tagged rows of several results as one text report, in order of section and row."""
-    out = None
-    for k, (name, d) in enumerate(sections.items()):
-        part = d.select(F.lit(k).alias("section"), F.lit(name).alias("name"), F.to_json(F.struct("*")).alias("line"))
-        out = part if out is None else out.unionByName(part)
-    return out.orderBy("section", "line")
+DEBUG_LOW = 0.12  # fixed value: the threshold of the second look
+
+
+def debug_report(objects: DataFrame, rows: DataFrame, tracks: DataFrame, threshold: float, width: int, height: int) -> DataFrame:
+    """What was seen on each frame and what was nearly seen: section, name and line (x,y,w,h) of persons, zooms, faces at the threshold and at ``DEBUG_LOW``, and tracks (id first).
+
+    rows: what the face model said, before any threshold. Both looks take them from there, so a model
+    is run once where its rows have been written.
+    """
+    box = F.concat_ws(",", *d.BOX)
+
+    def faces(least: float) -> DataFrame:
+        gated = rows.where(d.face_gate(F.col("w"), F.col("h"), F.col("score"), least))
+        return d.finalise(d.suppress(gated, d.FACE_NMS_MIN, d.FACE_NMS_IOU, top=d.FACE_TOP), width, height)
+
+    zooms = d.zoom_budget(objects, objects.limit(0), width, height)
+    told = (("persons", objects.where(F.col("class_id") == d.PERSON), box), ("zooms", zooms, box), ("faces", faces(threshold), box), ("low faces", faces(DEBUG_LOW), box), ("tracks", tracks, F.concat_ws(":", "id", box)))
+    return reduce(DataFrame.unionByName, (part.select(*d.FRAME, F.lit(k).alias("section"), F.lit(name).alias("name"), line.alias("line")) for k, (name, part, line) in enumerate(told)))
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A report as text files, one folder per video, in order of frame, section and line."""
+    text = report.select("video_id", "frame_index", "section", F.concat_ws("\t", "frame_index", "name", "line").alias("value"), "line")
+    ordered = text.repartitionByRange("video_id", "frame_index").sortWithinPartitions("video_id", "frame_index", "section", "line")
+    ordered.select("video_id", "value").write.mode("overwrite").partitionBy("video_id").text(path)
 
 
 def log_rows(dets: DataFrame, tracks: DataFrame) -> DataFrame:
