@@ -218,3 +218,36 @@ def test_report_files(spark, tmp_path):
     lines = [r["value"] for r in spark.read.text(str(tmp_path / "r")).coalesce(1).collect()]
     assert len(lines) == report.count() and "0\tpersons\t10,20,60,80" in lines and "2\ttracks\t7:10,20,60,80" in lines
     assert mf.debug_report(rows.limit(0), rows.limit(0), tracks.limit(0), 0.35, 640, 480).count() == 0
+
+
+def test_aligned_faces(spark):
+    """The first three points land on their places; what a face shows goes with them."""
+    from veilspark.functions import geometry as g
+    from veilspark.operators import crops
+
+    w, h = 300, 200
+    p = np.zeros((h, w, 3), np.uint8)
+    points = [(100.0, 80.0), (140.0, 84.0), (118.0, 110.0)]
+    for x, y in points:
+        p[int(y) - 2 : int(y) + 3, int(x) - 2 : int(x) + 3] = 200
+    frames = spark.createDataFrame([("v", 0, w, h, p.tobytes()), ("v", 1, w, h, p.tobytes())], FRAMES)
+    as_rows = [dict(x=x, y=y) for x, y in points]
+    faces_ = spark.createDataFrame([("v", 0, 1, as_rows), ("v", 0, 2, [as_rows[0]] * 3), ("v", 0, 3, as_rows[:2]), ("v", 1, 4, as_rows)], "video_id string, frame_index long, face_id int, points array<struct<x:double,y:double>>")
+    for size in (128, 64):
+        got = crops.aligned_faces(frames, faces_, size).collect()
+        assert {(r["frame_index"], r["face_id"]) for r in got} == {(0, 1), (1, 4)}
+        for r in got:
+            face = np.frombuffer(r["pixels"], np.uint8).reshape(size, size, 3)
+            assert all(face[round(y * size / 128), round(x * size / 128), 0] == 200 for x, y in g.ALIGNED)
+            assert not face[-3:, :3].any()
+
+
+def test_thumbnails(spark):
+    from veilspark.operators import crops
+
+    frames = pictures(spark, 5, 80, 40)
+    spans = spark.createDataFrame([("v", 0, 2), ("v", 3, 2), ("v", 9, 1)], "video_id string, first long, span long")
+    got = {r["frame_index"]: r for r in crops.filmstrip(frames, spans, 20, 20).collect()}
+    assert set(got) == {0, 3} and all((r["width"], r["height"], r["span"]) == (20, 10, 2) for r in got.values())
+    assert all(bytes(r["pixels"]) == bytes([i]) * 600 for i, r in got.items())
+    assert {(r["width"], r["height"]) for r in crops.thumbnails(frames, 500, 3).collect()} == {(6, 3)}

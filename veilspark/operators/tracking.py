@@ -3,7 +3,7 @@
 What happens in one frame is written once, as a step over a small state, and is the only place
 where Python runs per row. In batch a partition holds whole videos in frame order and the state
 of one video at a time (``track``); in streaming the state is kept by key (``streaming.tracks``).
-Memory is bounded by one video's open tracks, not by its length.
+Memory is that of one video's tracks, lost ones included, since a command may bring them back.
 
 Ties are settled: pairs by score, then track, then detection in the order given.
 """
@@ -11,6 +11,7 @@ Ties are settled: pairs by score, then track, then detection in the order given.
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 from math import hypot, sqrt
@@ -132,7 +133,8 @@ class Video:
         return Video(**d)
 
     def _by_id(self, i: int) -> Track | None:
-        return next((t for t in self.tracks if t.id == i), None)
+        at = bisect_left(self.tracks, i, key=lambda t: t.id)  # ids only grow, so tracks are in order
+        return self.tracks[at] if at < len(self.tracks) and self.tracks[at].id == i else None
 
     def _new(self, kind: int, box: list[float], frame: int, score: float, label: str, inherit: bool, with_lost: bool) -> Track:
         near = inherit and any(o.kind == kind and not o.enabled and (with_lost or not o.lost) and _distance(o.shown, box) <= SOFT_PX for o in self.tracks)
