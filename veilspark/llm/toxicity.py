@@ -152,15 +152,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
 def with_score(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
     """The rows of docs with the machine's score (0 to 1) of their whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    names = [*docs.columns, name]
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # column names of any kind pass through inside
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, tuple[int, ...]] = {}
         for b in batches:
             scores = shared.value.score(b.column("text").to_pylist(), seen)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores)], names=names)
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(scores)], names=["row", name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    scored = docs.select(row, "text").mapInArrow(run, T.StructType([T.StructField("row", docs.schema), T.StructField(name, T.DoubleType())]))
+    return scored.select("row.*", name)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
