@@ -2,6 +2,13 @@
 
 Every stage takes the documents that its predecessor kept, written as Parquet and read again, and
 all but the last return the columns of ``documents``.
+
+Defined results, of every stage: a null text counts as an empty one, which is not toxic, has no lines
+and is a near copy of other empty ones, of which one stays; a null ``doc_id``, lang or source is a
+value like others, but rows without ``doc_id`` are no originals of lines and no near copies; texts
+are handled whole, whatever their length; ties go by ``doc_id``, then text; rows that are equal in
+all columns are near copies; further columns pass through, whatever their names; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
