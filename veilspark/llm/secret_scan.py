@@ -9,15 +9,16 @@ digits) is reported only where the frequency says that the value belongs to few
 Defined results: a null text counts as empty; a text without spans gets an empty list, zero
 counts and the digest of the empty string; repeated rows are scanned each for itself and get
 the same result; a null ``doc_id``, owner or repository is a value like any other; no table
-rows give no rows. Further columns of the input are ignored.
+rows give no rows; a text of any length is scanned whole, and its matches are rows, so their number
+is not bound by a task's arrays but where a row's list is written out. Further columns of the input are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spread_join
 
 # The patterns of the base kinds, in the order in which kinds are listed.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -27,45 +28,55 @@ HEX = r"[0-9a-f]{32,}"
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 
 KINDS = ("assign", "access", "hex", "token")
-SPAN = "struct<start:int,kind:int,stop:int,value:string>"
+LOOSE = 3  # the first kind that is not a base one
+ROW = ("key", "text_key")
 
 
-def _spans(text: Column, pattern: str, kind: int, value=None) -> Column:
-    """Leftmost non-overlapping matches with their code-point offsets.
+def _matches(text: Column, pattern: str, kind: int, value=None) -> Column:
+    """Leftmost non-overlapping matches in their order: kind, what stands before (gap), length and value.
 
-    ``split`` gives what stands between the matches and ``regexp_extract_all`` the matches, so
-    the offsets are running sums of lengths. Texts without a match skip both.
+    ``split`` gives what stands between the matches and ``regexp_extract_all`` the matches. Texts
+    without a match skip both.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
     value = value or (lambda m: m)
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+    one = lambda gap, m: F.struct(F.lit(kind).alias("kind"), gap.alias("gap"), F.length(m).alias("length"), value(m).alias("value"))
+    got = F.zip_with(F.slice(gaps, 1, F.size(found)), found, one)
+    return F.when(text.rlike(pattern), got).otherwise(F.array().cast("array<struct<kind:int,gap:int,length:int,value:string>>"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        stop = start + F.length(x["m"])
-        one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), value(x["m"]).alias("value"))
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    empty = F.from_json(F.lit("[]"), f"array<{SPAN}>")
-    got = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), got).otherwise(empty)
+def candidates(rows: DataFrame) -> DataFrame:
+    """key, text_key, kind, start, stop, value of every span of rows (key, text_key, text): the base kinds, and further candidates outside them.
+
+    A match is a row. Where it starts is a running sum over the matches of its text and kind, and
+    whether a loose one touches a base one is told by the farthest end before and the nearest
+    start behind: so the work grows with the matches, however many a text holds.
+    """
+    t = F.col("text")
+    kinds = (_matches(t, ASSIGN, 0, lambda m: F.regexp_extract(m, ASSIGN, 1)), _matches(t, ACCESS, 1), _matches(t, HEX, 2), _matches(t, TOKEN, LOOSE))
+    found = rows.select(*ROW, F.array(*kinds).alias("kinds")).select(*ROW, F.explode("kinds").alias("of")).select(*ROW, F.posexplode("of").alias("i", "m"))
+    # dealt out by text once, which all that follows can use; repeated rows of one text are one from here on
+    found = found.select(*ROW, "i", "m.*").repartition(*ROW).dropDuplicates([*ROW, "kind", "i"])
+    so_far = Window.partitionBy(*ROW, "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    stop = F.sum(F.col("gap") + F.col("length")).over(so_far)
+    placed = found.select(*ROW, "kind", (stop - F.col("length")).cast("int").alias("start"), stop.cast("int").alias("stop"), "value")
+    long_enough = F.when(F.col("kind") == 0, F.length("value") >= 8).when(F.col("kind") == LOOSE, F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")).otherwise(True)
+    kept = placed.where(long_enough)
+    base, before = F.col("kind") < LOOSE, (Window.unboundedPreceding, -1)
+    one = Window.partitionBy(*ROW)
+    order = ("start", "kind")
+    reach = F.max(F.when(base, F.col("stop"))).over(one.orderBy(*order).rowsBetween(*before))
+    ahead = F.min(F.when(base, F.col("start"))).over(one.orderBy(*(F.desc(c) for c in order)).rowsBetween(*before))
+    told = kept.withColumn("reach", reach).withColumn("ahead", ahead)
+    free = (F.coalesce("reach", F.lit(0)) <= F.col("start")) & (F.coalesce("ahead", F.col("stop")) >= F.col("stop"))
+    return told.where(base | free).drop("reach", "ahead")
 
 
 def _listed(spans: Column) -> Column:
     """kind:start:end by start, then kind as listed, joined by commas."""
     kinds = F.array(*map(F.lit, KINDS))
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
-
-
-def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``base`` (spans of the base kinds) and ``loose`` (further candidates outside them)."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    assign = F.filter(_spans(t, ASSIGN, 0, lambda m: F.regexp_extract(m, ASSIGN, 1)), lambda s: F.length(s["value"]) >= 8)
-    found = docs.withColumn("base", F.array_sort(F.concat(assign, _spans(t, ACCESS, 1), _spans(t, HEX, 2))))
-    mixed = F.filter(_spans(t, TOKEN, 3), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
-    clear = F.filter(mixed, lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    return found.withColumn("loose", clear)
+    return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
 def scan_secrets(docs: DataFrame, owner: Column | None = None, repository: Column | None = None, max_owners: int = 1, example_owners: int = 3) -> DataFrame:
@@ -76,29 +87,25 @@ def scan_secrets(docs: DataFrame, owner: Column | None = None, repository: Colum
     """
     owner = F.col("source") if owner is None else owner
     repository = F.concat_ws("/", F.col("source"), F.col("lang")) if repository is None else repository
-    narrow = candidates(docs.select(F.col("doc_id"), F.col("text"), owner.alias("owner"), repository.alias("repo"))).select(
-        "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "owner", "repo", "base", "loose"
-    )
-    narrow = cut(narrow.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63)))))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), F.xxhash64(text).alias("text_key"), F.coalesce(owner, F.lit("")).alias("owner"), F.coalesce(repository, F.lit("")).alias("repo"), text.alias("text"))
+    suspect = F.col("text").rlike("|".join((ASSIGN, ACCESS, HEX, TOKEN)))
+    spans = cut(candidates(rows.where(suspect)).withColumn("hash", F.sha2("value", 256)).drop("value"))
 
-    spans = narrow.where((F.size("base") > 0) | (F.size("loose") > 0)).select("key", "text_key", "owner", "repo", F.explode(F.concat("base", "loose")).alias("s"))
-    spans = spans.select("key", "text_key", "owner", "repo", "s", F.sha2(F.col("s.value"), 256).alias("hash"))
-    carried = spans.select("hash", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo")).distinct()
+    owners = rows.where(suspect).select(*ROW, "owner", "repo").distinct()
+    carried = spans.select(*ROW, "hash").distinct().join(owners, list(ROW)).select("hash", "owner", "repo").distinct()
     carried = carried.groupBy("hash", "owner").agg(F.count("*").alias("repos")).groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"))
-    known = spans.select("key", "text_key", "s", "hash").distinct().join(carried, "hash")  # repeated rows count once here
-    base = F.col("s.kind") < 3
-    per_doc = known.groupBy("key", "text_key").agg(
-        F.array_sort(F.collect_list(F.when(base | (F.col("n_owners") <= max_owners), F.col("s")))).alias("found"),
+    known = spread_join(spans, carried, ["hash"])  # a value that many documents carry is dealt out
+    span, base = F.struct("start", "kind", "stop"), F.col("kind") < LOOSE
+    count = lambda k: F.count_if(F.col("kind") == k)
+    per_doc = known.groupBy(*ROW).agg(
+        count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(_listed(F.collect_list(F.when(base, span))), 256).alias("base_sha256"),
+        _listed(F.collect_list(F.when(base | (F.col("n_owners") <= max_owners), span))).alias("spans"),
         F.count_if(F.col("n_owners") < example_owners).alias("n_live"),
         F.count_if(F.col("n_owners") >= example_owners).alias("n_example"),
         F.max("n_repos").alias("most_repos"),
     )
-    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    nothing = F.from_json(F.lit("[]"), f"array<{SPAN}>")
-    return narrow.join(per_doc, ["key", "text_key"], "left").select(
-        "doc_id",
-        count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
-        F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),
-        _listed(F.coalesce("found", nothing)).alias("spans"),
-        F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"), F.coalesce("most_repos", F.lit(0)).alias("most_repos"),
-    )
+    numbers = ("n_assign", "n_access", "n_hex", "n_live", "n_example", "most_repos")
+    out = rows.select("doc_id", *ROW).join(per_doc, list(ROW), "left").na.fill(0, list(numbers)).na.fill({"spans": ""})
+    return out.select("doc_id", *numbers[:3], F.coalesce("base_sha256", F.sha2(F.lit(""), 256)).alias("base_sha256"), "spans", *numbers[3:])
