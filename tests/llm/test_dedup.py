@@ -262,6 +262,26 @@ def test_keep_one_similar(spark, sf):
     assert len(everything - kept) >= 0.95 * len(everything - want)
 
 
+def test_a_large_group_of_near_copies_makes_few_pairs(spark):
+    """600 texts that differ from one base, and from each other by more than the limit, in the midst of others: one stays."""
+    rng = np.random.default_rng(9)
+    base = [f"word{i}" for i in range(300)]
+    rows = [(1, " ".join(base))]
+    for k in range(2, 601):
+        w = list(base)
+        for at in rng.choice(60, 4, replace=False):  # up to 20 shingles of 296
+            w[5 * at] = f"swap{k}"
+        rows.append((k, " ".join(w)))
+    rows += [(1000 + k, " ".join(f"own{k}x{i}" for i in range(100))) for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash_dedup.keep_one_similar(docs, block=64).collect()} == brute_similar(rows)
+    prints = docs.mapInArrow(simhash_dedup._wide_prints, "node long, s0 long, s1 long, f0 long, f1 long, f2 long, f3 long")
+    families = simhash_dedup.similar_families(prints.select("node", "f0", "f1", "f2", "f3"), block=64)
+    assert families.where("node <= 600").count() >= 590 and families.where("node > 600").count() == 0
+    members, roots = simhash_dedup.similar_groups(docs, block=64, most_shingles=5000)
+    assert members.count() == len(rows) and {r["root"] for r in roots.collect()} == {1}
+
+
 def test_keep_one_similar_odd(spark, odd, clashing, none):
     kept = simhash_dedup.keep_one_similar(odd).collect()
     rows = {r["doc_id"]: r["text"] for r in odd.collect() if r["doc_id"] is not None}

@@ -23,7 +23,8 @@ linked to them (null if there is none); no rows give no rows. Further columns ar
 similarity of at least 0.8. Such texts differ in too many of 64 bits for the guarantee above, so the
 fingerprint has 256 bits (32 positional bytes; the first 8 are those above), postings are keyed by 3
 positions out of a fixed family, the shared bytes of a pair are tallied inside a posting, and what
-reaches the least number and is near enough in bits is verified on the whole shingle sets. The links
+reaches the least number and is near enough in bits is a candidate. Texts connected by candidates are
+a family, inside which candidates are verified on the whole shingle sets. The links
 are exact, so no text goes that is not that similar; the index finds most links, not all (README).
 """
 
@@ -34,6 +35,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -263,70 +265,138 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
 
-def _wide_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of rows that come ordered by key, i, j. A group that is not over at the end of a batch waits for the next one."""
+def _near(fp: np.ndarray, at: np.ndarray, shift: int) -> np.ndarray:
+    """Which of the rows share enough positional bytes (the tally) with the row so many further on, and are near in bits."""
+    x = fp[at] ^ fp[at + shift]
+    shares = (x.view(np.uint8).reshape(-1, WIDE_BYTES) == 0).sum(axis=1) >= WIDE_SHARED
+    shares[shares] = np.bitwise_count(x[shares]).sum(axis=1) <= WIDE_BITS
+    return shares
 
-    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        cols = [t.column(c).to_numpy() for c in ("key", "i", "j")]
-        new = np.ones(t.num_rows, dtype=bool)
-        new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
-        starts = np.flatnonzero(new)
-        sizes = np.diff(np.r_[starts, t.num_rows])
-        rest = np.repeat(starts + sizes, sizes) - np.arange(t.num_rows) - 1  # rows that follow in the group
-        fp, side, both = np.stack([t.column(c).to_numpy() for c in _PRINT], axis=1).view(np.uint64), t.column("chunk").to_numpy(), cols[1] != cols[2]
-        node, rows = t.column("node").to_numpy(), np.flatnonzero(rest > 0)
-        for shift in range(1, int(sizes.max(initial=1))):
-            rows = rows[rest[rows] >= shift]
-            if not len(rows):
-                return
-            at = rows[~both[rows] | (side[rows] != side[rows + shift])]
-            x = fp[at] ^ fp[at + shift]
-            near = (x.view(np.uint8).reshape(-1, WIDE_BYTES) == 0).sum(axis=1) >= WIDE_SHARED  # the tally of positional bytes
-            at = at[near][np.bitwise_count(x[near]).sum(axis=1) <= WIDE_BITS]
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[at], node[at + shift])), pa.array(np.maximum(node[at], node[at + shift]))], names=["a", "b"])
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that come ordered by key, i, j, in tables of whole groups: a group that is not over at the end of a batch waits for the next one."""
     held: pa.Table | None = None
     for b in batches:
         t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])]).combine_chunks()
         same = np.all([(c := t.column(n).to_numpy()) == c[-1] for n in ("key", "i", "j")], axis=0)
         first = int(np.argmax(same))  # rows of the last group are at the end
         if first:
-            yield from compare(t.slice(0, first).combine_chunks())
+            yield t.slice(0, first).combine_chunks()
         held = t.slice(first).combine_chunks()
     if held is not None and held.num_rows:
-        yield from compare(held)
+        yield held
+
+
+def _shifts(t: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """(shift, rows): every row with a partner so many rows further on in its group; where a group is two chunks, partners are of the other one."""
+    cols = [t.column(c).to_numpy() for c in ("key", "i", "j")]
+    new = np.ones(t.num_rows, dtype=bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+    starts = np.flatnonzero(new)
+    sizes = np.diff(np.r_[starts, t.num_rows])
+    rest = np.repeat(starts + sizes, sizes) - np.arange(t.num_rows) - 1  # rows that follow in the group
+    side, both, rows = t.column("chunk").to_numpy(), cols[1] != cols[2], np.flatnonzero(rest > 0)
+    for shift in range(1, int(sizes.max(initial=1))):
+        rows = rows[rest[rows] >= shift]
+        if not len(rows):
+            return
+        yield shift, rows[~both[rows] | (side[rows] != side[rows + shift])]
+
+
+def _prints_of(t: pa.Table) -> np.ndarray:
+    return np.stack([t.column(c).to_numpy() for c in _PRINT], axis=1).view(np.uint64)
+
+
+def _candidate_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node with the smallest one that it is connected with in its posting by candidate pairs; rows come ordered by node within groups."""
+    for t in _groups(batches):
+        fp, node = _prints_of(t), t.column("node").to_numpy()
+        found = [(at[near], shift) for shift, at in _shifts(t) if (near := _near(fp, at, shift)).any()]
+        if not found:
+            continue
+        u = np.concatenate([at for at, _ in found])
+        v = np.concatenate([at + shift for at, shift in found])
+        least, before = np.arange(t.num_rows), None
+        while before is None or (least != before).any():
+            before = least.copy()
+            low = np.minimum(least[u], least[v])
+            np.minimum.at(least, u, low)
+            np.minimum.at(least, v, low)
+            least = least[least]
+        moved = np.flatnonzero(node[least] != node)
+        yield pa.RecordBatch.from_arrays([pa.array(node[least[moved]]), pa.array(node[moved])], names=["a", "b"])
+
+
+def _similar_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that join up what is similar in each group: candidates are held against each other's whole shingle sets (in order as unsigned numbers) unless other links join them already."""
+    for t in _groups(batches):
+        fp, node = _prints_of(t), t.column("node").to_numpy()
+        lists = t.column("shingles").combine_chunks()
+        values, ends = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]
+        root, a, b = list(range(t.num_rows)), [], []
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            return i
+
+        for shift, at in _shifts(t):
+            for i in at[_near(fp, at, shift)].tolist():
+                k = i + shift
+                if (x := top(i)) == (y := top(k)):
+                    continue
+                p, q = values[ends[i] : ends[i + 1]], values[ends[k] : ends[k + 1]]
+                if 100 * min(len(p), len(q)) < SIMILAR * max(len(p), len(q)):
+                    continue
+                where = np.searchsorted(p, q)
+                n = int((p[np.minimum(where, len(p) - 1)] == q).sum()) if len(p) else 0
+                if 100 * n >= SIMILAR * (len(p) + len(q) - n):
+                    root[max(x, y)] = min(x, y)
+                    a.append(node[i]), b.append(node[k])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def _in_blocks(rows: DataFrame, sizes: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """rows (key, node) of each key cut into as many chunks as sizes (key, chunks) says, one if nothing; every two chunks are a group (key, i, j), in one partition and in order."""
+    parted = rows.join(sizes, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+    partners = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least("chunk", o).alias("i"), F.greatest("chunk", o).alias("j")))
+    blocks = parted.select("key", F.explode(partners).alias("p"), "chunk", "node", *columns).select("key", "p.i", "p.j", "chunk", "node", *columns)
+    return blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
 
 
-def similar_candidates(entries: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Distinct pairs a < b of entries (node, f0 to f3) that meet in a posting, share enough positional bytes and are near in bits."""
+def similar_families(entries: DataFrame, block: int = BLOCK) -> DataFrame:
+    """node, root of the entries (node, f0 to f3) that have candidates: those connected by pairs that meet in a posting, share enough positional bytes and are near in bits."""
     byte = lambda p: F.shiftrightunsigned(_PRINT[p // 8], 8 * (p % 8)).bitwiseAND(F.lit(255))
     key = lambda k, s: sum((F.shiftleft(byte(p), 8 * i) for i, p in enumerate(s)), F.lit(k << 24).cast("long"))
     postings = entries.select("node", *_PRINT, F.explode(F.array(*(key(k, s) for k, s in enumerate(WIDE_SETS)))).alias("key"))
     # only postings above a block are cut; the table of these is read from files, so its size is known and decides how it is joined
     large = write_table(postings.groupBy("key").agg(F.count("*").alias("n")).where(f"n > {block}").select("key", F.ceil(F.col("n") / block).cast("int").alias("chunks")), "large-postings")
-    parted = postings.join(large, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
-    partners = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least("chunk", o).alias("i"), F.greatest("chunk", o).alias("j")))
-    blocks = parted.select("key", F.explode(partners).alias("p"), "chunk", "node", *_PRINT).select("key", "p.i", "p.j", "chunk", "node", *_PRINT)
-    return blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_wide_pairs, "a long, b long").distinct()
+    return connect(_in_blocks(postings, large, _PRINT).mapInArrow(_candidate_stars, "a long, b long").distinct())
 
 
-def similar_links(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(members, links): node of every row's text (doc_id, node), and the verified links a-b between nodes.
+def similar_groups(docs: DataFrame, block: int = BLOCK, most_shingles: int = 500_000) -> tuple[DataFrame, DataFrame]:
+    """(members, roots): node of every row's text (doc_id, node), and the root of each node but the smallest of its group.
 
     A node is the smallest doc_id of the rows with one shingle set; doc_id must be unique and not null.
+    Candidates make families; a family is cut into blocks of at most ``block`` texts and about
+    ``most_shingles`` shingles, and every two blocks are compared on whole sets in a task of their own, which gives out only the
+    links that join them up. So no pairs are written out, however many copies a family has.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = cut(docs.mapInArrow(_wide_prints, "doc_id long, s0 long, s1 long, f0 long, f1 long, f2 long, f3 long"))
     entries = cut(prints.groupBy("s0", "s1").agg(F.min("doc_id").alias("node"), *(F.min(c).alias(c) for c in _PRINT)))
-    pairs = cut(similar_candidates(entries.select("node", *_PRINT), block))
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = cut(docs.withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi").select("node", "text").mapInArrow(_shingles, "node long, shingles array<long>"))
-    left = spread_join(pairs, sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), ["a"])
-    both = spread_join(left, sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), ["b"], counts=pairs.groupBy("b").agg(F.count("*").alias("n")))
-    shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("all"))
-    links = shared.where(f"100 * n >= {SIMILAR} * (all - n)").select("a", "b")
-    return prints.join(entries.select("s0", "s1", "node"), ["s0", "s1"]).select("doc_id", "node"), links
+    members = prints.join(entries.select("s0", "s1", "node"), ["s0", "s1"]).select("doc_id", "node")
+    families = similar_families(entries.select("node", *_PRINT), block)
+    families = cut(families.select("node", F.col("root").alias("key")).union(families.select("root", "root").distinct()))
+    texts = docs.withColumnRenamed("doc_id", "node").join(families.select("node"), "node", "left_semi")
+    sets = write_table(texts.mapInArrow(_shingles, "node long, shingles array<long>"), "shingles")
+    known = entries.select("node", *_PRINT).join(families, "node").join(sets, "node")
+    held = sets.select("node", F.size("shingles").cast("long").alias("n")).join(families, "node").groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    chunks = F.ceil(F.greatest(F.col("rows") / block, F.col("n") / most_shingles)).cast("int")
+    large = write_table(held.select("key", chunks.alias("chunks")).where("chunks > 1"), "large-families")
+    links = _in_blocks(known, large, (*_PRINT, "shingles")).mapInArrow(_similar_stars, "a long, b long").distinct()
+    return members, connect(links)
 
 
 def keep_one_similar(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -342,8 +412,8 @@ def keep_one_similar(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     if rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
         one = Window.partitionBy("doc_id").orderBy(F.xxhash64("row.text"), "row.text")
         rows = cut(rows.withColumn("nth", F.row_number().over(one)).where("nth = 1").drop("nth"))
-    members, links = similar_links(rows.select("doc_id", "row.text"), block)
+    members, roots = similar_groups(rows.select("doc_id", "row.text"), block)
     copies = members.where("doc_id != node").select("doc_id")
-    joined = connect(links).select(F.col("node").alias("doc_id"))  # every node but the smallest of its component
+    joined = roots.select(F.col("node").alias("doc_id"))  # every node but the smallest of its group
     kept = rows.join(copies.union(joined).withColumnRenamed("doc_id", "gone"), F.col("doc_id") == F.col("gone"), "left_anti")
     return kept.select("row.*").unionByName(docs.where("doc_id is null"))
