@@ -37,7 +37,7 @@ LEAST_DOCS, TOP_TERMS = 3, 200
 SCALE_STEPS = (1000, 1000, 1000)  # their product is the scale of shares
 TERM = re.compile(rb"[a-z\x80-\xff]+")
 AFTER_TERM = re.compile(rb"[^a-z\x80-\xff]")
-STRETCH, WORDS, CELLS = 1 << 20, 1_000_000, 1_000_000
+STRETCH, ENCODED, WORDS, CELLS = 1 << 20, 500_000, 4_000_000, 1_000_000
 PARTIAL = "lang string, source string, term string, docs long, n long"
 KEPT = "lang string, term string, sources array<string>, counts array<long>"
 FOUND = "lang string, source string, part string, item string, value long"
@@ -92,7 +92,7 @@ def _partial_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 whose.append(len(of) - 1)
                 many.append(len(found))
                 n_words += len(found)
-                if len(fresh) > WORDS:
+                if len(fresh) > ENCODED:
                     encode()
             if n_words > WORDS:
                 yield from told()
