@@ -58,7 +58,8 @@ def pixel_masks(spark: SparkSession, sf: str) -> DataFrame:
     cycle = "concat_ws('', transform(sequence(0, 250), i -> lpad(hex((i * (frame_index % 50 + 3)) % 251), 2, '0')))"  # the bytes repeat after 251
     px = F.expr(f"unhex(substring(repeat({cycle}, 21), 1, {48 * 36 * 3 * 2}))")
     box = lambda a, b: F.struct((F.col("frame_index") % a).cast("int").alias("x"), (F.col("frame_index") % b).cast("int").alias("y"), F.lit(17).alias("w"), F.lit(16).alias("h"))
-    frames = parts.select("frame_index", "width", "height", px.alias("pixels"), F.array(box(40, 30), box(7, 5)).alias("rects"), F.explode(F.array(*map(F.lit, pixels.FILTERS))).alias("mode"))
+    frames = parts.select("frame_index", "width", "height", px.alias("pixels"), F.array(box(40, 30), box(7, 5)).alias("rects"))
+    frames = frames.withColumn("mode", F.explode(F.array(*map(F.lit, pixels.FILTERS))))  # apart: beside a generator the names of made structs are lost
     return pixels.mask_frames(frames, None).select("frame_index", "mode", F.sha2("pixels", 256).alias("digest"))
 
 
