@@ -157,3 +157,24 @@ def test_keep_policy_scenario(spark):
     )
     got = tr.track(tr.frames(faces, commands=commands))
     assert got.where("NOT enabled").count() > 0 and got.where(f"tier = {tr.ENROLLED}").count() > 0 and got.where("track_id = 2 AND NOT enabled").count() == 0
+
+
+def test_lost_faces_are_let_go_after_the_last_command():
+    faces = lambda i: [det(10, e=A), det(200, e=B)]
+    v, w = tr.Video(keep=True), tr.Video(keep=True)
+    w.no_more_commands()
+    for i in range(0, 600, 2):  # every frame is a jump, so all faces are new
+        assert v.frame(i, faces(i), [], [], []) == w.frame(i, faces(i), [], [], [])
+    assert len(v.tracks) == 600 and len(w.tracks) == 2
+
+
+def test_a_late_command_still_meets_a_lost_face(spark):
+    faces = spark.createDataFrame([("a", i, 10, 50, 60, 60, 0.9, A) for i in (0, 1, 20, 21, 22)], "video_id string, frame_index long, x int, y int, w int, h int, score double, e array<double>")
+    commands = spark.createDataFrame([("a", 0, 1, "policy", '{"policy":"keep"}'), ("a", 21, 2, "enable", '{"id":1,"enabled":false}')], "video_id string, frame_index long, seq long, op string, args string")
+    rows = tr.frames(faces, commands=commands)
+    assert [r.until for r in rows.select("until").distinct().collect()] == [21]
+    got = {(r.frame_index, r.track_id): (r.tier, r.identity_id) for r in tr.track(rows).collect()}
+    assert got[21, 2] == (tr.NONE, -1) and (24 % tr.CHECK_EVERY) == 0
+    more = faces.unionByName(spark.createDataFrame([("a", 24, 10, 50, 60, 60, 0.9, A)], faces.schema))
+    got = {(r.frame_index, r.track_id): (r.tier, r.identity_id) for r in tr.track(tr.frames(more, commands=commands)).collect()}
+    assert got[24, 3] == (tr.LINKED, 1)

@@ -3,7 +3,9 @@
 What happens in one frame is written once, as a step over a small state, and is the only place
 where Python runs per row. In batch a partition holds whole videos in frame order and the state
 of one video at a time (``track``); in streaming the state is kept by key (``streaming.tracks``).
-Memory is that of one video's tracks, lost ones included, since a command may bring them back.
+A frame costs what is followed in it: lost faces are met by commands only, lost objects through one
+array of boxes. Memory is that of one video's tracks. Lost faces stay while a command may still name
+them: to the end in a stream, in batch up to the video's last command (``until``).
 
 Ties are settled: pairs by score, then track, then detection in the order given.
 """
@@ -11,12 +13,14 @@ Ties are settled: pairs by score, then track, then detection in the order given.
 from __future__ import annotations
 
 import json
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 from math import hypot, sqrt
+from operator import attrgetter
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +57,9 @@ class Track:
     shown: list[int] = field(default_factory=list)
     e: list[float] | None = None
 
+    # Not part of the state: where its box stands among the objects', when it was lost, and its row in the output at hand.
+    slot = tick = part = row = -1
+
     def visible(self) -> bool:
         return not self.lost and (self.kind != FACE or self.miss <= MASKED)
 
@@ -96,11 +103,26 @@ def _affinity(t: list[float], d: list[float], least: float) -> float:
 
 
 def _matches(tracks: list[Track], dets: list[dict], least: float) -> list[tuple[Track, int]]:
-    pairs = sorted((-s, i, j) for i, t in enumerate(tracks) for j, d in enumerate(dets) if (s := _affinity(t.v[4:8], d["box"], least)) > 1e-6)
-    taken: dict[int, int] = {}
-    for _, i, j in pairs:
-        if i not in taken and j not in taken.values():
+    """One-to-one matches, best first. Tracks have been moved on, so that no side is under 4."""
+    if not tracks or not dets:
+        return []
+    boxes = [(*_centre(d["box"]), d["box"][2], d["box"][3], hypot(d["box"][2], d["box"][3])) for d in dets]
+    pairs = []
+    for i, t in enumerate(tracks):
+        x, y, w, h = t.v[4:8]
+        cx, cy, diagonal = x + w / 2, y + h / 2, hypot(w, h)
+        for j, (dx, dy, dw, dh, other) in enumerate(boxes):
+            gate, ax, ay = 0.70 * max(diagonal, other), abs(cx - dx), abs(cy - dy)
+            if (ax > gate and ax + ax >= w + dw) or (ay > gate and ay + ay >= h + dh):
+                continue  # too far off, and no overlap
+            s = _affinity(t.v[4:8], dets[j]["box"], least)
+            if s > 1e-6:
+                pairs.append((-s, i, j))
+    taken, used = {}, set()
+    for _, i, j in sorted(pairs):
+        if i not in taken and j not in used:
             taken[i] = j
+            used.add(j)
     return [(tracks[i], j) for i, j in taken.items()]
 
 
@@ -109,6 +131,9 @@ def _unit(v: list[float]) -> list[float]:
     return [x / n for x in v]
 
 
+_ID = attrgetter("id")
+
+
 @dataclass
 class Video:
     """The state of one video. ``live`` holds the ids that the motion model follows."""
@@ -122,8 +147,35 @@ class Video:
     last: int | None = None
     keep: bool = False
 
+    def __post_init__(self) -> None:
+        """What is looked up by frame, all of it told from the tracks: the faces that are followed, all objects, those not lost, those switched off."""
+        self.ticks, self.forget, self.known = 0, False, None
+        self.faces = [t for t in self.tracks if t.kind == FACE and not t.lost]
+        self.objects = [t for t in self.tracks if t.kind == OBJECT]
+        self.boxes = np.zeros((6, max(64, 2 * len(self.objects))))
+        for i, t in enumerate(self.objects):
+            t.slot, t.tick = i, 0
+        self._sort_out()
+
+    def _sort_out(self) -> None:
+        """After a command: objects by what they are now."""
+        self.stale = False
+        self.present = [t for t in self.objects if not t.lost]
+        self.off = [t for t in self.objects if not t.enabled]
+        for t in self.objects:
+            t.part = -1
+            self._place(t)
+
+    def _place(self, t: Track) -> None:
+        """An object's box, and the overlap that it takes at least to match it."""
+        x, y, w, h = t.shown
+        self.boxes[:, t.slot] = x, y, x + w, y + h, w * h, OBJECT_IOU if t.lost and t.enabled else SOFT_IOU
+
     # -- state as text, for keyed state stores --
     def dump(self) -> str:
+        for t in self.objects:
+            if t.lost:
+                t.miss, t.tick = t.miss + self.ticks - t.tick, self.ticks
         return json.dumps(asdict(self))
 
     @staticmethod
@@ -133,18 +185,41 @@ class Video:
         return Video(**d)
 
     def _by_id(self, i: int) -> Track | None:
-        at = bisect_left(self.tracks, i, key=lambda t: t.id)  # ids only grow, so tracks are in order
+        at = bisect_left(self.tracks, i, key=_ID)  # ids only grow, so tracks are in order
         return self.tracks[at] if at < len(self.tracks) and self.tracks[at].id == i else None
 
-    def _new(self, kind: int, box: list[float], frame: int, score: float, label: str, inherit: bool, with_lost: bool) -> Track:
-        near = inherit and any(o.kind == kind and not o.enabled and (with_lost or not o.lost) and _distance(o.shown, box) <= SOFT_PX for o in self.tracks)
+    def _new(self, kind: int, box: list[float], frame: int, score: float, label: str, inherit: bool) -> Track:
+        near = inherit and any(not o.enabled and _distance(o.shown, box) <= SOFT_PX for o in (self.faces if kind == FACE else self.off))
         t = Track(self.next_id, kind, list(box), frame, score, enabled=not near, shown=_whole(box))
         t.v = [0.0] * 4 + list(box)
         t.label = f"{label} #{t.id}"
         self.next_id += 1
         self.tracks.append(t)
+        if kind == FACE:
+            self.faces.append(t)
+            return t
+        t.slot = len(self.objects)
+        self.objects.append(t)
+        self.present.append(t)
+        if near:
+            self.off.append(t)
+        if t.slot == self.boxes.shape[1]:
+            self.boxes = np.concatenate([self.boxes, np.zeros_like(self.boxes)], axis=1)
+        self._place(t)
         return t
 
+    def _lose(self, lost: list[Track]) -> None:
+        """Faces that are followed no more. They stay for commands, unless none can come."""
+        for t in lost:
+            t.lost, t.miss = True, LIFE + 1
+            if self.forget:
+                del self.tracks[bisect_left(self.tracks, t.id, key=_ID)]
+
+    def no_more_commands(self) -> None:
+        if not self.forget:
+            self.forget = True
+            self.tracks = [t for t in self.tracks if t.kind != FACE or not t.lost]
+
     # -- faces: motion model, two-stage matching, coasting --
     def _apply(self, t: Track, d: dict) -> None:
         vx, vy, vw, vh, x, y, w, h = t.v
@@ -154,12 +229,12 @@ class Video:
         t.score, t.miss, t.e = d["score"], 0, d["e"]
 
     def _faces(self, dets: list[dict], heads: list[dict], frame: int) -> None:
-        live = [self._by_id(i) for i in self.live]
+        live = self.faces
         for t in live:
             vx, vy, vw, vh, x, y, w, h = t.v
             cx, cy = x + w / 2 + vx, y + h / 2 + vy
             w, h = max(4.0, w + vw), max(4.0, h + vh)
-            t.v[4:8] = [cx - w / 2, cy - h / 2, w, h]
+            t.v = [vx, vy, vw, vh, cx - w / 2, cy - h / 2, w, h]
             t.e = None
         high, low = [d for d in dets if d["score"] >= HIGH], [d for d in dets if LOW <= d["score"] < HIGH]
         first = _matches(live, high, HIGH_IOU)
@@ -170,22 +245,26 @@ class Video:
         for t, j in second:
             self._apply(t, low[j])
         hit |= {t.id for t, _ in second}
+        gone = []
         for t in live:
             if t.id not in hit:
                 t.miss += 1
-                t.v[:4] = [t.v[0] * 0.55, t.v[1] * 0.55, t.v[2] * 0.35, t.v[3] * 0.35]
+                vx, vy, vw, vh, *box = t.v
+                t.v = [vx * 0.55, vy * 0.55, vw * 0.35, vh * 0.35, *box]
                 if t.miss > LIFE:
-                    t.lost, t.miss = True, LIFE + 1
-        self.live = [t.id for t in live if not t.lost]
+                    gone.append(t)
+        if gone:
+            self._lose(gone)
+            self.faces = live = [t for t in live if not t.lost]
         for t in live:
-            if not t.lost:
+            if t.miss <= MASKED or not t.enabled:  # of others nobody asks where they are
                 t.shown = self._coasting(t, heads)
         used = {j for _, j in first}
         for j, d in enumerate(high):
             if j not in used:
-                t = self._new(FACE, d["box"], frame, d["score"], "Face", not self.keep, with_lost=False)
+                t = self._new(FACE, d["box"], frame, d["score"], "Face", not self.keep)
                 t.e = d["e"]
-                self.live.append(t.id)
+        self.live = [t.id for t in self.faces]
 
     def _coasting(self, t: Track, heads: list[dict]) -> list[int]:
         box = _whole(t.v[4:8])
@@ -212,20 +291,51 @@ class Video:
                     best, at = 1000 * v - far, j
             return at
 
+        self.ticks += 1
+        met, back = set(), []
         rank = lambda t: (0 if not t.lost else 2 if t.enabled else 1, t.id)
-        for t in sorted((t for t in self.tracks if t.kind == OBJECT), key=rank):
+        for t in sorted(self._overlapped(dets), key=rank):
             j = choose(t, OBJECT_IOU, None)
-            if j is None and (not t.enabled or t.miss <= LIFE):
+            if j is None and (not t.enabled or not t.lost):
                 j = choose(t, SOFT_IOU, SOFT_PX)
-            if j is None:
-                t.miss += 1
-                t.lost = t.miss > LIFE
-            else:
+            if j is not None:
                 d = free.pop(j)
-                t.shown, t.lost, t.miss = _whole(d["box"]), False, 0
+                back += [t] if t.lost else []
+                t.shown, t.lost, t.miss, t.part = _whole(d["box"]), False, 0, -1
                 t.label = f"{d['label'] or 'Object'} #{t.id}"
+                met.add(t.id)
+                self._place(t)
+        gone = False
+        for t in self.present:
+            if t.id not in met:
+                t.miss += 1
+                if t.miss > LIFE:
+                    t.lost, t.tick, gone = True, self.ticks, True
+                    self._place(t)
+        if gone:
+            self.present = [t for t in self.present if not t.lost]
+        for t in back:
+            insort(self.present, t, key=_ID)
         for d in free.values():
-            self._new(OBJECT, d["box"], frame, d["score"], d["label"] or "Object", True, with_lost=True)
+            self._new(OBJECT, d["box"], frame, d["score"], d["label"] or "Object", True)
+
+    def _overlapped(self, dets: list[dict]) -> list[Track]:
+        """The objects that overlap a detection by as much as it takes to match."""
+        n = len(self.objects)
+        if not n or not dets:
+            return []
+        x1, y1, x2, y2, area, least = self.boxes[:, :n]
+        x, y, w, h = np.array([d["box"] for d in dets]).T[:, :, None]
+        right, below = x + w, y + h
+        d, t = np.nonzero((x1 < right) & (x2 > x) & (y1 < below) & (y2 > y))
+        if not len(t):
+            return []
+        across = np.minimum(x2[t], right[d, 0]) - np.maximum(x1[t], x[d, 0])
+        down = np.minimum(y2[t], below[d, 0]) - np.maximum(y1[t], y[d, 0])
+        both = np.maximum(across, 0.0) * np.maximum(down, 0.0)
+        union = area[t] + (w * h)[d, 0] - both
+        enough = (union > 1e-6) & (both / np.where(union > 1e-6, union, 1.0) >= least[t])
+        return [self.objects[i] for i in set(t[enough].tolist())]
 
     # -- identities --
     def enrol(self, e: list[float] | None) -> int:
@@ -233,9 +343,11 @@ class Video:
             return -1
         self.gallery.append({"id": self.next_identity, "e": _unit(e), "n": 1})
         self.next_identity += 1
+        self.known = None
         return self.gallery[-1]["id"]
 
     def add_sample(self, identity: int, e: list[float] | None) -> None:
+        self.known = None
         for g in self.gallery:
             if e and g["id"] == identity:
                 u, n = _unit(e), g["n"]
@@ -244,8 +356,16 @@ class Video:
 
     def query(self, e: list[float]) -> tuple[int, float]:
         u, best = _unit(e), (-1, 0.0)
-        for g in self.gallery:
-            s = sum(a * b for a, b in zip(u, g["e"], strict=True)) if len(u) == len(g["e"]) else 0.0
+        if self.known is None or self.known[0] != (len(u), len(self.gallery)):
+            same = [g for g in self.gallery if len(g["e"]) == len(u)]
+            self.known = (len(u), len(self.gallery)), same, np.array([g["e"] for g in same])
+        _, same, vectors = self.known
+        if same:
+            about = vectors @ np.array(u)
+            top = about.max()
+            same = [same[i] for i in np.flatnonzero(about >= top - 1e-9)] if np.isfinite(top) else same
+        for g in same:  # nearly equal ones are told apart exactly
+            s = sum(a * b for a, b in zip(u, g["e"], strict=True))
             best = (g["id"], s) if s > best[1] else best
         return best
 
@@ -259,9 +379,9 @@ class Video:
     def _policy(self, frame: int) -> None:
         if not self.keep or not self.gallery:
             return
-        for t in self.tracks:
+        for t in self.faces:
             linked, check = t.tier in (ENROLLED, LINKED), frame % CHECK_EVERY == 0
-            if t.kind != FACE or t.lost or t.rejected or not (check or (not linked and t.start == frame)):
+            if t.rejected or not (check or (not linked and t.start == frame)):
                 continue
             if min(t.shown[2:]) < LEAST_SIDE or not t.e:
                 if not linked:
@@ -279,6 +399,7 @@ class Video:
 
     # -- commands --
     def command(self, op: str, args: dict) -> None:
+        self.stale = True
         t = self._by_id(int(args.get("id", -1)))
         if op == "enable" and t:
             t.enabled, t.forced = bool(args["enabled"]), t.forced or bool(args.get("forced"))
@@ -300,34 +421,41 @@ class Video:
         elif op == "policy":
             self.keep = args["policy"] == "keep"
             if not self.keep:
-                self.gallery = []
+                self.gallery, self.known = [], None
                 for x in self.tracks:
                     x.enabled = True
         elif op == "clear_gallery":
-            self.gallery = []
+            self.gallery, self.known = [], None
         elif op == "reset":
             self.__dict__.update(Video(keep=self.keep).__dict__)
 
     def break_continuity(self) -> None:
-        self.live = []
-        for t in self.tracks:
-            if t.kind == FACE and not t.lost:
-                t.lost, t.miss = True, LIFE + 1
+        self._lose(self.faces)
+        self.live, self.faces = [], []
 
-    def frame(self, index: int, faces: list[dict], objects: list[dict], heads: list[dict], commands: list[dict]) -> list[tuple]:
-        """One frame: commands, jump, faces, objects, edges, policy; the rows of what is visible then."""
+    def advance(self, index: int, faces: list[dict], objects: list[dict], heads: list[dict], commands: list[dict]) -> tuple[list[Track], set[int]]:
+        """One frame: commands, jump, faces, objects, edges, policy; what is visible then, by id, and which ids newly appear."""
         for c in sorted(commands, key=lambda c: c["seq"]):
             self.command(c["op"], json.loads(c["args"] or "{}"))
         if self.keep and self.last is not None and (index > self.last + 1 or index < self.last):
             self.break_continuity()
         self.last = index
+        if self.stale:
+            self._sort_out()
         self._faces(faces, heads, index)
         self._objects(objects, index)
-        now = [t.id for t in self.tracks if t.enabled and t.visible()]
-        fresh = set(now) - set(self.was)
+        seen = [t for t in self.faces if t.miss <= MASKED]
+        seen = sorted(seen + self.present, key=_ID) if seen else self.present
+        now = [t.id for t in seen if t.enabled]
+        fresh = set(now).difference(self.was)
         self.was = now
         self._policy(index)
-        return [(index, t.id, t.kind, *t.shown, float(t.score), t.enabled, t.miss, t.tier, t.identity, t.label, t.id in fresh) for t in self.tracks if t.visible()]
+        return seen, fresh
+
+    def frame(self, index: int, faces: list[dict], objects: list[dict], heads: list[dict], commands: list[dict]) -> list[tuple]:
+        """The rows of what is visible on a frame."""
+        seen, fresh = self.advance(index, faces, objects, heads, commands)
+        return [(index, t.id, t.kind, *t.shown, float(t.score), t.enabled, t.miss, t.tier, t.identity, t.label, t.id in fresh) for t in seen]
 
 
 def _boxes(rows) -> list[dict]:
@@ -343,19 +471,80 @@ def run_frame(video: Video, row) -> list[tuple]:
 COLUMNS = [c.split()[0] for c in OUT.split(", ")]
 
 
-def _run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    video, at = Video(), None
+_TYPES = dict(zip(COLUMNS, [pa.string(), pa.int64(), *[pa.int32()] * 6, pa.float64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.bool_()], strict=True))
+_HELD = ["track_id", "kind", "x", "y", "w", "h", "score", "enabled", "tier", "identity_id", "label"]
+PART_ROWS = 100_000  # fixed value: rows of one piece of output
+
+
+class _Rows:
+    """Output by columns. What is known of a track is written once for as long as it stays so; frames point to it."""
+
+    def __init__(self) -> None:
+        self.serial = 0
+        self._start()
+
+    def _start(self) -> None:
+        self.serial += 1
+        self.held, self.at, self.miss, self.fresh, self.frames = [], [], [], [], []
+
+    def add(self, video_id: str, index: int, seen: list[Track], fresh: set[int]) -> None:
+        for t in seen:
+            if t.part != self.serial or t.kind == FACE:
+                t.part, t.row = self.serial, len(self.held)
+                self.held.append((t.id, t.kind, *t.shown, float(t.score), t.enabled, t.tier, t.identity, t.label))
+        self.at += [t.row for t in seen]
+        self.miss += [t.miss for t in seen]
+        self.fresh += [t.id in fresh for t in seen] if fresh else [False] * len(seen)
+        self.frames.append((video_id, index, len(seen)))
+
+    def take(self) -> pa.RecordBatch:
+        held = {n: pa.array(c, _TYPES[n]) for n, c in zip(_HELD, zip(*self.held, strict=True), strict=True)} if self.held else {n: pa.array([], _TYPES[n]) for n in _HELD}
+        at = pa.array(self.at, pa.int32())
+        cols = {n: c.take(at) for n, c in held.items()}
+        video, index, n = zip(*self.frames, strict=True)
+        of = pa.array(np.repeat(np.arange(len(n)), n))
+        cols |= {"video_id": pa.array(video, pa.string()).take(of), "frame_index": pa.array(index, pa.int64()).take(of), "miss": pa.array(self.miss, pa.int32()), "appeared": pa.array(self.fresh, pa.bool_())}
+        self._start()
+        return pa.RecordBatch.from_arrays([cols[c] for c in COLUMNS], names=COLUMNS)
+
+
+def _listed(col: pa.Array) -> tuple[list[int], list[int], list[dict]]:
+    """Where each row's boxes begin and end, and the boxes."""
+    offsets, found = col.offsets.to_numpy(), col.values
+    low, high = int(offsets[0]), int(offsets[-1])
+    found = found.slice(low, high - low)
+    none = col.is_null().to_numpy(zero_copy_only=False)
+    ends = np.where(none, offsets[:-1], offsets[1:]) - low
+    x, y, w, h, score, label = (found.field(c).to_pylist() for c in ("x", "y", "w", "h", "score", "label"))
+    e = found.field("e")
+    e = [None] * len(x) if e.null_count == len(x) else e.to_pylist()
+    boxes = [{"box": [float(a), float(b), float(c), float(d)], "score": float(s or 0), "label": n, "e": v} for a, b, c, d, s, n, v in zip(x, y, w, h, score, label, e, strict=True)]
+    return (offsets[:-1] - low).tolist(), ends.tolist(), boxes
+
+
+def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    video, at, rows = Video(), None, _Rows()
     for b in batches:
-        out: list[tuple] = []
-        for row in b.itertuples(index=False):
-            if row.video_id != at:
-                video, at = Video(), row.video_id
-            out += [(at, *r) for r in run_frame(video, row)]
-        yield pd.DataFrame(out, columns=COLUMNS)
+        lists = [_listed(b.column(c)) for c in ("faces", "objects", "heads")]
+        ids, index, commands = (b.column(c).to_pylist() for c in ("video_id", "frame_index", "commands"))
+        until = b.column("until").to_pylist() if "until" in b.schema.names else None
+        for i in range(b.num_rows):
+            if ids[i] != at or at is None:
+                video, at = Video(), ids[i]
+            if until is not None and (until[i] is None or index[i] > until[i]):
+                video.no_more_commands()
+            rows.add(at, index[i], *video.advance(index[i], *(boxes[starts[i] : ends[i]] for starts, ends, boxes in lists), commands[i] or []))
+            if len(rows.at) >= PART_ROWS:
+                yield rows.take()
+    if rows.frames:
+        yield rows.take()
 
 
 def frames(faces: DataFrame, objects: DataFrame | None = None, heads: DataFrame | None = None, commands: DataFrame | None = None) -> DataFrame:
-    """Rows of FRAMES from flat detections (video_id, frame_index, x, y, w, h, score and perhaps label, e) and commands (video_id, frame_index, seq, op, args)."""
+    """Rows of FRAMES from flat detections (video_id, frame_index, x, y, w, h, score and perhaps label, e) and commands (video_id, frame_index, seq, op, args).
+
+    ``until`` is the frame of a video's last command, null for none; a stream, which cannot know it, does not ask for it.
+    """
 
     def listed(d: DataFrame, name: str) -> DataFrame:
         has = lambda c, kind: F.col(c).cast(kind) if c in d.columns else F.lit(None).cast(kind)
@@ -368,12 +557,12 @@ def frames(faces: DataFrame, objects: DataFrame | None = None, heads: DataFrame
         out = out.join(listed(d, name), key, "full_outer") if d is not None else out.withColumn(name, F.lit(None).cast(f"array<{BOX}>"))
     if commands is not None:
         c = commands.groupBy(F.col("video_id").cast("string").alias("video_id"), F.col("frame_index").cast("long").alias("frame_index")).agg(F.sort_array(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), "op", "args"))).alias("commands"))
-        out = out.join(c, key, "full_outer")
+        out = out.join(c, key, "full_outer").join(c.groupBy("video_id").agg(F.max("frame_index").alias("until")), "video_id", "left")
     else:
-        out = out.withColumn("commands", F.lit(None).cast("array<struct<seq:long,op:string,args:string>>"))
-    return out.select(*key, "faces", "objects", "heads", "commands")
+        out = out.withColumn("commands", F.lit(None).cast("array<struct<seq:long,op:string,args:string>>")).withColumn("until", F.lit(None).cast("long"))
+    return out.select(*key, "faces", "objects", "heads", "commands", "until")
 
 
 def track(rows: DataFrame) -> DataFrame:
     """The visible tracks of every frame. A video is one ordered fold, so it stays in one partition, streamed in batches."""
-    return rows.repartition("video_id").sortWithinPartitions("video_id", "frame_index").mapInPandas(_run, OUT)
+    return rows.repartition("video_id").sortWithinPartitions("video_id", "frame_index").mapInArrow(_run, OUT)
