@@ -178,3 +178,18 @@ def test_a_late_command_still_meets_a_lost_face(spark):
     more = faces.unionByName(spark.createDataFrame([("a", 24, 10, 50, 60, 60, 0.9, A)], faces.schema))
     got = {(r.frame_index, r.track_id): (r.tier, r.identity_id) for r in tr.track(tr.frames(more, commands=commands)).collect()}
     assert got[24, 3] == (tr.LINKED, 1)
+
+
+def test_lost_objects_cost_no_look_each(monkeypatch):
+    """300 lost objects apart from where things happen: a frame tells the overlap of what meets only."""
+    v = tr.Video()
+    v.frame(0, [], [det(1000 + 100 * k, 900, label="screen") for k in range(300)], [], [])
+    for i in range(1, tr.LIFE + 2):
+        v.frame(i, [], [], [], [])
+    seen, iou = [], tr._iou
+    monkeypatch.setattr(tr, "_iou", lambda a, b: seen.append(1) or iou(a, b))
+    for i in range(200, 210):
+        assert ids(v.frame(i, [], [det(10), det(200)], [], [])) == [301, 302]
+    assert len(seen) <= 40
+    assert ids(v.frame(210, [], [det(1000, 900)], [], []))[0] == 1  # and a lost one comes back
+    assert tr.Video.load(v.dump()) == v and v.tracks[5].miss == tr.LIFE + 12
