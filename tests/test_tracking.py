@@ -193,3 +193,20 @@ def test_lost_objects_cost_no_look_each(monkeypatch):
     assert len(seen) <= 40
     assert ids(v.frame(210, [], [det(1000, 900)], [], []))[0] == 1  # and a lost one comes back
     assert tr.Video.load(v.dump()) == v and v.tracks[5].miss == tr.LIFE + 12
+
+
+def test_summary_counts_what_the_fold_gives_frame_by_frame(spark, sf, monkeypatch):
+    """The rows of the batch, cut into many pieces of output, are those of the fold row by row; the fold holds no lost face."""
+    from veilspark.plans import tracks
+
+    monkeypatch.setattr(tr, "PART_ROWS", 100)
+    given = []
+    monkeypatch.setattr(tr, "track", lambda rows: given.append(rows) or rows)
+    tracks.track_batch(spark, sf)
+    rows = given[0].where("video_id = '1'").orderBy("frame_index")
+    assert "until" in rows.columns
+    video, want = tr.Video(), []
+    for r in rows.collect():
+        want += [("1", *x) for x in tr.run_frame(video, r)]
+    got = [tuple(x.values()) for b in tr._run(iter(rows.toArrow().to_batches())) for x in b.to_pylist()]
+    assert got == want and want
