@@ -251,3 +251,14 @@ def test_thumbnails(spark):
     assert set(got) == {0, 3} and all((r["width"], r["height"], r["span"]) == (20, 10, 2) for r in got.values())
     assert all(bytes(r["pixels"]) == bytes([i]) * 600 for i, r in got.items())
     assert {(r["width"], r["height"]) for r in crops.thumbnails(frames, 500, 3).collect()} == {(6, 3)}
+
+
+def _plan(spark, sf, name):
+    from veilspark.plans import registry
+
+    return registry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_debug_report_tells_a_head_region_once(spark, sf):
+    """Sizes by shape were written out wherever the region's numbers are used, 32 times for a person."""
+    assert _plan(spark, sf, "debug_report").count("0.82") == 1

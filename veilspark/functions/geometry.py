@@ -35,6 +35,11 @@ def overlap(a: Column, b: Column) -> Column:
     return F.greatest(w, F.lit(0)) * F.greatest(h, F.lit(0))
 
 
+def meets(a: Column, b: Column) -> Column:
+    """Whether two rectangles may share pixels; where this is false their overlap is 0."""
+    return (a["x"] < b["x"] + b["w"]) & (b["x"] < a["x"] + a["w"]) & (a["y"] < b["y"] + b["h"]) & (b["y"] < a["y"] + a["h"])
+
+
 def iou(a: Column, b: Column, least_union: float = 0.0) -> Column:
     """Intersection over union; 0 where the union is no larger than least_union."""
     both = overlap(a, b)
@@ -121,21 +126,43 @@ def _banded(person: Column, narrow: float, middle: float, wide: float) -> Column
     return F.when(aspect < 1.15, narrow).when(aspect < 1.55, middle).otherwise(wide)
 
 
-def head_roi(person: Column, width: Num, height: Num) -> Column:
-    """Where to look for a person's head: three bands of shape."""
+def head_size(person: Column) -> Column:
+    """w, h of where to look for a person's head: three bands of shape."""
     h = F.greatest(F.lit(16), trunc(person["h"] * _banded(person, 0.40, 0.30, 0.26)))
     w = F.greatest(F.lit(16), trunc(person["w"] * _banded(person, 0.62, 0.82, 1.0)))
+    return F.struct(w.alias("w"), h.alias("h"))
+
+
+def head_around(person: Column, size: Column) -> Column:
+    """The region of that size at a person's head, with its pad; it may leave the frame."""
+    w, h = size["w"], size["h"]
     px, py = F.greatest(F.lit(8), idiv(w, 5)), F.greatest(F.lit(8), idiv(h, 5))
-    return clip(rect(person["x"] + idiv(person["w"], 2) - idiv(w, 2) - px, person["y"] - py, w + 2 * px, h + 2 * py), width, height)
+    return rect(person["x"] + idiv(person["w"], 2) - idiv(w, 2) - px, person["y"] - py, w + 2 * px, h + 2 * py)
 
 
-def face_roi(person: Column, width: Num, height: Num) -> Column:
-    """Where a person's face should be: three bands of shape."""
+def head_roi(person: Column, width: Num, height: Num) -> Column:
+    """Where to look for a person's head."""
+    return clip(head_around(person, head_size(person)), width, height)
+
+
+def face_size(person: Column) -> Column:
+    """w, h of where a person's face should be: three bands of shape."""
     h = F.greatest(F.lit(14), trunc(person["h"] * _banded(person, 0.28, 0.20, 0.16)))
     w = F.greatest(F.lit(14), trunc(person["w"] * _banded(person, 0.48, 0.52, 0.55)))
+    return F.struct(w.alias("w"), h.alias("h"))
+
+
+def face_around(person: Column, size: Column) -> Column:
+    """The region of that size at a person's face, with its pad; it may leave the frame."""
+    w, h = size["w"], size["h"]
     pad = F.greatest(F.lit(2), idiv(w, 10))
     top = person["y"] + idiv(person["h"], 40)
-    return clip(rect(person["x"] + idiv(person["w"], 2) - idiv(w, 2) - pad, top - idiv(pad, 2), w + 2 * pad, h + pad), width, height)
+    return rect(person["x"] + idiv(person["w"], 2) - idiv(w, 2) - pad, top - idiv(pad, 2), w + 2 * pad, h + pad)
+
+
+def face_roi(person: Column, width: Num, height: Num) -> Column:
+    """Where a person's face should be."""
+    return clip(face_around(person, face_size(person)), width, height)
 
 
 def plate_zone(vehicle: Column, share: float = 0.35) -> Column:
@@ -151,12 +178,23 @@ def plausible_face(r: Column, height: Num) -> Column:
     return (r["w"] > 2) & (r["h"] > 2) & (aspect >= 0.42) & (aspect <= 1.85) & ~((r["h"] > idiv(h_ * 42, 100)) & (aspect > 1.35))
 
 
-def padded_face(r: Column, width: Num, height: Num) -> Column:
-    """A clipped face with the margin that redaction needs, more for small ones."""
+def face_margin(r: Column) -> Column:
+    """dx, dy that redaction needs around a clipped face, more for small ones."""
     share = F.when((r["w"] < 64) | (r["h"] < 64), 0.32).otherwise(0.16)
     dx, dy = F.greatest(F.lit(3), trunc(F.round(r["w"] * share))), F.greatest(F.lit(4), trunc(F.round(r["h"] * share)))
+    return F.struct(dx.alias("dx"), dy.alias("dy"))
+
+
+def with_margin(r: Column, margin: Column) -> Column:
+    """A face grown by its margin, and by a little more in height."""
+    dx, dy = margin["dx"], margin["dy"]
     extra = F.greatest(F.lit(2), idiv(dy, 3))
-    return clip(rect(r["x"] - dx, r["y"] - dy - idiv(extra, 2), r["w"] + 2 * dx, r["h"] + 2 * dy + extra), width, height)
+    return rect(r["x"] - dx, r["y"] - dy - idiv(extra, 2), r["w"] + 2 * dx, r["h"] + 2 * dy + extra)
+
+
+def padded_face(r: Column, width: Num, height: Num) -> Column:
+    """A clipped face with its margin, inside the frame."""
+    return clip(with_margin(r, face_margin(r)), width, height)
 
 
 def association_score(track: Column, det: Column, least_iou: float) -> Column:

@@ -6,6 +6,8 @@ result depends on are total: score first, then position, size and class.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +47,13 @@ def reboxed(rows: DataFrame, r: Column) -> DataFrame:
     return rows.select(*(c for c in rows.columns if c not in BOX), F.inline(F.array(r)))
 
 
+def regions(rows: DataFrame, name: str, size: Callable[[Column], Column], around: Callable[[Column, Column], Column], width: int, height: int) -> DataFrame:
+    """rows with the region of their box inside the frame, step by step: size, place, clip."""
+    sized = placed(rows, "size", size(box()))
+    at = placed(sized, "around", around(box(), F.col("size")))
+    return placed(at, name, g.clip(F.col("around"), width, height)).drop("size", "around")
+
+
 def object_gate(class_id: Column, score: Column, threshold: float = OBJECT_MIN, allow: tuple[int, ...] = (*VEHICLES, *SCREENS)) -> Column:
     """Persons pass from a low score, others from the threshold if their class is allowed."""
     return F.when(class_id == PERSON, score >= PERSON_MIN).otherwise((score >= threshold) & class_id.isin(*allow))
@@ -92,7 +101,8 @@ def _ranked(dets: DataFrame, extra: tuple[str, ...]) -> DataFrame:
 def _greedy(boxes: Column, most: float) -> Column:
     """The boxes in their order, less those that overlap a kept one by more than ``most``."""
     none = F.filter(boxes, lambda _: F.lit(False))
-    return F.aggregate(boxes, none, lambda kept, b: F.when(F.exists(kept, lambda k: g.iou(k, b) > most), kept).otherwise(F.concat(kept, F.array(b))))
+    over = lambda k, b: g.meets(k, b) & (g.iou(k, b) > most)  # noqa: E731  most boxes of a frame do not meet, which is cheaper to tell
+    return F.aggregate(boxes, none, lambda kept, b: F.when(F.exists(kept, lambda k: over(k, b)), kept).otherwise(F.concat(kept, F.array(b))))
 
 
 def suppress(dets: DataFrame, least_score: float, most_iou: float, top: int | None = None, extra: tuple[str, ...] = ("class_id",)) -> DataFrame:
@@ -134,9 +144,10 @@ def drop_containers(dets: DataFrame, ratio: float = 2.2) -> DataFrame:
 
 
 def finalise(dets: DataFrame, width: int, height: int) -> DataFrame:
-    """Clipped, plausible faces with their margin."""
+    """Clipped, plausible faces with their margin (``geometry.padded_face``), step by step: written out in one expression, a face's margin is rounded dozens of times."""
     clipped = reboxed(dets, g.clip(box(), width, height)).where(g.plausible_face(box(), height))
-    return reboxed(clipped, g.padded_face(box(), width, height)).where("w > 2 AND h > 2")
+    grown = reboxed(placed(clipped, "margin", g.face_margin(box())), g.with_margin(box(), F.col("margin"))).drop("margin")
+    return reboxed(grown, g.clip(box(), width, height)).where("w > 2 AND h > 2")
 
 
 def _covered(head: Column, face: Column) -> Column:
@@ -149,7 +160,7 @@ def _covered(head: Column, face: Column) -> Column:
 
 def _heads_and_faces(persons: DataFrame, faces: DataFrame, width: int, height: int, how: str, extra: tuple[str, ...] = ()) -> tuple[DataFrame, Column]:
     """Per frame the head regions of persons, by position, and its faces; and those heads that no face covers, fallbacks before it included."""
-    heads = placed(persons.select(*FRAME, *BOX), "f", g.face_roi(box(), width, height)).where("f.w >= 12 AND f.h >= 12")
+    heads = regions(persons.select(*FRAME, *BOX), "f", g.face_size, g.face_around, width, height).where("f.w >= 12 AND f.h >= 12")
     heads = heads.groupBy(*FRAME).agg(F.transform(F.sort_array(F.collect_list(F.struct(*BOX, "f"))), lambda p: p["f"]).alias("heads"))
     known = faces.groupBy(*FRAME).agg(F.collect_list(F.struct(*BOX, *extra)).alias("faces"))
     both = heads.join(known, list(FRAME), how)
@@ -183,7 +194,7 @@ def zoom_persons(dets: DataFrame, width: int, height: int, most: int = 10) -> Da
     aspect = F.col("h") / F.greatest("w", F.lit(1))
     close = max(200, height * 50 // 100)
     people = dets.where((F.col("class_id") == PERSON) & ~((aspect > 1.4) & (F.col("h") >= close)))
-    people = placed(people, "r", g.head_roi(box(), width, height)).where("r.w >= 12 AND r.h >= 12")
+    people = regions(people, "r", g.head_size, g.head_around, width, height).where("r.w >= 12 AND r.h >= 12")
     nth = F.row_number().over(Window.partitionBy(*FRAME).orderBy("h", *BOX, "score"))
     return people.withColumn("rank", nth).where(F.col("rank") <= most).select(*FRAME, *(F.col(f"r.{c}").alias(c) for c in BOX), "rank")
 

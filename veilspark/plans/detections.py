@@ -68,7 +68,7 @@ def head_fallback(spark: SparkSession, sf: str) -> DataFrame:
 def head_fallback_first(spark: SparkSession, sf: str) -> DataFrame:
     """Persons that no detected face covers: an anti-join, before fallbacks cover each other."""
     people, faces = _people_and_faces(spark, sf)
-    heads = d.placed(people.select(*d.FRAME, *d.BOX), "f", g.face_roi(d.box(), W, H)).where("f.w >= 12 AND f.h >= 12")
+    heads = d.regions(people.select(*d.FRAME, *d.BOX), "f", g.face_size, g.face_around, W, H).where("f.w >= 12 AND f.h >= 12")
     f = faces.select(*d.FRAME, d.box().alias("face"))
     return heads.join(f, (heads.video_id == f.video_id) & (heads.frame_index == f.frame_index) & d._covered(F.col("f"), F.col("face")), "left_anti").select(*d.FRAME, *d.BOX, F.col("f.x").alias("fx"), F.col("f.y").alias("fy"))
 
