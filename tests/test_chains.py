@@ -262,3 +262,8 @@ def _plan(spark, sf, name):
 def test_debug_report_tells_a_head_region_once(spark, sf):
     """Sizes by shape were written out wherever the region's numbers are used, 32 times for a person."""
     assert _plan(spark, sf, "debug_report").count("0.82") == 1
+
+
+def test_det_finalize_rounds_a_margin_once(spark, sf):
+    """Across and down, and the score of the made detections; it was 49 times."""
+    assert _plan(spark, sf, "det_finalize").lower().count("round(") <= 3
