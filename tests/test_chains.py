@@ -267,3 +267,10 @@ def test_debug_report_tells_a_head_region_once(spark, sf):
 def test_det_finalize_rounds_a_margin_once(spark, sf):
     """Across and down, and the score of the made detections; it was 49 times."""
     assert _plan(spark, sf, "det_finalize").lower().count("round(") <= 3
+
+
+def test_redact_counts_rounds_a_margin_once_and_suppression_asks_first_who_meets(spark, sf):
+    plan = _plan(spark, sf, "redact_counts")
+    assert plan.lower().count("round(") <= 6  # it was 52
+    boxes = spark.createDataFrame([(1, 1, 0, 0, 10, 10, 1, 0.9), (1, 1, 10, 0, 10, 10, 1, 0.8), (1, 1, 4, 0, 10, 10, 1, 0.7), (1, 1, 0, 0, 0, 5, 1, 0.6)], "video_id int, frame_index int, x int, y int, w int, h int, class_id int, score double")
+    assert [(r.x, r.w) for r in detect.suppress(boxes, 0.1, 0.4).orderBy("x", "w").collect()] == [(0, 0), (0, 10), (10, 10)]
