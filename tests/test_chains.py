@@ -274,3 +274,26 @@ def test_redact_counts_rounds_a_margin_once_and_suppression_asks_first_who_meets
     assert plan.lower().count("round(") <= 6  # it was 52
     boxes = spark.createDataFrame([(1, 1, 0, 0, 10, 10, 1, 0.9), (1, 1, 10, 0, 10, 10, 1, 0.8), (1, 1, 4, 0, 10, 10, 1, 0.7), (1, 1, 0, 0, 0, 5, 1, 0.6)], "video_id int, frame_index int, x int, y int, w int, h int, class_id int, score double")
     assert [(r.x, r.w) for r in detect.suppress(boxes, 0.1, 0.4).orderBy("x", "w").collect()] == [(0, 0), (0, 10), (10, 10)]
+
+
+def test_masks_go_in_stacks_and_equal_single_ones(monkeypatch):
+    """90 pictures of two sizes with rectangles that overlap, leave the picture or are empty: each mode and size of part is filtered once."""
+    rng = np.random.default_rng(3)
+    pictures = [rng.integers(0, 256, (36, 48 + i % 2, 3), dtype=np.uint8) for i in range(90)]
+    box = lambda x, y, w=17, h=16: {"x": x, "y": y, "w": w, "h": h}
+    rects = [[box(i % 3 * 16, 0), box(i % 3 * 16 + 4, 5)] + ([box(-9, 30), box(60, 60)] if i % 5 else []) for i in range(90)]
+    modes = [list(pixels.FILTERS)[i % 3] for i in range(90)]
+    want = [pixels.mask(p, r, m) for p, r, m in zip(pictures, rects, modes, strict=True)]
+    calls, old = [], dict(pixels.FILTERS)
+    for m, f in old.items():
+        monkeypatch.setitem(pixels.FILTERS, m, lambda part, f=f: calls.append(part.shape) or f(part))
+    assert all((a == b).all() for a, b in zip(pixels.masks(pictures, rects, modes), want, strict=True))
+    assert len(calls) <= 24 and sum(c[0] for c in calls) == 90 * 2 + 72
+    k = pixels._spread(16, pixels.BLUR_SIZE)
+    assert np.allclose(k.sum(axis=1), 1) and all((old["blur"](np.full((2, 16, 17, 3), c, np.uint8)) == c).all() for c in (0, 128, 255))
+
+
+def test_pixel_masks_deals_its_frames_out(spark, sf):
+    from veilspark.plans import redaction
+
+    assert redaction.pixel_masks(spark, sf).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

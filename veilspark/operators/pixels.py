@@ -8,6 +8,7 @@ a model file, one session per Python worker.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,36 +28,61 @@ def _clip(r: dict, w: int, h: int) -> tuple[int, int, int, int]:
 
 def mosaic(part: np.ndarray) -> np.ndarray:
     """About size / 15 samples each way, taken bilinearly and shown as blocks."""
-    h, w = part.shape[:2]
+    h, w = part.shape[-3:-1]
     return resample.nearest(resample.bilinear(part, max(1, w // MOSAIC_STEP), max(1, h // MOSAIC_STEP)), w, h)
 
 
-def blur(part: np.ndarray, size: int = BLUR_SIZE) -> np.ndarray:
-    """Separable Gaussian with mirrored edges; sigma follows from the kernel's size."""
+@lru_cache(maxsize=1024)
+def _spread(n: int, size: int) -> np.ndarray:
+    """n x n: the share of each pixel of an axis with mirrored ends in each blurred one; sigma follows from the kernel's size."""
     sigma = 0.3 * ((size - 1) * 0.5 - 1) + 0.8
     k = np.exp(-((np.arange(size) - size // 2) ** 2) / (2 * sigma**2))
     k /= k.sum()
+    at = np.abs(np.arange(n)[:, None] + np.arange(size)[None, :] - size // 2)
+    period = max(1, 2 * (n - 1))
+    at = at % period
+    at = np.where(at >= n, period - at, at) if n > 1 else np.zeros_like(at)
+    out = np.zeros((n, n))
+    np.add.at(out, (np.arange(n)[:, None], at), k)
+    return out
+
+
+def blur(part: np.ndarray, size: int = BLUR_SIZE) -> np.ndarray:
+    """Separable Gaussian with mirrored edges."""
     out = part.astype(np.float64)
-    for axis in (0, 1):
-        n = out.shape[axis]
-        at = np.abs(np.arange(n)[:, None] + np.arange(size)[None, :] - size // 2)
-        period = max(1, 2 * (n - 1))
-        at = at % period
-        at = np.where(at >= n, period - at, at) if n > 1 else np.zeros_like(at)
-        out = np.moveaxis(np.einsum("nk...,k->n...", np.moveaxis(out, axis, 0)[at], k), 0, axis)
+    for axis in (-3, -2):
+        moved = np.moveaxis(out, axis, 0)
+        spread = _spread(moved.shape[0], size) @ moved.reshape(moved.shape[0], -1)
+        out = np.moveaxis(spread.reshape(moved.shape), 0, axis)
     return np.rint(out).astype(np.uint8)
 
 
+# Each takes a part of a picture, or a stack of parts of one size.
 FILTERS: dict[str, Callable[[np.ndarray], np.ndarray]] = {"mosaic": mosaic, "blur": blur, "solid": np.zeros_like}
+STACK_BYTES = 2 << 20  # fixed value: parts that are filtered together
+
+
+def masks(pictures: list[np.ndarray], rects: list[list[dict]], modes: list[str]) -> list[np.ndarray]:
+    """The pictures with their rectangles masked, a picture's one after another; parts of one size and mode are filtered in stacks."""
+    out = [p.copy() for p in pictures]
+    for k in range(max(map(len, rects), default=0)):
+        alike: dict[tuple, list[tuple]] = {}
+        for p, r, m in zip(out, rects, modes, strict=True):
+            if k < len(r):
+                x1, y1, x2, y2 = _clip(r[k], p.shape[1], p.shape[0])
+                if x2 - x1 >= 2 and y2 - y1 >= 2:
+                    alike.setdefault((m, y2 - y1, x2 - x1), []).append(p[y1:y2, x1:x2])
+        for (m, h, w), parts in alike.items():
+            most = max(1, STACK_BYTES // (h * w * 3))
+            for at in range(0, len(parts), most):
+                some = parts[at : at + most]
+                for part, done in zip(some, FILTERS[m](np.stack(some)), strict=True):
+                    part[...] = done
+    return out
 
 
 def mask(picture: np.ndarray, rects: list[dict], mode: str) -> np.ndarray:
-    out = picture.copy()
-    for r in rects:
-        x1, y1, x2, y2 = _clip(r, out.shape[1], out.shape[0])
-        if x2 - x1 >= 2 and y2 - y1 >= 2:
-            out[y1:y2, x1:x2] = FILTERS[mode](out[y1:y2, x1:x2])
-    return out
+    return masks([picture], [rects], [mode])[0]
 
 
 def mask_frames(frames: DataFrame, mode: str | None = "mosaic") -> DataFrame:
@@ -67,10 +93,9 @@ def mask_frames(frames: DataFrame, mode: str | None = "mosaic") -> DataFrame:
         for b in batches:
             cols = dict(zip(names, b.columns, strict=True))
             modes = cols["mode"].to_pylist() if mode is None else [mode] * b.num_rows
-            done = [
-                mask(np.frombuffer(p, np.uint8).reshape(h, w, 3), r or [], m if m in FILTERS else "mosaic").tobytes()
-                for p, w, h, r, m in zip(*(cols[c].to_pylist() for c in ("pixels", "width", "height", "rects")), modes, strict=True)
-            ]
+            shapes = zip(*(cols[c].to_pylist() for c in ("pixels", "width", "height")), strict=True)
+            pictures = [np.frombuffer(p, np.uint8).reshape(h, w, 3) for p, w, h in shapes]
+            done = [p.tobytes() for p in masks(pictures, [r or [] for r in cols["rects"].to_pylist()], [m if m in FILTERS else "mosaic" for m in modes])]
             cols["pixels"] = pa.array(done, pa.binary())
             yield pa.RecordBatch.from_arrays([cols[c] for c in names], names=names)
 
