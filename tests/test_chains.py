@@ -297,3 +297,16 @@ def test_pixel_masks_deals_its_frames_out(spark, sf):
     from veilspark.plans import redaction
 
     assert redaction.pixel_masks(spark, sf).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_redact_union_neither_sorts_nor_shuffles_boxes(spark, sf):
+    """Boxes of orders were written out for 21 frames each, then shuffled by some 320 frames and sorted."""
+    from veilspark.plans import redaction
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = redaction.redact_union(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
