@@ -210,3 +210,27 @@ def test_summary_counts_what_the_fold_gives_frame_by_frame(spark, sf, monkeypatc
         want += [("1", *x) for x in tr.run_frame(video, r)]
     got = [tuple(x.values()) for b in tr._run(iter(rows.toArrow().to_batches())) for x in b.to_pylist()]
     assert got == want and want
+
+
+def test_without_commands_kinds_are_folds_of_their_own_and_rows_stay(spark):
+    """Objects coast, are lost, come back and meet again; faces come and go: the rows are those of the whole fold, an object's stay is one row until then."""
+    kind = "video_id string, frame_index long, x int, y int, w int, h int, score double, label string"
+    at = [i for i in range(400) if not 150 <= i < 160]
+    faces = [(v, i, (7 * i) % 500, 40 + i % 30, 50, 60, 0.9, None) for v in ("a", "b") for i in at if i % 7 != 3]
+    objects = [(v, i, 90 * (i % 5), 200, 80, 80, 0.4 + i / 1000, "screen" if i % 2 else None) for v in ("a", "b") for i in at if i % 100 < 3 or i in (92, 93, 193, 295)]
+    rows = tr.frames(spark.createDataFrame(faces, kind), spark.createDataFrame(objects, kind), spark.createDataFrame(faces[::3], kind)).cache()
+    want = []
+    for v in ("a", "b"):
+        video = tr.Video()
+        for r in rows.where(f"video_id = '{v}'").orderBy("frame_index").collect():
+            want += [(v, *x) for x in tr.run_frame(video, r)]
+    got = tr.track(rows)
+    assert got.columns == tr.COLUMNS and sorted(map(tuple, got.collect())) == sorted(want)
+    assert {r[3] for r in want} == {tr.FACE, tr.OBJECT} and max(r[10] for r in want) == tr.LIFE
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "dense_rank" in plan and "_run_apart" in plan  # a kind has a task of its own
+    still = tr._Spans("a", tr.OBJECT, [])
+    for i in range(5000):
+        still.objects(i, [det(10)] if i % 60 == 0 else [])
+    still.close()
+    assert len(still.out) == 84 and sum(len(r[4]) for r in still.out) == 5000 and len(still.times) <= 20 * tr.LIFE

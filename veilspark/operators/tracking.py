@@ -21,7 +21,7 @@ from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Thresholds of association, coasting and identity.
@@ -57,8 +57,8 @@ class Track:
     shown: list[int] = field(default_factory=list)
     e: list[float] | None = None
 
-    # Not part of the state: where its box stands among the objects', when it was lost, and its row in the output at hand.
-    slot = tick = part = row = -1
+    # Not part of the state: where its box stands among the objects', when it was lost, its row in the output at hand, and the frame of its video that it was born on.
+    slot = tick = part = row = born = -1
 
     def visible(self) -> bool:
         return not self.lost and (self.kind != FACE or self.miss <= MASKED)
@@ -93,7 +93,7 @@ def _affinity(t: list[float], d: list[float], least: float) -> float:
     v = _iou(t, d)
     if v >= 0.45:
         return v + 0.20
-    if not all(0.28 < d[k] / max(4.0, t[k]) < 4.5 for k in (2, 3)):
+    if not (0.28 < d[2] / max(4.0, t[2]) < 4.5 and 0.28 < d[3] / max(4.0, t[3]) < 4.5):
         return 0.0
     if v >= least:
         return v + 0.15
@@ -109,11 +109,13 @@ def _matches(tracks: list[Track], dets: list[dict], least: float) -> list[tuple[
     boxes = [(*_centre(d["box"]), d["box"][2], d["box"][3], hypot(d["box"][2], d["box"][3])) for d in dets]
     pairs = []
     for i, t in enumerate(tracks):
-        x, y, w, h = t.v[4:8]
-        cx, cy, diagonal = x + w / 2, y + h / 2, hypot(w, h)
+        _, _, _, _, x, y, w, h = t.v
+        cx, cy, most = x + w / 2, y + h / 2, 0.70 * (w + h)  # a diagonal is shorter than both sides
         for j, (dx, dy, dw, dh, other) in enumerate(boxes):
-            gate, ax, ay = 0.70 * max(diagonal, other), abs(cx - dx), abs(cy - dy)
-            if (ax > gate and ax + ax >= w + dw) or (ay > gate and ay + ay >= h + dh):
+            ax, ay, far = abs(cx - dx), abs(cy - dy), 0.70 * other
+            if most > far:
+                far = most
+            if (ax > far and ax + ax >= w + dw) or (ay > far and ay + ay >= h + dh):
                 continue  # too far off, and no overlap
             s = _affinity(t.v[4:8], dets[j]["box"], least)
             if s > 1e-6:
@@ -159,7 +161,7 @@ class Video:
 
     def _sort_out(self) -> None:
         """After a command: objects by what they are now."""
-        self.stale = False
+        self.stale, self.slots = False, None  # slots: those of the objects not lost, where they are known
         self.present = [t for t in self.objects if not t.lost]
         self.off = [t for t in self.objects if not t.enabled]
         for t in self.objects:
@@ -201,6 +203,7 @@ class Video:
         t.slot = len(self.objects)
         self.objects.append(t)
         self.present.append(t)
+        self.slots = None
         if near:
             self.off.append(t)
         if t.slot == self.boxes.shape[1]:
@@ -232,8 +235,11 @@ class Video:
         live = self.faces
         for t in live:
             vx, vy, vw, vh, x, y, w, h = t.v
-            cx, cy = x + w / 2 + vx, y + h / 2 + vy
-            w, h = max(4.0, w + vw), max(4.0, h + vh)
+            cx, cy, w, h = x + w / 2 + vx, y + h / 2 + vy, w + vw, h + vh
+            if not w > 4.0:
+                w = 4.0
+            if not h > 4.0:
+                h = 4.0
             t.v = [vx, vy, vw, vh, cx - w / 2, cy - h / 2, w, h]
             t.e = None
         high, low = [d for d in dets if d["score"] >= HIGH], [d for d in dets if LOW <= d["score"] < HIGH]
@@ -241,24 +247,24 @@ class Video:
         hit = {t.id for t, _ in first}
         for t, j in first:
             self._apply(t, high[j])
-        second = _matches([t for t in live if t.id not in hit], low, LOW_IOU)
-        for t, j in second:
-            self._apply(t, low[j])
-        hit |= {t.id for t, _ in second}
+        if low:
+            second = _matches([t for t in live if t.id not in hit], low, LOW_IOU)
+            for t, j in second:
+                self._apply(t, low[j])
+            hit |= {t.id for t, _ in second}
         gone = []
         for t in live:
             if t.id not in hit:
                 t.miss += 1
-                vx, vy, vw, vh, *box = t.v
-                t.v = [vx * 0.55, vy * 0.55, vw * 0.35, vh * 0.35, *box]
+                vx, vy, vw, vh, x, y, w, h = t.v
+                t.v = [vx * 0.55, vy * 0.55, vw * 0.35, vh * 0.35, x, y, w, h]
                 if t.miss > LIFE:
                     gone.append(t)
-        if gone:
-            self._lose(gone)
-            self.faces = live = [t for t in live if not t.lost]
-        for t in live:
             if t.miss <= MASKED or not t.enabled:  # of others nobody asks where they are
                 t.shown = self._coasting(t, heads)
+        if gone:
+            self._lose(gone)
+            self.faces = [t for t in live if not t.lost]
         used = {j for _, j in first}
         for j, d in enumerate(high):
             if j not in used:
@@ -280,62 +286,75 @@ class Video:
         return head
 
     # -- objects: live ones choose first, then kept lost ones, then the others --
-    def _objects(self, dets: list[dict], frame: int) -> None:
-        free = dict(enumerate(dets))
-
-        def choose(t: Track, least: float, reach: float | None) -> int | None:
-            best, at = -1.0, None
-            for j, d in free.items():
-                v, far = _iou(t.shown, d["box"]), _distance(t.shown, d["box"])
-                if v >= least and (reach is None or far <= reach) and 1000 * v - far > best:
-                    best, at = 1000 * v - far, j
-            return at
-
+    def _objects(self, dets: list[dict], frame: int) -> list[Track]:
+        """The objects that a detection has met or made on this frame."""
         self.ticks += 1
-        met, back = set(), []
-        rank = lambda t: (0 if not t.lost else 2 if t.enabled else 1, t.id)
-        for t in sorted(self._overlapped(dets), key=rank):
-            j = choose(t, OBJECT_IOU, None)
-            if j is None and (not t.enabled or not t.lost):
-                j = choose(t, SOFT_IOU, SOFT_PX)
-            if j is not None:
-                d = free.pop(j)
-                back += [t] if t.lost else []
-                t.shown, t.lost, t.miss, t.part = _whole(d["box"]), False, 0, -1
-                t.label = f"{d['label'] or 'Object'} #{t.id}"
-                met.add(t.id)
-                self._place(t)
+        met, back, free = [], [], list(range(len(dets)))
+        for live in (True, False):  # most frames have nothing left for lost ones
+            overlapped = self._overlapped(dets, free, live)
+            rank = lambda t: (0 if not t.lost else 2 if t.enabled else 1, t.id)
+            for t in sorted((t for i in overlapped if (t := self.objects[i]).lost != live), key=rank):
+                j = self._chosen(t, [(j, v) for j, v in overlapped[t.slot] if j in free], dets)
+                if j is not None:
+                    d = dets[j]
+                    free.remove(j)
+                    back += [t] if t.lost else []
+                    t.shown, t.lost, t.miss, t.part = _whole(d["box"]), False, -1, -1
+                    t.label = f"{d['label'] or 'Object'} #{t.id}"
+                    met.append(t)
+                    self._place(t)
+                    if not free:
+                        break
         gone = False
         for t in self.present:
-            if t.id not in met:
-                t.miss += 1
-                if t.miss > LIFE:
-                    t.lost, t.tick, gone = True, self.ticks, True
-                    self._place(t)
+            t.miss += 1
+            if t.miss > LIFE:
+                t.lost, t.tick, gone = True, self.ticks, True
+                self._place(t)
         if gone:
             self.present = [t for t in self.present if not t.lost]
+        if gone or back:
+            self.slots = None
         for t in back:
+            t.miss = 0
             insort(self.present, t, key=_ID)
-        for d in free.values():
-            self._new(OBJECT, d["box"], frame, d["score"], d["label"] or "Object", True)
-
-    def _overlapped(self, dets: list[dict]) -> list[Track]:
-        """The objects that overlap a detection by as much as it takes to match."""
-        n = len(self.objects)
-        if not n or not dets:
-            return []
-        x1, y1, x2, y2, area, least = self.boxes[:, :n]
-        x, y, w, h = np.array([d["box"] for d in dets]).T[:, :, None]
+        return met + [self._new(OBJECT, d["box"], frame, d["score"], d["label"] or "Object", True) for j, d in enumerate(dets) if j in free]
+
+    @staticmethod
+    def _chosen(t: Track, overlaps: list[tuple[int, float]], dets: list[dict]) -> int | None:
+        """The detection that an object takes, of those that overlap it by as much as it takes to match."""
+        best, at, soft, near = -1.0, None, -1.0, None
+        for j, v in overlaps:
+            far = _distance(t.shown, dets[j]["box"])
+            if v >= OBJECT_IOU and 1000 * v - far > best:
+                best, at = 1000 * v - far, j
+            if far <= SOFT_PX and 1000 * v - far > soft:
+                soft, near = 1000 * v - far, j
+        return near if at is None and (not t.enabled or not t.lost) else at
+
+    def _overlapped(self, dets: list[dict], free: list[int], live: bool) -> dict[int, list[tuple[int, float]]]:
+        """By slot, the objects (those not lost, or all) that overlap a free detection by as much as it takes to match; with which ones, and by how much."""
+        n = len(self.present if live else self.objects)
+        if not n or not free:
+            return {}
+        if live and self.slots is None:
+            self.slots = np.array([t.slot for t in self.present])
+        x1, y1, x2, y2, area, least = self.boxes.take(self.slots, 1) if live else self.boxes[:, :n]
+        x, y, w, h = np.array([dets[j]["box"] for j in free]).T[:, :, None]
         right, below = x + w, y + h
-        d, t = np.nonzero((x1 < right) & (x2 > x) & (y1 < below) & (y2 > y))
-        if not len(t):
-            return []
-        across = np.minimum(x2[t], right[d, 0]) - np.maximum(x1[t], x[d, 0])
-        down = np.minimum(y2[t], below[d, 0]) - np.maximum(y1[t], y[d, 0])
-        both = np.maximum(across, 0.0) * np.maximum(down, 0.0)
-        union = area[t] + (w * h)[d, 0] - both
-        enough = (union > 1e-6) & (both / np.where(union > 1e-6, union, 1.0) >= least[t])
-        return [self.objects[i] for i in set(t[enough].tolist())]
+        across, down = np.minimum(x2, right) - np.maximum(x1, x), np.minimum(y2, below) - np.maximum(y1, y)
+        at = np.flatnonzero((across > 0) & (down > 0))
+        if not len(at):
+            return {}
+        both, (d, t) = across.ravel()[at] * down.ravel()[at], np.divmod(at, n)
+        union = area[t] + (w * h).ravel()[d] - both
+        share = both / np.where(union > 1e-6, union, np.inf)
+        enough = share >= least[t]
+        found: dict[int, list[tuple[int, float]]] = {}
+        t = self.slots[t] if live else t
+        for i, j, v in zip(t[enough].tolist(), d[enough].tolist(), share[enough].tolist(), strict=True):
+            found.setdefault(i, []).append((free[j], v))
+        return found
 
     # -- identities --
     def enrol(self, e: list[float] | None) -> int:
@@ -522,14 +541,17 @@ def _listed(col: pa.Array) -> tuple[list[int], list[int], list[dict]]:
     return (offsets[:-1] - low).tolist(), ends.tolist(), boxes
 
 
+NOWHERE = object()
+
+
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    video, at, rows = Video(), None, _Rows()
+    video, at, rows = Video(), NOWHERE, _Rows()
     for b in batches:
         lists = [_listed(b.column(c)) for c in ("faces", "objects", "heads")]
         ids, index, commands = (b.column(c).to_pylist() for c in ("video_id", "frame_index", "commands"))
         until = b.column("until").to_pylist() if "until" in b.schema.names else None
         for i in range(b.num_rows):
-            if ids[i] != at or at is None:
+            if ids[i] != at:
                 video, at = Video(), ids[i]
             if until is not None and (until[i] is None or index[i] > until[i]):
                 video.no_more_commands()
@@ -540,10 +562,114 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows.take()
 
 
+# Without commands a face never minds an object, so each kind is a fold of its own, and an object's rows differ by their frame only
+# from one detection to the next: SPANS, with the frames that it is seen on. ``nth`` numbers a kind's tracks.
+NO_COMMANDS = {"commands": False}
+SPANS = "video_id string, kind int, born long, nth int, frames array<long>, miss int, x int, y int, w int, h int, score double, label string, appeared boolean"
+_SPAN_TYPES = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), *[pa.int32()] * 5, pa.float64(), pa.string(), pa.bool_()]
+
+
+class _Spans:
+    """One kind of a video, frame by frame."""
+
+    def __init__(self, video_id: str | None, kind: int, out: list[tuple]) -> None:
+        self.video_id, self.kind, self.out = video_id, kind, out
+        self.video, self.was, self.n = Video(), set(), 0
+        self.video.no_more_commands()
+        self.since, self.times, self.first = {}, [], 0  # objects seen now, from which frame on; the frames from ``first`` on
+
+    def _row(self, t: Track, frames: list[int], appeared: bool) -> None:
+        x, y, w, h = t.shown
+        self.out.append((self.video_id, self.kind, t.born, t.id, frames, t.miss if self.kind == FACE else 0, x, y, w, h, float(t.score), t.label.rsplit(" #", 1)[0], appeared))
+
+    def faces(self, index: int, dets: list[dict], heads: list[dict]) -> None:
+        self.video._faces(dets, heads, index)
+        seen = [t for t in self.video.faces if t.miss <= MASKED]
+        for t in seen:
+            if t.born < 0:
+                t.born = self.n
+            self._row(t, [index], t.id not in self.was)
+        self.was = {t.id for t in seen}
+        self.n += 1
+
+    def _close(self, was: tuple, end: int) -> None:
+        row, start = was
+        self.out.append((*row[:4], self.times[start - self.first : min(end, start + LIFE + 1) - self.first], *row[4:]))
+
+    def objects(self, index: int, dets: list[dict]) -> None:
+        for t in self.video._objects(dets, index):
+            if t.born < 0:
+                t.born = self.n
+            if was := self.since.get(t.id):
+                self._close(was, self.n)
+            back = was is None or self.n > was[1] + LIFE + 1  # it was gone for a frame at least
+            self.since[t.id] = (self.video_id, OBJECT, t.born, t.id, 0, *t.shown, float(t.score), t.label.rsplit(" #", 1)[0], back), self.n
+        self.times.append(index)
+        self.n += 1
+        if len(self.times) >= 20 * LIFE:
+            self.close(lambda start: self.n > start + LIFE + 1)
+            self.times, self.first = self.times[-LIFE - 2 :], self.n - LIFE - 2
+
+    def close(self, which=lambda start: True) -> None:
+        for i in [i for i, was in self.since.items() if which(was[1])]:
+            self._close(self.since.pop(i), self.n)
+
+
+def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
+    names = [c.split()[0] for c in SPANS.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), _SPAN_TYPES, strict=True)], names=names)
+
+
+def _run_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out: list[tuple] = []
+    fold, at = None, NOWHERE
+    for b in batches:
+        faces, objects, heads = (_listed(b.column(c)) for c in ("faces", "objects", "heads"))
+        of = lambda listed, i: listed[2][listed[0][i] : listed[1][i]]
+        for i, (video_id, kind, index) in enumerate(zip(*(b.column(c).to_pylist() for c in ("video_id", "kind", "frame_index")), strict=True)):
+            if (video_id, kind) != at:
+                if fold:
+                    fold.close()
+                fold, at = _Spans(video_id, kind, out), (video_id, kind)
+            if kind == FACE:
+                fold.faces(index, of(faces, i), of(heads, i))
+            else:
+                fold.objects(index, of(objects, i))
+            if len(out) >= PART_ROWS:
+                yield _span_batch(out)
+                out.clear()
+    if fold:
+        fold.close()
+    if out:
+        yield _span_batch(out)
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """The visible tracks of frames without commands: faces and objects in tasks of their own, numbered together by birth, faces first."""
+    only = lambda kind, c: F.when(F.col("kind") == kind, F.col(c)).alias(c)
+    parts = rows.select("*", F.explode(F.array(F.lit(FACE), F.lit(OBJECT))).alias("kind"))
+    parts = parts.select("video_id", "frame_index", "kind", only(FACE, "faces"), only(OBJECT, "objects"), only(FACE, "heads"))
+    spans = _in_order(parts, "video_id", "kind").mapInArrow(_run_apart, SPANS)
+    number = F.dense_rank().over(Window.partitionBy("video_id").orderBy("born", "kind", "nth"))
+    seen = spans.withColumn("track_id", number).select("*", F.posexplode("frames").alias("i", "frame_index"))
+    made: dict[str, Column] = {
+        "enabled": F.lit(True), "miss": F.col("miss") + F.col("i"), "tier": F.lit(NONE), "identity_id": F.lit(-1),
+        "label": F.concat("label", F.lit(" #"), "track_id"), "appeared": F.col("appeared") & (F.col("i") == 0),
+    }
+    return seen.select(*(made.get(c, F.col(c)).alias(c) for c in COLUMNS))
+
+
+def _in_order(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows by frame within keys. Ranges, not hashes: keys with many rows get tasks of their own."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys, "frame_index")
+
+
 def frames(faces: DataFrame, objects: DataFrame | None = None, heads: DataFrame | None = None, commands: DataFrame | None = None) -> DataFrame:
     """Rows of FRAMES from flat detections (video_id, frame_index, x, y, w, h, score and perhaps label, e) and commands (video_id, frame_index, seq, op, args).
 
     ``until`` is the frame of a video's last command, null for none; a stream, which cannot know it, does not ask for it.
+    Its metadata say so where no video has commands.
     """
 
     def listed(d: DataFrame, name: str) -> DataFrame:
@@ -559,10 +685,12 @@ def frames(faces: DataFrame, objects: DataFrame | None = None, heads: DataFrame
         c = commands.groupBy(F.col("video_id").cast("string").alias("video_id"), F.col("frame_index").cast("long").alias("frame_index")).agg(F.sort_array(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), "op", "args"))).alias("commands"))
         out = out.join(c, key, "full_outer").join(c.groupBy("video_id").agg(F.max("frame_index").alias("until")), "video_id", "left")
     else:
-        out = out.withColumn("commands", F.lit(None).cast("array<struct<seq:long,op:string,args:string>>")).withColumn("until", F.lit(None).cast("long"))
+        out = out.withColumn("commands", F.lit(None).cast("array<struct<seq:long,op:string,args:string>>")).withColumn("until", F.lit(None).cast("long").alias("until", metadata=NO_COMMANDS))
     return out.select(*key, "faces", "objects", "heads", "commands", "until")
 
 
 def track(rows: DataFrame) -> DataFrame:
-    """The visible tracks of every frame. A video is one ordered fold, so it stays in one partition, streamed in batches."""
-    return rows.repartition("video_id").sortWithinPartitions("video_id", "frame_index").mapInArrow(_run, OUT)
+    """The visible tracks of every frame. A video is one ordered fold, or one of each kind where there are no commands; it is streamed in batches."""
+    if "until" in rows.columns and rows.schema["until"].metadata == NO_COMMANDS:
+        return _apart(rows)
+    return _in_order(rows, "video_id").mapInArrow(_run, OUT)
