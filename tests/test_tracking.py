@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from veilspark.operators import tracking as tr
 
@@ -234,3 +236,44 @@ def test_without_commands_kinds_are_folds_of_their_own_and_rows_stay(spark):
         still.objects(i, [det(10)] if i % 60 == 0 else [])
     still.close()
     assert len(still.out) == 84 and sum(len(r[4]) for r in still.out) == 5000 and len(still.times) <= 20 * tr.LIFE
+
+
+def test_summary_counts_in_the_fold(spark, sf):
+    """The counts are those of the rows of the whole fold, with frames of heads only, lost and returning tracks; no video's rows are told apart or numbered in one task."""
+    from veilspark.plans import tracks
+
+    kind = "video_id string, frame_index long, x int, y int, w int, h int, score double, label string"
+    at = [i for i in range(400) if not 150 <= i < 160]
+    faces = [(v, i, (7 * i) % 500, 40 + i % 30, 50, 60, 0.9, None) for v in ("a", "b") for i in at if i % 7 != 3]
+    objects = [(v, i, 90 * (i % 5), 200, 80, 80, 0.4 + i / 1000, "screen" if i % 2 else None) for v in ("a", "b") for i in at if i % 100 < 3 or i in (92, 93, 193, 295)]
+    heads = [("a", i, 5, 5, 40, 40, 0.9, None) for i in range(150, 160)] + [("c", 3, 5, 5, 40, 40, 0.9, None)]
+    flat = [spark.createDataFrame(d, kind) for d in (faces, objects, heads)]
+    want = []
+    for v in ("a", "b"):
+        video, rows = tr.Video(), []
+        for r in tr.frames(*flat).where(f"video_id = '{v}'").orderBy("frame_index").collect():
+            rows += tr.run_frame(video, r)
+        want.append((v, len({r[0] for r in rows}), len({r[1] for r in rows}), len(rows), sum(r[-1] for r in rows)))
+    assert sorted(map(tuple, tr.summary(*flat).collect())) == want and want[0] != want[1]
+    got = tracks.track_summary(spark, sf)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "dense_rank" not in plan and "posexplode" not in plan
+    t = tracks.track_batch(spark, sf)
+    same = t.groupBy("video_id").agg(*(F.expr(e) for e in ("count(DISTINCT frame_index)", "count(DISTINCT track_id)", "count_if(enabled)", "count_if(appeared)")))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, same.collect()))
+
+
+def test_overlaps_of_many_frames_are_told_at_once(monkeypatch):
+    """A stretch of frames gives what its frames give one by one, also with boxes without sides; overlaps are told a few times, not once a frame."""
+    rng = np.random.default_rng(3)
+    box = lambda: {**det(0, score=0.9, label="screen"), "box": [float(x) for x in (rng.integers(-40, 400) + rng.choice([0, 0.5]), rng.integers(0, 300), rng.choice([0, 0.4, 30, 60, 90]), rng.choice([0, 40, 80]))]}
+    frames = [(i, [box() for _ in range(rng.integers(0, 5))] if i % 300 < 150 else []) for i in range(900)]
+    one, many, told, shares = tr.Video(), tr.Video(), [], tr._shares
+    want = [[(t.id, t.shown, t.label, t.miss) for t in one._objects(dets, i)] + [t.id for t in one.present] for i, dets in frames]
+    assert any(t.lost for t in one.objects)
+    monkeypatch.setattr(tr, "_shares", lambda *a: told.append(1) or shares(*a))
+    many.placed, got = False, []
+    for k in range(0, 900, 50):
+        for now in many.objects_ahead(frames[k : k + 50]):
+            got.append([(t.id, t.shown, t.label, t.miss) for t in now] + [t.id for t in many.present])
+    assert got == want and len(told) <= 18

@@ -4,7 +4,7 @@ What happens in one frame is written once, as a step over a small state, and is
 where Python runs per row. In batch a partition holds whole videos in frame order and the state
 of one video at a time (``track``); in streaming the state is kept by key (``streaming.tracks``).
 A frame costs what is followed in it: lost faces are met by commands only, lost objects through one
-array of boxes. Memory is that of one video's tracks. Lost faces stay while a command may still name
+array of boxes, for a stretch of frames at once in batch. Memory is that of one video's tracks. Lost faces stay while a command may still name
 them: to the end in a stream, in batch up to the video's last command (``until``).
 
 Ties are settled: pairs by score, then track, then detection in the order given.
@@ -30,6 +30,7 @@ OBJECT_IOU, SOFT_IOU, SOFT_PX, CHECK_EVERY, LEAST_SIDE = 0.22, 0.08, 120.0, 8, 3
 KEEP, SUGGEST = 0.62, 0.48
 NONE, ENROLLED, LINKED, SUGGESTED = 0, 1, 2, 3
 FACE, OBJECT = 0, 1
+AHEAD_FRAMES, AHEAD_DETS, AHEAD_PAIRS = 1000, 96, 1 << 22  # fixed values: of a stretch of frames whose overlaps are told at once
 
 BOX = "struct<x:double,y:double,w:double,h:double,score:double,label:string,e:array<double>>"
 FRAMES = f"video_id string, frame_index long, faces array<{BOX}>, objects array<{BOX}>, heads array<{BOX}>, commands array<struct<seq:long,op:string,args:string>>"
@@ -57,8 +58,8 @@ class Track:
     shown: list[int] = field(default_factory=list)
     e: list[float] | None = None
 
-    # Not part of the state: where its box stands among the objects', when it was lost, its row in the output at hand, and the frame of its video that it was born on.
-    slot = tick = part = row = born = -1
+    # Not part of the state: where its box stands among the objects', when it was lost, its row in the output at hand, the frame of its video that it was born on, and which of a frame's detections it took last.
+    slot = tick = part = row = born = took = -1
 
     def visible(self) -> bool:
         return not self.lost and (self.kind != FACE or self.miss <= MASKED)
@@ -89,6 +90,22 @@ def _iou(a: list[float], b: list[float]) -> float:
     return both / union if union > 1e-6 else 0.0
 
 
+def _shares(boxes: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, area: np.ndarray) -> np.ndarray:
+    """``_iou`` of every box (a row each) with everything shown, whose sides are 1 at least."""
+    x, y, w, h = boxes.T[:, :, None]
+    both = np.minimum(x2, x + w)
+    both -= np.maximum(x1, x)
+    down = np.minimum(y2, y + h)
+    down -= np.maximum(y1, y)
+    np.maximum(both, 0.0, out=both)
+    both *= np.maximum(down, 0.0, out=down)
+    union = area + w * h
+    union -= both
+    if w.min() <= 0 or h.min() <= 0:
+        union[~(union > 1e-6)] = np.inf
+    return np.divide(both, union, out=union)
+
+
 def _affinity(t: list[float], d: list[float], least: float) -> float:
     v = _iou(t, d)
     if v >= 0.45:
@@ -155,13 +172,14 @@ class Video:
         self.faces = [t for t in self.tracks if t.kind == FACE and not t.lost]
         self.objects = [t for t in self.tracks if t.kind == OBJECT]
         self.boxes = np.zeros((6, max(64, 2 * len(self.objects))))
+        self.placed = True  # not where frames are told ahead
         for i, t in enumerate(self.objects):
             t.slot, t.tick = i, 0
         self._sort_out()
 
     def _sort_out(self) -> None:
         """After a command: objects by what they are now."""
-        self.stale, self.slots = False, None  # slots: those of the objects not lost, where they are known
+        self.stale = False
         self.present = [t for t in self.objects if not t.lost]
         self.off = [t for t in self.objects if not t.enabled]
         for t in self.objects:
@@ -170,6 +188,8 @@ class Video:
 
     def _place(self, t: Track) -> None:
         """An object's box, and the overlap that it takes at least to match it."""
+        if not self.placed:
+            return
         x, y, w, h = t.shown
         self.boxes[:, t.slot] = x, y, x + w, y + h, w * h, OBJECT_IOU if t.lost and t.enabled else SOFT_IOU
 
@@ -203,10 +223,9 @@ class Video:
         t.slot = len(self.objects)
         self.objects.append(t)
         self.present.append(t)
-        self.slots = None
         if near:
             self.off.append(t)
-        if t.slot == self.boxes.shape[1]:
+        if self.placed and t.slot == self.boxes.shape[1]:
             self.boxes = np.concatenate([self.boxes, np.zeros_like(self.boxes)], axis=1)
         self._place(t)
         return t
@@ -286,25 +305,25 @@ class Video:
         return head
 
     # -- objects: live ones choose first, then kept lost ones, then the others --
-    def _objects(self, dets: list[dict], frame: int) -> list[Track]:
-        """The objects that a detection has met or made on this frame."""
+    def _objects(self, dets: list[dict], frame: int, overlapped: dict[int, list[tuple[int, float]]] | None = None) -> list[Track]:
+        """The objects that a detection has met or made on this frame. ``overlapped``: what ``_overlapped`` gives, where it is known."""
         self.ticks += 1
         met, back, free = [], [], list(range(len(dets)))
-        for live in (True, False):  # most frames have nothing left for lost ones
-            overlapped = self._overlapped(dets, free, live)
-            rank = lambda t: (0 if not t.lost else 2 if t.enabled else 1, t.id)
-            for t in sorted((t for i in overlapped if (t := self.objects[i]).lost != live), key=rank):
-                j = self._chosen(t, [(j, v) for j, v in overlapped[t.slot] if j in free], dets)
-                if j is not None:
-                    d = dets[j]
-                    free.remove(j)
-                    back += [t] if t.lost else []
-                    t.shown, t.lost, t.miss, t.part = _whole(d["box"]), False, -1, -1
-                    t.label = f"{d['label'] or 'Object'} #{t.id}"
-                    met.append(t)
-                    self._place(t)
-                    if not free:
-                        break
+        if overlapped is None:
+            overlapped = self._overlapped(dets)
+        rank = lambda t: (0 if not t.lost else 2 if t.enabled else 1, t.id)
+        for t in sorted((self.objects[i] for i in overlapped), key=rank):
+            j = self._chosen(t, [(j, v) for j, v in overlapped[t.slot] if j in free], dets)
+            if j is not None:
+                d = dets[j]
+                free.remove(j)
+                back += [t] if t.lost else []
+                t.shown, t.lost, t.miss, t.part, t.took = _whole(d["box"]), False, -1, -1, j
+                t.label = f"{d['label'] or 'Object'} #{t.id}"
+                met.append(t)
+                self._place(t)
+                if not free:
+                    break
         gone = False
         for t in self.present:
             t.miss += 1
@@ -313,12 +332,49 @@ class Video:
                 self._place(t)
         if gone:
             self.present = [t for t in self.present if not t.lost]
-        if gone or back:
-            self.slots = None
         for t in back:
             t.miss = 0
             insort(self.present, t, key=_ID)
-        return met + [self._new(OBJECT, d["box"], frame, d["score"], d["label"] or "Object", True) for j, d in enumerate(dets) if j in free]
+        for j in free:
+            t = self._new(OBJECT, dets[j]["box"], frame, dets[j]["score"], dets[j]["label"] or "Object", True)
+            t.took = j
+            met.append(t)
+        return met
+
+    def objects_ahead(self, frames: list[tuple[int, list[dict]]]) -> Iterator[list[Track]]:
+        """What ``_objects`` gives on each of these frames. Until their end an object shows its box of now or one of their detections, so all overlaps are told at once."""
+        n, dets = len(self.objects), [d["box"] for _, found in frames for d in found]
+        holder, at = self.objects + [None] * len(dets), list(range(n))  # by box, who shows it; by slot, the box
+        if dets:
+            boxes = np.array(dets)
+            whole = np.copysign(np.floor(np.abs(boxes) + 0.5), boxes)  # as _whole
+            np.maximum(whole[:, 2:], 1, out=whole[:, 2:])
+            x, y, w, h = np.concatenate([np.array([t.shown for t in self.objects], dtype=float).reshape(-1, 4), whole]).T
+            share = _shares(boxes, x, y, x + w, y + h, w * h)
+            of, box = np.nonzero(share >= SOFT_IOU)
+            bounds, shares, box = np.searchsorted(of, np.arange(len(dets) + 1)).tolist(), share[of, box].tolist(), box.tolist()
+        first = 0
+        for index, found in frames:
+            overlapped: dict[int, list[tuple[int, float]]] = {}
+            for j in range(len(found)):
+                for k in range(bounds[first + j], bounds[first + j + 1]):
+                    t = holder[box[k]]
+                    if t is not None and (shares[k] >= OBJECT_IOU or not (t.lost and t.enabled)):
+                        overlapped.setdefault(t.slot, []).append((j, shares[k]))
+            now = self._objects(found, index, overlapped)
+            for t in now:
+                if t.slot < len(at):
+                    holder[at[t.slot]] = None
+                    at[t.slot] = n + first + t.took
+                else:
+                    at.append(n + first + t.took)
+                holder[at[t.slot]] = t
+            first += len(found)
+            yield now
+
+    def far_enough(self, n_frames: int, n_dets: int) -> bool:
+        """Whether so many frames are enough for ``objects_ahead``: what it tells at once is bounded."""
+        return n_frames >= AHEAD_FRAMES or n_dets >= AHEAD_DETS or n_dets * (len(self.objects) + n_dets) > AHEAD_PAIRS
 
     @staticmethod
     def _chosen(t: Track, overlaps: list[tuple[int, float]], dets: list[dict]) -> int | None:
@@ -332,28 +388,17 @@ class Video:
                 soft, near = 1000 * v - far, j
         return near if at is None and (not t.enabled or not t.lost) else at
 
-    def _overlapped(self, dets: list[dict], free: list[int], live: bool) -> dict[int, list[tuple[int, float]]]:
-        """By slot, the objects (those not lost, or all) that overlap a free detection by as much as it takes to match; with which ones, and by how much."""
-        n = len(self.present if live else self.objects)
-        if not n or not free:
-            return {}
-        if live and self.slots is None:
-            self.slots = np.array([t.slot for t in self.present])
-        x1, y1, x2, y2, area, least = self.boxes.take(self.slots, 1) if live else self.boxes[:, :n]
-        x, y, w, h = np.array([dets[j]["box"] for j in free]).T[:, :, None]
-        right, below = x + w, y + h
-        across, down = np.minimum(x2, right) - np.maximum(x1, x), np.minimum(y2, below) - np.maximum(y1, y)
-        at = np.flatnonzero((across > 0) & (down > 0))
-        if not len(at):
+    def _overlapped(self, dets: list[dict]) -> dict[int, list[tuple[int, float]]]:
+        """By slot, the objects that overlap a detection by as much as it takes to match; with which ones, and by how much."""
+        n = len(self.objects)
+        if not n or not dets:
             return {}
-        both, (d, t) = across.ravel()[at] * down.ravel()[at], np.divmod(at, n)
-        union = area[t] + (w * h).ravel()[d] - both
-        share = both / np.where(union > 1e-6, union, np.inf)
-        enough = share >= least[t]
+        share = _shares(np.array([d["box"] for d in dets]), *self.boxes[:5, :n])
         found: dict[int, list[tuple[int, float]]] = {}
-        t = self.slots[t] if live else t
-        for i, j, v in zip(t[enough].tolist(), d[enough].tolist(), share[enough].tolist(), strict=True):
-            found.setdefault(i, []).append((free[j], v))
+        if len(at := np.flatnonzero(share >= self.boxes[5, :n])):
+            for k, v in zip(at.tolist(), share.ravel()[at].tolist(), strict=True):
+                j, i = divmod(k, n)
+                found.setdefault(i, []).append((j, v))
         return found
 
     # -- identities --
@@ -576,6 +621,7 @@ class _Spans:
         self.video_id, self.kind, self.out = video_id, kind, out
         self.video, self.was, self.n = Video(), set(), 0
         self.video.no_more_commands()
+        self.video.placed, self.wait, self.waiting = kind == FACE, [], 0  # frames to be told at once, and how many detections they have
         self.since, self.times, self.first = {}, [], 0  # objects seen now, from which frame on; the frames from ``first`` on
 
     def _row(self, t: Track, frames: list[int], appeared: bool) -> None:
@@ -597,23 +643,35 @@ class _Spans:
         self.out.append((*row[:4], self.times[start - self.first : min(end, start + LIFE + 1) - self.first], *row[4:]))
 
     def objects(self, index: int, dets: list[dict]) -> None:
-        for t in self.video._objects(dets, index):
-            if t.born < 0:
-                t.born = self.n
-            if was := self.since.get(t.id):
-                self._close(was, self.n)
-            back = was is None or self.n > was[1] + LIFE + 1  # it was gone for a frame at least
-            self.since[t.id] = (self.video_id, OBJECT, t.born, t.id, 0, *t.shown, float(t.score), t.label.rsplit(" #", 1)[0], back), self.n
-        self.times.append(index)
-        self.n += 1
-        if len(self.times) >= 20 * LIFE:
-            self.close(lambda start: self.n > start + LIFE + 1)
-            self.times, self.first = self.times[-LIFE - 2 :], self.n - LIFE - 2
-
-    def close(self, which=lambda start: True) -> None:
+        self.wait.append((index, dets))
+        self.waiting += len(dets)
+        if self.video.far_enough(len(self.wait), self.waiting):
+            self._go_on()
+
+    def _go_on(self) -> None:
+        for (index, _), now in zip(self.wait, self.video.objects_ahead(self.wait), strict=True):
+            for t in now:
+                if t.born < 0:
+                    t.born = self.n
+                if was := self.since.get(t.id):
+                    self._close(was, self.n)
+                back = was is None or self.n > was[1] + LIFE + 1  # it was gone for a frame at least
+                self.since[t.id] = (self.video_id, OBJECT, t.born, t.id, 0, *t.shown, float(t.score), t.label.rsplit(" #", 1)[0], back), self.n
+            self.times.append(index)
+            self.n += 1
+            if len(self.times) >= 20 * LIFE:
+                self._let_go(lambda start: self.n > start + LIFE + 1)
+                self.times, self.first = self.times[-LIFE - 2 :], self.n - LIFE - 2
+        self.wait, self.waiting = [], 0
+
+    def _let_go(self, which) -> None:
         for i in [i for i, was in self.since.items() if which(was[1])]:
             self._close(self.since.pop(i), self.n)
 
+    def close(self) -> None:
+        self._go_on()
+        self._let_go(lambda start: True)
+
 
 def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
     names = [c.split()[0] for c in SPANS.split(", ")]
@@ -659,10 +717,92 @@ def _apart(rows: DataFrame) -> DataFrame:
     return seen.select(*(made.get(c, F.col(c)).alias(c) for c in COLUMNS))
 
 
-def _in_order(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows by frame within keys. Ranges, not hashes: keys with many rows get tasks of their own."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys, "frame_index")
+COUNTS = "video_id string, frame_index long, masked long, appeared long, born long"
+
+
+class _Counts:
+    """One kind of a video, frame by frame: how many are visible, newly appear and are born. Where a face coasts changes none of these, so heads are not looked at."""
+
+    def __init__(self, video_id: str | None, kind: int) -> None:
+        self.video_id, self.kind, self.video, self.was = video_id, kind, Video(), set()
+        self.video.no_more_commands()
+        self.video.placed = False
+
+    def _row(self, index: int, seen: set[int], born: int) -> tuple:
+        fresh, self.was = len(seen - self.was), seen
+        return self.video_id, index, len(seen), fresh, born
+
+    def frames(self, frames: list[tuple[int, list[dict]]]) -> Iterator[tuple]:
+        v = self.video
+        if self.kind == OBJECT:
+            first = v.next_id
+            for (index, _), _ in zip(frames, v.objects_ahead(frames), strict=True):
+                yield self._row(index, {t.id for t in v.present}, v.next_id - first)
+                first = v.next_id
+            return
+        for index, dets in frames:
+            first = v.next_id
+            v._faces(dets, [], index)
+            yield self._row(index, {t.id for t in v.faces if t.miss <= MASKED}, v.next_id - first)
+
+
+def _by_frame(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Video, kind, frame and its boxes, from flat rows in order; a row without a box is a frame of the video."""
+    at, dets = NOWHERE, []
+    for b in batches:
+        for video_id, kind, index, x, y, w, h, score in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if (here := (video_id, kind, index)) != at:
+                if at is not NOWHERE:
+                    yield *at, dets
+                at, dets = here, []
+            if x is not None:
+                dets.append({"box": [x, y, w, h], "score": score, "label": None, "e": None})
+    if at is not NOWHERE:
+        yield *at, dets
+
+
+def _run_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, out, fold = [c.split()[0] for c in COUNTS.split(", ")], [], None
+    made = lambda: pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), [pa.string(), *[pa.int64()] * 4], strict=True)], names=names)
+    wait, n = [], 0
+    for video_id, kind, index, dets in _by_frame(batches):
+        if fold is None or (fold.video_id, fold.kind) != (video_id, kind):
+            out += fold.frames(wait) if fold else []
+            fold, wait, n = _Counts(video_id, kind), [], 0
+        wait.append((index, dets))
+        n += len(dets)
+        if fold.video.far_enough(len(wait), n):
+            out += fold.frames(wait)
+            wait, n = [], 0
+        if len(out) >= PART_ROWS:
+            yield made()
+            out = []
+    out += fold.frames(wait) if fold else []
+    if out:
+        yield made()
+
+
+def summary(faces: DataFrame, objects: DataFrame, heads: DataFrame) -> DataFrame:
+    """Per video of flat detections without commands: frames with a visible track, tracks, visible rows, and those that newly appear.
+
+    The same folds as in ``track``, but a frame leaves one as one row of counts, and boxes are shuffled once, flat. A track is visible on the frame that it is born on.
+    """
+    key = [F.col("video_id").cast("string").alias("video_id"), F.col("frame_index").cast("long").alias("frame_index")]
+    kinds = [F.lit(k).alias("kind") for k in (FACE, OBJECT)]
+    box = [F.col(c).cast("double").alias(c) for c in "xywh"] + [F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")]
+    ticks = faces.select(*key).unionByName(objects.select(*key)).unionByName(heads.select(*key)).distinct()
+    rows = ticks.select("video_id", F.explode(F.array(*kinds)).alias("kind"), "frame_index", *(F.lit(None).cast("double").alias(c) for c in ("x", "y", "w", "h", "score")))
+    for d, kind in zip((faces, objects), kinds, strict=True):
+        rows = rows.unionByName(d.select(key[0], kind, key[1], *box))
+    counts = _in_order(rows, "video_id", "kind", then=["frame_index", "x", "y", "w", "h", "score"]).mapInArrow(_run_counts, COUNTS)
+    frames = counts.where("masked > 0").groupBy("video_id", "frame_index").agg(*(F.sum(c).alias(c) for c in ("born", "masked", "appeared")))
+    return frames.groupBy("video_id").agg(F.count("frame_index").alias("frames"), F.sum("born").alias("tracks"), F.sum("masked").alias("masked"), F.sum("appeared").alias("appeared"))
+
+
+def _in_order(rows: DataFrame, *keys: str, then: tuple[str, ...] | list[str] = ("frame_index",)) -> DataFrame:
+    """Rows by frame within keys. Ranges, not hashes, and more of them than tasks at once: keys with many rows get tasks of their own."""
+    n = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys, *then)
 
 
 def frames(faces: DataFrame, objects: DataFrame | None = None, heads: DataFrame | None = None, commands: DataFrame | None = None) -> DataFrame:

@@ -9,14 +9,19 @@ from ..operators import tracking
 from ..sources import views as v
 
 
-def track_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """Tracks of the moving objects, and of the detections of every video."""
+def _detected(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Faces (with the moving objects), objects and heads of every video."""
     moving = v.motion(spark).selectExpr("'motion' AS video_id", "frame_index", "x", "y", "w", "h", "score")
     dets = v.detections(spark, sf).where("score >= 0.35")
     faces = dets.where("class_id = 16").selectExpr("cast(video_id AS string) AS video_id", "frame_index div 4 AS frame_index", "x", "y", "w", "h", "score")
     objects = dets.where("class_id IN (62, 63)").selectExpr("cast(video_id AS string) AS video_id", "frame_index div 4 AS frame_index", "x", "y", "w", "h", "score", "'screen' AS label")
     heads = dets.where("class_id = 0").selectExpr("cast(video_id AS string) AS video_id", "frame_index div 4 AS frame_index", "x", "y", "w", "h", "score")
-    return tracking.track(tracking.frames(faces.unionByName(moving), objects, heads))
+    return faces.unionByName(moving), objects, heads
+
+
+def track_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Tracks of the moving objects, and of the detections of every video."""
+    return tracking.track(tracking.frames(*_detected(spark, sf)))
 
 
 def _faces_with_vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,8 +47,7 @@ def keep_policy(spark: SparkSession, sf: str) -> DataFrame:
 
 def track_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Per video: frames, tracks, rows that are masked, and rows that newly appear."""
-    t = track_batch(spark, sf)
-    return t.groupBy("video_id").agg(F.countDistinct("frame_index").alias("frames"), F.countDistinct("track_id").alias("tracks"), F.count_if("enabled").alias("masked"), F.count_if("appeared").alias("appeared"))
+    return tracking.summary(*_detected(spark, sf))
 
 
 QUERIES = {f.__name__: f for f in (track_batch, keep_policy, track_summary)}
