@@ -178,3 +178,11 @@ def test_a_view_without_skill_gives_no_labels():
     assert cotraining.trusted_edges(rng.normal(size=800), y)[0] == 0  # bad rows are nowhere told from good ones
     lo, hi = cotraining.trusted_edges(np.where(y == 1, 2.0, -2.0) + rng.normal(size=800) / 9, y)
     assert 0 < lo <= cotraining.BINS // 2 <= hi < cotraining.BINS
+
+
+def test_cotraining_makes_features_once(spark, odd, labels):
+    """Scores come from the features that were written for the rounds: texts are not read again. Character classes are those of all code points."""
+    plan = cotraining.score_documents(odd, labels)._jdf.queryExecution().optimizedPlan().toString()
+    assert "tc#" in plan and "text#" not in plan.replace("_text#", "")
+    t = "ÀÉß Ⅷ ١٢٣ AbC 12 a a\n\u00b2 ǅ \U0001d400 Z9!"
+    assert [round(float(x), 6) for x in cotraining.text_features(t, {})[1][1:3]] == [round(4 * sum(map(f, t)) / len(t), 6) for f in (str.isupper, str.isdigit)]

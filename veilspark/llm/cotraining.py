@@ -12,7 +12,7 @@ calibrated on these rows, and all documents are scored with the sum of the two c
 less the prior that both hold.
 
 Labelled rows are a bounded sample by hash (``max_labelled``). The pool is every row without a
-label: its features are written once, each round reads all of them for the histogram, writes out
+label. Every document's features are written once, those that scores come from, too; each round reads all of the pool's for the histogram, writes out
 the rows that have got a label so far, and moves both classifiers by gradients summed over all of
 those. Together these weigh at most as much as the labelled rows, so that sizes do not tell.
 
@@ -24,8 +24,11 @@ label); no rows give no rows. Further columns are ignored.
 
 from __future__ import annotations
 
+import re
+import string
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,6 +46,7 @@ BINS, REACH = 8192, 32  # of the histogram
 PRECISION = 0.95  # at least, on rows set aside, of the labels that a view gives
 THRESHOLD = 0.5
 DENSE = 6  # numbers by character class that stand before the hashed words
+UPPER, DIGITS, NOT_ASCII = string.ascii_uppercase.encode(), string.digits.encode(), re.compile("[^\x00-\x7f]+")
 
 
 def text_features(text: str | None, seen: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,19 +54,23 @@ def text_features(text: str | None, seen: dict[str, int]) -> tuple[np.ndarray, n
     t = text or ""
     words = t.split()
     n, chars = len(words), max(1, len(t))
+    said = Counter(words)
     counts: dict[int, int] = {}
-    for w in words:
+    for w, k in said.items():
         b = seen.get(w)
         if b is None:
             b = DENSE + zlib.crc32(w.lower().strip(".,;:!?").encode()) % TEXT_BUCKETS
             if len(seen) < 500_000:
                 seen[w] = b
-        counts[b] = counts.get(b, 0) + 1
+        counts[b] = counts.get(b, 0) + k
     symbols = sum(t.count(c) for c in "#*$%&|<>")
     lines = [x for x in t.split("\n") if x.strip()]
+    flat = t.encode()
+    rest = "" if t.isascii() else "".join(NOT_ASCII.findall(t))
+    upper, digits = (len(flat) - len(flat.translate(None, of)) + sum(map(also, rest)) for of, also in ((UPPER, str.isupper), (DIGITS, str.isdigit)))
     dense = [
-        symbols / chars, sum(map(str.isupper, t)) / chars if t else 0.0, sum(map(str.isdigit, t)) / chars if t else 0.0, t.count("!") / chars,
-        1 - len(set(lines)) / len(lines) if lines else 0.0, 1 - len(set(words)) / n if n else 0.0,
+        symbols / chars, upper / chars, digits / chars, t.count("!") / chars,
+        1 - len(set(lines)) / len(lines) if lines else 0.0, 1 - len(said) / n if n else 0.0,
     ]
     cols = np.array([*range(DENSE), *counts], dtype=np.int32)
     vals = np.array([*(4 * x for x in dense), *(np.sqrt(c / n) for c in counts.values())], dtype=np.float32)
@@ -369,34 +377,51 @@ def _stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def features(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """FEATURES of every document, and its label's quality or null: made once and written.
+
+    Labels meet the features by a shuffle at every size, so that disk grows with the input; rows without an id have no label and stay where they are.
+    """
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
+    asked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long"))
+    named, other = (asked.where(c).mapInArrow(_featured, FEATURES) for c in ("doc_id is not null", "doc_id is null"))
+    return _stored(named.join(known.hint("shuffle_hash"), "doc_id", "left").unionByName(other.withColumn("quality", F.lit(None).cast("int"))))
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS) -> CoTrained | None:
     """The co-trained pair of classifiers, from a sample of labelled rows and all others; None without labels of both kinds."""
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
-    there = known.join(docs.select(F.col("doc_id").cast("long")), "doc_id", "left_semi")  # labels without a document take no place
-    picked = cut(there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))  # max_labelled rows at most
-    asked = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long"))
-    rows = asked.join(F.broadcast(picked), "doc_id", "left_semi").mapInArrow(_featured, FEATURES).join(F.broadcast(picked), "doc_id").toArrow().sort_by("doc_id").to_pylist()
+    return fit_features(features(docs, labels), max_labelled, rounds)
+
+
+def fit_features(made: DataFrame, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS) -> CoTrained | None:
+    """The same from the rows of ``features``."""
+    there = made.where("quality is not null").select("doc_id", "quality").distinct()
+    picked = cut(there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).select("doc_id"))  # max_labelled rows at most
+    rows = made.join(F.broadcast(picked), "doc_id", "left_semi").toArrow().sort_by("doc_id").to_pylist()
     y = np.array([r["quality"] for r in rows])
     if len(set(y)) < 2:
         return None
+    texts, metas = _unpacked(rows)
+    return co_train(texts, metas, y, made.where("doc_id is not null and quality is null").drop("quality"), rounds)
+
+
+def _unpacked(rows: list[dict]) -> tuple[list, list]:
     texts = [(np.frombuffer(r["tc"], dtype="<i2").astype(np.int32), np.frombuffer(r["tv"], dtype="<f4")) for r in rows]
-    metas = [(m := np.frombuffer(r["mc"], dtype="<i2").astype(np.int32), np.ones(len(m), dtype=np.float32)) for r in rows]
-    return co_train(texts, metas, y, _stored(asked.mapInArrow(_featured, FEATURES).join(known, "doc_id", "left_anti")), rounds)
+    return texts, [(m := np.frombuffer(r["mc"], dtype="<i2").astype(np.int32), np.ones(len(m), dtype=np.float32)) for r in rows]
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, text_score, meta_score, score (0 to 1, higher: better) and kept for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    made = features(docs, labels)
+    shared = docs.sparkSession.sparkContext.broadcast(fit_features(made))
     names = ["doc_id", "text_score", "meta_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, int] = {}
         for b in batches:
             if shared.value is None:
                 got = [np.full(b.num_rows, 0.5)] * 3
             else:
-                got = shared.value.score(*_views(b, seen))
+                got = shared.value.score(*_unpacked(b.select(["tc", "tv", "mc"]).to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, got)], names=names)
 
-    asked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long"))
-    return asked.mapInArrow(run, "doc_id long, text_score double, meta_score double, score double").withColumn("kept", F.col("score") >= threshold)
+    return made.mapInArrow(run, "doc_id long, text_score double, meta_score double, score double").withColumn("kept", F.col("score") >= threshold)
