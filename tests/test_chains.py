@@ -310,3 +310,16 @@ def test_redact_union_neither_sorts_nor_shuffles_boxes(spark, sf):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_redact_union_keeps_manual_boxes_to_the_last_frame(spark, tmp_path):
+    """They ended 20 frames after their start, which is where static boxes end; copies of a box stay apart."""
+    from veilspark.plans import redaction
+
+    frames = [5, 6, 25, 26, 40, 1023, 1024, 5000]
+    lines = [(f * 4, 1, 1, 1, 1.0, 1.0) for f in frames]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(0, 5), (1200, 1505), (1, 5), (2, 5), (3, 26)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted(tuple(r) for r in redaction.redact_union(spark, str(tmp_path)).collect())
+    manual = 2 * [(f, 5, 0, 40, 40, "manual") for f in frames] + [(f, 26, 3, 40, 40, "manual") for f in frames if f >= 26]
+    assert got == sorted(manual + [(f, 5, 1, 60, 30, "static") for f in (5, 6, 25)])
