@@ -72,6 +72,20 @@ def test_timecode_and_labels(spark):
     assert list(got) == ["00:00:00:00", "01:04:38:10", "00:00:01:001", "00:01:00.00", "00:00:00.00"]
 
 
+def test_timecode_at_large_frames(spark, tmp_path):
+    """Near a tie the last digit of pts was not the SQL's; hours have all their digits, as in the reference."""
+    import duckdb
+
+    from veilspark.plans import media
+
+    spark.createDataFrame([(130347, 3), (284648, 3), (0, 3)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    got = media.timecode(spark, str(tmp_path)).orderBy("p_partkey").collect()
+    assert [r["pts"] for r in got] == [r[0] for r in duck.execute(f"SELECT pts FROM ({media.ORACLE['timecode']}) ORDER BY p_partkey").fetchall()]
+    assert [r["code"] for r in got] == ["00:00:00:00", "1179:09:10:19", "2575:00:19:26"]
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.integers(2, 40), st.integers(2, 40), st.sampled_from(list(pixels.FILTERS)))
 def test_filters_touch_only_their_box(h, w, mode):

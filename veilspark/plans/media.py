@@ -23,7 +23,8 @@ FPS = "CASE p_size % 6 WHEN 0 THEN 0.4D WHEN 1 THEN 23.5D WHEN 2 THEN 24.5D WHEN
 
 def timecode(spark: SparkSession, sf: str) -> DataFrame:
     p = _parts(spark, sf, "p_partkey * 977 - 500 AS frame", f"{FPS} AS fps")
-    return p.select("p_partkey", "frame", "fps", m.timecode(F.col("frame"), F.col("fps")).alias("code"), F.round(m.pts(F.col("frame"), F.col("fps")), 6).alias("pts"))
+    micros = F.round(m.pts(F.col("frame"), F.col("fps")) * 1e6)  # whole ones, as in the SQL: rounding to 6 places goes by the quotient's shortest decimal, so near a tie the last digit differed
+    return p.select("p_partkey", "frame", "fps", m.timecode(F.col("frame"), F.col("fps")).alias("code"), (micros / 1e6).alias("pts"))
 
 
 def range_label(spark: SparkSession, sf: str) -> DataFrame:
