@@ -323,3 +323,13 @@ def test_redact_union_keeps_manual_boxes_to_the_last_frame(spark, tmp_path):
     got = sorted(tuple(r) for r in redaction.redact_union(spark, str(tmp_path)).collect())
     manual = 2 * [(f, 5, 0, 40, 40, "manual") for f in frames] + [(f, 26, 3, 40, 40, "manual") for f in frames if f >= 26]
     assert got == sorted(manual + [(f, 5, 1, 60, 30, "static") for f in (5, 6, 25)])
+
+
+def test_redact_union_holds_a_piece_of_a_box_at_a_time(spark, sf):
+    """Two explodes in one fused stage held the rows of a box on all frames at once."""
+    from veilspark.plans import redaction
+
+    df = redaction.redact_union(spark, sf)
+    df.collect()
+    steps = [x.strip() for x in df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines() if "Generate explode" in x]
+    assert len(steps) == 2 and sum("*(" in x for x in steps) == 1
